@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, langid, media, mixing, packing, toxicity
+from tessera.llm import ann, chat, jaccard, langid, media, mixing, packing, toxicity
 from tessera.llm.langid import held_out
 
 
@@ -27,6 +27,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _read(spark, sf_dir, "labels").where(~held_out()))
@@ -58,7 +62,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mix, op5_toxicity, op6_chat_format, op7_packing, op8_media)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op5_toxicity, op6_chat_format, op7_packing, op8_media, op10_nearest)}
 
 ORACLE_SQL = {
     "op6_chat_format": r"""
