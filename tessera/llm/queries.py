@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, jaccard, langid, media, mixing, packing, toxicity
+from tessera.llm import ann, chat, jaccard, langid, media, mixing, packing, suffixes, toxicity
 from tessera.llm.langid import held_out
 
 
@@ -62,11 +62,17 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s.length)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op5_toxicity, op6_chat_format, op7_packing, op8_media, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op5_toxicity, op6_chat_format, op7_packing, op8_media, op9_repeated_passages, op10_nearest)}
 
 ORACLE_SQL = {
     "op6_chat_format": r"""
