@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame, schedules: tuple = SCHEDULES, cap: float =
     )
 
 
-def mix_sources(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0, seed: int = 17, slices: int = SLICES) -> DataFrame:
+def mix_sources(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0, seed: int = 17, slices: int = SLICES, carry: bool = False, ordered: bool = True) -> DataFrame:
     """(doc_id, source, digest, size, source_size, target, taken, positions) of every row of docs, in training order.
 
     Within its source a document has a place by a seeded hash. The source takes its documents in that order, over and over, until it has its
@@ -71,13 +71,15 @@ def mix_sources(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0,
     training position (0 to 1) at which each of its copies begins: the time when the source's integrated schedule has asked for the words
     before it. Rows come range-partitioned by first position; those that aren't taken come last.
 
+    carry adds the input row as the struct `row`.
+
     Null text or text without words: size 0, taken 0, no position. A null source is a source, and comes last. Null ids and repeated rows are
     rows as any other; equal ones are interchangeable. Columns other than doc_id, text and source are ignored. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     key = F.xxhash64(F.lit(seed), "doc_id", text)
     name = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source"))  # a key without nulls, so that sums, windows and joins share one shuffle
-    rows = docs.select("doc_id", "source", name.alias("name"), key.alias("digest"), F.pmod(key, F.lit(slices)).alias("slice"), word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", name.alias("name"), key.alias("digest"), F.pmod(key, F.lit(slices)).alias("slice"), word_count(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
     parts = rows.groupBy("name", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
     whole = Window.partitionBy("name")
     parts = parts.withColumn("source_size", F.sum("slice_size").over(whole)).withColumn("ahead", F.sum("slice_size").over(whole.orderBy("slice")) - F.col("slice_size"))
@@ -99,6 +101,16 @@ def mix_sources(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0,
     placed = starts
     for turn, knots in enumerate(schedules):
         placed = F.when(F.col("turn") == turn, F.transform(starts, _timed(knots))).otherwise(placed)
-    out = rows.select("doc_id", "source", "digest", "size", "source_size", "target", "taken", placed.alias("positions"))
+    out = rows.select("doc_id", "source", "digest", "size", "source_size", "target", "taken", placed.alias("positions"), *(["row"] if carry else []))
+    if not ordered:
+        return out
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
     return out.repartitionByRange(first.alias("first"), F.col("digest")).sortWithinPartitions(first, "digest")
+
+
+def training_rows(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them (to the nearest whole number), in order of training position."""
+    rows = mix_sources(docs, schedules, cap, carry=True, ordered=False)
+    copies = F.when(F.col("taken") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    rows = rows.select(F.explode(F.slice("positions", F.lit(1), copies)).alias("position"), "digest", "row")
+    return rows.repartitionByRange("position", "digest").sortWithinPartitions("position", "digest").select("row.*")

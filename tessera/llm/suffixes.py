@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.llm import textkit
 from tessera.llm.blocks import blocks, frozen, thawed
@@ -347,16 +348,48 @@ def _cut(length: int):  # noqa: ANN202
     return work
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, spans array<struct<start, length>>, kept binary, kept_sha256) of every row.
+def _spare(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span without the parts of characters that it begins or ends within."""
+    while start < end and raw[start] & 0xC0 == 0x80:
+        start += 1
+    while start < end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
 
-    Removes each byte that lies in a string of `length` bytes which also starts in a document with a smaller doc_id; matches stay within a
-    document, overlaps count, and all strings are taken from the input. spans are the maximal removed runs in UTF-8 bytes.
 
-    A null text is empty; texts shorter than length lose nothing. Rows with the same doc_id don't count against each other; a null doc_id is
-    after all others, and nothing is removed for its sake. Columns other than doc_id and text are ignored. Empty tables give no rows.
-    """
-    rows = blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+def _shorten(kinds: pa.Schema):  # noqa: ANN202
+    def work(there: pa.Table, spans: pa.Table) -> pa.Table:
+        if not there.num_rows:
+            return kinds.empty_table()
+        docs = thawed(there["docs"][0].as_buffer()).combine_chunks()
+        rows = np.frombuffer(b"".join(spans["data"].to_pylist()), np.int64).reshape(-1, 3)
+        rows = np.frombuffer(_spans(rows[:, 0], rows[:, 1], rows[:, 2]), np.int64).reshape(-1, 3)
+        texts, keep = docs["text"].to_pylist(), np.ones(docs.num_rows, bool)
+        changed = np.unique(rows[:, 0]).tolist()
+        at = np.searchsorted(rows[:, 0], [*changed, docs.num_rows])
+        for k, i in enumerate(changed):
+            raw, done, pieces = texts[i].encode(), 0, []
+            for _, start, end in rows[at[k] : at[k + 1]].tolist():
+                start, end = _spare(raw, start, end)
+                pieces.append(raw[done:start])
+                done = end
+            texts[i] = b"".join([*pieces, raw[done:]]).decode()
+            keep[i] = bool(texts[i])
+        at = docs.schema.get_field_index("text")
+        out = docs.set_column(at, docs.schema.field(at), pa.array(texts, docs.schema.field(at).type))
+        if (at := docs.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(docs.schema.field(at).type):
+            sizes = docs["n_chars"].to_pylist()
+            for i in changed:
+                sizes[i] = len(texts[i])
+            out = out.set_column(at, docs.schema.field(at), pa.array(sizes, docs.schema.field(at).type))
+        return out.filter(pa.array(keep))
+
+    return work
+
+
+def _repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of docs, spans to remove by block)."""
+    rows = blocks(docs)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = int(total // RANGE_BYTES) + 1
     asked = rows.select("block", "docs").mapInArrow(_requests(ranges, length, gram), "range int, block long, values binary")
@@ -364,6 +397,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     by = rows.select("block", "docs").groupBy("block")
     runs = settled(by.cogroup(answers.groupBy("block")).applyInArrow(_sort_block(ranges, length, gram), "range int, block long, data binary"))
     repeats = runs.where("range >= 0").groupBy("range").applyInArrow(_merge_range(length, gram), "block long, data binary")
-    spans = settled(repeats.union(runs.where("range < 0").select("block", "data")))
-    cut = by.cogroup(spans.groupBy("block")).applyInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start: bigint, length: bigint>>, kept binary, kept_sha256 string")
-    return cut
+    return rows.select("block", "docs"), settled(repeats.union(runs.where("range < 0").select("block", "data")))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n_bytes, spans array<struct<start, length>>, kept binary, kept_sha256) of every row.
+
+    Removes each byte that lies in a string of `length` bytes which also starts in a document with a smaller doc_id; matches stay within a
+    document, overlaps count, and all strings are taken from the input. spans are the maximal removed runs in UTF-8 bytes.
+
+    A null text is empty; texts shorter than length lose nothing. Rows with the same doc_id don't count against each other; a null doc_id is
+    after all others, and nothing is removed for its sake. Columns other than doc_id and text are ignored. Empty tables give no rows.
+    """
+    rows, spans = _repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram)
+    cut = "doc_id long, n_bytes long, spans array<struct<start: bigint, length: bigint>>, kept binary, kept_sha256 string"
+    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(length), cut)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows of docs, with all their columns, less the bytes that remove_repeats finds, up to whole characters; n_chars, if any, follows.
+
+    A document of which nothing is left goes; one that was empty or null before stays. doc_id is a whole number.
+    """
+    rows, spans = _repeats(docs, length, gram)
+    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_shorten(to_arrow_schema(docs.schema)), docs.schema)

@@ -118,33 +118,49 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: in
     return Model(weights, float(b))
 
 
+def _scores(data: np.ndarray, offsets: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, ...]:
+    """(score of each text; score, text, first byte and end of each sentence)."""
+    bits, n = len(w).bit_length() - 1, len(offsets) - 1
+    feature, sentence, text, start, end = instances(data, offsets, bits)
+    some = w[feature] != 0
+    pairs = np.unique(sentence[some] << bits | feature[some])
+    s = _sigmoid(bias + np.bincount(pairs >> bits, weights=w[pairs & ((1 << bits) - 1)].astype(float), minlength=len(text)))
+    found = -np.expm1(np.bincount(text, weights=np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=n))
+    return np.clip(found, 0, 1), s, text, start, end
+
+
 def score(docs: DataFrame, model: Model, flag_at: float = 0.3) -> DataFrame:
     """(doc_id, score, offending) of every row: the noisy-or of its sentences and those of them that reach flag_at.
 
     offending is array<struct<start, length, score>>, places in UTF-8 bytes of the text, in order. A null text or one without words has
     score 0 and no sentences. Each word counts once in a sentence. Repeated and null ids stay; other columns than doc_id and text are ignored.
     """
-    bits, weights, bias = int(len(model.weights)).bit_length() - 1, model.weights, model.bias
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    bias, shared = model.bias, docs.sparkSession.sparkContext.broadcast(model.weights)
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for batch in batches:
             for first, data, offsets in chunks(batch.column(1)):
-                feature, sentence, text, start, end = instances(data, offsets, bits)
-                n = len(offsets) - 1
-                some = w[feature] != 0
-                pairs = np.unique(sentence[some] << bits | feature[some])
-                s = _sigmoid(bias + np.bincount(pairs >> bits, weights=w[pairs & ((1 << bits) - 1)].astype(float), minlength=len(text)))
-                found = -np.expm1(np.bincount(text, weights=np.log1p(-np.minimum(s, 1 - 1e-12)), minlength=n)) if n else np.zeros(0)
-                bad = np.flatnonzero(s >= flag_at)
+                found, s, text, start, end = _scores(data, offsets, shared.value, bias)
+                n, bad = len(found), np.flatnonzero(s >= flag_at)
                 at = np.searchsorted(text[bad], np.arange(n + 1)).astype(np.int32)
                 inner = pa.StructArray.from_arrays([pa.array(start[bad] - offsets[text[bad]]), pa.array(end[bad] - start[bad]), pa.array(s[bad])], ["start", "length", "score"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(np.clip(found, 0, 1)), pa.ListArray.from_arrays(pa.array(at), inner).cast(span)], ["doc_id", "score", "offending"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(found), pa.ListArray.from_arrays(pa.array(at), inner).cast(span)], ["doc_id", "score", "offending"])
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, offending array<struct<start: bigint, length: bigint, score: double>>")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below threshold. Rows without text score 0 and stay."""
+    bias, shared, place = model.bias, docs.sparkSession.sparkContext.broadcast(model.weights), docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_scores(data, offsets, shared.value, bias)[0] for _, data, offsets in chunks(batch.column(place))]
+            yield batch.filter(pa.array(np.concatenate([*found, np.zeros(0)]) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def predicted(score: Column, threshold: float = 0.3) -> Column:
     return (score >= threshold).cast("int")
