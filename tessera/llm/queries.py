@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, jaccard, langid, media, mixing, packing, suffixes, toxicity
+from tessera.llm import ann, chat, jaccard, langid, media, mixing, packing, perplexity, suffixes, toxicity
 from tessera.llm.langid import held_out
 
 
@@ -31,6 +31,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return perplexity.classify(_read(spark, sf_dir, "documents"), trusted)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _read(spark, sf_dir, "labels").where(~held_out()))
@@ -72,7 +77,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op5_toxicity, op6_chat_format, op7_packing, op8_media, op9_repeated_passages, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_perplexity, op5_toxicity, op6_chat_format, op7_packing, op8_media, op9_repeated_passages, op10_nearest)}
 
 ORACLE_SQL = {
     "op6_chat_format": r"""
