@@ -13,12 +13,12 @@ from tessera.llm.durable import settled
 from tessera.llm.textkit import buffers
 
 #: A block closes at so many bytes of text; one longer text is a block by itself.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def frozen(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
         out.write(table)
     return sink.getvalue().to_pybytes()
 

@@ -14,6 +14,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  for pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,7 +26,7 @@ from tessera.llm.textkit import BYTE_CODE, U64, as_binary, buffers, splitmix
 
 LENGTH, GRAM = 50, 20
 #: A range of hashes, and so a merge task, gets the anchors of about so many bytes of text.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 12 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -150,9 +151,9 @@ def _run(right: np.ndarray, left: np.ndarray, ahead: np.ndarray, behind: np.ndar
 
 def _sort_block(ranges: int, length: int, gram: int):  # noqa: ANN202
     def work(there: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["range", "block", "data"]
+        names = ["range", "block", "data", "known"]
         if not there.num_rows or not answers.num_rows:
-            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.binary())], names=names)
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())], names=names)
         block, docs = there["block"][0].as_py(), thawed(there["docs"][0].as_buffer())
         ids = _ids(docs)
         data, offsets = buffers(answers["values"])
@@ -182,13 +183,13 @@ def _sort_block(ranges: int, length: int, gram: int):  # noqa: ANN202
         goes[order] = doc[order] == least
         start, end = _whole(place, ahead, behind, length)
         known = ~goes & (end - start >= length)
-        out = [(-1, block, _spans(row[known], start[known], end[known]))] if known.any() else []
+        out = [(block % ranges, block, None, _spans(row[known], start[known], end[known]))] if known.any() else []
         at = np.flatnonzero(goes)
         at = at[np.argsort(range_[at], kind="stable")]
         for r, i in zip(*np.unique(range_[at], return_index=True)):
             part = at[i : np.searchsorted(range_[at], r, "right")]
-            out.append((int(r), block, _run(right[part], left[part], ahead[part], behind[part], doc[part], row[part], place[part])))
-        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=names)
+            out.append((int(r), block, _run(right[part], left[part], ahead[part], behind[part], doc[part], row[part], place[part]), None))
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=names)
 
     return work
 
@@ -260,6 +261,10 @@ def _merge_range(length: int, gram: int):  # noqa: ANN202
     back = length - gram
 
     def work(table: pa.Table) -> pa.Table:
+        known = table.filter(pa.compute.is_valid(table["known"])).select(["block", "known"]).rename_columns(["block", "data"])
+        table = table.filter(pa.compute.is_valid(table["data"]))
+        if not table.num_rows:
+            return known
         parts, runs = [thawed(x.as_buffer()).combine_chunks() for x in table["data"]], []
         for part in parts:
             runs.append((part["same"].to_pylist(), part["tail"].to_pylist()))
@@ -291,7 +296,7 @@ def _merge_range(length: int, gram: int):  # noqa: ANN202
         for name in np.unique(block[hit]):
             some = hit & (block == name)
             out.append((int(name), _spans(row[some], place[some] - last[some], place[some] - first[some] + length)))
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["block", "data"])
+        return pa.concat_tables([known, pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["block", "data"])])
 
     return work
 
@@ -395,9 +400,8 @@ def _repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
     asked = rows.select("block", "docs").mapInArrow(_requests(ranges, length, gram), "range int, block long, values binary")
     answers = settled(asked.groupBy("range").applyInArrow(_shared, "range int, block long, values binary"))
     by = rows.select("block", "docs").groupBy("block")
-    runs = settled(by.cogroup(answers.groupBy("block")).applyInArrow(_sort_block(ranges, length, gram), "range int, block long, data binary"))
-    repeats = runs.where("range >= 0").groupBy("range").applyInArrow(_merge_range(length, gram), "block long, data binary")
-    return rows.select("block", "docs"), settled(repeats.union(runs.where("range < 0").select("block", "data")))
+    runs = by.cogroup(answers.groupBy("block")).applyInArrow(_sort_block(ranges, length, gram), "range int, block long, data binary, known binary")
+    return rows.select("block", "docs"), settled(runs.groupBy("range").applyInArrow(_merge_range(length, gram), "block long, data binary"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
