@@ -21,7 +21,7 @@ def test_scalars(spark):
     assert one(spark, text.samples(F.lit(" a | |b|c|d|e|f"))) == ["a", "b", "c", "d", "e"]
     assert one(spark, text.edit_similarity(F.lit("kitten"), F.lit("sitting"))) == 1 - 3 / 7
     assert one(spark, text.edit_similarity(F.lit(None).cast("string"), F.lit("x"))) == 0
-    assert one(spark, F.lit("etl_a").rlike(text.glob_regex(F.lit("ETL_*"))))
+    assert one(spark, F.rlike(F.lit("etl_a"), text.glob_regex(F.lit("ETL_*"))))
     assert one(spark, text.fenced_json(F.lit('```json\n{"k": 3}\n```'), "k int")).k == 3
     assert one(spark, text.blank_samples(F.lit("null| |N/A")))
     assert one(spark, text.character_class(F.array(F.lit("a"), F.lit("1")))) == "mixed"
