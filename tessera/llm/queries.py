@@ -80,6 +80,15 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_perplexity, op5_toxicity, op6_chat_format, op7_packing, op8_media, op9_repeated_passages, op10_nearest)}
 
 ORACLE_SQL = {
+    "op3_ngram_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, unnest(case when len(words) >= 4 then list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingle from w),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+c(node, top) as (select doc_id, doc_id from documents union select e.b, c.top from c join (select a, b from l union all select b, a from l) e on e.a = c.node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, t.component_id from documents d left join n using (doc_id) join (select node, min(top) as component_id from c group by 1) t on t.node = d.doc_id
+""",
     "op6_chat_format": r"""
 with rows_ as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
