@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import FOLD, U64, chunks, words
+from tessera.llm.textkit import FOLD, U64, buffers, chunks, words
 
 #: Words are hashed to so many features; the model is a weight for each, so its broadcast has a fixed size (1 MB).
 BITS = 18
 #: At most so many labelled documents are used for fitting, chosen by a hash of their id.
-FIT_DOCS = 12000
+FIT_DOCS = 8000
 #: Words are runs of ASCII letters, apostrophes and bytes of other scripts.
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -79,22 +79,27 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: in
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     )  # fit_docs bounds the rows, so this side can be broadcast
-    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), bits).toPandas()
-    if not len(rows):
+    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), bits).toArrow().combine_chunks()
+    if not rows.num_rows:
         return Model(np.zeros(1 << bits, np.float32), -6.0)
-    rows = rows.sort_values(["features", "sizes", "label"], kind="stable")
-    y = rows.label.to_numpy(float)
-    sizes = [np.frombuffer(x, np.int32) for x in rows.sizes]
-    per = np.concatenate(sizes) if sizes else np.zeros(0, np.int32)
-    text = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
-    feats = np.frombuffer(b"".join(rows.features), np.int32).astype(np.int64)
-    sentence = np.repeat(np.arange(len(per)), per)
-    pairs = np.unique(text[sentence] << bits | feats) if len(feats) else np.zeros(0, np.int64)
+    rows = rows.sort_by([("features", "ascending"), ("sizes", "ascending"), ("label", "ascending")])
+    y = rows["label"].to_numpy().astype(float)
+    data, offsets = buffers(rows["sizes"])
+    per = np.frombuffer(data.tobytes(), np.int32)
+    text = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offsets) // 4)
+    feats = np.frombuffer(buffers(rows["features"])[0].tobytes(), np.int32)
+    del rows, data
+    sentence = np.repeat(np.arange(len(per), dtype=np.int32), per)
+    pairs = np.unique(text[sentence].astype(np.int64) << bits | feats)
     often = np.bincount(pairs & ((1 << bits) - 1), minlength=1 << bits)
     toxic = np.bincount(pairs & ((1 << bits) - 1), weights=y[pairs >> bits], minlength=1 << bits)
+    del pairs
     keep = often[feats] >= least
     feats, sentence = feats[keep], sentence[keep]
-    used, at = np.unique(feats, return_inverse=True)
+    used = np.flatnonzero(np.bincount(feats, minlength=1 << bits))
+    place = np.zeros(1 << bits, np.int32)
+    place[used] = np.arange(len(used))
+    at = place[feats]
     # Start from each word's log odds, shrunk by its count; the steps then take the words apart that only stand beside others.
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
     odds = np.log((toxic[used] + rate * 10) / (often[used] - toxic[used] + (1 - rate) * 10)) - np.log(rate / (1 - rate))
