@@ -180,16 +180,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return settled(whole.mapInArrow(test, "a long, b long"))
 
 
-def _agreed(pairs: DataFrame, orders: int) -> DataFrame:
-    """The distinct (a, b) that share a prefix token under every order."""
-    return pairs.groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, cast(order as int))) as seen")).where(F.col("seen") == (1 << orders) - 1).select("a", "b")
+def _small_pairs(rows: DataFrame, cross: DataFrame, order: Column, orders: int) -> DataFrame:
+    """(a, b) of all pairs in small buckets of order 0 that are still apart and agree in all orders, each once.
 
-
-def _small_pairs(rows: DataFrame, cross: DataFrame, order: Column) -> DataFrame:
-    """(a, b, order) of all pairs in small buckets that are still apart."""
-    rows = rows.join(cross.where(F.col("n") <= BUCKET).select("token"), "token", "left_semi")
-    a, b = rows.select("token", F.col("key").alias("a"), F.col("component").alias("ca")), rows.select("token", F.col("key").alias("b"), F.col("component").alias("cb"))
-    return a.join(b, "token").where("a < b and ca <> cb").select("a", "b", order)
+    In the other orders they may meet in a small bucket or in a large one. Large buckets are not joined with themselves: the tokens of both sets are compared.
+    """
+    every = (1 << orders) - 1
+    small = rows.join(cross.where(F.col("n") <= BUCKET).select("token"), "token", "left_semi")
+    a, b = small.select("token", F.col("key").alias("a"), F.col("component").alias("ca")), small.select("token", F.col("key").alias("b"), F.col("component").alias("cb"))
+    met = a.join(b, "token").where("a < b and ca <> cb").select("a", "b", order)
+    met = settled(met.groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, cast(order as int))) as seen")).where("seen & 1 = 1"))
+    large = rows.withColumn("order", order).where("order > 0").join(cross.where(F.col("n") > BUCKET).select("token"), "token", "left_semi")
+    lists = settled(large.groupBy("key").agg(F.collect_set("token").alias("tokens")))
+    left, right = (lists.select(F.col("key").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "x"), ("b", "y")))
+    common = met.where(F.col("seen") != every).join(left, "a").join(right, "b").withColumn("common", F.array_intersect("x", "y"))
+    low = (1 << max(1, (orders - 1).bit_length())) - 1
+    more = common.where(F.expr(f"aggregate(common, seen, (s, t) -> s | shiftleft(1, cast(t & {low}L as int)))") == every)
+    return met.where(F.col("seen") == every).select("a", "b").union(more.select("a", "b"))
 
 
 def _star_pairs(rows: DataFrame, cross: DataFrame, order: Column, round_: int) -> DataFrame:
@@ -298,7 +305,7 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85, orders: int = ORDERS) -
             break
         rows = settled(rows.join(cross.select("token"), "token", "left_semi").select("token", "key", "component"))
         if last := round_ == STAR_ROUNDS or left.largest <= BUCKET:
-            pairs = _agreed(_small_pairs(rows, cross, order), orders).union(_large_pairs(rows, cross, maps, order, orders, percent))
+            pairs = _small_pairs(rows, cross, order, orders).union(_large_pairs(rows, cross, maps, order, orders, percent))
         else:
             pairs = _star_pairs(rows, cross, order, round_)
         links = links.union(_verified(docs, _plausible(settled(pairs.distinct()), maps, percent), k, percent))

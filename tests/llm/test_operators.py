@@ -148,6 +148,18 @@ def test_jaccard_join(spark, docs, none, monkeypatch, bucket):
         assert jaccard.link(docs, 5, 80).count() == docs.count() and jaccard.link(none, 4, 85).count() == 0
 
 
+def test_jaccard_pairs_small_in_one_order_and_large_in_another(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BUCKET", 2)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+    rng, rows = np.random.default_rng(9), []
+    for i in range(150):  # two texts that share 7 of 9 shingles; half of these are also texts of their own, so their buckets are large
+        shared = [f"w{i}x{j}" for j in range(10)]
+        rows += [(1000 * i + j, " ".join([*shared, f"{end}{i}"])) for j, end in enumerate("ab")]
+        rows += [(1000 * i + 10 + j, " ".join(shared[j : j + 4])) for j in np.flatnonzero(rng.random(7) < 0.5).tolist()]
+    got = sorted((tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 75).collect()), key=str)
+    assert got == linked(rows, 4, 75)
+
+
 def test_parities_bound_the_intersection():
     rng = np.random.default_rng(2)
     for n, m, shared in ((5, 5, 5), (100, 90, 80), (300, 260, 0), (1, 900, 1)):
