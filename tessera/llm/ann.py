@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.durable import settled
+
 #: The graph and the classifier are fitted on at most so many vectors, the first in a hash order of ids. Every row is indexed.
 FIT_VECTORS = 8192
 NEIGHBOURS = 10
@@ -115,9 +117,10 @@ def fit_router(x: np.ndarray, parts: int, reach: float = 0.97, hidden: int = 128
 
 
 def _usable(rows: DataFrame) -> DataFrame:
+    """The distinct (vec_id, embedding) that can be compared."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
-    return rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False)))
+    return settled(rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False))).distinct())
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 10, fit_vectors: int = FIT_VECTORS, parts: int | None = None, block: int = BLOCK, batch: int = BATCH) -> DataFrame:

@@ -375,3 +375,14 @@ def test_nearest(spark):
     assert hits >= 0.9 * 120
     assert ann.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
     assert ann.search(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+
+
+def test_nearest_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (60, 8)).astype(np.float32)
+    d = np.sqrt(((x.astype(float) - x[0].astype(float)) ** 2).sum(axis=1))
+    d[0] = np.inf
+    best = np.argsort(d, kind="stable")[:10].tolist()
+    rows = [(i, [float(v) for v in x[i]]) for i in [*range(60), *[best[0]] * 19, 0]]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, parts=1).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in found] == list(enumerate(best, 1))
