@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.durable import settled
+
 
 def top(df: DataFrame, k: int, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """The first k rows of each group, numbered from 1."""
@@ -59,3 +61,15 @@ def written_back(scores: DataFrame, chosen: DataFrame, query: str, item: str, po
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """A page of the ordered rows, with the count of all rows as `total`."""
     return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(df.agg(F.count("*").alias("total"))))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Every row with its place in the whole order, from 1. Rows are dealt out by ranges of the order, and each range is numbered after those before it."""
+    dealt = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before, starts = 0, []
+    for part, n in sorted(dealt.groupBy("_range").count().collect()):  # a row a range
+        starts.append((part, before))
+        before += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _before long"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(starts, "_range").withColumn(name, F.col("_before") + within).drop("_range", "_before")

@@ -276,9 +276,13 @@ def w8_first_of_role(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 0 when 'O' then 1 end nulls last, o_totalprice desc, o_orderkey) as place from orders order by place limit 200")
 def w9_custom_order(spark: SparkSession, sf: str) -> DataFrame:
-    order = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).asc_nulls_last(), F.col("o_totalprice").desc(), F.col("o_orderkey")
-    first = read(spark, sf, "orders").orderBy(*order).limit(200)  # a report of 200 rows, so that one task can number them
-    return first.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return w9_whole_order(spark, sf).where("place <= 200")
+
+
+@query("select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 0 when 'O' then 1 end nulls last, o_totalprice desc, o_orderkey) as place from orders")
+def w9_whole_order(spark: SparkSession, sf: str) -> DataFrame:
+    order = [F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).asc_nulls_last(), F.col("o_totalprice").desc(), F.col("o_orderkey")]
+    return ranking.numbered(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), order).select("o_orderkey", "place")
 
 
 @query("select o_orderkey, (select count(*) from orders where o_orderstatus = 'O') as total from orders where o_orderstatus = 'O' order by o_totalprice desc, o_orderkey limit 20 offset 40")

@@ -75,3 +75,12 @@ def test_windowed_usage_of_a_stream(spark, tmp_path):
     q.stop()
     got = spark.table("usage_out").collect()
     assert [(r.event_type, r.n, r.total) for r in got] == [("click", 2, 5.0)] == [(r.event_type, r.n, r.total) for r in windowed_usage(rows).collect()]
+
+
+def test_numbered_places_every_row(spark):
+    rows = [(i, i * 37 % 11 if i % 7 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(3)
+    got = ranking.numbered(df, [F.col("v").desc_nulls_last(), F.col("id")]).orderBy("place").collect()
+    assert [r.id for r in got] == [i for i, v in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    assert [r.place for r in got] == list(range(1, 501))
+    assert ranking.numbered(df.where("false"), [F.col("id")]).count() == 0
