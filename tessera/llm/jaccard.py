@@ -6,21 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.durable import settled
-from tessera.llm.textkit import U64, buffers, chunks, shingles, splitmix, words
+from tessera.llm.textkit import U64, buffers, chunks, released, shingles, splitmix, words
 
-ORDERS = 2
-#: Shingles that many texts share go last in every order. Their class is kept for so many slots of the hash: one byte each, so the broadcast is 16 MB.
+ORDERS = 3
+#: Shingles that many texts share go last in the orders. Their class is kept for so many slots of the hash: one byte each, so the broadcast is 16 MB.
 SLOT_BITS = 24
 #: A count is passed on when a shingle is in so many texts of a stretch of STRETCH bytes (lossy counting); this only shapes the orders.
 LOSSY, STRETCH = 2, 16 << 20
 BLOOM_BYTES = 1 << 25
-#: Buckets of up to so many sets are joined with themselves; larger ones go to tasks of BLOCK times BLOCK sets, after STAR_ROUNDS rounds with about HEADS heads each.
-BUCKET, BLOCK, HEADS, STAR_ROUNDS = 48, 1024, 48, 2
+#: A task compares at most two blocks of about so many sets and bytes of shingles. Buckets beyond one block are first compared block by block, each block with about HEADS heads of its bucket.
+BLOCK, BLOCK_BYTES, HEADS = 512, 24 << 20, 24
+#: A set's parities take at most so many bytes, and it names at most so many of its buckets, the first ones; both only save work.
+PARITY_BYTES, NAMED = 1 << 13, 64
+#: Sets that a task of the prefix pass remembers, to give each only once.
+REMEMBERED = 1 << 18
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -33,60 +37,38 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield first, found, at, keys.view(np.int64), len(data)
 
 
-def _parities(found: np.ndarray) -> bytes:
-    places = 1 << max(6, int(2 * len(found)).bit_length())
+def parities(found: np.ndarray) -> bytes:
+    """Of each of 2n to 4n places (within PARITY_BYTES), whether an odd number of the n shingles falls on it."""
+    places = min(8 * PARITY_BYTES, 1 << max(6, int(2 * len(found)).bit_length()))
     return np.packbits(np.bincount((found >> U64(9)).astype(np.int64) & (places - 1), minlength=places) & 1).tobytes()
 
 
-def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
-    """An upper bound of the intersection of two sets of n and m shingles: each place of unequal parity needs a shingle that only one of them has."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
-
-
-def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """Those (a, b) whose sizes and parities leave room for the similarity. maps is (key, n, bits)."""
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n, m, x, y = batch.to_pydict().values()
-            keep = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                if 100 * min(n[i], m[i]) >= percent * max(n[i], m[i]):
-                    both = most_common(x[i], y[i], n[i], m[i])
-                    keep[i] = 100 * both >= percent * (n[i] + m[i] - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    rows = pairs.join(maps.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a").join(maps.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
-    return settled(rows.select("a", "b", "n", "m", "x", "y").mapInArrow(test, "a long, b long"))
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities for the places of width bytes, as 64-bit words."""
+    while bits.shape[1] > width:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return np.ascontiguousarray(bits).view(U64)
 
 
 def _facts(docs: DataFrame, k: int) -> DataFrame:
-    """(kind 0: doc_id, n, key, bits) of every row, key null without shingles; (kind 1: key, n) of shingles that are in n texts of a stretch.
-
-    bits has the parity of how many shingles fall on each of 2n to 4n places, so two of them bound the intersection of their sets from above.
-    """
+    """(kind 0: doc_id, n, key) of every row, key null without shingles; (kind 1: key, n) of shingles that are in n texts of a stretch."""
     kind = docs.schema["doc_id"].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "key", "bits"]
+        names = ["kind", "doc_id", "n", "key"]
         held, size, id_type = [], 0, None
 
         def often() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             some = count >= LOSSY
             n = int(some.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.array(count[some].astype(np.int64)), pa.array(token[some].view(np.int64)), pa.nulls(n, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.array(count[some].astype(np.int64)), pa.array(token[some].view(np.int64))], names)
 
         for batch in batches:
             id_type = batch.column(0).type
             for first, found, at, keys, used in _sets(batch.column(1), k):
                 n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0).slice(first, len(n)), pa.array(n), pa.array(keys, mask=n == 0), pa.array([_parities(found[at[i] : at[i + 1]]) for i in range(len(n))], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0).slice(first, len(n)), pa.array(n), pa.array(keys, mask=n == 0)], names)
                 held.append(found)
                 size += used
                 if size >= STRETCH:
@@ -94,58 +76,215 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield often()
+        released()
 
-    return docs.mapInArrow(work, f"kind int, doc_id {kind.simpleString()}, n long, key long, bits binary")
+    return docs.mapInArrow(work, f"kind int, doc_id {kind.simpleString()}, n long, key long")
 
 
 def _classes(facts: DataFrame) -> np.ndarray:
-    """For each slot of the shingle hash, the binary logarithm of the largest count of a shingle in it. Fixed size, whatever the corpus has."""
+    """For each slot of the shingle hash, the binary logarithm of the largest count of a shingle in it. At most 2**(SLOT_BITS - 3) rows of eight slots reach the driver."""
     slot = F.shiftrightunsigned("key", 64 - SLOT_BITS).alias("slot")
-    counts = facts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).groupBy(slot).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("class")).toArrow()
-    out = np.zeros(1 << SLOT_BITS, np.uint8)
-    out[counts["slot"].to_numpy()] = counts["class"].to_numpy()
-    return out
+    counts = facts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).groupBy(slot).agg(F.floor(F.log2(F.max("n"))).cast("long").alias("class"))
+    eight = counts.groupBy(F.shiftright("slot", 3).alias("at")).agg(F.expr("bit_or(shiftleft(class, cast(8 * (slot & 7) as int))) as classes")).toArrow()
+    out = np.zeros(1 << (SLOT_BITS - 3), np.int64)
+    out[eight["at"].to_numpy()] = eight["classes"].to_numpy()
+    return out.view(np.uint8)
+
 
+def _ranks(found: np.ndarray, order: int, classes: np.ndarray) -> np.ndarray:
+    """The place of shingles in a global order: the first ones rarest first, each with its own hash among equals; the last one by hash alone."""
+    mixed = splitmix(found + U64(977 * order + 1))
+    return mixed if order == ORDERS - 1 else classes[found >> U64(64 - SLOT_BITS)].astype(U64) << U64(58) | mixed >> U64(6)
 
-def _prefixes(docs: DataFrame, k: int, percent: int, classes: np.ndarray, orders: int) -> DataFrame:
-    """(token, key): the prefix of each set under each order. A token holds its order in its low bits. A task gives each set once."""
-    shared, low = docs.sparkSession.sparkContext.broadcast(classes), max(1, (orders - 1).bit_length())
+
+def _prefix(found: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in an order: so many that two sets of the similarity have one in common."""
+    p = len(found) + 1 + -percent * len(found) // 100
+    return found[np.argpartition(ranks, p - 1)[:p]] if p < len(found) else found
+
+
+def _prefixes(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:  # noqa: ANN001
+    """(key, n, bits, tokens) of each set that has shingles: its prefix under the first order. A task gives most sets once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, found, at, keys, _ in _sets(batch.column(0), k):
-                rank = shared.value[found >> U64(64 - SLOT_BITS)].astype(U64) << U64(58)
-                ranks = [rank | (splitmix(found + U64(977 * o + 1)) >> U64(6)) for o in range(orders)]
-                tokens, sizes, owners = [], [], []
+                ranks, rows = _ranks(found, 0, classes.value), []
                 for i, key in enumerate(keys.tolist()):
-                    n = int(at[i + 1] - at[i])
-                    if not n or key in seen:
-                        continue
-                    seen.add(key)
-                    p = n + 1 + -percent * n // 100
-                    here = found[at[i] : at[i + 1]]
-                    for o in range(orders):
-                        r = ranks[o][at[i] : at[i + 1]]
-                        best = here[np.argpartition(r, p - 1)[:p]] if p < n else here
-                        tokens.append((best >> U64(low) << U64(low)) | U64(o))
-                    sizes.append(p * orders)
-                    owners.append(key)
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), sizes))], ["token", "key"])
-
-    return docs.select("text").mapInArrow(work, "token long, key long")
-
-
-def _rows(column: pa.Array):  # noqa: ANN201
-    data, offsets = buffers(column)
-    return lambda i: np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), U64)
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) of pairs whose sets are similar enough. Only sets that a pair names are shuffled: a filter of bounded size tells most of the others."""
-    names = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    bits = min(BLOOM_BYTES * 8, 1 << max(13, int(32 * max(1, pairs.count())).bit_length()))
+                    if at[i + 1] > at[i] and key not in seen:
+                        seen.add(key)
+                        rows.append(i)
+                tokens = [_prefix(found[at[i] : at[i + 1]], ranks[at[i] : at[i + 1]], percent) for i in rows]
+                if rows:
+                    offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(np.diff(at)[rows]), pa.array([parities(found[at[i] : at[i + 1]]) for i in rows], pa.binary()), lists], ["key", "n", "bits", "tokens"])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+        released()
+
+    return docs.select("text").mapInArrow(work, "key long, n long, bits binary, tokens array<long>")
+
+
+def _buckets(prefixes: DataFrame) -> DataFrame:
+    """(token, key, n): the sets that share a token, for tokens of at least two sets. Of tokens that the very same sets share, the smallest stands for all."""
+    rows = prefixes.select(F.explode("tokens").alias("token"), "key", "n")
+    shared = settled(rows.groupBy("token").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("token"))
+    met = settled(settled(rows.join(shared, "token", "left_semi")).distinct())
+    marks = met.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
+    return settled(met.join(settled(marks.groupBy("sets", "x", "y").agg(F.min("token").alias("token")).select("token")), "token", "left_semi"))
+
+
+class Members:
+    """The rows of one task as arrays: which sides of the comparison a row is on (1, 2 or 3 for both), its component, and what it names."""
+
+    def __init__(self, table: pa.Table, bits: list[bytes]) -> None:
+        self.token = table["token"][0].as_py()
+        self.key, self.component, self.side, self.n = (table[c].to_numpy() for c in ("key", "component", "side", "n"))
+        self.other = table["other"].to_numpy(zero_copy_only=False)
+        self.names = table["names"]
+        self.held: dict[int, frozenset[int]] = {}
+        width = np.array([len(b) for b in bits])
+        self.bits = {int(w): (at := np.flatnonzero(width == w), np.frombuffer(b"".join([bits[i] for i in at.tolist()]), np.uint8).reshape(-1, w)) for w in np.unique(width)}
+
+    def named(self, i: int) -> frozenset[int]:
+        if i not in self.held:
+            self.held[i] = frozenset(self.names[i].as_py() or ())
+        return self.held[i]
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(u, v, upper bound of what they have in common): all pairs of the two sides in different components that have room for the similarity.
+
+        Each place of unequal parity needs a shingle that only one of the two sets has.
+        """
+        for w, (at, bits) in self.bits.items():
+            for w2, (at2, bits2) in self.bits.items():
+                least = min(w, w2)
+                l, r = at[(self.side[at] & 1) > 0], at2[(self.side[at2] & 2) > 0]
+                if not len(l) or not len(r):
+                    continue
+                x, y = _folded(bits[(self.side[at] & 1) > 0], least), _folded(bits2[(self.side[at2] & 2) > 0], least)
+                step = max(1, (4 << 20) // y.size)
+                for i in range(0, len(l), step):
+                    apart = np.bitwise_count(x[i : i + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)
+                    u, n, m = l[i : i + step], self.n[l[i : i + step]][:, None], self.n[r][None]
+                    both = np.minimum((n + m - apart) // 2, np.minimum(n, m))
+                    fits = (100 * both >= percent * (n + m - both)) & (self.component[u][:, None] != self.component[r][None]) & (self.key[u][:, None] != self.key[r][None])
+                    fits &= ~(self.other[u][:, None] & self.other[r][None]) | (self.key[u][:, None] < self.key[r][None])  # of two that are on both sides once
+                    p, q = np.nonzero(fits)
+                    yield u[p], r[q], both[p, q]
+
+    def candidates(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that no smaller bucket has too, as far as the two sets name theirs; likeliest first."""
+        u, v, both = (np.concatenate(x) for x in zip(*self.pairs(percent), (np.zeros(0, np.int64),) * 3))
+        mine = np.fromiter((min(self.named(a) & self.named(b), default=self.token) >= self.token for a, b in zip(u.tolist(), v.tolist())), bool, len(u))
+        u, v, both = u[mine], v[mine], both[mine]
+        order = np.argsort(-both / np.maximum(1, self.n[u] + self.n[v] - both), kind="stable")
+        return u[order], v[order]
+
+
+def _grouped(rows: DataFrame, keys: list[str], work, shape: str) -> DataFrame:  # noqa: ANN001
+    """work on all rows of each combination of keys, one after the other in tasks of many: for very many small groups."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            if held and any(held[-1].column(batch.schema.get_field_index(k))[-1].as_py() != c[0] for k, c in zip(keys, columns)):
+                yield from work(pa.Table.from_batches(held))
+                held = []
+            at = 0
+            for cut in cuts.tolist():
+                yield from work(pa.Table.from_batches([*held, batch.slice(at, cut - at)]))
+                held, at = [], cut
+            held.append(batch.slice(at))
+        if held:
+            yield from work(pa.Table.from_batches(held))
+        released()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, shape)
+
+
+TASK = ["token", "block", "opposite"]
+
+
+def _needed(rows: DataFrame, percent: int) -> DataFrame:
+    """Those rows of tasks that are in some candidate pair, without their parities."""
+    names = [*TASK, "side", "key", "component", "other", "names"]
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows > 1:
+            u, v = Members(table, table["bits"].to_pylist()).candidates(percent)
+            if len(u):
+                yield from table.select(names).take(pa.array(np.unique(np.concatenate([u, v])))).to_batches()
+
+    kept = rows.select(*names, "n", "bits")
+    return settled(_grouped(kept, TASK, work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*names).schema)))
+
+
+def _forest(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:  # noqa: ANN001
+    """(a, b): links that connect what similar pairs within a task connect, at most one less than the task has sets. rows has the sets.
+
+    A candidate pair must share a prefix token under every other order too; then the sets themselves are compared. Pairs that others have
+    connected already are passed over.
+    """
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        data, offsets = buffers(table["set"])
+        sets = [np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), U64) for i in range(table.num_rows)]
+        table = table.set_column(table.schema.get_field_index("n"), "n", pa.array([len(s) for s in sets], pa.int64()))
+        rows = Members(table, [parities(s) for s in sets])
+        root: dict[int, int] = {}
+        cut: dict[tuple[int, int], np.ndarray] = {}
+
+        def top(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        def prefix(i: int, order: int) -> np.ndarray:
+            if (i, order) not in cut:
+                cut[i, order] = np.sort(_prefix(sets[i], _ranks(sets[i], order, classes.value), percent))
+            return cut[i, order]
+
+        def meet(i: int, j: int, order: int) -> bool:
+            a, b = prefix(i, order), prefix(j, order)
+            return bool((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).any())
+
+        found = []
+        for i, j in zip(*(x.tolist() for x in rows.candidates(percent))):
+            a, b = top(int(rows.component[i])), top(int(rows.component[j]))
+            if a == b or not all(meet(i, j, order) for order in range(1, ORDERS)):
+                continue
+            x, y = sets[i], sets[j]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                root[max(a, b)] = min(a, b)
+                found.append((int(rows.key[i]), int(rows.key[j])))
+        if found:
+            least: dict[int, int] = {}
+            members = {x for pair in found for x in pair}
+            component = dict(zip(rows.key.tolist(), rows.component.tolist()))
+            for key in members:
+                t = top(component[key])
+                least[t] = min(key, least.get(t, key))
+            stars = [(least[top(component[key])], key) for key in sorted(members) if least[top(component[key])] != key]
+            a, b = zip(*stars)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    shape = rows.withColumn("n", F.lit(0).cast("long")).select(*TASK, "side", "key", "component", "other", "names", "n", "set")
+    return settled(_grouped(shape, TASK, work, "a long, b long"))
+
+
+def _with_sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """rows, each with the shingles of its key. Only sets that rows name are shuffled: a filter of bounded size tells most of the others."""
+    names = settled(rows.select("key").distinct())
+    bits = min(BLOOM_BYTES * 8, 1 << max(13, int(32 * max(1, names.count())).bit_length()))
     spots = names.select(F.explode(F.array(F.pmod("key", F.lit(bits)), F.pmod(F.shiftrightunsigned("key", 24), F.lit(bits)))).alias("bit"))
     words_ = spots.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int))) as mask")).toArrow()
     table = np.zeros(bits // 64, np.int64)
@@ -162,106 +301,53 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 some = [i for i in np.flatnonzero(hit).tolist() if not (int(keys[i]) in seen or seen.add(int(keys[i])))]
                 if some:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array([found[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], ["key", "set"])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+        released()
+
+    sets = docs.select("text").mapInArrow(emit, "key long, set binary").join(names, "key", "left_semi").dropDuplicates(["key"])
+    return rows.join(settled(sets), "key")
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = _rows(batch.column(2)), _rows(batch.column(3))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = left(i), right(i)
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    sets = settled(docs.select("text").mapInArrow(emit, "key long, set binary").groupBy("key").agg(F.first("set").alias("set")))
-    first = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("left")), "a")
-    whole = first.join(sets.select(F.col("key").alias("b"), F.col("set").alias("right")), "b").select("a", "b", "left", "right")
-    return settled(whole.mapInArrow(test, "a long, b long"))
+def _pieces(sets: Column, size: Column) -> Column:
+    """How many blocks of BLOCK sets and BLOCK_BYTES a group of sets with so many shingles is dealt into."""
+    return F.greatest(F.lit(1), F.ceil(sets / BLOCK), F.ceil(size * 8 / BLOCK_BYTES)).cast("long")
 
 
-def _small_pairs(rows: DataFrame, cross: DataFrame, order: Column, orders: int) -> DataFrame:
-    """(a, b) of all pairs in small buckets of order 0 that are still apart and agree in all orders, each once.
+def _hot_tasks(met: DataFrame) -> DataFrame:
+    """Tasks that compare the members of buckets beyond one block with those of their own block and a few heads, which all blocks of a bucket share.
 
-    In the other orders they may meet in a small bucket or in a large one. Large buckets are not joined with themselves: the tokens of both sets are compared.
+    Each set is in one of them only, that of its largest bucket. Heads are the members with the smallest keys, which are hashes.
     """
-    every = (1 << orders) - 1
-    small = rows.join(cross.where(F.col("n") <= BUCKET).select("token"), "token", "left_semi")
-    a, b = small.select("token", F.col("key").alias("a"), F.col("component").alias("ca")), small.select("token", F.col("key").alias("b"), F.col("component").alias("cb"))
-    met = a.join(b, "token").where("a < b and ca <> cb").select("a", "b", order)
-    met = settled(met.groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, cast(order as int))) as seen")).where("seen & 1 = 1"))
-    large = rows.withColumn("order", order).where("order > 0").join(cross.where(F.col("n") > BUCKET).select("token"), "token", "left_semi")
-    lists = settled(large.groupBy("key").agg(F.collect_set("token").alias("tokens")))
-    left, right = (lists.select(F.col("key").alias(c), F.col("tokens").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    common = met.where(F.col("seen") != every).join(left, "a").join(right, "b").withColumn("common", F.array_intersect("x", "y"))
-    low = (1 << max(1, (orders - 1).bit_length())) - 1
-    more = common.where(F.expr(f"aggregate(common, seen, (s, t) -> s | shiftleft(1, cast(t & {low}L as int)))") == every)
-    return met.where(F.col("seen") == every).select("a", "b").union(more.select("a", "b"))
-
-
-def _star_pairs(rows: DataFrame, cross: DataFrame, order: Column, round_: int) -> DataFrame:
-    """(a, b) of sets and a few heads, once for each set: in the largest of its buckets."""
-    sized = rows.withColumn("order", order).where("order = 0").join(cross.where(F.col("n") > BUCKET).select("token", "n"), "token")
-    one = settled(sized.groupBy("key").agg(F.max(F.struct("n", "token")).alias("t"), F.first("component").alias("component")).select("key", "component", "t.token", "t.n"))
-    heads = one.where(F.pmod(F.xxhash64(F.lit(round_), "key"), F.ceil(F.col("n") / HEADS)) == 0).select("token", F.col("key").alias("h"), F.col("component").alias("hc"))
-    return one.join(settled(heads), "token").where("component <> hc").select(F.least("key", "h").alias("a"), F.greatest("key", "h").alias("b"))
-
-
-def _large_pairs(rows: DataFrame, cross: DataFrame, maps: DataFrame, order: Column, orders: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs in large buckets that are still apart, agree in all orders and have room for the similarity, each once.
-
-    A bucket is dealt into blocks, and each two blocks are a task's: what they have in common is bounded from their bitmaps, all at once.
+    sizes = met.groupBy("token").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).withColumn("pieces", _pieces(F.col("sets"), F.col("size"))).where("pieces > 1")
+    sized = met.join(settled(sizes), "token")
+    top = settled(sized.groupBy("key").agg(F.max(F.struct("sets", "token", "pieces")).alias("t")).select("key", "t.*"))
+    head = F.col("key") < F.lit(-(2.0**63)) + F.lit(2.0**64) * HEADS / F.col("sets")
+    heads = sized.where(head).select("token", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("block"))
+    mine = top.select("token", "key", F.pmod(F.xxhash64("key"), F.col("pieces")).alias("block"))
+    tasks = mine.union(heads.select("token", "key", "block")).distinct()
+    return settled(tasks.select("token", "block", F.lit(0).cast("long").alias("opposite"), F.lit(3).alias("side"), "key", F.col("key").alias("component"), F.lit(True).alias("other"), F.lit(None).cast("array<long>").alias("names")))
+
+
+def _tasks(met: DataFrame, labels: DataFrame | None, maps: DataFrame) -> DataFrame:
+    """Tasks that compare all pairs of each bucket whose sets are in different components.
+
+    A bucket beyond one block is dealt twice: all its sets into blocks, and those outside its largest component into blocks of their own, the
+    opposite side. Each two blocks are a task, so the copies are few as long as most of the bucket is one component.
     """
-    blocks = F.ceil(F.col("n") / BLOCK)
-    large = rows.withColumn("order", order).where("order = 0").join(cross.where(F.col("n") > BUCKET).select("token", F.col("n").alias("n")), "token")
-    large = settled(large.select("token", "key", "component", F.pmod(F.xxhash64("key"), blocks).alias("block"), blocks.alias("blocks")))
-    lists = rows.join(large.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.collect_list("token").alias("tokens"))
-    members = large.join(maps, "key").join(lists, "key")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    members = members.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    mask = (1 << max(1, (orders - 1).bit_length())) - 1
-
-    def compare(table: pa.Table) -> pa.Table:
-        token, same = table["token"][0].as_py(), table["low"][0].as_py() == table["high"][0].as_py()
-        keys, component, n, block = (table[c].to_numpy() for c in ("key", "component", "n", "block"))
-        left = np.ones(len(keys), bool) if same else block == table["low"][0].as_py()
-        right = left if same else ~left
-        data, offsets = buffers(table["bits"])
-        width, found, lists_ = np.diff(offsets), [], table["tokens"]
-        held: dict[int, set[int]] = {}
-        tokens = lambda i: held.setdefault(i, set(lists_[i].as_py())) if i not in held else held[i]
-        matrix = {int(w): (at := np.flatnonzero(width == w), data[offsets[at][:, None] + np.arange(w)]) for w in np.unique(width)}
-
-        def pairs(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> None:
-            step = max(1, (8 << 20) // max(1, y.size))
-            for i in range(0, len(a), step):
-                some = a[i : i + step]
-                apart = np.bitwise_count(x[i : i + step, None] ^ y[None]).sum(axis=2, dtype=np.int64)
-                total = n[some][:, None] + n[b][None]
-                both = (total - apart) // 2
-                fits = (100 * both >= percent * (total - both)) & (component[some][:, None] != component[b][None])
-                for p, q in zip(*np.nonzero(fits)):
-                    u, v = int(some[p]), int(b[q])
-                    if keys[u] == keys[v] or (same and width[u] == width[v] and keys[u] > keys[v]):
-                        continue
-                    common = tokens(u) & tokens(v)
-                    if {t & mask for t in common} >= set(range(orders)) and min(t for t in common if not t & mask) == token:
-                        found.append((min(keys[u], keys[v]), max(keys[u], keys[v])))
-
-        for w, (at, bits) in matrix.items():
-            l, r = left[at], right[at]
-            pairs(at[l], bits[l], at[r], bits[r])
-            if 2 * w in matrix:
-                wide_at, wide = matrix[2 * w]
-                wide = wide[:, :w] ^ wide[:, w:]
-                l, r, wl, wr = left[at], right[at], left[wide_at], right[wide_at]
-                pairs(at[l], bits[l], wide_at[wr], wide[wr])
-                if not same:
-                    pairs(wide_at[wl], wide[wl], at[r], bits[r])
-        out = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
-        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-
-    return members.select("token", "low", "high", "block", "key", "component", "n", "bits", "tokens").groupBy("token", "low", "high").applyInArrow(compare, "a long, b long")
+    rows = met.withColumn("component", F.col("key")) if labels is None else met.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = settled(rows)
+    parts = rows.groupBy("token", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
+    whole = parts.groupBy("token").agg(F.sum("sets").alias("sets"), F.sum("size").alias("size"), F.max(F.struct("sets", "component", "size")).alias("most")).where("sets > most.sets")
+    pieces = _pieces(F.col("sets"), F.col("size")).alias("pieces")
+    whole = settled(whole.select("token", pieces, F.when(pieces == 1, F.lit(1)).otherwise(_pieces(F.col("sets") - F.col("most.sets"), F.col("size") - F.col("most.size"))).cast("long").alias("sides"), F.col("most.component").alias("largest")))
+    rows = settled(rows.join(whole, "token"))
+    names = rows.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("token")), 1, NAMED).alias("names"))
+    rows = rows.join(settled(names.join(maps, "key")), "key").withColumn("other", (F.col("pieces") == 1) | (F.col("component") != F.col("largest"))).drop("n")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.select("token", F.pmod(F.xxhash64("key"), F.col("pieces")).alias("block"), each("sides").alias("opposite"), F.when(F.col("pieces") == 1, F.lit(3)).otherwise(F.lit(1)).alias("side"), "key", "component", "other", "names", "size", "bits")
+    right = rows.where("pieces > 1 and other").select("token", each("pieces").alias("block"), F.pmod(F.xxhash64(F.lit(1), "key"), F.col("sides")).alias("opposite"), F.lit(2).alias("side"), "key", "component", "other", "names", "size", "bits")
+    return left.union(right).withColumnRenamed("size", "n")
 
 
 def _near_labels(links: DataFrame) -> DataFrame:
@@ -269,49 +355,38 @@ def _near_labels(links: DataFrame) -> DataFrame:
     both = settled(links.union(links.select("b", "a")))
     least = settled(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     far = both.join(least.select(F.col("a").alias("b"), "m"), "b").groupBy(F.col("a").alias("key")).agg(F.min("m").alias("component"))
-    return settled(far)
+    return settled(far.select("key", F.least("key", "component").alias("component")))
 
 
-def link(docs: DataFrame, k: int = 4, percent: int = 85, orders: int = ORDERS) -> DataFrame:
+def link(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: which documents similar ones connect, directly or by way of others.
 
     A document is its set of distinct k-word shingles (A-Z lower-cased; fewer words: the whole sequence), and two are linked when
     100 * intersection >= percent * union. The result is exact but for collisions of 64-bit hashes.
 
-    Equal sets count as one from the start. Two similar sets share a token of their prefixes under any one order of all tokens, so a pair must
-    meet under each of several orders, and small bitmaps of
-    both must leave room for the similarity, before the sets are fetched and compared. As a chain of links is enough to connect a group, buckets of
-    many sets are first compared with one member only (stars), in rounds; pairs that are then still apart, all of them, are compared at the end.
+    Equal sets count as one from the start. Two similar sets share a token of their prefixes under any one order of all tokens. The prefixes
+    under one order are exchanged; sets that share a token are a bucket, and buckets of the very same sets are one. In the task of a bucket
+    small bitmaps of parities first tell which sets have room for the similarity with another one; only these sets are fetched. There a pair
+    must meet under each of the other orders too before it is compared exactly, and links are put out that connect what similar
+    pairs connect. Large buckets are dealt into blocks: first each block on its own, then all pairs that are still apart.
 
     A null or blank text has no shingles, is linked with nothing and is its own component. Repeated rows and ids keep a row each; a null id
     has a row, but names no component unless it is alone. Columns other than doc_id and text are ignored. Empty tables give no rows.
     """
     docs = docs.select("doc_id", "text")
     facts = settled(_facts(docs, k))
-    low = (1 << max(1, (orders - 1).bit_length())) - 1
-    maps = settled(facts.where("kind = 0 and key is not null").select("key", "n", "bits").dropDuplicates(["key"]))
-    prefixes = _prefixes(docs, k, percent, _classes(facts), orders)
-    bucket = Window.partitionBy("token")
-    shared = settled(prefixes.select("token", "key", F.min("key").over(bucket).alias("x"), F.max("key").over(bucket).alias("y")).where("x <> y").select("token", "key").distinct())
-    order = F.col("token").bitwiseAND(F.lit(low).cast("long")).alias("order")
-
-    links, labels = docs.sparkSession.createDataFrame([], "a long, b long"), None
-    for round_ in range(STAR_ROUNDS + 1):
-        rows = shared.withColumn("component", F.col("key")) if labels is None else shared.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        parts = rows.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-        cross = settled(parts.where("n * n > nn").select("token", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs"), "n"))
-        left = cross.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-        if not left.pairs:
-            break
-        rows = settled(rows.join(cross.select("token"), "token", "left_semi").select("token", "key", "component"))
-        if last := round_ == STAR_ROUNDS or left.largest <= BUCKET:
-            pairs = _small_pairs(rows, cross, order, orders).union(_large_pairs(rows, cross, maps, order, orders, percent))
-        else:
-            pairs = _star_pairs(rows, cross, order, round_)
-        links = links.union(_verified(docs, _plausible(settled(pairs.distinct()), maps, percent), k, percent))
-        if last:
-            break
-        labels = _near_labels(links)
+    classes = docs.sparkSession.sparkContext.broadcast(_classes(facts))
+    prefixes = settled(_prefixes(docs, k, percent, classes))
+    met = _buckets(prefixes)
+    maps = prefixes.join(settled(met.select("key").distinct()), "key", "left_semi").select("key", F.col("n").alias("size"), "bits").dropDuplicates(["key"])
+
+    hot, links, labels = _hot_tasks(met), [], None
+    if not hot.isEmpty():
+        links.append(_forest(_with_sets(docs, hot, k), k, percent, classes))
+        labels = _near_labels(links[0])
+    needed = _needed(_tasks(met, labels, maps), percent)
+    links.append(_forest(_with_sets(docs, needed, k), k, percent, classes))
+    links = links[0] if len(links) == 1 else links[0].union(links[1])
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     sets = facts.where("kind = 0").where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"))

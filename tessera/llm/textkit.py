@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow as pa
 #: Texts are worked on in runs of about so many bytes, which bounds the arrays that a task holds. A longer text is a run of its own.
 CHUNK = 1 << 20
 U64 = np.uint64
+#: glibc's malloc_trim, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 #: The separators of the contracts: space and the control characters from tab to carriage return.
 BLANKS = np.zeros(256, bool)
@@ -123,3 +126,10 @@ def as_binary(pieces: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column whose row i is pieces[offsets[i]:offsets[i + 1]] as bytes; no copy for each row."""
     width = pieces.dtype.itemsize
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pieces))])
+
+
+def released() -> None:
+    """Give memory that is free again back to the system. Python workers serve one task after another and would keep what the largest one took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,23 +135,39 @@ def linked(rows, k, percent):
     return sorted(((d, len(sets[i]), None if least[find(i)] == math.inf else least[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize("bucket", [None, 1])
-def test_jaccard_join(spark, docs, none, monkeypatch, bucket):
-    if bucket:  # so that stars and block tasks run on small tables too
-        for name, value in (("BUCKET", bucket), ("BLOCK", 2), ("HEADS", 1)):
+@pytest.mark.parametrize("block", [None, 2])
+def test_jaccard_join(spark, docs, none, monkeypatch, block):
+    if block:  # so that buckets of several blocks come up on small tables too
+        for name, value in (("BLOCK", block), ("HEADS", 1), ("NAMED", 1)):
             monkeypatch.setattr(jaccard, name, value)
     near = [(100 + i, " ".join(f"w{j}" if j != 7 * i else f"v{i}" for j in range(70))) for i in range(9)]
     rows = [(r.doc_id, r.text) for r in docs.collect()] + near
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in jaccard.link(df, 4, 85).collect()), key=str)
     assert got == linked(rows, 4, 85)
-    if not bucket:
+    if not block:
         assert jaccard.link(docs, 5, 80).count() == docs.count() and jaccard.link(none, 4, 85).count() == 0
 
 
-def test_jaccard_pairs_small_in_one_order_and_large_in_another(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BUCKET", 2)
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+@pytest.mark.parametrize("block", [512, 16])
+def test_jaccard_large_group_of_near_copies(spark, monkeypatch, block):
+    """One group whose members are similar enough to some others only, beside sets that are also parts of others: one block, and many."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HEADS", 2)
+    rng, rows = np.random.default_rng(11), []
+    for i in range(220):
+        words = [f"w{j}" for j in range(120)]
+        for at in rng.choice(120, rng.integers(1, 5), replace=False).tolist():
+            words[at] = f"v{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words[: 120 - int(rng.integers(0, 12))])))
+    got = sorted((tuple(r) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()), key=str)
+    want = linked(rows, 4, 85)
+    assert got == want and 1 < len({c for _, _, c in want}) < 220
+
+
+def test_jaccard_pairs_beside_sets_that_are_parts_of_both(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "HEADS", 1)
     rng, rows = np.random.default_rng(9), []
     for i in range(150):  # two texts that share 7 of 9 shingles; half of these are also texts of their own, so their buckets are large
         shared = [f"w{i}x{j}" for j in range(10)]
@@ -162,10 +179,12 @@ def test_jaccard_pairs_small_in_one_order_and_large_in_another(spark, monkeypatc
 
 def test_parities_bound_the_intersection():
     rng = np.random.default_rng(2)
-    for n, m, shared in ((5, 5, 5), (100, 90, 80), (300, 260, 0), (1, 900, 1)):
+    for n, m, shared in ((5, 5, 5), (100, 90, 80), (300, 260, 0), (900, 800, 790), (60000, 59000, 50000)):
         pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
         a, b = pool[:n], pool[n - shared : n - shared + m]
-        assert jaccard.most_common(jaccard._parities(a), jaccard._parities(b), len(a), len(b)) >= len(np.intersect1d(a, b))
+        table = pa.table({"token": [1, 1], "key": [1, 2], "component": [1, 2], "side": [3, 3], "n": [n, m], "other": [True, True], "names": [[1, 5], [0, 1]]})
+        (_, _, both), *_ = [x for x in jaccard.Members(table, [jaccard.parities(a), jaccard.parities(b)]).pairs(1) if len(x[0])]
+        assert len(np.intersect1d(a, b)) <= both[0] <= min(n, m)
 
 
 def test_components(spark):
