@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.files import workspace
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    path = workspace(df.sparkSession, "round")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tessera.sources.files import settled
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,16 +14,16 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Labels go along the edges and then jump to the label of their label, so a chain takes rounds by the logarithm of its length. Every round
     is written to the shared folder, which cuts the lineage.
     """
-    both = _kept(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _kept(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
+    both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = settled(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
         step = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", "least").alias("component"))
         jump = step.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        new = _kept(step.join(jump, step.component == jump.up, "left").select("node", F.least("component", "top").alias("component")))
-        moved = new.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
+        new = settled(step.join(jump, step.component == jump.up, "left").select("node", F.least("component", "top").alias("component")))
+        still = new.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").isEmpty()
         labels = new
-        if not moved:
+        if still:
             return labels
 
 

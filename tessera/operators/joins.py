@@ -6,6 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A side of up to so many rows is sent to all tasks.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df marked for broadcasting if its rows are counted and few; else as it is, for an ordinary join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def all_pairs(left: DataFrame, right: DataFrame, most: int = SMALL) -> DataFrame:
+    """Each row of left with each of right, for a right side that is a vocabulary. Beyond `most` rows it is dealt into blocks, and left goes to each block."""
+    n = right.count()
+    if n <= most:
+        return left.join(F.broadcast(right))
+    blocks = -(-n // most) * 8
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
+    return left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
+
+
 def with_usage(catalog: DataFrame, usage: DataFrame, keys: list[str], fan_out: bool = False) -> DataFrame:
     """Usage beside each column of the catalogue. Repeated usage rows are added up first, unless fan_out asks for a row each."""
     if not fan_out:
@@ -51,9 +70,9 @@ def sharing_pairs(members: DataFrame, key: str, shared: str) -> DataFrame:
 def best_match(names: DataFrame, aliases: DataFrame, name: Column, comment: Column, words: Column, key: list[str]) -> DataFrame:
     """The slot of each name by the best class of match: equal name, equal comment, a whole word, a part of at least two characters.
 
-    aliases is (slot, ord, alias), a vocabulary: it is sent to all tasks. Within a class the first slot in definition order wins.
+    aliases is (slot, ord, alias), a vocabulary. Within a class the first slot in definition order wins.
     """
     alias = F.col("alias")
     rank = F.when(name == alias, 1).when(comment == alias, 2).when(F.array_contains(words, alias), 3).when((F.length(alias) >= 2) & (F.contains(name, alias) | F.contains(comment, alias)), 4)
-    rows = names.join(F.broadcast(aliases.limit(100000))).withColumn("match", rank).where("match is not null")
+    rows = all_pairs(names, aliases).withColumn("match", rank).where("match is not null")
     return rows.groupBy(*key).agg(F.min(F.struct("match", "ord", "slot")).alias("m")).select(*key, "m.match", "m.slot")

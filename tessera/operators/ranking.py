@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.durable import settled
+from tessera.operators.joins import small
+from tessera.sources.files import settled
 
 
 def top(df: DataFrame, k: int, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -21,14 +22,14 @@ def widened(df: DataFrame, k: int, by: list[str], order: list[Column], values: l
 
 
 def ranks(scores: DataFrame, query: str, item: str, channel: str = "channel", score: str = "score") -> DataFrame:
-    """Unique ranks of items for each channel and query."""
+    """Unique ranks of items for each channel and query. A ranking is one task's; `placed` is for rankings that are too long for that."""
     w = Window.partitionBy(channel, query).orderBy(F.col(score).desc_nulls_last(), F.col(item))
     return scores.withColumn("rank", F.row_number().over(w))
 
 
 def fused(ranked: DataFrame, query: str, item: str, weights: DataFrame, constant: int = 60) -> DataFrame:
     """(fusion, query, item, score): weighted reciprocal ranks. weights is a table (fusion, channel, weight), so any number of fusions is one plan."""
-    return ranked.join(F.broadcast(weights.limit(10000)), "channel").groupBy("fusion", query, item).agg(F.sum(F.col("weight") / (constant + F.col("rank"))).alias("score"))
+    return ranked.join(small(weights), "channel").groupBy("fusion", query, item).agg(F.sum(F.col("weight") / (constant + F.col("rank"))).alias("score"))
 
 
 def metrics(ranked: DataFrame, relevant: DataFrame, query: str, item: str, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -63,13 +64,29 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(df.agg(F.count("*").alias("total"))))
 
 
+def placed(df: DataFrame, by: list[str], order: list[Column], weight: Column | None = None, name: str = "place") -> DataFrame:
+    """Every row with its place in the whole order of its group, from 1: the sum of the weights (1 each) up to the row and its own.
+
+    For groups of any size, a whole table too (by is empty): rows are dealt out by ranges of group and order, each range is summed by itself,
+    and what the ranges before it hold of the same group is added. No task sees more than a range. Nulls in by are a group.
+    """
+    keys = [F.col(c) for c in by]
+    dealt = settled(df.withColumn("_weight", (F.lit(1) if weight is None else weight).cast("long")).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    parts = settled(dealt.groupBy("_range", *by).agg(F.sum("_weight").alias("_sum")))
+    earlier, later = parts.alias("e"), parts.alias("l")
+    same = F.col("e._range") < F.col("l._range")
+    for c in by:
+        same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}"))
+    # A row a range and group; only the first and last group of a range are in other ranges too.
+    ahead = later.join(earlier, same).groupBy(*[F.col(f"l.{c}").alias(f"_{c}") for c in ["_range", *by]]).agg(F.sum("e._sum").alias("_ahead"))
+    match = F.col("_range") == F.col("__range")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = F.sum("_weight").over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = dealt.join(ahead, match, "left").withColumn(name, F.coalesce("_ahead", F.lit(0)) + within)
+    return rows.select(*df.columns, name)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """Every row with its place in the whole order, from 1. Rows are dealt out by ranges of the order, and each range is numbered after those before it."""
-    dealt = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    before, starts = 0, []
-    for part, n in sorted(dealt.groupBy("_range").count().collect()):  # a row a range
-        starts.append((part, before))
-        before += n
-    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _before long"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.join(starts, "_range").withColumn(name, F.col("_before") + within).drop("_range", "_before")
+    """Every row with its place in the whole order, from 1."""
+    return placed(df, [], order, name=name)

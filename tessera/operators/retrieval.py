@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import all_pairs
+
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """All character n-grams of the lower-cased text with single blanks; a shorter or empty text gives itself or <empty>."""
@@ -53,9 +55,8 @@ def centroids(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
 
 
 def scored_slots(queries: DataFrame, slots: DataFrame, most: int = 65536) -> DataFrame:
-    """Cosines of all queries with all slots. slots are a vocabulary: few rows, broadcast after their number is checked, else joined in blocks."""
-    small = slots.limit(most + 1).count() <= most
-    return queries.join(F.broadcast(slots) if small else slots.repartition(64)).withColumn("score", dot(F.col("q"), F.col("s")))
+    """Cosines of all queries with all slots. slots are a vocabulary: few rows, broadcast after their number is checked, else joined block by block."""
+    return all_pairs(queries, slots, most).withColumn("score", dot(F.col("q"), F.col("s")))
 
 
 def mean_of_best(scores: DataFrame, k: int, query: str, group: str, item: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import placed
+
 
 def counts(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
     """Row counts of each key; rows with a null key don't count."""
@@ -52,15 +54,34 @@ def scattered(df: DataFrame, by: list[str], row: list[str], element: str, rows:
 
 
 def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    """(by, least, most, mean, median), exact; nulls don't count. The median comes from counts of the distinct values and their places, so no task holds a group."""
+    whole = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.count("*").alias("_n"))
+    counts_ = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_times"))
+    upto = placed(counts_, by, [F.col(value)], F.col("_times"), "_upto").withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    has = lambda place: (F.col("_upto") >= place) & (F.col("_upto") - F.col("_times") < place)
+    middle = upto.join(whole.select(*by, "_n"), same).where(has(low) | has(high)).groupBy(*by).agg(((F.min(value) + F.max(value)) / 2).alias("median"))
+    middle = middle.withColumnsRenamed({c: f"_{c}" for c in by})
+    return whole.join(middle, same).select(*by, "least", "most", "mean", "median")
+
+
+def few_of(df: DataFrame, by: list[str], value: str, most: int, name: str) -> DataFrame:
+    """(by, name): the first `most` distinct values of each group in order, as an array; no task collects a whole group. Nulls don't count."""
+    from tessera.operators.ranking import top
+
+    rows = top(df.where(F.col(value).isNotNull()).select(*by, value).distinct(), most, by, [F.col(value)], "_place")
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
 def representatives(df: DataFrame, by: list[str], score: str, item: str, reasons: str, example: str, most: int = 10) -> DataFrame:
     """The best item of each group (ties to the smaller), its mean score, all reasons, and the first examples."""
-    return df.groupBy(*by).agg(
-        F.min(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))).getField("i").alias("best"), F.avg(score).alias("mean"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(reasons)))).alias("reasons"), F.slice(F.array_sort(F.collect_set(example)), 1, most).alias("examples"),
-    )
+    best = df.groupBy(*by).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))).getField("i").alias("best"), F.avg(score).alias("mean"))
+    why = df.select(*by, F.explode(reasons).alias("reason")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    none = F.array()
+    return best.join(why, by, "left").join(few_of(df, by, example, most, "examples"), by, "left").withColumns({"reasons": F.coalesce("reasons", none.cast("array<string>")), "examples": F.coalesce("examples", none.cast(f"array<{df.schema[example].dataType.simpleString()}>"))})
 
 
 def rolled_up(df: DataFrame, levels: list[str]) -> DataFrame:

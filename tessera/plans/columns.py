@@ -331,7 +331,8 @@ def x8_pattern_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select p_brand, min(length(p_name)) as shortest, max(length(p_name)) as longest, cast(round(cast(avg(length(p_name)) as decimal(18, 6)), 2) as double) as mean from part group by p_brand")
 def x9_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "part").groupBy("p_brand").agg(text.lengths(F.collect_list("p_name")).alias("l")).select("p_brand", F.col("l.shortest").cast("long").alias("shortest"), F.col("l.longest").cast("long").alias("longest"), "l.mean")
+    size = F.length("p_name")
+    return read(spark, sf, "part").groupBy("p_brand").agg(F.min(size).cast("long").alias("shortest"), F.max(size).cast("long").alias("longest"), F.round(F.avg(size), 2).alias("mean"))
 
 
 @query(f"with {v.CATALOG.cte()} select \"table\", field, case when (regexp_matches(sample_data, '[0-9]'))::int + (regexp_matches(sample_data, '[A-Za-z]'))::int > 1 then 'mixed' when regexp_matches(sample_data, '[0-9]') then 'digit' when regexp_matches(sample_data, '[A-Za-z]') then 'letter' else 'unknown' end as kind from catalog")

@@ -154,7 +154,8 @@ _RANKED = "select channel, item, row_number() over (partition by channel order b
 def a11_reciprocal_ranks(spark: SparkSession, sf: str) -> DataFrame:
     scored = read(spark, sf, "events").groupBy(F.col("event_type").alias("channel"), F.col("user_id").alias("item")).agg(F.sum("value").alias("score")).withColumn("query", F.lit(0))
     weights = spark.createDataFrame([("all", c, w) for c, w in (("click", 1.0), ("view", 0.5), ("error", 0.25), ("signup", 0.25), ("purchase", 0.25))], "fusion string, channel string, weight double")
-    return ranking.fused(ranking.ranks(scored, "query", "item"), "query", "item", weights).select("item", F.round("score", 9).alias("score"))
+    ranked = ranking.placed(scored, ["channel"], [F.col("score").desc_nulls_last(), F.col("item")], name="rank")
+    return ranking.fused(ranked, "query", "item", weights).select("item", F.round("score", 9).alias("score"))
 
 
 @query("select event_type, round(avg(case when value >= 50 then 1.0 else 0.0 end), 6) as hit, round(avg(value / 100), 6) as recall from events group by 1")
@@ -188,7 +189,8 @@ def a16_rollup_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select p_brand, count(*) as support, array_to_string(list_sort(list_distinct(list(p_name)))[1:6], '|') as names, count(distinct p_type) as types from part group by 1")
 def a17_capped_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("support"), F.array_join(F.slice(F.array_sort(F.collect_set("p_name")), 1, 6), "|").alias("names"), F.count_distinct("p_type").alias("types"))
+    part = read(spark, sf, "part")
+    return part.groupBy("p_brand").agg(F.count("*").alias("support"), F.count_distinct("p_type").alias("types")).join(summaries.few_of(part, ["p_brand"], "p_name", 6, "names"), "p_brand").select("p_brand", "support", F.array_join("names", "|").alias("names"), "types")
 
 
 @query("select p_name, count(distinct p_type) as paths from part group by 1 having count(distinct p_type) >= 5 and p_name not in (select p_name from part where p_size = 1)")
@@ -245,7 +247,7 @@ def w3_priorities(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"select channel, item, rank from ({_RANKED})")
 def w4_ranks(spark: SparkSession, sf: str) -> DataFrame:
     scored = read(spark, sf, "events").groupBy(F.col("event_type").alias("channel"), F.col("user_id").alias("item")).agg(F.sum("value").alias("score")).withColumn("query", F.lit(0))
-    return ranking.ranks(scored, "query", "item").select("channel", "item", F.col("rank").cast("long").alias("rank"))
+    return ranking.placed(scored, ["channel"], [F.col("score").desc_nulls_last(), F.col("item")], name="rank").select("channel", "item", "rank")
 
 
 @query("""with a as (select o_custkey as q, o_orderkey as i, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders union all select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by epoch(o_orderdate) desc, o_orderkey) from orders)
@@ -274,15 +276,16 @@ def w8_first_of_role(spark: SparkSession, sf: str) -> DataFrame:
     return v.SLOTS.frame(spark).groupBy("vt_id").agg(F.min(F.when(F.col("role") == "time", F.col("slot_index"))).alias("first_time"), F.min(F.when(F.col("role") == "key", F.col("slot_index"))).alias("first_key"))
 
 
-@query("select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 0 when 'O' then 1 end nulls last, o_totalprice desc, o_orderkey) as place from orders order by place limit 200")
+@query("select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 0 when 'O' then 1 end nulls last, o_totalprice desc, o_orderkey) as place from orders")
 def w9_custom_order(spark: SparkSession, sf: str) -> DataFrame:
-    return w9_whole_order(spark, sf).where("place <= 200")
+    """Every row of the order; the page is W10 and the head W11."""
+    return w9_whole_order(spark, sf)
 
 
 @query("select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 0 when 'O' then 1 end nulls last, o_totalprice desc, o_orderkey) as place from orders")
 def w9_whole_order(spark: SparkSession, sf: str) -> DataFrame:
     order = [F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).asc_nulls_last(), F.col("o_totalprice").desc(), F.col("o_orderkey")]
-    return ranking.numbered(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), order).select("o_orderkey", "place")
+    return ranking.placed(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), [], order).select("o_orderkey", "place")
 
 
 @query("select o_orderkey, (select count(*) from orders where o_orderstatus = 'O') as total from orders where o_orderstatus = 'O' order by o_totalprice desc, o_orderkey limit 20 offset 40")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import cluster, edits, graph, joins, retrieval
+from tessera.operators.ranking import placed
 from tessera.plans import vocabularies as v
 from tessera.plans.columns import _X13
 from tessera.plans.grouping import _RESULTS, results
@@ -36,7 +37,11 @@ _PARTS = "c(node, comp) as (select s_suppkey, s_suppkey from supplier union sele
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.group_pairs(read(spark, sf, "supplier"), ["s_nationkey"], "s_suppkey", ["s_acctbal"]).where(F.abs(F.col("s_acctbal_a") - F.col("s_acctbal_b")) < 1500).select("a", "b")
+    """Neighbours in the order of balances of a nation: they are linked in the same components as all pairs less than 1500 apart."""
+    order = [F.col("s_acctbal"), F.col("s_suppkey")]
+    rows = placed(read(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), ["s_nationkey"], order)
+    after = rows.select("s_nationkey", (F.col("place") - 1).alias("place"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("next"))
+    return rows.join(after, ["s_nationkey", "place"]).where(F.col("next") - F.col("s_acctbal") < 1500).select(F.col("s_suppkey").alias("a"), "b")
 
 
 @query(f"with recursive {_EDGES}, {_PARTS} select node, min(comp) as component from c group by 1")

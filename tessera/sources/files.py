@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,22 @@ from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder of the cluster (spark.checkpoint.dir), or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """A fresh folder under the shared folder of the cluster (spark.checkpoint.dir). Only where all runs in one process may that be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base}/tessera-{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as Parquet in the shared folder, read back: later jobs start from files, so a lost executor costs a re-read."""
+    path = workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header row; only the columns that are asked for later are parsed. Empty cells are nulls."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')

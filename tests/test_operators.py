@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import cluster, edits, graph, ranking
+from tessera.operators import cluster, edits, graph, joins, ranking, summaries
 from tessera.streaming.usage import windowed_usage
 
 
@@ -84,3 +84,29 @@ def test_numbered_places_every_row(spark):
     assert [r.id for r in got] == [i for i, v in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
     assert [r.place for r in got] == list(range(1, 501))
     assert ranking.numbered(df.where("false"), [F.col("id")]).count() == 0
+
+
+def test_places_within_groups_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if g == 3 else f"g{g}", int(x), int(w)) for g, x, w in zip(rng.integers(0, 4, 400), rng.permutation(400), rng.integers(1, 4, 400))]
+    df = spark.createDataFrame(rows, "g string, x int, w int").repartition(3)
+    got = {r.x: r.place for r in ranking.placed(df, ["g"], [F.col("x").desc()], F.col("w")).collect()}
+    for g, x, _ in rows:
+        assert got[x] == sum(w for h, y, w in rows if h == g and y >= x)
+
+
+def test_spread_is_exact(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 300):
+        values = {g: rng.integers(0, 9, n + g).tolist() for g in (0, 1)}
+        df = spark.createDataFrame([(g, float(x)) for g, xs in values.items() for x in xs] + [(0, None)], "g int, v double").repartition(3)
+        for r in summaries.spread(df, ["g"], "v").collect():
+            assert (r.least, r.most, r.median) == (min(values[r.g]), max(values[r.g]), float(np.median(values[r.g]))) and abs(r["mean"] - np.mean(values[r.g])) < 1e-9
+
+
+def test_small_sides_and_blocks_give_the_same_pairs(spark):
+    a, b = spark.range(7), spark.range(50).select(F.col("id").alias("j"))
+    assert sorted(map(tuple, joins.all_pairs(a, b, 10).collect())) == sorted(map(tuple, joins.all_pairs(a, b, 50).collect())) == [(i, j) for i in range(7) for j in range(50)]
+    ranked = spark.createDataFrame([("c", 1, i, i + 1) for i in range(5)], "channel string, q int, i int, rank int")
+    weights = spark.createDataFrame([(f"f{k}", "c", 1.0) for k in range(12000)], "fusion string, channel string, weight double")  # more than were once let through
+    assert ranking.fused(ranked, "q", "i", weights).count() == 5 * 12000
