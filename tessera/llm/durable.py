@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from tessera.sources import files
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+def settled(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the folder that the cluster names in spark.checkpoint.dir and read it back, so later jobs start from files that any executor sees."""
+    return files.settled(df)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back, so later jobs start from files that any executor sees."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.durable import settled
+from tessera.llm.durable import dropped, settled
 from tessera.llm.textkit import U64, buffers, chunks, released, shingles, splitmix, words
 
 ORDERS = 3
@@ -22,7 +22,7 @@ BLOOM_BYTES = 1 << 25
 #: A task compares at most two blocks of about so many sets and bytes of shingles. Buckets beyond one block are first compared block by block, each block with about HEADS heads of its bucket.
 BLOCK, BLOCK_BYTES, HEADS = 512, 24 << 20, 24
 #: A set's parities take at most so many bytes, and it names at most so many of its buckets, the first ones; both only save work.
-PARITY_BYTES, NAMED = 1 << 13, 64
+PARITY_BYTES, NAMED = 1 << 11, 16
 #: Sets that a task of the prefix pass remembers, to give each only once.
 REMEMBERED = 1 << 18
 
@@ -128,12 +128,25 @@ def _prefixes(docs: DataFrame, k: int, percent: int, classes) -> DataFrame:  # n
 
 
 def _buckets(prefixes: DataFrame) -> DataFrame:
-    """(token, key, n): the sets that share a token, for tokens of at least two sets. Of tokens that the very same sets share, the smallest stands for all."""
+    """(token, key, n): the sets that share a token, for tokens of at least two sets.
+
+    Of tokens that the very same sets share, the smallest stands for all. A bucket goes if each of its sets has the same largest bucket, another one:
+    all its pairs are in that one too.
+    """
     rows = prefixes.select(F.explode("tokens").alias("token"), "key", "n")
     shared = settled(rows.groupBy("token").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x <> y").select("token"))
-    met = settled(settled(rows.join(shared, "token", "left_semi")).distinct())
+    often = settled(rows.join(shared, "token", "left_semi"))
+    met = settled(often.distinct())
+    dropped(shared, often)
     marks = met.groupBy("token").agg(F.count("*").alias("sets"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"))
-    return settled(met.join(settled(marks.groupBy("sets", "x", "y").agg(F.min("token").alias("token")).select("token")), "token", "left_semi"))
+    first = settled(marks.groupBy("sets", "x", "y").agg(F.min("token").alias("token")).select("token", "sets"))
+    single = settled(met.join(first, "token"))
+    dropped(met, first)
+    top = settled(single.groupBy("key").agg(F.max(F.struct("sets", "token")).getField("token").alias("top")))
+    within = single.join(top, "key").groupBy("token").agg(F.min("top").alias("x"), F.max("top").alias("y")).where("x = y and x <> token").select("token")
+    out = settled(single.join(settled(within), "token", "left_anti").select("token", "key", "n"))
+    dropped(single, top)
+    return out
 
 
 class Members:
@@ -226,8 +239,8 @@ def _needed(rows: DataFrame, percent: int) -> DataFrame:
     return settled(_grouped(kept, TASK, work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.select(*names).schema)))
 
 
-def _forest(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:  # noqa: ANN001
-    """(a, b): links that connect what similar pairs within a task connect, at most one less than the task has sets. rows has the sets.
+def _forest(docs: DataFrame, tasks: DataFrame, k: int, percent: int, classes) -> DataFrame:  # noqa: ANN001
+    """(a, b): links that connect what similar pairs within a task connect, at most one less than the task has sets.
 
     A candidate pair must share a prefix token under every other order too; then the sets themselves are compared. Pairs that others have
     connected already are passed over.
@@ -277,12 +290,15 @@ def _forest(rows: DataFrame, k: int, percent: int, classes) -> DataFrame:  # noq
             a, b = zip(*stars)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    shape = rows.withColumn("n", F.lit(0).cast("long")).select(*TASK, "side", "key", "component", "other", "names", "n", "set")
-    return settled(_grouped(shape, TASK, work, "a long, b long"))
+    sets = _wanted(docs, tasks, k)
+    shape = tasks.join(sets, "key").select(*TASK, "side", "key", "component", "other", "names", F.lit(0).cast("long").alias("n"), "set")
+    out = settled(_grouped(shape, TASK, work, "a long, b long"))
+    dropped(sets)
+    return out
 
 
-def _with_sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """rows, each with the shingles of its key. Only sets that rows name are shuffled: a filter of bounded size tells most of the others."""
+def _wanted(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(key, set): the shingles of each key that rows name. Only sets that rows name are shuffled: a filter of bounded size tells most of the others."""
     names = settled(rows.select("key").distinct())
     bits = min(BLOOM_BYTES * 8, 1 << max(13, int(32 * max(1, names.count())).bit_length()))
     spots = names.select(F.explode(F.array(F.pmod("key", F.lit(bits)), F.pmod(F.shiftrightunsigned("key", 24), F.lit(bits)))).alias("bit"))
@@ -305,8 +321,7 @@ def _with_sets(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                     seen.clear()
         released()
 
-    sets = docs.select("text").mapInArrow(emit, "key long, set binary").join(names, "key", "left_semi").dropDuplicates(["key"])
-    return rows.join(settled(sets), "key")
+    return settled(docs.select("text").mapInArrow(emit, "key long, set binary").join(names, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def _pieces(sets: Column, size: Column) -> Column:
@@ -378,14 +393,16 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     classes = docs.sparkSession.sparkContext.broadcast(_classes(facts))
     prefixes = settled(_prefixes(docs, k, percent, classes))
     met = _buckets(prefixes)
-    maps = prefixes.join(settled(met.select("key").distinct()), "key", "left_semi").select("key", F.col("n").alias("size"), "bits").dropDuplicates(["key"])
+    maps = settled(prefixes.join(met.select("key").distinct(), "key", "left_semi").select("key", F.col("n").alias("size"), "bits").dropDuplicates(["key"]))
+    dropped(prefixes)
 
     hot, links, labels = _hot_tasks(met), [], None
     if not hot.isEmpty():
-        links.append(_forest(_with_sets(docs, hot, k), k, percent, classes))
+        links.append(_forest(docs, hot, k, percent, classes))
         labels = _near_labels(links[0])
     needed = _needed(_tasks(met, labels, maps), percent)
-    links.append(_forest(_with_sets(docs, needed, k), k, percent, classes))
+    dropped(met, maps)
+    links.append(_forest(docs, needed, k, percent, classes))
     links = links[0] if len(links) == 1 else links[0].union(links[1])
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
