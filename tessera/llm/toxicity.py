@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import FOLD, U64, buffers, chunks, words
+from tessera.llm.durable import settled
+from tessera.llm.textkit import FOLD, U64, buffers, chunks, released, words
 
 #: Words are hashed to so many features; the model is a weight for each, so its broadcast has a fixed size (1 MB).
 BITS = 18
-#: At most so many labelled documents are used for fitting, chosen by a hash of their id.
-FIT_DOCS = 8000
+#: At most so many labelled documents, and so many bytes of their texts, are used for fitting: the first in a hash order of ids.
+FIT_DOCS, FIT_BYTES = 8000, 64 << 20
 #: Words are runs of ASCII letters, apostrophes and bytes of other scripts.
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -68,18 +69,23 @@ def _featured(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(work, "label int, sizes binary, features binary")
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int = FIT_DOCS, bits: int = BITS, steps: int = 160, least: int = 4, penalty: float = 0.5) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES, bits: int = BITS, steps: int = 160, least: int = 4, penalty: float = 0.5) -> Model:
     """Weights of words such that 1 - product(1 - sigmoid(sentence)) fits the labels of documents; no sentence carries a label.
 
     labels has doc_id and label (0 or 1; null and repeated rows are skipped). The fit takes at most fit_docs labelled documents, the first in
-    a hash order of ids, so that it is the same on every run. penalty is that of each
+    a hash order of ids as far as their texts have fit_bytes together, so that it is the same on every run. Of rows that repeat an id the one with the least text is taken. penalty is that of each
     word's absolute weight, against one document's loss. Words in fewer than `least` of them have no weight. Without any labelled
     document of either class the model scores everything near its bias.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     )  # fit_docs bounds the rows, so this side can be broadcast
-    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), bits).toArrow().combine_chunks()
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(size <= fit_bytes).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    found = settled(found.withColumn("size", size.cast("long")))
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = found.select("doc_id", upto.alias("upto")).where(F.col("upto") <= fit_bytes).select("doc_id")  # of fit_docs rows
+    rows = _featured(found.join(F.broadcast(within), "doc_id").select("text", "label"), bits).toArrow().combine_chunks()
     if not rows.num_rows:
         return Model(np.zeros(1 << bits, np.float32), -6.0)
     rows = rows.sort_by([("features", "ascending"), ("sizes", "ascending"), ("label", "ascending")])
@@ -151,20 +157,24 @@ def score(docs: DataFrame, model: Model, flag_at: float = 0.3) -> DataFrame:
                 at = np.searchsorted(text[bad], np.arange(n + 1)).astype(np.int32)
                 inner = pa.StructArray.from_arrays([pa.array(start[bad] - offsets[text[bad]]), pa.array(end[bad] - start[bad]), pa.array(s[bad])], ["start", "length", "score"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(found), pa.ListArray.from_arrays(pa.array(at), inner).cast(span)], ["doc_id", "score", "offending"])
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, offending array<struct<start: bigint, length: bigint, score: double>>")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores below threshold. Rows without text score 0 and stay."""
-    bias, shared, place = model.bias, docs.sparkSession.sparkContext.broadcast(model.weights), docs.columns.index("text")
+    """The rows of docs, with all their columns, whose text scores below threshold. Rows without text score 0 and stay.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_scores(data, offsets, shared.value, bias)[0] for _, data, offsets in chunks(batch.column(place))]
-            yield batch.filter(pa.array(np.concatenate([*found, np.zeros(0)]) < threshold))
+    Only the texts go to Python and only scores come back.
+    """
+    bias, shared = model.bias, docs.sparkSession.sparkContext.broadcast(model.weights)
+
+    def scores(texts: pa.Array) -> pa.Array:
+        found = [_scores(data, offsets, shared.value, bias)[0] for _, data, offsets in chunks(texts)]
+        released()
+        return pa.array(np.concatenate([*found, np.zeros(0)]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(F.arrow_udf(scores, "double")(F.col("text")) < threshold)
 
 
 def predicted(score: Column, threshold: float = 0.3) -> Column:
