@@ -14,6 +14,8 @@ from tessera.llm.textkit import U64, chunks, splitmix
 
 DIM = 512
 GRAM = 3
+#: Texts and n-grams whose counts are multiplied with vectors at once, so that dense arrays have a fixed size whatever the alphabet.
+TEXTS, GRAMS = 64, 8192
 #: Letters lie below this code point; above are private and unassigned planes.
 _TOP = 0x32400
 
@@ -46,8 +48,8 @@ def bound(grams: np.ndarray, dim: int = DIM) -> np.ndarray:
     return out
 
 
-def gram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct n-grams, counts by text and n-gram, letters of each text). A text is lower-cased letters; whatever is between counts as one gap."""
+def gram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct n-grams; text, n-gram and number of each pair that occurs, by text; letters of each text). A text is lower-cased letters; whatever is between counts as one gap."""
     texts = len(offsets) - 1
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
@@ -58,10 +60,13 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     fresh[heads[:-1] + np.arange(texts)] = True  # the gap before each text
     keep = fresh | (low > 0)
     keep[1:] |= low[:-1] > 0
-    keep[:-1] &= ~(fresh[1:] & (low[:-1] == 0) & ~fresh[:-1])  # of a gap at the end of a text and that before the next, one
+    low, fresh = low[keep], fresh[keep]
+    keep = np.ones(len(low), bool)
+    keep[:-1] = ~(fresh[1:] & (low[:-1] == 0) & ~fresh[:-1])  # of a gap at the end of a text and that before the next, one
     low, fresh = low[keep], fresh[keep]
     if len(low) < GRAM:
-        return np.zeros((0, GRAM), np.int64), np.zeros((texts, 0), np.int64), letters
+        none = np.zeros(0, np.int64)
+        return np.zeros((0, GRAM), np.int64), none, none, none, letters
     present = np.flatnonzero(np.bincount(low))
     place = np.zeros(present[-1] + 1, np.int64)
     place[present] = np.arange(len(present))
@@ -77,8 +82,30 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         at = index[code]
     else:
         used, at = np.unique(code, return_inverse=True)
-    counts = np.bincount(text * len(used) + at, minlength=texts * len(used)).reshape(texts, len(used))
-    return present[np.stack([used // (n * n), used // n % n, used % n], axis=1)], counts, letters
+    pair = text * len(used) + at
+    if texts * len(used) <= 1 << 22:
+        dense = np.bincount(pair, minlength=1)
+        pair = np.flatnonzero(dense)
+        count = dense[pair]
+    else:
+        pair, count = np.unique(pair, return_counts=True)
+    return present[np.stack([used // (n * n), used // n % n, used % n], axis=1)], pair // max(1, len(used)), pair % max(1, len(used)), count, letters
+
+
+def bundles(grams: np.ndarray, text: np.ndarray, gram: np.ndarray, count: np.ndarray, texts: int, dim: int = DIM) -> np.ndarray:
+    """For each text the sum of its n-grams' bound vectors. Exact: all of it is whole numbers."""
+    out = np.zeros((texts, dim))
+    at = np.searchsorted(text, np.arange(0, texts + TEXTS, TEXTS))
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+        used, column = np.unique(gram[a:b], return_inverse=True)
+        rows, order = min(TEXTS, texts - i * TEXTS), np.argsort(column, kind="stable")
+        cuts = np.searchsorted(column[order], np.arange(0, len(used) + GRAMS, GRAMS))
+        for j, (c, d) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            some, width = order[c:d], min(GRAMS, len(used) - j * GRAMS)
+            tile = np.zeros((rows, width))
+            tile[text[a:b][some] - i * TEXTS, column[some] - j * GRAMS] = count[a:b][some]
+            out[i * TEXTS : i * TEXTS + rows] += tile @ bound(grams[used[j * GRAMS : j * GRAMS + width]], dim).astype(np.float64)
+    return out
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
@@ -93,12 +120,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
         for batch in batches:
             names = np.array(batch.column(1).to_pylist(), object)
             for first, data, offsets in chunks(batch.column(0)):
-                grams, counts, _ = gram_counts(data, offsets)
+                grams, of, gram, count, _ = gram_counts(data, offsets)
                 if not len(grams):
                     continue
-                vectors, here = bound(grams, dim).astype(np.float64), names[first : first + len(offsets) - 1]
-                for name in set(here):
-                    sums[name] = sums.get(name, 0) + counts[here == name].sum(axis=0).astype(np.float64) @ vectors
+                told, group = np.unique(names[first : first + len(offsets) - 1], return_inverse=True)
+                order = np.argsort(group[of] * len(grams) + gram, kind="stable")
+                pair, head = np.unique((group[of] * len(grams) + gram)[order], return_index=True)
+                sums_ = bundles(grams, pair // len(grams), pair % len(grams), np.add.reduceat(count[order], head), len(told), dim)
+                for name, bundle in zip(told.tolist(), sums_):
+                    sums[name] = sums.get(name, 0) + bundle
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "bundle"])
 
@@ -122,10 +152,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in chunks(batch.column(1), 1 << 19):
-                grams, counts, letters = gram_counts(data, offsets)
+                grams, *triples, letters = gram_counts(data, offsets)
                 told, score = np.full(len(letters), "und", object), np.zeros(len(letters))
                 if len(grams) and names:
-                    vectors = counts.astype(np.float32) @ bound(grams, dim).astype(np.float32)
+                    vectors = bundles(grams, *triples, len(letters), dim)
                     norms = np.linalg.norm(vectors, axis=1)
                     cosine = (vectors @ matrix.T) / np.maximum(norms, 1e-9)[:, None]
                     some = letters > 0
