@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.textkit import buffers
+from tessera.llm.textkit import buffers, released
 
 WIDTH = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: The hash has a bit for each of LOW x LOW lowest frequencies.
 LOW = 8
+#: Rows that are transformed at once.
+STRIP = 4096
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -112,8 +114,12 @@ def _basis(n: int) -> np.ndarray:
 
 def cosine_hash(rows: np.ndarray) -> bytes:
     """LOW * LOW bits: whether each low-frequency coefficient is above the median of those but the mean."""
-    across = (rows.astype(np.float64) @ _basis(rows.shape[1]).T.astype(np.float64)).astype(np.int64)  # whole numbers far below 2**53
-    found = (_basis(len(rows)) @ across if len(rows) <= 65536 else sum(_basis(len(rows))[:, i : i + 65536] @ across[i : i + 65536] >> 16 for i in range(0, len(rows), 65536))).ravel()
+    down, basis = _basis(len(rows)), _basis(rows.shape[1]).T.astype(np.float64)
+    found = np.zeros((LOW, LOW), np.int64)  # room for 3.7 million rows, more than the 2 GB of a string make
+    for i in range(0, len(rows), STRIP):
+        across = (rows[i : i + STRIP].astype(np.float64) @ basis).astype(np.int64)  # whole numbers far below 2**53
+        found += down[:, i : i + STRIP] @ across
+    found = found.ravel()
     return np.packbits(found > np.median(found[1:])).tobytes()
 
 
