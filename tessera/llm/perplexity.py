@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.blocks import frozen, thawed
 from tessera.llm.durable import settled
-from tessera.llm.textkit import chunks
+from tessera.llm.textkit import chunks, released
+from tessera.operators.joins import small
 
 #: Characters are UTF-16 units, so an n-gram of up to four is one 64-bit number: context = n-gram >> 16, and its lower units are the suffix.
 ORDER = 4
 #: Stands before the text, three times. Units 0 and 1 of a text count as 2.
 START = 1
-#: Documents of a block, on average. A block asks once for each n-gram it has.
-BLOCK = 4096
+#: Documents and bytes of a block, on average. A block asks once for each n-gram it has.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: One trusted document in so many, by a hash of its id, is kept from training and sets the thresholds.
+CALIBRATION = 8
 
 
 def gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,8 +42,9 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return code[real].view(np.int64), text[real]
 
 
-def _blobs(docs: DataFrame, count: int) -> DataFrame:
-    """(block, docs binary): rows of each block, compressed together as far as they come in one batch."""
+def _blobs(docs: DataFrame) -> DataFrame:
+    """(block, docs binary) of rows (block, doc_id, text, lang): rows of each block, compressed together as far as they come in one batch."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column(0).to_numpy()
@@ -49,12 +53,28 @@ def _blobs(docs: DataFrame, count: int) -> DataFrame:
             rows = batch.select(batch.schema.names[1:])
             for name, some in zip(names.tolist(), np.split(order, at[1:])):
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([frozen(pa.Table.from_batches([rows]).take(pa.array(some)).combine_chunks())], pa.binary())], ["block", "docs"])
+        released()
+
+    return docs.select("block", "doc_id", "text", "lang").mapInArrow(work, "block long, docs binary")
 
-    return docs.select(_block(F.col("doc_id"), count).alias("block"), "doc_id", "text", "lang").mapInArrow(work, "block long, docs binary")
 
+def _dealt(docs: DataFrame, trusted: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(docs, trusted) with the number of their block, by a hash of the id.
 
-def _block(doc_id: Column, count: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(count))
+    Rows without an id, and those of an id with more rows than a block takes, go round by row number instead, and a trusted one of these ids
+    is told to all the blocks it is in. Which block a row is in changes no result.
+    """
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    count = max(size.rows // block, (size.bytes or 0) // BLOCK_BYTES) + 1
+    hot = settled(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("rows") > block).select("doc_id", F.ceil(F.col("rows") / block).cast("long").alias("spread")))
+    home, turn = F.pmod(F.xxhash64("doc_id"), F.lit(count)), F.monotonically_increasing_id()
+    if hot.isEmpty():
+        return docs.withColumn("block", F.when(F.col("doc_id").isNull(), F.pmod(turn, F.lit(count))).otherwise(home)), trusted.withColumn("block", home)
+    hot = small(hot)
+    rows = docs.join(hot, "doc_id", "left").withColumn("block", F.when(F.col("doc_id").isNull(), F.pmod(turn, F.lit(count))).otherwise(F.pmod(home + F.pmod(turn, F.coalesce("spread", F.lit(1))), F.lit(count))))
+    told = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.coalesce("spread", F.lit(1)), F.lit(count)) - 1))
+    good = trusted.join(hot, "doc_id", "left").select("doc_id", told.alias("turn")).select("doc_id", F.pmod(home + F.col("turn"), F.lit(count)).alias("block"))
+    return rows.drop("spread"), good
 
 
 def _count_block(there: pa.Table, trusted: pa.Table) -> pa.Table:
@@ -136,14 +156,14 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, trusted: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, lang, n_units, perplexity) of every row: that of its whole text by a model of the texts of trusted (doc_id).
 
-    Documents are dealt into blocks by their id. A block asks once for each n-gram that it has, counts those of its trusted documents on the
+    Documents are dealt into blocks. A block asks once for each n-gram that it has, counts those of its trusted documents on the
     way, and gets their probabilities back. Two texts of the same row count twice; a null or empty text has no perplexity. A null id is
     never trusted. Columns other than doc_id, text and lang are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    count = docs.count() // block + 1
-    blobs = _blobs(docs, count)
-    good = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().select(_block(F.col("doc_id"), count).alias("block"), "doc_id")
+    good = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows, good = _dealt(docs, good, block)
+    blobs = _blobs(rows)
     counted = settled(blobs.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(_count_block, "block long, gram long, n long"))
     grams = settled(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     table = probabilities(settled(grams.where("n > 0")), grams.select("gram"))
@@ -152,18 +172,26 @@ def perplexities(docs: DataFrame, trusted: DataFrame, block: int = BLOCK) -> Dat
     return scored.select("doc_id", "lang", "n_units", F.exp(-F.col("log_prob")).alias("perplexity"))
 
 
+def calibrates(doc_id: Column) -> Column:
+    """Whether a trusted document is kept from training, to set thresholds."""
+    return F.crc32(doc_id.cast("string")) % CALIBRATION == 0
+
+
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.98, slack: float = 1.25, block: int = BLOCK) -> DataFrame:
     """(doc_id, lang, n_units, perplexity, threshold, keep): keep is whether the perplexity is at most the threshold of the document's language.
 
-    A language's threshold is the given quantile of its trusted documents' perplexities, to three digits after the point,
-    times slack, as the model has seen these documents and not the others. A language without
-    any, null included, takes that of all trusted documents. Without trusted documents nothing is rejected. A text without perplexity is not kept.
+    One trusted document in CALIBRATION is kept from training. A language's threshold is the given quantile of the perplexities of those, to
+    three digits after the point; a language without any, null included, takes that of all of them. Where no such document has a text at all,
+    the quantile of the documents that trained the model counts, times slack, as the model knows these better than others. Without trusted
+    documents nothing is rejected. A text without perplexity is not kept.
     """
-    scored = settled(perplexities(docs, trusted, block))
-    ours = scored.join(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").where("perplexity is not null")
-    cut = F.percentile_approx(F.round("perplexity", 3), quantile, 100000)
-    found = ours.groupBy("lang").agg(cut.alias("own")).where("lang is not null")
-    scored = scored.join(found, "lang", "left").crossJoin(F.broadcast(ours.agg(cut.alias("any"))))  # one row
-    threshold = F.coalesce("own", "any") * slack
+    trusted = trusted.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    scored = settled(perplexities(docs, trusted.where(~calibrates(F.col("doc_id"))), block))
+    ours = scored.join(trusted, "doc_id", "left_semi").where("perplexity is not null").withColumn("held", calibrates(F.col("doc_id")))
+    cut = lambda some: F.percentile_approx(F.when(some, F.round("perplexity", 3)), quantile, 100000)
+    found = small(settled(ours.where("held and lang is not null").groupBy("lang").agg(cut(F.col("held")).alias("own"))))
+    any_ = ours.agg(cut(F.col("held")).alias("any"), cut(~F.col("held")).alias("seen"))  # one row
+    scored = scored.join(found, "lang", "left").crossJoin(F.broadcast(any_))
+    threshold = F.coalesce("own", "any", F.col("seen") * slack)
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.round("perplexity", 3) <= threshold, F.lit(True))
     return scored.select("doc_id", "lang", "n_units", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
