@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.durable import settled
+
 #: A document is in one of so many slices of its source, by a hash. Prefix sums go slice by slice, so no task gets a whole source.
 SLICES = 4096
 #: Weight schedules as (time, weight) knots with straight lines between, times from 0 to 1. The means over time are 5, 2 and 1.
@@ -24,7 +26,7 @@ def inverse(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
         area, slope = (t1 - t0) * (w0 + w1) / 2, (w1 - w0) / (t1 - t0)
         rest = F.greatest(share * total - done, F.lit(0.0))
-        at = rest / w0 if slope == 0 else (F.sqrt(F.greatest(F.lit(w0 * w0) + 2 * slope * rest, F.lit(0.0))) - w0) / slope
+        at = (rest / w0 if w0 else F.lit(0.0)) if slope == 0 else (F.sqrt(F.greatest(F.lit(w0 * w0) + 2 * slope * rest, F.lit(0.0))) - w0) / slope
         arms.append(((done + area) / total, F.least(F.lit(t0) + at, F.lit(t1))))
         done += area
     out = arms[-1][1]
@@ -71,7 +73,7 @@ def mix_sources(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0,
     training position (0 to 1) at which each of its copies begins: the time when the source's integrated schedule has asked for the words
     before it. Rows come range-partitioned by first position; those that aren't taken come last.
 
-    carry adds the input row as the struct `row`.
+    carry adds the input row as the struct `row`. Without it, rows with equal id, text and source are one entry with a number until the end.
 
     Null text or text without words: size 0, taken 0, no position. A null source is a source, and comes last. Null ids and repeated rows are
     rows as any other; equal ones are interchangeable. Columns other than doc_id, text and source are ignored. An empty table gives no rows.
@@ -80,7 +82,11 @@ def mix_sources(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0,
     key = F.xxhash64(F.lit(seed), "doc_id", text)
     name = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source"))  # a key without nulls, so that sums, windows and joins share one shuffle
     rows = docs.select("doc_id", "source", name.alias("name"), key.alias("digest"), F.pmod(key, F.lit(slices)).alias("slice"), word_count(F.col("text")).alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    parts = rows.groupBy("name", "slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
+    if carry:
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
+    else:
+        rows = settled(rows.groupBy("doc_id", "source", "name", "digest", "slice", "size").agg(F.count("*").alias("times")))
+    parts = rows.groupBy("name", "slice").agg(F.sum(F.col("size") * F.col("times")).alias("slice_size"), F.first("source").alias("source"))
     whole = Window.partitionBy("name")
     parts = parts.withColumn("source_size", F.sum("slice_size").over(whole)).withColumn("ahead", F.sum("slice_size").over(whole.orderBy("slice")) - F.col("slice_size"))
     sizes = parts.groupBy("name").agg(F.max("source_size").alias("source_size"), F.first("source").alias("source"))
@@ -88,8 +94,11 @@ def mix_sources(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0,
     parts = parts.join(targets, "name").select("name", "slice", "source_size", "ahead", "turn", "target")
 
     within = Window.partitionBy("name", "slice").orderBy("digest", "doc_id", "size")
-    rows = rows.withColumn("before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    whole_size = F.col("size") * F.col("times")
+    rows = rows.withColumn("before", F.sum(whole_size).over(within.rowsBetween(Window.unboundedPreceding, 0)) - whole_size)
     rows = rows.join(parts, ["name", "slice"])
+    if not carry:
+        rows = rows.withColumn("turn_of", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).withColumn("before", F.col("before") + F.col("turn_of") * F.col("size"))
     rows = rows.withColumn("before", F.col("before") + F.col("ahead"))
 
     want = F.round("target").cast("long")

@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import buffers
+from tessera.llm.durable import settled
+from tessera.llm.textkit import released
+from tessera.operators.joins import small
 
-#: Documents of a group, on average. A group is packed in one task, so this bounds its memory; the last sequences of a group are what stays unfilled.
-GROUP = 1024
+#: Documents and bytes of a group, on average. A group is packed in one task, so this bounds its memory; the last sequences of a group are what stays unfilled.
+GROUP, GROUP_BYTES = 1024, 8 << 20
 #: Texts of only these characters split into the same words by both libraries; others go to the slower one, which is the measure.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-ſ‐-‧]*\Z")
 _LONG = re.compile(r"[^\s]{400}")
@@ -88,12 +90,18 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, g
 
     A document is its token ids, then end_id; a null or empty text has end_id alone. Whole stretches of length ids make sequences of their own,
     and the rests of a group's documents are packed by first-fit decreasing, so no rest is cut. Groups go by a seeded hash of id and text;
-    their number follows the row count, and each is packed on its own. Equal rows meet in one group and are packed as separate documents.
+    their number follows the rows and bytes, and each is packed on its own. Equal rows are packed as separate documents; where there are more of
+    them than a group takes, they go round the groups by row number.
     Columns other than doc_id and text are ignored. An empty table gives no rows.
     """
-    groups = max(1, -(-docs.count() // group))
+    docs = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("mixed"))
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups = max(1, -(-size.rows // group), -(-(size.bytes or 0) // GROUP_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)).alias("pack"), "doc_id", "text")
+    hot, turn = settled(docs.groupBy("mixed").agg(F.count("*").alias("times")).where(F.col("times") > group)), F.lit(0)
+    if not hot.isEmpty():
+        docs, turn = docs.join(small(hot), "mixed", "left"), F.when(F.col("times").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    rows = docs.select(F.pmod(F.pmod("mixed", F.lit(groups)) + turn, F.lit(groups)).alias("pack"), "doc_id", "text")
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer)
@@ -126,6 +134,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, g
             )
 
     def grouped(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(work(table))
+        out = pa.Table.from_batches(work(table))
+        released()
+        return out
 
     return rows.groupBy("pack").applyInArrow(grouped, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
