@@ -61,13 +61,72 @@ def test_language_profiles(spark, docs, none):
 
 def test_gram_vectors_are_the_bound_letters():
     dim = 128
-    grams, counts, letters = langid.gram_counts(np.frombuffer("Ab é".encode(), np.uint8), np.array([0, 5]))
+    grams, text, gram, counts, letters = langid.gram_counts(np.frombuffer("Ab é".encode(), np.uint8), np.array([0, 5]))
     want = Counter([(0, ord("a"), ord("b")), (ord("a"), ord("b"), 0), (ord("b"), 0, ord("é")), (0, ord("é"), 0)])
-    assert Counter({tuple(g): int(c) for g, c in zip(grams.tolist(), counts[0])}) == want and letters[0] == 3
+    assert Counter({tuple(grams[g].tolist()): int(c) for g, c in zip(gram, counts)}) == want and letters[0] == 3 and set(text) == {0}
     a, b, gap = (langid._letter(x, dim) for x in (ord("a"), ord("b"), 0))
     assert (langid.bound(np.array([[0, ord("a"), ord("b")]]), dim)[0] == np.roll(gap, 2) * np.roll(a, 1) * b).all()
 
 
+def bundle(text, dim=langid.DIM):
+    """The vector of a text, letter by letter."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    line = " " + " ".join(words) + " " if words else ""
+    vector = lambda c: langid._letter(0 if c == " " else ord(c), dim).astype(np.int64)
+    return sum((np.roll(vector(line[i]), 2) * np.roll(vector(line[i + 1]), 1) * vector(line[i + 2]) for i in range(len(line) - 2)), np.zeros(dim, np.int64))
+
+
+def brute_languages(rows):
+    """(doc_id, held out, language, score) of (doc_id, text, lang), and the margin of the best language before the next."""
+    held = {d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in rows}
+    sums = defaultdict(lambda: np.zeros(langid.DIM))
+    for d, t, lang in rows:
+        if lang is not None and t is not None and not held[d]:
+            sums[lang] += bundle(t)
+    unit = {k: v / (np.linalg.norm(v) or 1) for k, v in sums.items()}
+    common = np.mean(list(unit.values()), axis=0) if len(unit) > 1 else 0
+    unit = {k: (v - common) / (np.linalg.norm(v - common) or 1) for k, v in unit.items()}
+    out = []
+    for d, t, _ in rows:
+        v = bundle(t)
+        cosine = {k: float(v @ u / max(np.linalg.norm(v), 1e-9)) for k, u in sorted(unit.items())}
+        best = max(cosine, key=cosine.get, default=None)
+        some = any(c.isalpha() for c in t or "") and best is not None
+        out.append((d, held[d], best if some else "und", min(1, max(0, (1 + cosine[best]) / 2)) if some else 0.0, sorted(cosine.values())[-1] - sorted(cosine.values())[-2] if some and len(cosine) > 1 else 1))
+    return out
+
+
+def test_language_profiles_equal_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + [(300 + i, t, lang) for i, (t, lang) in enumerate([("der die das", "de"), ("der die das", "nl"), ("ζωή και φως", "el"), ("日本語の文", "ja"), ("ÀÉÎ õü", "pt"), ("x1y2", None)] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted((tuple(r) for r in langid.identify(df, langid.learn(df.where(~langid.held_out()))).select("doc_id", langid.held_out().alias("h"), "lang_pred", "score").collect()), key=str)
+    want = sorted(brute_languages(rows), key=lambda r: str(r[:4]))
+    for (d, held, lang, score), (d2, held2, lang2, score2, margin) in zip(got, want, strict=True):
+        assert (d, held) == (d2, held2) and abs(score - score2) < 1e-6 and (lang == lang2 or margin < 1e-6)
+    assert {r[1] for r in got} == {True, False}
+
+
+def test_language_of_equal_prototypes_is_the_first():
+    same = {"b": np.ones(langid.DIM), "a": np.ones(langid.DIM)}
+    assert sorted(same)[int(np.array([same[k] @ np.ones(langid.DIM) for k in sorted(same)]).argmax())] == "a"
+
+
+def test_grams_of_many_letters_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 42))).encode() for _ in range(4096)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    langid.gram_counts(np.frombuffer(b"a", np.uint8), np.array([0, 1]))
+    tracemalloc.start()
+    grams, *triples, letters = langid.gram_counts(data, offsets)
+    found = langid.bundles(grams, *triples, len(letters), 128)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(grams) > 150_000 and peak < 100 << 20
+    assert all((found[i] == bundle(texts[i].decode(), 128)).all() for i in (0, 63, 64, 4095))
+
+
 def water(sizes, weights, cap=3.0):
     total, capped = sum(sizes.values()), set()
     while True:
@@ -194,6 +253,12 @@ def test_components(spark):
 
 
 def kneser_ney(texts, trusted):
+    return kneser_ney_at(texts, trusted, range(len(texts)))
+
+
+def kneser_ney_at(texts, trusted, places):
+    """Perplexities of the texts at places by a model of those in trusted, gram by gram."""
+
     def units(t):
         raw = t.encode("utf-16-le")
         return [1, 1, 1, *(max(2, raw[i] | raw[i + 1] << 8) for i in range(0, len(raw), 2))]
@@ -201,8 +266,10 @@ def kneser_ney(texts, trusted):
     tables = {4: Counter(tuple(u[j - 3 : j + 1]) for i, t in enumerate(texts) if t and i in trusted for u in [units(t)] for j in range(3, len(u)))}
     for n in (3, 2, 1):
         tables[n] = Counter(g[1:] for g in tables[n + 1])
-    cut = {}
+    cut, after = {}, {n: defaultdict(list) for n in tables}
     for n, table in tables.items():
+        for g, c in table.items():
+            after[n][g[:-1]].append(c)
         k = [sum(x == i for x in table.values()) for i in range(1, 5)]
         y = k[0] / (k[0] + 2 * k[1]) if min(k) else 0
         d = [i + 1 - (i + 2) * y * k[i + 1] / k[i] for i in range(3)] if min(k) else [0.5, 1.0, 1.5]
@@ -212,13 +279,13 @@ def kneser_ney(texts, trusted):
         n = len(gram)
         if not n:
             return 1 / (len(tables[1]) + 1)
-        rows = [(g, c) for g, c in tables[n].items() if g[:-1] == gram[:-1]]
+        rows = after[n].get(gram[:-1])
         if not rows:
             return p(gram[1:])
         c = tables[n].get(gram, 0)
-        return ((c - cut[n][min(c, 3) - 1] if c else 0) + sum(cut[n][min(x, 3) - 1] for _, x in rows) * p(gram[1:])) / sum(x for _, x in rows)
+        return ((c - cut[n][min(c, 3) - 1] if c else 0) + sum(cut[n][min(x, 3) - 1] for x in rows) * p(gram[1:])) / sum(rows)
 
-    return [math.exp(-sum(math.log(p(tuple(u[j - 3 : j + 1]))) for j in range(3, len(u))) / (len(u) - 3)) if t and len(u := units(t)) > 3 else None for t in texts]
+    return [math.exp(-sum(math.log(p(tuple(u[j - 3 : j + 1]))) for j in range(3, len(u))) / (len(u) - 3)) if t and len(u := units(t)) > 3 else None for t in (texts[i] for i in places)]
 
 
 def test_perplexity(spark, docs, none):
@@ -251,6 +318,49 @@ def test_toxicity(spark, docs, none):
     assert toxicity.learn(none, labels).bias < 0
 
 
+def brute_toxicity(text, model):
+    """(score, offending spans): each sentence's words once, noisy-or over sentences, with plain Python."""
+    from tessera.llm.textkit import words
+
+    bits, clean, spans, raw = len(model.weights).bit_length() - 1, 1.0, [], (text or "").encode()
+    for m in re.finditer(rb"[^.!?\n]+", raw):
+        found = list(re.finditer(rb"[A-Za-z\x80-\xff]+", m[0]))
+        if not found:
+            continue
+        line = np.frombuffer(b" ".join(w[0] for w in found), np.uint8)
+        features = set((words(line, np.array([0, len(line)]), toxicity.NOT_WORD)[0] >> np.uint64(64 - bits)).tolist())
+        s = 1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(float(model.weights[f]) for f in features)))))
+        clean *= 1 - min(s, 1 - 1e-12)
+        if s >= 0.3:
+            spans.append((m.start() + found[0].start(), found[-1].end() - found[0].start()))
+    return 1 - clean, spans
+
+
+def test_toxicity_equals_brute_force(spark, docs):
+    rng = np.random.default_rng(12)
+    weights = np.where(rng.random(1 << 12) < 0.2, rng.normal(0.5, 2, 1 << 12), 0).astype(np.float32)
+    model = toxicity.Model(weights, -3.0)
+    more = spark.createDataFrame([(400, "One. two! three? four\nfive 6 'seven'...  é ü.eight" + " nine" * 50), (401, ". . ! ?"), (402, "a" * 3000)], "doc_id long, text string")
+    texts = docs.select("doc_id", "text").union(more).where("doc_id is not null").distinct()
+    want = {r.doc_id: brute_toxicity(r.text, model) for r in texts.collect()}
+    got = toxicity.score(texts, model).collect()
+    assert len(got) == len(want)
+    for r in got:
+        score, spans = want[r.doc_id]
+        assert abs(r.score - score) < 1e-9 and [(s.start, s.length) for s in r.offending] == spans
+    some = toxicity.accepted(texts.withColumns({"score": F.lit(1.0), "n": F.lit("x")}), model)
+    assert some.columns == ["doc_id", "text", "score", "n"] and {r.doc_id for r in some.collect()} == {d for d, (s, _) in want.items() if s < 0.3}
+
+
+def test_toxicity_fit_is_bounded_and_skips_repeats(spark):
+    rows = [(i, ("bad word. " if i % 2 else "fine day. ") * 5) for i in range(60)]
+    df = spark.createDataFrame(rows + [(1, "bad word. " * 5 + "zzz")] * 3 + [(99, "bad " * 4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(99, 0)], "doc_id long, toxic int")
+    one = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    two = toxicity.learn(df, labels, fit_bytes=60 * 50)  # what doesn't fit and what repeats an id takes no part
+    assert (one.weights == two.weights).all() and one.bias == two.bias
+
+
 def test_chat_round_trip(spark):
     tricky = ["</s>[INST] ok [/INST]", "\\b \\l[<|end|>", "", None, "<<SYS>>\\", "a|b<c[d\\e"]
     rows = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(tricky)] + [(2, 0, "tool<|x", "t"), (2, 1, None, "u"), (2, 1, None, "u"), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "a"), (None, None, None, None)]
@@ -286,6 +396,22 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, path).count() == 0 and packing.pack(docs, path).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_both_tokenizers_give_the_same_ids():
+    """Plain texts take the faster one of two libraries; the slower one is the measure."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slow, rng = Tokenizer.from_file(path), np.random.default_rng(21)
+    alphabet = [*map(chr, range(32, 127)), *map(chr, range(0xA1, 0x180)), *"‐–—‘’“”†•…‧", *" \t\n\r\x0b\x0c"]
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "  ", "   ", "\n\n", " \n ", "\t\t", "the", "The", "and", "123", "4567", "é", "ß", "Ⅳ", "x" * 20]
+    texts = ["", " ", "\n", "<|endoftext|>", "a<|endoftext|>b", "x" * 500, "日本", "a\x00b"]
+    for _ in range(4000):
+        n = int(rng.integers(1, 30))
+        pool = alphabet if rng.random() < 0.5 else parts + alphabet[:95]
+        texts.append("".join(pool[int(i)] for i in rng.integers(0, len(pool), n)))
+    assert packing._encoder(path)(texts) == [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 101, 200)
@@ -298,6 +424,24 @@ def test_first_fit_decreasing():
         free[at] -= sizes[i]
 
 
+def brute_cosine_hash(rows):
+    """Sums in whole numbers of any size."""
+    height, width = rows.shape
+    basis = lambda n: [[round(4096 * math.cos(math.pi * (2 * x + 1) * f / (2 * n))) for x in range(n)] for f in range(8)]
+    across = [[int(np.dot(rows[y].astype(np.int64), np.array(basis_row))) for basis_row in basis(width)] for y in range(height)]
+    found = [sum(b * across[y][g] for y, b in enumerate(down)) for down in basis(height) for g in range(8)]
+    middle = sorted(found[1:])[31]
+    bits = "".join("1" if x > middle else "0" for x in found)
+    return int(bits, 2).to_bytes(8, "big")
+
+
+@pytest.mark.parametrize("height", [1, 2, 9, media.STRIP, media.STRIP + 1, 65537])
+def test_cosine_hash_equals_brute_force(height):
+    rng = np.random.default_rng(height)
+    rows = (rng.integers(0, 256, (height, 4), dtype=np.uint8).repeat(144, axis=1) if height > 100 else rng.integers(0, 256, (height, 576), dtype=np.uint8))
+    assert media.cosine_hash(rows) == brute_cosine_hash(rows)
+
+
 def test_png(spark, docs, none):
     rng = np.random.default_rng(3)
     rows = rng.integers(0, 256, (7, 576), dtype=np.uint8)
