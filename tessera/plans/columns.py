@@ -79,7 +79,7 @@ def s10_append_log(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {v.SLOTS.cte()} select vt_id, slot_index, '[' || array_to_string(list_transform(aliases, lambda a: '\"' || a || '\"'), ',') || ']' as aliases from slots")
 def s11_nested_as_text(spark: SparkSession, sf: str) -> DataFrame:
-    return files.nested_as_text(v.SLOTS.frame(spark).select("vt_id", "slot_index", "aliases"))
+    return files.nested_as_text(v.SLOTS.frame(spark, sf).select("vt_id", "slot_index", "aliases"))
 
 
 @query("select o_orderkey, case when o_orderstatus = 'P' then 0.0 else o_totalprice end as o_totalprice, o_orderstatus from orders")
@@ -125,9 +125,9 @@ from catalog c left join whitelist w on w.table_en = c."table" and w.field_name
 left join noise_rules p on p.kind = 'pair' and p.table_en = c."table" and p.value = c.field"""
 
 
-def noise(spark: SparkSession) -> DataFrame:
+def noise(spark: SparkSession, sf: str | None) -> DataFrame:
     """(table, field, reason): the first rule that marks a column as noise, or whitelisted, or null."""
-    catalog, rules, white = v.CATALOG.frame(spark), v.NOISE_RULES.frame(spark), v.WHITELIST.frame(spark)
+    catalog, rules, white = v.CATALOG.frame(spark, sf), v.NOISE_RULES.frame(spark), v.WHITELIST.frame(spark)
     globs = rules.where("kind = 'glob'").select("ord", "value", text.glob_regex(F.col("value")).alias("regex"))
     hit = catalog.join(F.broadcast(globs), F.expr("lower(field) rlike regex")).groupBy("table", "field").agg(F.min_by("value", "ord").alias("glob"))
     exact = rules.where("kind = 'exact'").select(F.col("value").alias("field"), F.lit(True).alias("exact"))
@@ -141,7 +141,7 @@ def noise(spark: SparkSession) -> DataFrame:
 
 @query(_NOISE)
 def f1_noise_reason(spark: SparkSession, sf: str) -> DataFrame:
-    return noise(spark)
+    return noise(spark, sf)
 
 
 @query("select p_partkey, case when p_name glob 'c?ld *' then 'c?ld *' when p_name glob '*bolt' then '*bolt' end as glob from part where p_name glob 'c?ld *' or p_name glob '*bolt'")
@@ -153,12 +153,12 @@ def f2_glob_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select \"table\", field from ({_NOISE}) where reason = 'whitelisted'")
 def f3_whitelist(spark: SparkSession, sf: str) -> DataFrame:
-    return noise(spark).where("reason = 'whitelisted'").select("table", "field")
+    return noise(spark, sf).where("reason = 'whitelisted'").select("table", "field")
 
 
 @query(f"select \"table\", count(*) as n from ({_NOISE}) where reason is null or reason = 'whitelisted' group by 1")
 def f4_without_noise(spark: SparkSession, sf: str) -> DataFrame:
-    return noise(spark).where("reason is null or reason = 'whitelisted'").groupBy("table").agg(F.count("*").alias("n"))
+    return noise(spark, sf).where("reason is null or reason = 'whitelisted'").groupBy("table").agg(F.count("*").alias("n"))
 
 
 @query("select o_orderkey, o_orderstatus from orders where o_orderstatus in ('F', 'P')")
@@ -204,7 +204,7 @@ def f9_score_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(_rules()[0], 6).alias("score")).where("score >= 0.3")
 
 
-@query(f"""with {v.CATALOG.cte()}, {v.SLOTS.cte()}, a as (select name as slot, row_number() over (order by vt_id, slot_index) - 1 as ord, unnest(aliases) as alias from slots),
+@query(f"""with {v.CATALOG.cte()}, {v.SLOTS.cte(base=True)}, a as (select name as slot, row_number() over (order by vt_id, slot_index) - 1 as ord, unnest(aliases) as alias from slots),
 m as (select c."table", c.field, a.slot, a.ord, case when lower(c.field) = alias then 1 when c.comment = alias then 2 when list_contains({_DUCK_TOKENS.format('c.field')}, alias) then 3
   when length(alias) >= 2 and (contains(lower(c.field), alias) or contains(c.comment, alias)) then 4 end as match from catalog c, a),
 r as (select *, row_number() over (partition by "table", field order by match, ord, slot) as k from m where match is not null)
@@ -214,45 +214,45 @@ def f10_best_name_match(spark: SparkSession, sf: str) -> DataFrame:
 
     slots = v.SLOTS.frame(spark).withColumn("ord", F.row_number().over(Window.orderBy("vt_id", "slot_index")) - 1)
     aliases = slots.select(F.col("name").alias("slot"), "ord", F.explode("aliases").alias("alias"))
-    return joins.best_match(v.CATALOG.frame(spark), aliases, F.lower("field"), F.col("comment"), text.tokens(F.col("field")), ["table", "field"])
+    return joins.best_match(v.CATALOG.frame(spark, sf), aliases, F.lower("field"), F.col("comment"), text.tokens(F.col("field")), ["table", "field"])
 
 
-@query(f"""with {v.CATALOG.cte()}, {v.SLOTS.cte()} select c."table", c.field, s.vt_id, s.slot_index from catalog c, slots s
+@query(f"""with {v.CATALOG.cte()}, {v.SLOTS.cte(base=True)} select c."table", c.field, s.vt_id, s.slot_index from catalog c, slots s
 where len(list_filter(s.aliases, lambda a: length(a) >= 2 and (contains(lower(c.field), a) or contains(coalesce(c.comment, ''), a)))) > 0""")
 def f11_covered(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.CATALOG.frame(spark).join(F.broadcast(v.SLOTS.frame(spark)))
+    rows = v.CATALOG.frame(spark, sf).join(F.broadcast(v.SLOTS.frame(spark)))
     return rows.where(F.exists("aliases", lambda a: (F.length(a) >= 2) & (F.contains(F.lower("field"), a) | F.contains(F.coalesce("comment", F.lit("")), a)))).select("table", "field", "vt_id", "slot_index")
 
 
-@query(f"""with {v.QUESTIONS.cte()}, {v.SLOTS.cte()} select q.question_id, s.vt_id, s.slot_index from questions q, slots s where q.query_text <> ''
+@query(f"""with {v.QUESTIONS.cte()}, {v.SLOTS.cte(base=True)} select q.question_id, s.vt_id, s.slot_index from questions q, slots s where q.query_text <> ''
 and len(list_filter(list_append(s.aliases, s.name), lambda h: contains(h, q.query_text) or (length(h) >= 2 and contains(q.query_text, h)))) > 0""")
 def f12_either_contains(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.QUESTIONS.frame(spark).where("query_text <> ''").join(F.broadcast(v.SLOTS.frame(spark)))
+    rows = v.QUESTIONS.frame(spark, sf).where("query_text <> ''").join(F.broadcast(v.SLOTS.frame(spark)))
     return rows.where(F.exists(F.array_append("aliases", F.col("name")), lambda h: F.contains(h, F.col("query_text")) | ((F.length(h) >= 2) & F.contains(F.col("query_text"), h)))).select("question_id", "vt_id", "slot_index")
 
 
 @query(f"""with {v.CATALOG.cte()}, t as (select "table", field, {_DUCK_TOKENS.format('field')} as w from catalog)
 select "table", field from t where not regexp_full_match(field, '[a-z][a-z0-9]*(_[a-z0-9]+)*') or (len(w) >= 2 and len(list_filter(w, lambda x: x in ('c', 'o', 'l', 'r', 'n', 'id', 'ts'))) / len(w) >= 0.6)""")
 def f13_badly_named(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark).where(text.badly_named(F.col("field"), SYLLABLES)).select("table", "field")
+    return v.CATALOG.frame(spark, sf).where(text.badly_named(F.col("field"), SYLLABLES)).select("table", "field")
 
 
 @query(f"with {v.CATALOG.cte()} select \"table\", count(*) as fields from catalog group by 1 having \"table\" in ('region') or (count(*) >= 4 and regexp_full_match(\"table\", '[a-z][a-z0-9_]*'))")
 def f14_good_tables(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.CATALOG.frame(spark).groupBy("table").agg(F.count("*").alias("fields"))
+    rows = v.CATALOG.frame(spark, sf).groupBy("table").agg(F.count("*").alias("fields"))
     return rows.where(F.col("table").isin("region") | ((F.col("fields") >= 4) & F.col("table").rlike("^[a-z][a-z0-9_]*$")))
 
 
 @query(f"with {v.CATALOG.cte()} select \"table\", field from catalog where len(list_filter(string_split(lower(sample_data), '|'), lambda x: trim(x) not in ('', 'null', 'none', 'nan', 'na', 'n/a', '-', '--', '\\n', 'undefined'))) = 0")
 def f15_blank_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark).where(text.blank_samples(F.col("sample_data"))).select("table", "field")
+    return v.CATALOG.frame(spark, sf).where(text.blank_samples(F.col("sample_data"))).select("table", "field")
 
 
 @query(f"""with {v.CATALOG.cte()}, {v.USAGE.cte()}, j as (select c."table", c.field, u.field is not null as used from catalog c left join (select distinct "table", field from usage_stats) u using ("table", field)), k as (select *, bool_or(used) over (partition by "table") as any_used from j)
 select "table", field from k where used or not any_used""")
 def f16_used_unless_none(spark: SparkSession, sf: str) -> DataFrame:
-    used = v.USAGE.frame(spark).select("table", "field").distinct().withColumn("used", F.lit(True))
-    rows = v.CATALOG.frame(spark).join(used, ["table", "field"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
+    used = v.USAGE.frame(spark, sf).select("table", "field").distinct().withColumn("used", F.lit(True))
+    rows = v.CATALOG.frame(spark, sf).join(used, ["table", "field"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
     return summaries.kept_unless_none(rows, ["table"], F.col("used")).select("table", "field")
 
 
@@ -265,30 +265,30 @@ def f17_allowed_references(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {v.CATALOG.cte()} select \"table\", field, array_to_string({_DUCK_TOKENS.format('field')}, ' ') as tokens from catalog")
 def x1_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark).select("table", "field", F.array_join(text.tokens(F.col("field")), " ").alias("tokens"))
+    return v.CATALOG.frame(spark, sf).select("table", "field", F.array_join(text.tokens(F.col("field")), " ").alias("tokens"))
 
 
 @query(f"with {v.CATALOG.cte()} select \"table\", field, case " + " ".join(f"when ends_with(lower(field), '{k}') then '{x}'" for k, x in SUFFIXES.items()) + " end as kind from catalog")
 def x2_suffix_class(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark).select("table", "field", text.suffix_class(F.col("field"), SUFFIXES).alias("kind"))
+    return v.CATALOG.frame(spark, sf).select("table", "field", text.suffix_class(F.col("field"), SUFFIXES).alias("kind"))
 
 
 @query(f"""with {v.CATALOG.cte()}, {v.ABBREVIATIONS.cte()}, t as (select "table", field, unnest({_DUCK_TOKENS.format('field')}) as token, generate_subscripts({_DUCK_TOKENS.format('field')}, 1) as i from catalog),
 w as (select "table", field, i, unnest(coalesce(words, [token])) as word, generate_subscripts(coalesce(words, [token]), 1) as j from t left join abbreviations using (token)), f as (select "table", field, word, min(i * 100 + j) as pos from w group by all)
 select "table", field, string_agg(word, ' ' order by pos) as expanded from f group by all""")
 def x3_expanded(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.CATALOG.frame(spark).select("table", "field", F.posexplode(text.tokens(F.col("field"))).alias("i", "token")).join(v.ABBREVIATIONS.frame(spark), "token", "left")
+    rows = v.CATALOG.frame(spark, sf).select("table", "field", F.posexplode(text.tokens(F.col("field"))).alias("i", "token")).join(v.ABBREVIATIONS.frame(spark), "token", "left")
     return rows.groupBy("table", "field").agg(F.array_join(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("words", F.array("token")).alias("w")))), lambda s: s.w))), " ").alias("expanded"))
 
 
 @query(rf"with {v.CATALOG.cte()} select \"table\", field, trim(string_split(string_split(regexp_replace(coalesce(comment, ''), '\([^)]*\)|\[[^\]]*\]', '', 'g'), '|')[1], chr(10))[1]) as clean from catalog".replace('\\"', '"'))
 def x4_clean_comment(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark).select("table", "field", text.clean_comment(F.col("comment")).alias("clean"))
+    return v.CATALOG.frame(spark, sf).select("table", "field", text.clean_comment(F.col("comment")).alias("clean"))
 
 
 @query(f"with {v.CATALOG.cte()} select \"table\", field, array_to_string(list_filter([" + ", ".join("case when " + " or ".join(f"contains(lower(comment), '{w}')" for w in ws) + f" then '{k}' end" for k, ws in KEYWORDS.items()) + "], lambda x: x is not null), ' ') as concepts from catalog")
 def x5_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark).select("table", "field", F.array_join(text.concepts(F.col("comment"), KEYWORDS), " ").alias("concepts"))
+    return v.CATALOG.frame(spark, sf).select("table", "field", F.array_join(text.concepts(F.col("comment"), KEYWORDS), " ").alias("concepts"))
 
 
 _BIGRAMS = """s as (select {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '[\\s,.;:!?/\\\\|()\\[\\]{{}}<>"''_\\-]+'), lambda x: x <> '')) as seg, generate_subscripts(list_filter(regexp_split_to_array(lower({text}), '[\\s,.;:!?/\\\\|()\\[\\]{{}}<>"''_\\-]+'), lambda x: x <> ''), 1) as i from {table}),
@@ -302,7 +302,7 @@ def x6_bigrams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {v.CATALOG.cte()} select \"table\", field, array_to_string(list_filter(list_transform(string_split(sample_data, '|'), lambda x: trim(x)), lambda x: x <> '')[1:5], '~') as samples from catalog")
 def x7_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark).select("table", "field", F.array_join(text.samples(F.col("sample_data")), "~").alias("samples"))
+    return v.CATALOG.frame(spark, sf).select("table", "field", F.array_join(text.samples(F.col("sample_data")), "~").alias("samples"))
 
 
 def voted(spark: SparkSession, rows: DataFrame, key: list[str], values: str) -> DataFrame:
@@ -325,7 +325,7 @@ b as (select *, bool_or(strong) over (partition by "table", field) as has from k
 
 @query(_VOTES + " select \"table\", field, string_agg(pattern, ' ' order by i) as patterns from r where i <= 2 group by all")
 def x8_pattern_vote(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.CATALOG.frame(spark).select("table", "field", text.samples(F.col("sample_data")).alias("values"))
+    rows = v.CATALOG.frame(spark, sf).select("table", "field", text.samples(F.col("sample_data")).alias("values"))
     return voted(spark, rows, ["table", "field"], "values").select("table", "field", F.array_join("patterns", " ").alias("patterns"))
 
 
@@ -337,7 +337,7 @@ def x9_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {v.CATALOG.cte()} select \"table\", field, case when (regexp_matches(sample_data, '[0-9]'))::int + (regexp_matches(sample_data, '[A-Za-z]'))::int > 1 then 'mixed' when regexp_matches(sample_data, '[0-9]') then 'digit' when regexp_matches(sample_data, '[A-Za-z]') then 'letter' else 'unknown' end as kind from catalog")
 def x10_character_class(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark).select("table", "field", text.character_class(F.split("sample_data", r"\|")).alias("kind"))
+    return v.CATALOG.frame(spark, sf).select("table", "field", text.character_class(F.split("sample_data", r"\|")).alias("kind"))
 
 
 @query("select p_partkey, round(case when length(p_name) > 0 and length(p_type) > 0 then 1 - levenshtein(p_name, lower(p_type)) / greatest(length(p_name), length(p_type)) else 0 end, 6) as similarity from part")
@@ -345,15 +345,19 @@ def x12_edit_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", F.round(text.edit_similarity(F.col("p_name"), F.lower("p_type")), 6).alias("similarity"))
 
 
-_X13 = f"""{v.CATALOG.cte()}, {v.SLOTS.cte()}, {v.BRIDGE.cte()}, j as (select c."table", c.field, c.comment, s.vt_id, s.name as slot, s.slot_index, s.aliases, {_DUCK_TOKENS.format('c.field')} as w from catalog c join bridge b using ("table") join slots s using (vt_id)),
+def _x13(base: bool = False) -> str:
+    return f"""{v.CATALOG.cte(base)}, {v.SLOTS.cte(base)}, {v.BRIDGE.cte(base)}, j as (select c."table", c.field, c.comment, s.vt_id, s.name as slot, s.slot_index, s.aliases, {_DUCK_TOKENS.format('c.field')} as w from catalog c join bridge b using ("table") join slots s using (vt_id)),
 a as (select *, unnest(aliases) as alias from j), l as (select "table", field, vt_id, slot_index, slot, max(greatest(
   len(list_intersect(w, string_split(alias, ' '))) / len(list_distinct(list_concat(w, string_split(alias, ' ')))), 1 - levenshtein(lower(field), alias) / greatest(length(field), length(alias)),
   case when comment = alias then 1.0 when contains(comment, alias) then 0.8 when contains(lower(field), alias) then 0.7 else 0.0 end)) as lexical from a group by all)"""
 
 
-def lexical(spark: SparkSession) -> DataFrame:
+_X13 = _x13()
+
+
+def lexical(spark: SparkSession, sf: str | None) -> DataFrame:
     """(table, field, vt_id, slot_index, slot, lexical): the best of word Jaccard, alias edit similarity, equal or contained comment, contained name."""
-    rows = joins.bridged(v.CATALOG.frame(spark), v.BRIDGE.frame(spark).select("vt_id", "table"), v.SLOTS.frame(spark)).withColumn("alias", F.explode("aliases"))
+    rows = joins.bridged(v.CATALOG.frame(spark, sf), v.BRIDGE.frame(spark, sf).select("vt_id", "table"), v.SLOTS.frame(spark, sf)).withColumn("alias", F.explode("aliases"))
     name, alias = F.lower("field"), F.col("alias")
     literal = F.when(F.col("comment") == alias, 1.0).when(F.contains("comment", alias), 0.8).when(F.contains(name, alias), 0.7).otherwise(0.0)
     best = F.greatest(text.jaccard(text.tokens(F.col("field")), F.split("alias", " ")), text.edit_similarity(name, alias), literal)
@@ -362,7 +366,7 @@ def lexical(spark: SparkSession) -> DataFrame:
 
 @query(f"with {_X13} select \"table\", field, vt_id, slot, slot_index, round(lexical, 6) as lexical from l")
 def x13_lexical_score(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical(spark).withColumn("lexical", F.round("lexical", 6))
+    return lexical(spark, sf).withColumn("lexical", F.round("lexical", 6))
 
 
 _X14 = f"""p as (select "table", field, list(pattern) as found, list_distinct(flatten(list(coalesce(near, [])))) as near from r left join (select pattern, list(neighbour) as near from adjacent group by 1) using (pattern) where i <= 2 group by all),
@@ -370,18 +374,18 @@ q as (select c."table", c.field, s.vt_id, s.slot_index, cast(case when len(coale
   from catalog c join bridge b using ("table") join slots s using (vt_id) left join p using ("table", field))"""
 
 
-def pattern_scores(spark: SparkSession) -> DataFrame:
-    rows = v.CATALOG.frame(spark).select("table", "field", text.samples(F.col("sample_data")).alias("values"))
+def pattern_scores(spark: SparkSession, sf: str | None) -> DataFrame:
+    rows = v.CATALOG.frame(spark, sf).select("table", "field", text.samples(F.col("sample_data")).alias("values"))
     found = voted(spark, rows, ["table", "field"], "values")
     near = found.select("table", "field", F.explode("patterns").alias("pattern")).join(F.broadcast(v.ADJACENT.frame(spark)), "pattern").groupBy("table", "field").agg(F.collect_set("neighbour").alias("near"))
-    both = joins.bridged(v.CATALOG.frame(spark), v.BRIDGE.frame(spark).select("vt_id", "table"), v.SLOTS.frame(spark).withColumnRenamed("patterns", "wanted")).join(found, ["table", "field"], "left").join(near, ["table", "field"], "left")
+    both = joins.bridged(v.CATALOG.frame(spark, sf), v.BRIDGE.frame(spark, sf).select("vt_id", "table"), v.SLOTS.frame(spark, sf).withColumnRenamed("patterns", "wanted")).join(found, ["table", "field"], "left").join(near, ["table", "field"], "left")
     none = F.array().cast("array<string>")
     return both.select("table", "field", "vt_id", "slot_index", scores.pattern_score(F.coalesce("patterns", none), F.col("wanted"), F.coalesce("near", none)).alias("pattern_score"))
 
 
 @query(f"{_VOTES}, {v.SLOTS.cte()}, {v.BRIDGE.cte()}, {v.ADJACENT.cte()}, {_X14} select \"table\", field, vt_id, slot_index, pattern_score from q")
 def x14_pattern_score(spark: SparkSession, sf: str) -> DataFrame:
-    return pattern_scores(spark)
+    return pattern_scores(spark, sf)
 
 
 _BONUS = {("fact", "time"): 0.3, ("fact", "measure"): 0.2, ("entity", "display"): 0.3}
@@ -392,7 +396,7 @@ _BONUS = {("fact", "time"): 0.3, ("fact", "measure"): 0.2, ("entity", "display")
 def x15_context_score(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = v.SLOTS.frame(spark).join(v.SCAFFOLD.frame(spark), "vt_id")
+    rows = v.SLOTS.frame(spark, sf).join(v.SCAFFOLD.frame(spark, sf), "vt_id")
     together = F.count_if(F.col("role") == "key").over(Window.partitionBy("vt_id")) > 0
     return rows.select("vt_id", "slot_index", F.round(scores.context_score(F.col("table_type"), F.col("types"), F.col("role"), _BONUS, together), 6).alias("context"))
 
@@ -403,7 +407,7 @@ _WEIGHTS = {"role_where": 0.4, "role_join": 0.3, "role_select": 0.2, "usage_coun
 @query(f"""with {v.USAGE.cte()}, u as (select "table", field, sum(usage_count) as usage_count, sum(role_select) as role_select, sum(role_where) as role_where, sum(role_join) as role_join from usage_stats group by all), m as (select max(usage_count) a, max(role_select) b, max(role_where) c, max(role_join) d from u)
 select "table", field, round(0.4 * least(1, ln(1 + role_where) / ln(1 + c)) + 0.3 * least(1, ln(1 + role_join) / ln(1 + d)) + 0.2 * least(1, ln(1 + role_select) / ln(1 + b)) + 0.1 * least(1, ln(1 + usage_count) / ln(1 + a)), 6) as usage from u, m""")
 def x16_usage_score(spark: SparkSession, sf: str) -> DataFrame:
-    u = v.USAGE.frame(spark).groupBy("table", "field").agg(*[F.sum(c).alias(c) for c in _WEIGHTS])
+    u = v.USAGE.frame(spark, sf).groupBy("table", "field").agg(*[F.sum(c).alias(c) for c in _WEIGHTS])
     rows = u.join(F.broadcast(u.agg(*[F.max(c).alias(f"m_{c}") for c in _WEIGHTS])))
     return rows.select("table", "field", F.round(scores.usage_score({c: (F.col(c), F.col(f"m_{c}")) for c in _WEIGHTS}, _WEIGHTS), 6).alias("usage"))
 
@@ -444,7 +448,7 @@ def x21_tier(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     first = F.col("slot_index") == F.min(F.when(F.col("role") == "time", F.col("slot_index"))).over(Window.partitionBy("vt_id"))
-    rows = v.SLOTS.frame(spark).withColumn("first", F.coalesce(first, F.lit(False))).join(v.BRIDGE.frame(spark).groupBy("vt_id").agg(F.count("*").alias("sources")), "vt_id")
+    rows = v.SLOTS.frame(spark, sf).withColumn("first", F.coalesce(first, F.lit(False))).join(v.BRIDGE.frame(spark, sf).groupBy("vt_id").agg(F.count("*").alias("sources")), "vt_id")
     return rows.select("vt_id", "slot_index", scores.tier(F.col("role"), F.col("first"), F.col("name"), F.col("sources")).alias("tier"))
 
 
@@ -465,17 +469,17 @@ def x24_suggested_action(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     n = F.count("*").over(Window.partitionBy("field")) + F.length("field") % 3
-    return v.CATALOG.frame(spark).withColumn("tables", n).select("table", "field", scores.suggested_action(F.col("comment").isNull(), F.col("tables"), F.col("field")).alias("action"))
+    return v.CATALOG.frame(spark, sf).withColumn("tables", n).select("table", "field", scores.suggested_action(F.col("comment").isNull(), F.col("tables"), F.col("field")).alias("action"))
 
 
 @query(f"with {v.SCAFFOLD.cte()} select vt_id, case when contains(lower(topic), 'order') or contains(lower(topic), 'activity') then 'fact' when contains(lower(topic), 'customer') then 'entity' when contains(lower(topic), 'place') then 'dictionary' else 'fact' end as kind from scaffold")
 def x25_table_type(spark: SparkSession, sf: str) -> DataFrame:
-    return v.SCAFFOLD.frame(spark).select("vt_id", scores.first_matching(F.col("topic"), {"fact": ["order", "activity"], "entity": ["customer"], "dictionary": ["place"]}, "fact").alias("kind"))
+    return v.SCAFFOLD.frame(spark, sf).select("vt_id", scores.first_matching(F.col("topic"), {"fact": ["order", "activity"], "entity": ["customer"], "dictionary": ["place"]}, "fact").alias("kind"))
 
 
 @query(f"with {v.SCAFFOLD.cte()} select vt_id, topic || ' ' || topic || ' ' || topic || ' ' || l2 || ' ' || l2 || ' ' || l1 as text from scaffold")
 def x26_weighted_text(spark: SparkSession, sf: str) -> DataFrame:
-    return v.SCAFFOLD.frame(spark).select("vt_id", text.weighted_text([(F.col("topic"), 3), (F.col("l2"), 2), (F.lit(" "), 2), (F.col("l1"), 1)]).alias("text"))
+    return v.SCAFFOLD.frame(spark, sf).select("vt_id", text.weighted_text([(F.col("topic"), 3), (F.col("l2"), 2), (F.lit(" "), 2), (F.col("l1"), 1)]).alias("text"))
 
 
 @query("select event_id, case when event_id % 5 = 0 then null else cast(json_extract(props, '$.k') as bigint) end as k from events")

@@ -15,21 +15,21 @@ from tessera.plans.registry import query, read
 
 @query(f"with {v.CATALOG.cte()}, {v.USAGE.cte()} select c.\"table\", c.field, sum(u.usage_count) as usage_count, sum(u.role_join) as role_join from catalog c left join usage_stats u using (\"table\", field) group by all")
 def j1_left_with_usage(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.with_usage(v.CATALOG.frame(spark), v.USAGE.frame(spark), ["table", "field"]).select("table", "field", "usage_count", "role_join")
+    return joins.with_usage(v.CATALOG.frame(spark, sf), v.USAGE.frame(spark, sf), ["table", "field"]).select("table", "field", "usage_count", "role_join")
 
 
 _RESULTS = "results as (select \"table\", field, vt_id, arg_max(slot, lexical - slot_index / 1e6) as slot, max(lexical) as score from l group by all)"
 
 
-def results(spark: SparkSession) -> DataFrame:
+def results(spark: SparkSession, sf: str | None) -> DataFrame:
     """(table, field, vt_id, slot, score): the best slot of each column and topic by its lexical score."""
-    best = ranking.top(lexical(spark), 1, ["table", "field", "vt_id"], [F.col("lexical").desc(), F.col("slot_index")])
+    best = ranking.top(lexical(spark, sf), 1, ["table", "field", "vt_id"], [F.col("lexical").desc(), F.col("slot_index")])
     return best.select("table", "field", "vt_id", "slot", F.col("lexical").alias("score"))
 
 
 @query(f"with {_X13}, {_RESULTS}, {v.REVIEWS.cte()} select \"table\", field, vt_id, slot, round(score, 6) as score, decision, decision_slot from results full join reviews using (\"table\", field, vt_id)")
 def j2_full_with_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.overlaid(results(spark).withColumn("score", F.round("score", 6)), v.REVIEWS.frame(spark), ["table", "field", "vt_id"])
+    return joins.overlaid(results(spark, sf).withColumn("score", F.round("score", 6)), v.REVIEWS.frame(spark, sf), ["table", "field", "vt_id"])
 
 
 @query("select a.o_custkey, a.best = b.latest as agree from (select o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) as best from orders group by 1) a join (select o_custkey, arg_max(o_orderkey, (o_orderdate, -o_orderkey)) as latest from orders group by 1) b using (o_custkey)")
@@ -53,12 +53,12 @@ def j5_lookup_with_default(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {v.CATALOG.cte()}, {v.BRIDGE.cte()}, {v.SLOTS.cte()} select \"table\", field, vt_id, slot_index from catalog join bridge using (\"table\") join slots using (vt_id)")
 def j6_bridge(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.bridged(v.CATALOG.frame(spark), v.BRIDGE.frame(spark), v.SLOTS.frame(spark)).select("table", "field", "vt_id", "slot_index")
+    return joins.bridged(v.CATALOG.frame(spark, sf), v.BRIDGE.frame(spark, sf), v.SLOTS.frame(spark, sf)).select("table", "field", "vt_id", "slot_index")
 
 
 @query(f"with {v.SLOTS.cte()}, {v.LIBRARY.cte()} select s.name, s.vt_id, coalesce(nullif(s.role, 'display'), l.role) as role, l.label from slots s left join library l using (name)")
 def j7_reference_filled(spark: SparkSession, sf: str) -> DataFrame:
-    refs = v.SLOTS.frame(spark).select("name", "vt_id", F.nullif("role", F.lit("display")).alias("role"), F.lit(None).cast("string").alias("label"))
+    refs = v.SLOTS.frame(spark, sf).select("name", "vt_id", F.nullif("role", F.lit("display")).alias("role"), F.lit(None).cast("string").alias("label"))
     return joins.filled(refs, v.LIBRARY.frame(spark), "name", ["role", "label"])
 
 
@@ -78,14 +78,14 @@ def j10_pairs_sharing(spark: SparkSession, sf: str) -> DataFrame:
     return joins.sharing_pairs(read(spark, sf, "supplier"), "s_suppkey", "s_nationkey")
 
 
-@query(f"with {v.QUESTIONS.cte()}, {v.SCAFFOLD.cte()} select question_id, vt_id, levenshtein(query_text, topic) as distance from questions, scaffold")
+@query(f"with {v.QUESTIONS.cte()}, {v.SCAFFOLD.cte(base=True)} select question_id, vt_id, levenshtein(query_text, topic) as distance from questions, scaffold")
 def j11_cross_score(spark: SparkSession, sf: str) -> DataFrame:
-    return v.QUESTIONS.frame(spark).join(F.broadcast(v.SCAFFOLD.frame(spark))).select("question_id", "vt_id", F.levenshtein("query_text", "topic").cast("long").alias("distance"))
+    return v.QUESTIONS.frame(spark, sf).join(F.broadcast(v.SCAFFOLD.frame(spark))).select("question_id", "vt_id", F.levenshtein("query_text", "topic").cast("long").alias("distance"))
 
 
 @query(f"with {v.QUESTIONS.cte()}, {v.BRIDGE.cte()}, e as (select question_id, unnest(tables) as \"table\" from questions) select question_id, string_agg(distinct vt_id, ',' order by vt_id) as topics from e join bridge using (\"table\") group by 1")
 def j12_tables_to_topics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.QUESTIONS.frame(spark).select("question_id", F.explode("tables").alias("table")).join(v.BRIDGE.frame(spark), "table")
+    rows = v.QUESTIONS.frame(spark, sf).select("question_id", F.explode("tables").alias("table")).join(v.BRIDGE.frame(spark, sf), "table")
     return rows.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("vt_id")), ",").alias("topics"))
 
 
@@ -112,7 +112,7 @@ def a4_count_distinct(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {v.CATALOG.cte()} select \"table\", bool_or(ends_with(field, 'key') or ends_with(field, 'id')) as has_key, bool_or(type = 'timestamp') as has_time, bool_or(coalesce(contains(comment, 'region') or contains(comment, 'nation'), false)) as has_place from catalog group by 1")
 def a5_flags(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("comment")
-    return v.CATALOG.frame(spark).groupBy("table").agg(
+    return v.CATALOG.frame(spark, sf).groupBy("table").agg(
         F.bool_or(F.endswith("field", F.lit("key")) | F.endswith("field", F.lit("id"))).alias("has_key"), F.bool_or(F.col("type") == "timestamp").alias("has_time"), F.bool_or(F.coalesce(F.contains(c, F.lit("region")) | F.contains(c, F.lit("nation")), F.lit(False))).alias("has_place")
     )
 
@@ -203,7 +203,7 @@ def a18_covering_names(spark: SparkSession, sf: str) -> DataFrame:
 select 'repeat' as issue, name, count(*) as n from e group by name having count(*) > 1 union all select 'same path', name, count(*) from e group by l1, l2, name having count(*) > 1
 union all select 'base clash', name, count(*) from e where name in (select name from library) group by name union all select 'roles', name, count(distinct role) from e group by name having count(distinct role) > 1""")
 def a19_naming_issues(spark: SparkSession, sf: str) -> DataFrame:
-    e = v.SLOTS.frame(spark).join(v.SCAFFOLD.frame(spark), "vt_id").where("origin = 'extended'")
+    e = v.SLOTS.frame(spark, sf).join(v.SCAFFOLD.frame(spark, sf), "vt_id").where("origin = 'extended'")
     issue = lambda kind, by, n: e.groupBy(*by).agg(n.alias("n")).where("n > 1").select(F.lit(kind).alias("issue"), "name", "n")
     clash = e.join(v.LIBRARY.frame(spark).select("name"), "name", "left_semi").groupBy("name").agg(F.count("*").alias("n")).select(F.lit("base clash").alias("issue"), "name", "n")
     return issue("repeat", ["name"], F.count("*")).unionByName(issue("same path", ["l1", "l2", "name"], F.count("*"))).unionByName(issue("roles", ["name"], F.count_distinct("role"))).unionByName(clash)
@@ -273,7 +273,7 @@ def w7_two_best(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {v.SLOTS.cte()} select vt_id, min(slot_index) filter (role = 'time') as first_time, min(slot_index) filter (role = 'key') as first_key from slots group by 1")
 def w8_first_of_role(spark: SparkSession, sf: str) -> DataFrame:
-    return v.SLOTS.frame(spark).groupBy("vt_id").agg(F.min(F.when(F.col("role") == "time", F.col("slot_index"))).alias("first_time"), F.min(F.when(F.col("role") == "key", F.col("slot_index"))).alias("first_key"))
+    return v.SLOTS.frame(spark, sf).groupBy("vt_id").agg(F.min(F.when(F.col("role") == "time", F.col("slot_index"))).alias("first_time"), F.min(F.when(F.col("role") == "key", F.col("slot_index"))).alias("first_key"))
 
 
 @query("select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 0 when 'O' then 1 end nulls last, o_totalprice desc, o_orderkey) as place from orders")
@@ -333,7 +333,7 @@ def u2_ordered_distinct(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {v.QUESTIONS.cte()} select min(question_id) as question_id, query_text from questions where query_text <> '' group by query_text, list_sort(tables)")
 def u3_distinct_questions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.QUESTIONS.frame(spark).where("query_text <> ''").withColumn("key", F.concat_ws("|", F.array_sort("tables")))
+    rows = v.QUESTIONS.frame(spark, sf).where("query_text <> ''").withColumn("key", F.concat_ws("|", F.array_sort("tables")))
     return rows.groupBy("query_text", "key").agg(F.min("question_id").alias("question_id")).select("question_id", "query_text")
 
 
@@ -363,4 +363,4 @@ def u6_jaccard_and_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def u7_merged_sources(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.operators.edits import absorbed
 
-    return absorbed(v.BRIDGE.frame(spark), v.MERGES.frame(spark))
+    return absorbed(v.BRIDGE.frame(spark, sf), v.MERGES.frame(spark))

@@ -9,7 +9,7 @@ from tessera.functions import text
 from tessera.operators import cluster, edits, graph, joins, retrieval
 from tessera.operators.ranking import placed
 from tessera.plans import vocabularies as v
-from tessera.plans.columns import _X13
+from tessera.plans.columns import _X13, _x13
 from tessera.plans.grouping import _RESULTS, results
 from tessera.plans.registry import query, read
 
@@ -111,43 +111,43 @@ def g9_rename_plan(spark: SparkSession, sf: str) -> DataFrame:
 _RENAMED = "rn as (select s.*, coalesce(r.after, s.name) as new_name from slots s left join renames r on s.vt_id = r.vt_id and s.name = r.before and s.origin = 'extended' and s.slot_index = (select min(x.slot_index) from slots x where x.vt_id = s.vt_id and x.name = s.name and x.origin = 'extended'))"
 
 
-def _state(spark: SparkSession) -> DataFrame:
-    return v.SLOTS.frame(spark).select("vt_id", "slot_index", "name", "origin", "role")
+def _state(spark: SparkSession, sf: str | None) -> DataFrame:
+    return v.SLOTS.frame(spark, sf).select("vt_id", "slot_index", "name", "origin", "role")
 
 
 @query(f"with {v.SLOTS.cte()}, {v.RENAMES.cte()}, {_RENAMED} select vt_id, slot_index, new_name as name from rn")
 def m1_batch_rename(spark: SparkSession, sf: str) -> DataFrame:
-    return edits.renamed(_state(spark), v.RENAMES.frame(spark)).select("vt_id", "slot_index", "name")
+    return edits.renamed(_state(spark, sf), v.RENAMES.frame(spark, sf)).select("vt_id", "slot_index", "name")
 
 
 @query(f"with {_X13}, {_RESULTS}, {v.RENAMES.cte()} select \"table\", field, vt_id, coalesce(after, slot) as slot from results left join renames using (vt_id) where before = slot or before is null union all select \"table\", field, vt_id, slot from results where vt_id in (select vt_id from renames) and slot not in (select before from renames n where n.vt_id = results.vt_id)")
 def m1_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return edits.cascaded(results(spark).select("table", "field", "vt_id", "slot"), v.RENAMES.frame(spark), ["slot"]).select("table", "field", "vt_id", "slot")
+    return edits.cascaded(results(spark, sf).select("table", "field", "vt_id", "slot"), v.RENAMES.frame(spark, sf), ["slot"]).select("table", "field", "vt_id", "slot")
 
 
 @query(f"with {v.SLOTS.cte()} select vt_id, slot_index, case when vt_id = 'vt_text' and name = 'label' and origin = 'extended' then 'label_text' else name end as name, case when vt_id = 'vt_text' and name = 'label' then 'base' else origin end as origin from slots")
 def m2_promote(spark: SparkSession, sf: str) -> DataFrame:
     members = spark.createDataFrame([("vt_text", "label", "label_text")], "vt_id string, name string, base_name string")
-    return edits.promoted(_state(spark), v.LIBRARY.frame(spark), members)[0].select("vt_id", "slot_index", "name", "origin")
+    return edits.promoted(_state(spark, sf), v.LIBRARY.frame(spark), members)[0].select("vt_id", "slot_index", "name", "origin")
 
 
 @query(f"with {v.BRIDGE.cte()} select vt_id, \"table\" from bridge union select 'vt_sales', r_name from region")
 def m3_idempotent_add(spark: SparkSession, sf: str) -> DataFrame:
-    new, base = read(spark, sf, "region").select(F.lit("vt_sales").alias("vt_id"), F.col("r_name").alias("table")), v.BRIDGE.frame(spark).select("vt_id", "table")
+    new, base = read(spark, sf, "region").select(F.lit("vt_sales").alias("vt_id"), F.col("r_name").alias("table")), v.BRIDGE.frame(spark, sf).select("vt_id", "table")
     once = edits.added(base, new, ["vt_id", "table"])
     return edits.added(once, new, ["vt_id", "table"])
 
 
-@query(f"with {v.SLOTS.cte()} select vt_id, slot_index, name, 3 as version from slots where vt_id in ('vt_sales', 'vt_text')")
+@query(f"with {v.SLOTS.cte()}, {v.RENAMES.cte()} select vt_id, slot_index, name, 3 as version from slots where vt_id in (select vt_id from renames)")
 def m4_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return edits.snapshot(_state(spark), v.RENAMES.frame(spark), ["vt_id"], 3).select("vt_id", "slot_index", "name", "version")
+    return edits.snapshot(_state(spark, sf), v.RENAMES.frame(spark, sf), ["vt_id"], 3).select("vt_id", "slot_index", "name", "version")
 
 
 @query(f"with {v.SLOTS.cte()} select vt_id, slot_index, name from slots")
 def m5_revert_renames(spark: SparkSession, sf: str) -> DataFrame:
     """Two batches of renames, then back to the start: the rows are those before."""
-    before = _state(spark)
-    one = edits.renamed(before, v.RENAMES.frame(spark))
+    before = _state(spark, sf)
+    one = edits.renamed(before, v.RENAMES.frame(spark, sf))
     second = spark.createDataFrame([("vt_sales", "net_price", "gross"), ("vt_text", "language", "label2")], "vt_id string, before string, after string")
     two = edits.renamed(one, second)
     log = edits.rename_log(before, one, 1).unionByName(edits.rename_log(one, two, 2))
@@ -187,25 +187,25 @@ def m10_seed_sync(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {v.SLOTS.cte()}, {v.LIBRARY.cte()} select 'vt_new' as vt_id, name from library union all select vt_id, name from slots where vt_id = 'vt_sales' and name not in (select name from library)")
 def m11_manual_kept(spark: SparkSession, sf: str) -> DataFrame:
-    made, manual = v.LIBRARY.frame(spark).select(F.lit("vt_new").alias("vt_id"), "name"), _state(spark).where("vt_id = 'vt_sales'").select("vt_id", "name")
+    made, manual = v.LIBRARY.frame(spark).select(F.lit("vt_new").alias("vt_id"), "name"), _state(spark, sf).where("vt_id = 'vt_sales'").select("vt_id", "name")
     return edits.added(made, manual, ["name"])
 
 
 @query(f"with {v.CATALOG.cte()}, m as (select \"table\", field, case when length(field) % 2 = 0 then comment end as comment from catalog where \"table\" in ('orders', 'customer')), r as (select \"table\", field, comment from catalog where \"table\" in ('orders', 'region')) select \"table\", field, case when m.field is null then r.comment when trim(coalesce(m.comment, '')) = '' and r.comment is not null then r.comment else m.comment end as comment, case when m.field is null then 'added' when r.field is null then 'kept' when trim(coalesce(m.comment, '')) = '' and r.comment is not null then 'filled' else 'same' end as outcome from m full join r using (\"table\", field)")
 def m12_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    c = v.CATALOG.frame(spark).select("table", "field", "comment")
+    c = v.CATALOG.frame(spark, sf).select("table", "field", "comment")
     mapped = c.where(F.col("table").isin("orders", "customer")).withColumn("comment", F.when(F.length("field") % 2 == 0, F.col("comment")))
     return edits.backfill(mapped, c.where(F.col("table").isin("orders", "region")), ["table", "field"])
 
 
 @query(f"with {v.SCAFFOLD.cte()}, {v.MERGES.cte()} select vt_id, topic from scaffold where vt_id not in (select absorbed from merges)")
 def m13_merged_topics(spark: SparkSession, sf: str) -> DataFrame:
-    return edits.removed(v.SCAFFOLD.frame(spark), v.MERGES.frame(spark).select(F.col("absorbed").alias("vt_id")), ["vt_id"]).select("vt_id", "topic")
+    return edits.removed(v.SCAFFOLD.frame(spark, sf), v.MERGES.frame(spark).select(F.col("absorbed").alias("vt_id")), ["vt_id"]).select("vt_id", "topic")
 
 
 @query(f"with {v.SCAFFOLD.cte()} select vt_id, case l1 when 'sales' then 'commerce' else l1 end as l1, l2 from scaffold")
 def m14_category_rename(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.SCAFFOLD.frame(spark).withColumn("l2_path", F.array("l1", "l2"))
+    rows = v.SCAFFOLD.frame(spark, sf).withColumn("l2_path", F.array("l1", "l2"))
     return edits.category_renamed(rows, 1, "sales", "commerce").select("vt_id", F.get("l2_path", F.lit(0)).alias("l1"), F.get("l2_path", F.lit(1)).alias("l2"))
 
 
@@ -217,31 +217,31 @@ def m15_rule_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {_X13}, {_RESULTS}, b as (select \"table\", field, vt_id, slot from results) select a.\"table\", a.field, a.vt_id, a.slot, string_agg(b.field, ',' order by b.field) as aliases from b a join b on a.vt_id = b.vt_id and a.slot = b.slot and (a.\"table\", a.field) <> (b.\"table\", b.field) group by all")
 def m16_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    rows = results(spark).select("table", "field", "vt_id", "slot").withColumn("aliases", F.array().cast("array<string>"))
+    rows = results(spark, sf).select("table", "field", "vt_id", "slot").withColumn("aliases", F.array().cast("array<string>"))
     return edits.anchored(rows, rows, ["table", "field"]).where(F.size("aliases") > 0).withColumn("aliases", F.array_join(F.array_sort("aliases"), ","))
 
 
 @query(f"with {_X13}, {_RESULTS}, {v.REVIEWS.cte()} select \"table\", field, vt_id, case when decision in ('noise', 'skip') then null else coalesce(decision_slot, slot) end as slot, case when decision like 'take_%' then 'manual' when decision = 'new_slot' then 'manual_new' when decision in ('noise', 'skip') then decision else 'auto' end as status from results left join reviews using (\"table\", field, vt_id)")
 def m17_review_override(spark: SparkSession, sf: str) -> DataFrame:
-    rows = results(spark).withColumn("status", F.lit("auto"))
-    return edits.decided(rows, v.REVIEWS.frame(spark), ["table", "field", "vt_id"]).select("table", "field", "vt_id", "slot", "status")
+    rows = results(spark, sf).withColumn("status", F.lit("auto"))
+    return edits.decided(rows, v.REVIEWS.frame(spark, sf), ["table", "field", "vt_id"]).select("table", "field", "vt_id", "slot", "status")
 
 
 @query(f"with {v.SLOTS.cte()}, {v.LIBRARY.cte()}, s as (select *, count(*) over (partition by vt_id, name) as times from slots) select vt_id, slot_index, case when times > 1 then 'repeated' when origin = 'base' and name not in (select name from library where name <> 'text') then 'unknown base' end as error from s where times > 1 or (origin = 'base' and name not in (select name from library where name <> 'text'))")
 def m18_replace_check(spark: SparkSession, sf: str) -> DataFrame:
-    return edits.slot_errors(_state(spark), v.LIBRARY.frame(spark).where("name <> 'text'"))
+    return edits.slot_errors(_state(spark, sf), v.LIBRARY.frame(spark).where("name <> 'text'"))
 
 
 @query(f"with {v.SCAFFOLD.cte()} select vt_id, topic from scaffold where vt_id <> 'vt_click' union all select 'vt_new', 'parts'")
 def m19_topic_edits(spark: SparkSession, sf: str) -> DataFrame:
-    base = v.SCAFFOLD.frame(spark).select("vt_id", "topic")
+    base = v.SCAFFOLD.frame(spark, sf).select("vt_id", "topic")
     new = spark.createDataFrame([("vt_new", "parts")], "vt_id string, topic string")
     return edits.removed(edits.upsert(base, new, ["vt_id"]), base.where("vt_id = 'vt_click'"), ["vt_id"])
 
 
 @query(f"with {v.LIBRARY.cte()}, {v.SLOTS.cte()} select name, name in (select name from slots where origin = 'base') as in_use from library")
 def m20_library_references(spark: SparkSession, sf: str) -> DataFrame:
-    used = _state(spark).where("origin = 'base'").select("name").distinct().withColumn("in_use", F.lit(True))
+    used = _state(spark, sf).where("origin = 'base'").select("name").distinct().withColumn("in_use", F.lit(True))
     return v.LIBRARY.frame(spark).join(used, "name", "left").select("name", F.coalesce("in_use", F.lit(False)).alias("in_use"))
 
 
@@ -258,17 +258,17 @@ def m21_proposals(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {v.CATALOG.cte()}, {v.USAGE.cte()}, {v.REVIEWS.cte()}, {v.SLOTS.cte()}, {v.BRIDGE.cte()} select distinct c.\"table\", c.field from catalog c semi join usage_stats u using (\"table\", field) anti join reviews r using (\"table\", field) where not exists (select 1 from bridge b join slots s using (vt_id) where b.\"table\" = c.\"table\" and len(list_filter(s.aliases, lambda a: contains(c.comment, a))) > 0)")
 def m22_extra_candidates(spark: SparkSession, sf: str) -> DataFrame:
     key = ["table", "field"]
-    rows = v.CATALOG.frame(spark).join(v.USAGE.frame(spark), key, "left_semi").join(v.REVIEWS.frame(spark), key, "left_anti")
-    covered = joins.bridged(rows, v.BRIDGE.frame(spark), v.SLOTS.frame(spark)).where(F.exists("aliases", lambda a: F.contains("comment", a)))
+    rows = v.CATALOG.frame(spark, sf).join(v.USAGE.frame(spark, sf), key, "left_semi").join(v.REVIEWS.frame(spark, sf), key, "left_anti")
+    covered = joins.bridged(rows, v.BRIDGE.frame(spark, sf), v.SLOTS.frame(spark, sf)).where(F.exists("aliases", lambda a: F.contains("comment", a)))
     return rows.join(covered.select(*key), key, "left_anti").select(*key).distinct()
 
 
-@query(f"with {_X13}, {_RESULTS} select \"table\", field, vt_id, case when vt_id = 'vt_sales' then round(score, 6) else 0.0 end as score from results")
+@query(f"with {_x13(base=True)}, {_RESULTS} select \"table\", field, vt_id, case when vt_id = 'vt_sales' then round(score, 6) else 0.0 end as score from results")
 def m23_recompute_one(spark: SparkSession, sf: str) -> DataFrame:
     """One topic is computed anew and its rows replaced; all others keep what they had (0 here)."""
     from tessera.sources.files import overwrite_keys, workspace
 
-    path, all_rows = workspace(spark, "scores"), results(spark).select("table", "field", "score", "vt_id")
+    path, all_rows = workspace(spark, "scores"), results(spark, None).select("table", "field", "score", "vt_id")
     overwrite_keys(all_rows.withColumn("score", F.lit(0.0)), path, "vt_id")
     overwrite_keys(all_rows.where("vt_id = 'vt_sales'").withColumn("score", F.round("score", 6)), path, "vt_id")
     return spark.read.schema("`table` string, field string, score double, vt_id string").parquet(path)

@@ -22,7 +22,7 @@ select "table", field, vt_id, top1_slot, round(a, 6) as top1_score, top2_slot, r
 case when a - coalesce(b, 0) < 0.05 and a >= 0.45 then 'conflict' when a >= 0.65 and a - coalesce(b, 0) >= 0.10 then 'auto' when a >= 0.45 then 'review' else 'low' end as status from w"""
 )
 def matched_columns(spark: SparkSession, sf: str) -> DataFrame:
-    both = lexical(spark).join(pattern_scores(spark), [*_KEY, "slot_index"])
+    both = lexical(spark, sf).join(pattern_scores(spark, sf), [*_KEY, "slot_index"])
     rows = both.withColumn("score", 0.6 * F.col("lexical") + 0.4 * F.col("pattern_score"))
     wide = ranking.widened(rows, 3, _KEY, [F.round("score", 9).desc(), F.col("slot_index")], ["slot", "score"])
     status = scores.status(F.col("top1_score"), F.col("top2_score")).alias("status")

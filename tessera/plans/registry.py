@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,16 +38,25 @@ def _literal(x: object) -> str:
 
 
 class Vocabulary:
-    """A small table that both engines get: frame() for Spark, cte() for DuckDB."""
+    """A table that both engines get: frame() for Spark, cte() for DuckDB.
 
-    def __init__(self, name: str, schema: str, rows: list[tuple]) -> None:
-        self.name, self.schema, self.rows = name, schema, rows
+    Some rows are written down; `grown` adds rows that follow the test tables, as a function (spark, sf_dir) and the same in SQL. Without
+    sf_dir, or with base, a table is the written rows only.
+    """
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def __init__(self, name: str, schema: str, rows: list[tuple], grown: tuple[Callable[[SparkSession, str], DataFrame], str] | None = None) -> None:
+        self.name, self.schema, self.rows, self.grown = name, schema, rows, grown
 
-    def cte(self) -> str:
+    def frame(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+        base = spark.createDataFrame(self.rows, self.schema)
+        if not self.grown or sf_dir is None:
+            return base
+        return base.unionByName(self.grown[0](spark, sf_dir).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in base.schema]))
+
+    def cte(self, base: bool = False) -> str:
         kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "array<string>": "VARCHAR[]", "boolean": "BOOLEAN"}
         columns = [c.strip().split(" ", 1) for c in self.schema.split(",")]
         rows = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
-        return f"{self.name} as (select {', '.join(f'cast(c{i} as {kinds[k]}) as {n}' for i, (n, k) in enumerate(columns))} from (values {rows}) v({', '.join(f'c{i}' for i in range(len(columns)))}))"
+        written = f"select {', '.join(f'cast(c{i} as {kinds[k]}) as "{n}"' for i, (n, k) in enumerate(columns))} from (values {rows}) v({', '.join(f'c{i}' for i in range(len(columns)))})"
+        more = f" union all select {', '.join(f'cast("{n}" as {kinds[k]}) as "{n}"' for n, k in columns)} from ({self.grown[1]}) more" if self.grown and not base else ""
+        return f"{self.name} as ({written}{more})"
