@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed: what counts as an absent value in a sample.
-NULL_TOKENS = ("", "null", "none", "nan", "na", "n/a", "-", "--", "\\n", "undefined")
+#: What counts as an absent value among the samples of a column, as it is written.
+NULL_TOKENS = ("", "null", "Null", "NULL", "NaN", "nan", "None", "\\N", "-", "--")
+#: The words, lower-cased, that make a whole sample text empty.
+EMPTY_WORDS = ("", "null", "nan", "none", "-")
 PUNCTUATION = r"[\s,.;:!?/\\|()\[\]{}<>\"'_\-]+"
 
 
@@ -56,9 +58,23 @@ def samples(packed: Column, most: int = 5) -> Column:
     return F.slice(parts, 1, most)
 
 
-def blank_samples(packed: Column) -> Column:
-    """Whether there is no sample, or null-like ones only."""
-    return F.coalesce(F.forall(F.split(F.lower(packed), r"\|"), lambda s: F.trim(s).isin(*NULL_TOKENS)), F.lit(True))
+def blank_samples(packed: Column, absent: tuple[str, ...] = NULL_TOKENS) -> Column:
+    """Whether a sample column packed with | has no value, or absent ones only."""
+    return F.coalesce(F.forall(F.split(packed, r"\|"), lambda s: F.trim(s).isin(*absent)), F.lit(True))
+
+
+def empty_sample(packed: Column, absent: tuple[str, ...] = EMPTY_WORDS) -> Column:
+    """Whether a sample text is nothing but separators, blanks and words for nothing, however they are written."""
+    return F.coalesce(F.forall(F.split(F.lower(packed), r"[|\s]+"), lambda s: s.isin(*absent)), F.lit(True))
+
+
+def token_set(text: Column) -> Column:
+    """The lower-cased pieces of a text between separators, and the character pairs of its Chinese runs; each once. Null or empty: none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    pieces = F.filter(F.split(low, "[\\s_\\-,，/、()（）:：]+"), lambda t: t != "")
+    runs = F.filter(F.regexp_extract_all(low, F.lit("[一-鿿]+"), F.lit(0)), lambda r: F.length(r) >= 2)
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_distinct(F.concat(pieces, pairs))
 
 
 def lengths(values: Column) -> Column:
@@ -95,9 +111,13 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def glob_regex(glob: Column) -> Column:
-    """A glob of * and ? as an anchored regular expression, lower-cased."""
-    plain = F.regexp_replace(F.lower(glob), r"([.^$+(){}\[\]|\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(F.replace(plain, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """A glob of *, ?, [seq] and [!seq] as an anchored regular expression, lower-cased. A bracket that isn't closed stands for itself."""
+    plain = F.regexp_replace(F.lower(glob), r"([.^$+(){}|\\])", r"\\$1")
+    plain = F.regexp_replace(plain, r"\[(?!!?[^\[]+\])", r"\\[")
+    plain = F.regexp_replace(plain, r"\[!", "[^")
+    outside = r"(?![^\[]*\])"  # wildcards within brackets are themselves
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\*" + outside, ".*"), r"\?" + outside, ".")
+    return F.concat(F.lit("^"), plain, F.lit("$"))
 
 
 def badly_named(name: Column, syllables: list[str], share: float = 0.6) -> Column:

@@ -46,13 +46,21 @@ def s4_json_scan(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(kinds).json(path).select("r_name", F.explode("nations").alias("n")).select("r_name", "n.*")
 
 
-@query("select 'orders by ' || r_name as query, r_name || ',' || r_regionkey as tables from region")
+@query("""select 'orders by ' || r_name as query, case r_regionkey % 4 when 0 then r_name || ',k' || r_regionkey when 1 then r_name || ',x' when 2 then r_name else r_name || ',b,c' end as tables from region
+union all select 'inner ' || r_name, r_name from region where r_regionkey % 4 = 2""")
 def s5_record_finder(spark: SparkSession, sf: str) -> DataFrame:
+    """Records at several depths, with lists of names, lists of objects or one text of names; the last ones are too deep to be found."""
     name, key = F.col("r_name"), F.col("r_regionkey").cast("string")
-    record = F.concat(F.lit('{"sql": "", "question": "orders by '), name, F.lit('", "tables": "'), name, F.lit(","), key, F.lit('"}'))
-    docs = read(spark, sf, "region").select(F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("["), record, F.lit("]"))).otherwise(record).alias("doc"))
-    wrapped = F.when(F.col("doc").startswith("["), F.col("doc")).otherwise(F.concat(F.lit('{"items": ['), "doc", F.lit("]}")))
-    return docs.select(F.explode(files.found_records(wrapped, ["query", "question"], ["tables", "expected_tables"])).alias("r")).select("r.*")
+    q = F.concat(F.lit('"Question": "orders by '), name, F.lit('"'))
+    listed = F.concat(F.lit('{"a": {"b": [{'), q, F.lit(', "sql": "", "tables": ["'), name, F.lit('", "k'), key, F.lit('"]}]}}'))
+    objects = F.concat(F.lit("[{"), q, F.lit(', "expected_tables": [{"table": "'), name, F.lit('"}, {"other": 1}, {"en": "x"}]}]'))
+    nested = F.concat(F.lit("{"), q, F.lit(', "tables": ["'), name, F.lit('"], "more": {"query": "inner '), name, F.lit('", "table_list": "'), name, F.lit('"}}'))
+    packed = F.concat(F.lit('{"items": [{'), q, F.lit(', "tables": "'), name, F.lit(', b;c"}, {"query": "", "tables": "z"}]}'))
+    deep = F.concat(F.lit('{"l":' * 9), F.lit('{"query": "too deep", "tables": "z"}'), F.lit("}" * 9))
+    k = F.col("r_regionkey") % 4
+    docs = read(spark, sf, "region").select(F.explode(F.array(F.when(k == 0, listed).when(k == 1, objects).when(k == 2, nested).otherwise(packed), deep, F.lit("no json {"))).alias("doc"))
+    found = files.found_records(docs, "doc", ["query", "query_text", "question"], ["tables", "table_list", "expected_tables"])
+    return found.select("query", F.array_join("tables", ",").alias("tables"))
 
 
 @query("select event_type, count(*) as n from events where event_type in ('click', 'view') group by event_type")
@@ -120,7 +128,7 @@ named as (select h.*, r.value from hits h join noise_rules r using (ord))
 select c."table", c.field, case when w.field_name is not null then 'whitelisted' when c.field in (select value from noise_rules where kind = 'exact') then 'exact'
   when n.value is not null then 'glob ' || n.value when p.value is not null then 'pair'
   when coalesce(trim(c.comment), '') = '' and not regexp_matches(c.field, '[A-Za-z]') then 'nameless'
-  when coalesce(trim(c.comment), '') = '' and len(list_filter(string_split(lower(c.sample_data), '|'), lambda x: trim(x) not in ('', 'null', 'none', 'nan', 'na', 'n/a', '-', '--', '\\n', 'undefined'))) = 0 then 'empty' end as reason
+  when coalesce(trim(c.comment), '') = '' and len(list_filter(string_split(c.sample_data, '|'), lambda x: trim(x) not in ('', 'null', 'Null', 'NULL', 'NaN', 'nan', 'None', '\\N', '-', '--'))) = 0 then 'empty' end as reason
 from catalog c left join whitelist w on w.table_en = c."table" and w.field_name = c.field left join named n on n."table" = c."table" and n.field = c.field
 left join noise_rules p on p.kind = 'pair' and p.table_en = c."table" and p.value = c.field"""
 
@@ -144,9 +152,9 @@ def f1_noise_reason(spark: SparkSession, sf: str) -> DataFrame:
     return noise(spark, sf)
 
 
-@query("select p_partkey, case when p_name glob 'c?ld *' then 'c?ld *' when p_name glob '*bolt' then '*bolt' end as glob from part where p_name glob 'c?ld *' or p_name glob '*bolt'")
+@query("select p_partkey, case when p_name glob 'c?ld *' then 'c?ld *' when p_name glob '*bolt' then '*bolt' when p_name glob '[rs]* [a-g]*' then '[rs]* [a-g]*' end as glob from part where p_name glob 'c?ld *' or p_name glob '*bolt' or p_name glob '[rs]* [a-g]*'")
 def f2_glob_match(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame([(0, "C?LD *"), (1, "*bolt")], "ord int, value string").withColumn("regex", text.glob_regex(F.col("value")))
+    rules = spark.createDataFrame([(0, "C?LD *"), (1, "*bolt"), (2, "[rs]* [A-G]*")], "ord int, value string").withColumn("regex", text.glob_regex(F.col("value")))
     hit = read(spark, sf, "part").join(F.broadcast(rules), F.expr("lower(p_name) rlike regex")).groupBy("p_partkey").agg(F.min_by(F.lower("value"), "ord").alias("glob"))
     return hit
 
@@ -243,9 +251,9 @@ def f14_good_tables(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("table").isin("region") | ((F.col("fields") >= 4) & F.col("table").rlike("^[a-z][a-z0-9_]*$")))
 
 
-@query(f"with {v.CATALOG.cte()} select \"table\", field from catalog where len(list_filter(string_split(lower(sample_data), '|'), lambda x: trim(x) not in ('', 'null', 'none', 'nan', 'na', 'n/a', '-', '--', '\\n', 'undefined'))) = 0")
+@query(f"with {v.CATALOG.cte()} select \"table\", field from catalog where len(list_filter(regexp_split_to_array(lower(sample_data), '[|\\s]+'), lambda x: x not in ('', 'null', 'nan', 'none', '-'))) = 0")
 def f15_blank_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return v.CATALOG.frame(spark, sf).where(text.blank_samples(F.col("sample_data"))).select("table", "field")
+    return v.CATALOG.frame(spark, sf).where(text.empty_sample(F.col("sample_data"))).select("table", "field")
 
 
 @query(f"""with {v.CATALOG.cte()}, {v.USAGE.cte()}, j as (select c."table", c.field, u.field is not null as used from catalog c left join (select distinct "table", field from usage_stats) u using ("table", field)), k as (select *, bool_or(used) over (partition by "table") as any_used from j)
@@ -340,28 +348,54 @@ def x10_character_class(spark: SparkSession, sf: str) -> DataFrame:
     return v.CATALOG.frame(spark, sf).select("table", "field", text.character_class(F.split("sample_data", r"\|")).alias("kind"))
 
 
+_PIECES = "list_filter(regexp_split_to_array(lower({}), '[\\s_\\-,，/、()（）:：]+'), lambda t: t <> '')"
+
+
+@query(f"""with t as (select p_partkey, p_name || '_' || p_type || '（订单日期）/' || p_brand as x from part)
+select p_partkey, array_to_string(list_sort(list_distinct(list_concat({_PIECES.format('x')}, ['订单', '单日', '日期']))), ' ') as tokens from t""")
+def x11_token_set(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat("p_name", F.lit("_"), "p_type", F.lit("（订单日期）/"), "p_brand")
+    return read(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(text.token_set(name)), " ").alias("tokens"))
+
+
 @query("select p_partkey, round(case when length(p_name) > 0 and length(p_type) > 0 then 1 - levenshtein(p_name, lower(p_type)) / greatest(length(p_name), length(p_type)) else 0 end, 6) as similarity from part")
 def x12_edit_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", F.round(text.edit_similarity(F.col("p_name"), F.lower("p_type")), 6).alias("similarity"))
 
 
 def _x13(base: bool = False) -> str:
-    return f"""{v.CATALOG.cte(base)}, {v.SLOTS.cte(base)}, {v.BRIDGE.cte(base)}, j as (select c."table", c.field, c.comment, s.vt_id, s.name as slot, s.slot_index, s.aliases, {_DUCK_TOKENS.format('c.field')} as w from catalog c join bridge b using ("table") join slots s using (vt_id)),
-a as (select *, unnest(aliases) as alias from j), l as (select "table", field, vt_id, slot_index, slot, max(greatest(
-  len(list_intersect(w, string_split(alias, ' '))) / len(list_distinct(list_concat(w, string_split(alias, ' ')))), 1 - levenshtein(lower(field), alias) / greatest(length(field), length(alias)),
-  case when comment = alias then 1.0 when contains(comment, alias) then 0.8 when contains(lower(field), alias) then 0.7 else 0.0 end)) as lexical from a group by all)"""
+    clean = r"trim(string_split(string_split(regexp_replace(coalesce(c.comment, ''), '\([^)]*\)|\[[^\]]*\]', '', 'g'), '|')[1], chr(10))[1])"
+    return f"""{v.CATALOG.cte(base)}, {v.SLOTS.cte(base)}, {v.BRIDGE.cte(base)}, {v.ABBREVIATIONS.cte()},
+xe as (select "table", field, list_distinct(flatten(list(coalesce(words, [token])))) as expanded from (select distinct "table", field, unnest({_DUCK_TOKENS.format('field')}) as token from catalog) left join abbreviations using (token) group by all),
+xj as (select c."table", c.field, {clean} as clean, s.vt_id, s.name as slot, s.slot_index, s.aliases, {_DUCK_TOKENS.format('c.field')} as w from catalog c join bridge b using ("table") join slots s using (vt_id)),
+xk as (select xj.*, coalesce(expanded, []) as expanded, list_distinct(list_concat(list_concat(w, coalesce(expanded, [])), {_PIECES.format('clean')})) as ours, list_distinct(flatten(list_transform(list_append(aliases, slot), lambda a: {_PIECES.format('a')}))) as theirs from xj left join xe using ("table", field)),
+l as (select "table", field, vt_id, slot_index, slot, greatest(
+  case when len(ours) = 0 or len(theirs) = 0 then 0.0 else len(list_intersect(ours, theirs)) / len(list_distinct(list_concat(ours, theirs))) end,
+  list_max(list_transform(list_append(aliases, slot), lambda a: case when length(a) = 0 then 0.0 else 1 - levenshtein(lower(field), lower(a)) / greatest(length(field), length(a)) end)),
+  case when list_has_any(aliases, expanded) then 1.0 else 0.0 end,
+  case when len(list_filter(aliases, lambda a: length(a) >= 2 and contains(clean, a))) > 0 then 0.8 when len(list_filter(aliases, lambda a: length(a) >= 2 and contains(lower(field), lower(a)))) > 0 then 0.7 else 0.0 end) as lexical from xk)"""
 
 
 _X13 = _x13()
 
 
 def lexical(spark: SparkSession, sf: str | None) -> DataFrame:
-    """(table, field, vt_id, slot_index, slot, lexical): the best of word Jaccard, alias edit similarity, equal or contained comment, contained name."""
-    rows = joins.bridged(v.CATALOG.frame(spark, sf), v.BRIDGE.frame(spark, sf).select("vt_id", "table"), v.SLOTS.frame(spark, sf)).withColumn("alias", F.explode("aliases"))
-    name, alias = F.lower("field"), F.col("alias")
-    literal = F.when(F.col("comment") == alias, 1.0).when(F.contains("comment", alias), 0.8).when(F.contains(name, alias), 0.7).otherwise(0.0)
-    best = F.greatest(text.jaccard(text.tokens(F.col("field")), F.split("alias", " ")), text.edit_similarity(name, alias), literal)
-    return rows.groupBy("table", "field", "vt_id", "slot_index", F.col("name").alias("slot")).agg(F.max(best).alias("lexical"))
+    """(table, field, vt_id, slot_index, slot, lexical): the best of four measures of a column's names and comment against a slot's name and aliases.
+
+    These are the Jaccard of their tokens, the edit similarity of the names, an alias that is a word of the spelt-out name (1), and an alias
+    within the comment (0.8) or the name (0.7).
+    """
+    rows = joins.bridged(v.CATALOG.frame(spark, sf), v.BRIDGE.frame(spark, sf).select("vt_id", "table"), v.SLOTS.frame(spark, sf).withColumnRenamed("name", "slot"))
+    known = F.create_map(*[x for token, words in v.ABBREVIATIONS.rows for x in (F.lit(token), F.array(*map(F.lit, words)))])
+    name, clean, words, none = F.lower("field"), text.clean_comment(F.col("comment")), text.tokens(F.col("field")), F.array().cast("array<string>")
+    rows = rows.withColumns({"clean": clean, "expanded": F.flatten(F.transform(words, lambda t: F.coalesce(F.try_element_at(known, t), F.array(t))))})
+    theirs = F.array_append("aliases", F.col("slot"))
+    jaccard = text.jaccard(F.array_distinct(F.concat(words, "expanded", text.token_set(F.col("clean")))), F.array_distinct(F.flatten(F.transform(theirs, text.token_set))))
+    edit = F.array_max(F.transform(theirs, lambda a: text.edit_similarity(name, F.lower(a))))
+    inside = lambda whole, fold: F.exists("aliases", lambda a: (F.length(a) >= 2) & F.contains(whole, F.lower(a) if fold else a))
+    part = F.when(inside(F.col("clean"), False), 0.8).when(inside(name, True), 0.7).otherwise(0.0)
+    best = F.greatest(jaccard, edit, F.when(F.arrays_overlap(F.coalesce("aliases", none), "expanded"), 1.0).otherwise(0.0), part)
+    return rows.select("table", "field", "vt_id", "slot_index", "slot", best.alias("lexical"))
 
 
 @query(f"with {_X13} select \"table\", field, vt_id, slot, slot_index, round(lexical, 6) as lexical from l")

@@ -49,17 +49,28 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def found_records(document: Column, query_keys: list[str], table_keys: list[str], wrappers: tuple[str, ...] = ("items", "data", "queries")) -> Column:
-    """array<struct<query, tables>> of the records in a JSON text that have a query-like and a tables-like key.
+def found_records(docs: DataFrame, document: str, query_keys: list[str], table_keys: list[str], depth: int = 8) -> DataFrame:
+    """(query, tables array<string>) of all objects of JSON texts, down to a depth, that have a query-like and a tables-like key (any case) and a query.
 
-    The text is one record, a list of them, or an object that holds such a list under one of the wrappers. Lists of tables stay as JSON text.
+    Tables are a list of names, a list of objects with a table, en or name, or one text with commas, bars, semicolons or blanks between them.
+    Each level is one explode of the level before; texts that aren't JSON have no records.
     """
-    keys = F.lit("array<struct<" + ", ".join(f"`{k}`: string" for k in [*query_keys, *table_keys]) + ">>")
-    places = [F.from_json(document, keys), *[F.from_json(F.get_json_object(document, f"$.{w}"), keys) for w in wrappers]]
-    rows = F.flatten(F.array(*[F.coalesce(p, F.from_json(F.lit("[]"), keys)) for p in places]))
-    pick = lambda r, names: F.coalesce(*[r[n] for n in names])
-    out = F.transform(rows, lambda r: F.struct(pick(r, query_keys).alias("query"), pick(r, table_keys).alias("tables")))
-    return F.filter(out, lambda r: r.query.isNotNull() & r.tables.isNotNull())
+    level = docs.select(F.try_parse_json(document).alias("node")).where("node is not null").withColumn("id", F.monotonically_increasing_id())
+    wanted, rows = [k.lower() for k in [*query_keys, *table_keys]], []
+    for _ in range(depth + 1):
+        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("node").outer())).select("id", F.lower("key").alias("name"), F.col("value").alias("node"))
+        rows.append(inner.where(F.col("name").isin(*wanted)))
+        level = inner.where(F.schema_of_variant("node").rlike("^(ARRAY|OBJECT)")).select("node", F.monotonically_increasing_id().alias("id"))
+    pick = lambda names: F.coalesce(*[F.max(F.when(F.col("name") == n, F.to_json("node"))) for n in names])
+    found = [r.groupBy("id").agg(pick(query_keys).alias("query"), pick(table_keys).alias("tables")) for r in rows]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    plain = lambda x: F.get_json_object(F.concat(F.lit('{"x":'), x, F.lit("}")), "$.x")
+    names = F.transform(F.from_json("tables", "array<string>"), lambda e: F.when(e.startswith("{"), F.coalesce(*[F.get_json_object(e, f"$.{k}") for k in ("table", "en", "name")])).otherwise(e))
+    names = F.when(F.col("tables").startswith("["), names).otherwise(F.split(plain(F.col("tables")), r"[,，|;\s]+"))
+    clean = F.filter(F.transform(names, lambda e: F.trim(e)), lambda e: e.isNotNull() & (e != ""))
+    return out.where("query is not null and tables is not null").select(F.trim(plain(F.col("query"))).alias("query"), clean.alias("tables")).where("query <> ''")
 
 
 def append_log(rows: DataFrame, path: str) -> None:

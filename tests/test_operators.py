@@ -23,7 +23,9 @@ def test_scalars(spark):
     assert one(spark, text.edit_similarity(F.lit(None).cast("string"), F.lit("x"))) == 0
     assert one(spark, F.rlike(F.lit("etl_a"), text.glob_regex(F.lit("ETL_*"))))
     assert one(spark, text.fenced_json(F.lit('```json\n{"k": 3}\n```'), "k int")).k == 3
-    assert one(spark, text.blank_samples(F.lit("null| |N/A")))
+    assert one(spark, text.blank_samples(F.lit("null| |N/A"), (*text.NULL_TOKENS, "N/A"))) and not one(spark, text.blank_samples(F.lit("null|none")))
+    assert one(spark, text.empty_sample(F.lit(" NULL | none -|"))) and not one(spark, text.empty_sample(F.lit("null|n/a")))
+    assert one(spark, text.token_set(F.lit("Order_date（订单日期）/x"))) == ["order", "date", "订单日期", "x", "订单", "单日", "日期"]
     assert one(spark, text.character_class(F.array(F.lit("a"), F.lit("1")))) == "mixed"
 
 
@@ -110,3 +112,12 @@ def test_small_sides_and_blocks_give_the_same_pairs(spark):
     ranked = spark.createDataFrame([("c", 1, i, i + 1) for i in range(5)], "channel string, q int, i int, rank int")
     weights = spark.createDataFrame([(f"f{k}", "c", 1.0) for k in range(12000)], "fusion string, channel string, weight double")  # more than were once let through
     assert ranking.fused(ranked, "q", "i", weights).count() == 5 * 12000
+
+
+def test_globs(spark):
+    from fnmatch import fnmatch
+
+    cases = [(n, g) for n in ("etl_a", "etl_1", "a.b", "a]b", "[x", "x*y", "axy", "!z", "a^b") for g in ("etl_[a-c]", "etl_[!a-c]", "ETL_?", "a.b", "a[.]b", "[x", "x[*]y", "*y", "[!a]z", "a^b", "a[]^]b"[:5], "etl_[ab1]")]
+    df = spark.createDataFrame(cases, "n string, g string")
+    for r in df.select("n", "g", F.rlike(F.col("n"), text.glob_regex(F.col("g"))).alias("x")).collect():
+        assert r.x == fnmatch(r.n, r.g.lower()), r
