@@ -44,6 +44,27 @@ def metrics(ranked: DataFrame, relevant: DataFrame, query: str, item: str, ks: t
     return rows.groupBy("channel", F.col("at.k").alias("k")).agg(F.avg((n > 0).cast("double")).alias("hit"), F.avg(n / F.col("wanted")).alias("recall"))
 
 
+def topic_metrics(ranked: DataFrame, queries: DataFrame, tables: DataFrame, owned: DataFrame, fields: DataFrame, named: DataFrame, query: str, topic: str, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """(channel, k, hit, recall, field_hit, support): means over all queries of what the first k topics bring.
+
+    tables and fields are (query, item) that a query wants, owned and named are (topic, item) that a topic has. hit: any wanted table; recall and
+    field_hit: the share of the wanted tables and fields, 0 where none are wanted; support: both at least a half, recall alone without fields.
+    """
+
+    def share(wanted: DataFrame, has: DataFrame, name: str) -> DataFrame:
+        total = wanted.distinct().groupBy(query).agg(F.count("*").alias("total"))
+        first = ranked.where(F.col("rank") <= max(ks)).join(has, topic).join(wanted.distinct(), [query, "item"]).groupBy("channel", query, "item").agg(F.min("rank").alias("r"))
+        found = first.groupBy("channel", query).agg(*[F.count_if(F.col("r") <= k).alias(f"n{k}") for k in ks]).join(total, query)
+        return found.select("channel", query, *[(F.col(f"n{k}") / F.col("total")).alias(f"{name}{k}") for k in ks])
+
+    none = fields.select(query).distinct().withColumn("_asks", F.lit(True))
+    rows = queries.join(F.broadcast(ranked.select("channel").distinct())).join(share(tables, owned, "t"), ["channel", query], "left").join(share(fields, named, "f"), ["channel", query], "left").join(none, query, "left").fillna(0.0)
+    at = [F.struct(F.lit(k).alias("k"), F.col(f"t{k}").alias("recall"), F.col(f"f{k}").alias("field_hit")) for k in ks]
+    rows = rows.select("channel", F.col("_asks").isNotNull().alias("asks"), F.explode(F.array(*at)).alias("at")).select("channel", "asks", "at.*")
+    support = (F.col("recall") >= 0.5) & (~F.col("asks") | (F.col("field_hit") >= 0.5))
+    return rows.groupBy("channel", "k").agg(F.avg((F.col("recall") > 0).cast("double")).alias("hit"), F.avg("recall").alias("recall"), F.avg("field_hit").alias("field_hit"), F.avg(support.cast("double")).alias("support"))
+
+
 def _upto(k: int):  # noqa: ANN202
     return lambda r: r <= k
 

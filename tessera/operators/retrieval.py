@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import all_pairs
@@ -65,3 +65,32 @@ def mean_of_best(scores: DataFrame, k: int, query: str, group: str, item: str) -
 
     best = top(scores, k, [query, group], [F.col("score").desc(), F.col(item)])
     return best.groupBy(query, group).agg(F.avg("score").alias("score"))
+
+
+def intent(topics: DataFrame, fields: DataFrame, query: str, group: str) -> DataFrame:
+    """(query, group, score): half the mean of a question's topics (query, j, group, m), half that of its required fields; without fields that half is 0."""
+    half = lambda rows, name: rows.groupBy(query, group).agg(F.avg("m").alias(name))
+    both = half(topics, "topic").join(half(fields, "field"), [query, group], "left")
+    return both.select(query, group, (0.5 * F.col("topic") + 0.5 * F.coalesce("field", F.lit(0.0))).alias("score"))
+
+
+def rank_sums(topics: DataFrame, query: str, group: str, constant: int = 60) -> DataFrame:
+    """(query, group, score): reciprocal ranks of the groups for each of a question's topics (query, j, group, m), added up."""
+    place = F.row_number().over(Window.partitionBy(query, "j").orderBy(F.col("m").desc(), group))
+    return topics.withColumn("r", place).groupBy(query, group).agg(F.sum(1.0 / (constant + F.col("r"))).alias("score"))
+
+
+def rare_fields(fields: DataFrame, query: str, group: str, hit: float = 0.5, least: float = 0.69, best: int = 2, constant: int = 60) -> DataFrame:
+    """(query, group, score) of the best groups of each field (query, j, group, m). A field weighs ln((groups + 1) / (hits + 1)); light ones and those without a hit don't count."""
+    from tessera.operators.ranking import top
+
+    hits = F.count_if(F.col("m") >= hit)
+    weights = fields.groupBy(query, "j").agg(F.log((F.count("*") + 1) / (hits + 1)).alias("idf"), hits.alias("hits")).where((F.col("idf") >= least) & (F.col("hits") > 0))
+    rows = top(fields, best, [query, "j"], [F.col("m").desc(), F.col(group)]).join(weights, [query, "j"])
+    return rows.groupBy(query, group).agg(F.sum(F.col("idf") / (constant + F.col("rank"))).alias("score"))
+
+
+def literal_share(fields: Column, names: Column) -> Column:
+    """The share of fields that equal a name, or hold or are within one of at least two characters."""
+    hit = lambda w: F.exists(names, lambda n: (n == w) | ((F.length(n) >= 2) & (F.contains(n, w) | F.contains(w, n))))
+    return F.size(F.filter(fields, hit)) / F.size(fields)
