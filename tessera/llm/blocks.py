@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tessera.llm.durable import settled
-from tessera.llm.textkit import buffers
+from tessera.llm.textkit import buffers, released
 
 #: A block closes at so many bytes of text; one longer text is a block by itself.
 BLOCK_BYTES = 8 << 20
@@ -51,5 +51,6 @@ def blocks(docs: DataFrame, text: str = "text", size: int = BLOCK_BYTES) -> Data
                     number, held, used = number + 1, [], 0
         if held:
             yield closed()
+        released()
 
     return settled(docs.mapInArrow(work, "block long, n_bytes long, docs binary"))

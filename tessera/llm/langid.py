@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import U64, chunks, splitmix
+from tessera.llm.textkit import U64, chunks, released, splitmix
 
 DIM = 512
 GRAM = 3
@@ -131,6 +131,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
                     sums[name] = sums.get(name, 0) + bundle
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["lang", "bundle"])
+        released()
 
     parts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(work, "lang string, bundle array<double>")
     sums = parts.select("lang", F.posexplode("bundle").alias("place", "value")).groupBy("lang", "place").agg(F.sum("value").alias("value")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("bundle"))
@@ -162,6 +163,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
                     told[some] = np.array(names, object)[cosine.argmax(axis=1)][some]
                     score[some] = np.clip((1 + cosine.max(axis=1)) / 2, 0, 1)[some]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(letters)), pa.array(told, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 

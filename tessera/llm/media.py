@@ -143,6 +143,7 @@ def encode(docs: DataFrame) -> DataFrame:
                     media.append(to_png(payload))
                     sizes.append(len(raw))
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+        released()
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -167,6 +168,7 @@ def read_back(stored: DataFrame) -> DataFrame:
                     found.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), cosine_hash(rows)))
                 kinds = pa.int64(), pa.string(), pa.int64(), pa.binary()
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(zip(*found), kinds))], [*part.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+        released()
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(
         work, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature binary"

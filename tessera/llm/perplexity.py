@@ -93,6 +93,7 @@ def _count_block(there: pa.Table, trusted: pa.Table) -> pa.Table:
     n = np.zeros(len(seen), np.int64)
     n[np.searchsorted(seen, counted[0])] = counted[1]
     block = there["block"][0].as_py() if there.num_rows else 0
+    released()
     return pa.table([pa.array(np.full(len(seen), block)), pa.array(seen), pa.array(n)], names=["block", "gram", "n"])
 
 
@@ -111,6 +112,7 @@ def _score_block(there: pa.Table, known: pa.Table) -> pa.Table:
             total = np.bincount(text, weights=values[np.searchsorted(grams, code)], minlength=n) if len(code) else np.zeros(n)
             mean = total / np.maximum(units, 1)
             out.append(pa.table([docs["doc_id"].slice(first, n).combine_chunks(), docs["lang"].slice(first, n).combine_chunks().cast(pa.string()), pa.array(units), pa.array(mean, mask=units == 0)], names=names))
+    released()
     return pa.concat_tables(out).combine_chunks()
 
 

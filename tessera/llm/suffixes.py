@@ -22,9 +22,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.llm import textkit
 from tessera.llm.blocks import blocks, frozen, thawed
 from tessera.llm.durable import settled
-from tessera.llm.textkit import BYTE_CODE, U64, as_binary, buffers, splitmix
+from tessera.llm.textkit import BYTE_CODE, U64, as_binary, buffers, released, splitmix
 
 LENGTH, GRAM = 50, 20
+#: Bytes of text of a block; its anchors with their surroundings take some fifteen times as much.
+SORT_BYTES = 4 << 20
 #: A range of hashes, and so a merge task, gets the anchors of about so many bytes of text.
 RANGE_BYTES = 12 << 20
 _LAST = np.iinfo(np.int64).max
@@ -58,6 +60,18 @@ def _anchored(docs: pa.Table, length: int, gram: int) -> Iterator[tuple[np.ndarr
         yield data, offsets, first, places, hashed, np.searchsorted(offsets, places, "right") - 1
 
 
+def _trimmed(work):  # noqa: ANN001, ANN202
+    """A group function whose memory goes back to the system when a group is done."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return work(*tables)
+        finally:
+            released()
+
+    return (lambda a: run(a)) if work.__code__.co_argcount == 1 else (lambda a, b: run(a, b))
+
+
 def _ids(docs: pa.Table) -> np.ndarray:
     return docs["doc_id"].combine_chunks().cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
 
@@ -95,6 +109,8 @@ def _requests(ranges: int, length: int, gram: int):  # noqa: ANN202
                 range_, at = np.unique(code >> 31, return_index=True)
                 at = np.append(at, len(code))
                 yield pa.RecordBatch.from_arrays([pa.array(range_.astype(np.int32)), pa.array(np.full(len(range_), block)), as_binary(value, at)], ["range", "block", "values"])
+                del docs, codes, owners, code, owner, order, value
+                released()
 
     return work
 
@@ -167,6 +183,7 @@ def _sort_block(ranges: int, length: int, gram: int):  # noqa: ANN202
             right, left, ahead, behind = _contexts(data, offsets, places[some], rows[some], length, gram)
             found.append((right, left, ahead, behind, first + rows[some], places[some] - offsets[rows[some]], code[some] >> 31))
         right, left, ahead, behind, row, place, range_ = (np.concatenate(x) for x in zip(*found))
+        del found, hot
         doc = ids[row]
         # Of equal surroundings in this block only those in the smallest document go on; the others are known to repeat it.
         mixed = np.full(len(row), 7, U64)
@@ -175,6 +192,7 @@ def _sort_block(ranges: int, length: int, gram: int):  # noqa: ANN202
             wide[:, : matrix.shape[1]] = matrix
             for column in wide.view(U64).T:
                 mixed = splitmix(mixed * U64(0x9FB21C651E98DF25) + column)
+            del wide
         mixed = splitmix(mixed + (ahead.astype(U64) << U64(8)) + behind.astype(U64))
         order = np.lexsort([doc, mixed])
         head = np.append(True, mixed[order][1:] != mixed[order][:-1]) if len(order) else np.zeros(0, bool)
@@ -394,14 +412,14 @@ def _shorten(kinds: pa.Schema):  # noqa: ANN202
 
 def _repeats(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """(blocks of docs, spans to remove by block)."""
-    rows = blocks(docs)
+    rows = blocks(docs, size=SORT_BYTES)
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = int(total // RANGE_BYTES) + 1
     asked = rows.select("block", "docs").mapInArrow(_requests(ranges, length, gram), "range int, block long, values binary")
-    answers = settled(asked.groupBy("range").applyInArrow(_shared, "range int, block long, values binary"))
+    answers = settled(asked.groupBy("range").applyInArrow(_trimmed(_shared), "range int, block long, values binary"))
     by = rows.select("block", "docs").groupBy("block")
-    runs = by.cogroup(answers.groupBy("block")).applyInArrow(_sort_block(ranges, length, gram), "range int, block long, data binary, known binary")
-    return rows.select("block", "docs"), settled(runs.groupBy("range").applyInArrow(_merge_range(length, gram), "block long, data binary"))
+    runs = by.cogroup(answers.groupBy("block")).applyInArrow(_trimmed(_sort_block(ranges, length, gram)), "range int, block long, data binary, known binary")
+    return rows.select("block", "docs"), settled(runs.groupBy("range").applyInArrow(_trimmed(_merge_range(length, gram)), "block long, data binary"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -415,7 +433,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     rows, spans = _repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram)
     cut = "doc_id long, n_bytes long, spans array<struct<start: bigint, length: bigint>>, kept binary, kept_sha256 string"
-    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut(length), cut)
+    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_trimmed(_cut(length)), cut)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -424,4 +442,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     A document of which nothing is left goes; one that was empty or null before stays. doc_id is a whole number.
     """
     rows, spans = _repeats(docs, length, gram)
-    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_shorten(to_arrow_schema(docs.schema)), docs.schema)
+    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_trimmed(_shorten(to_arrow_schema(docs.schema))), docs.schema)
