@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,24 +30,64 @@ def next_version(log: DataFrame) -> DataFrame:
     return log.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
 
 
-def renamed(slots: DataFrame, renames: DataFrame) -> DataFrame:
-    """Slots (vt_id, slot_index, name, origin, ...) under (vt_id, before, after). Only extended slots; the first of several equal names, once.
+def rename_plan(slots: DataFrame, renames: DataFrame) -> DataFrame:
+    """(vt_id, slot_index, before, after): which slot each rename (vt_id, before, after and perhaps slot_index) takes.
 
-    All renames are applied to the state before the batch, so a to b together with b to c doesn't chain.
+    Only extended slots. By name, the renames of one name take the slots of that name in turn, in order of after and slot_index; with a
+    slot_index that slot is taken whatever its name. Of renames that take the same slot the one by index counts.
     """
-    first = slots.where(F.col("origin") == "extended").groupBy("vt_id", F.col("name").alias("before")).agg(F.min("slot_index").alias("slot_index"))
-    plan = renames.join(first, ["vt_id", "before"]).select("vt_id", "slot_index", "after")
+    ours = slots.where(F.col("origin") == "extended").select("vt_id", "slot_index", F.col("name").alias("before"))
+    place = lambda *order: F.row_number().over(Window.partitionBy("vt_id", "before").orderBy(*order))
+    exact = None
+    if "slot_index" in renames.columns:
+        exact = renames.where("slot_index is not null").join(ours.select("vt_id", "slot_index"), ["vt_id", "slot_index"]).groupBy("vt_id", "slot_index").agg(F.min(F.struct("after", "before")).alias("r"))
+        exact = exact.select("vt_id", "slot_index", "r.before", "r.after")
+        ours, renames = ours.join(exact.select("vt_id", "slot_index"), ["vt_id", "slot_index"], "left_anti"), renames.where("slot_index is null")
+    asked = renames.select("vt_id", "before", "after").distinct().withColumn("turn", place("after"))
+    found = ours.withColumn("turn", place("slot_index")).join(asked, ["vt_id", "before", "turn"]).select("vt_id", "slot_index", "before", "after")
+    return found if exact is None else found.unionByName(exact)
+
+
+def renamed(slots: DataFrame, renames: DataFrame) -> DataFrame:
+    """Slots (vt_id, slot_index, name, origin, ...) after the renames of a batch, all applied to the state before it: a to b together with b to c doesn't chain."""
+    plan = rename_plan(slots, renames).select("vt_id", "slot_index", "after")
     return slots.join(plan, ["vt_id", "slot_index"], "left").withColumn("name", F.coalesce("after", "name")).select(*slots.columns)
 
 
 def cascaded(table: DataFrame, renames: DataFrame, columns: list[str]) -> DataFrame:
-    """The same renames in several columns of a table with vt_id; each value is mapped once."""
+    """The same renames in several columns of a table with vt_id; each value is mapped once, and of several renames of a name the first counts."""
+    first = renames.groupBy("vt_id", "before").agg(F.min("after").alias("__after"))
     for c in columns:
-        side = renames.select("vt_id", F.col("before").alias(c), F.col("after").alias("__after"))
-        table = table.join(side, ["vt_id", c], "left").withColumn(c, F.coalesce("__after", c)).drop("__after")
+        table = table.join(first.withColumnRenamed("before", c), ["vt_id", c], "left").withColumn(c, F.coalesce("__after", c)).drop("__after")
     return table
 
 
+def touched_by(table: DataFrame, renames: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of which any of the columns has a name that is renamed."""
+    names = renames.select("vt_id", "before").distinct().groupBy("vt_id").agg(F.collect_set("before").alias("__names"))
+    rows = table.join(names, "vt_id")
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.array_contains("__names", F.col(c)), F.lit(False))
+    return rows.where(hit).select(*table.columns)
+
+
+def cascade(slots: DataFrame, results: DataFrame, reviews: DataFrame, renames: DataFrame, version: int, columns: list[str]) -> dict[str, DataFrame]:
+    """One batch of renames everywhere at once: slots, the named columns of results, and the decided slots of reviews.
+
+    Gives the three tables after it, the log (version, vt_id, slot_index or -1 where no slot was taken, before, after), the rows of results and
+    reviews before it, and the tallies (what, n). With the log and these rows all of it can be reverted.
+    """
+    plan = rename_plan(slots, renames)
+    log = renames.select("vt_id", "before", "after").join(plan, ["vt_id", "before", "after"], "left").select(F.lit(version).alias("version"), "vt_id", F.coalesce("slot_index", F.lit(-1)).alias("slot_index"), "before", "after")
+    old, seen = touched_by(results, renames, columns), touched_by(reviews, renames, ["decision_slot"])
+    tally = lambda rows, what: rows.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    return {
+        "slots": renamed(slots, renames), "results": cascaded(results, renames, columns), "reviews": cascaded(reviews, renames, ["decision_slot"]), "log": log,
+        "results_before": old, "reviews_before": seen, "tallies": tally(plan, "slots").unionByName(tally(old, "results")).unionByName(tally(seen, "reviews")),
+    }
+
+
 def rename_log(before: DataFrame, after: DataFrame, version: int) -> DataFrame:
     """What changed, by slot_index: the before-image that a revert needs."""
     side = after.select("vt_id", "slot_index", F.col("name").alias("after"))
@@ -62,12 +102,12 @@ def reverted(slots: DataFrame, log: DataFrame, to_version: int) -> DataFrame:
 
 
 def promoted(slots: DataFrame, library: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slots, library): members (vt_id, name, base_name) become references to a base slot; role and place stay. Base names that are new join the library."""
+    """(slots, library): members (vt_id, name, base_name) become references to a base slot; role and place stay. Base names that are new join the library with the first member's role."""
     side = members.select("vt_id", "name", "base_name")
     out = slots.join(side, ["vt_id", "name"], "left")
     hit = F.col("base_name").isNotNull() & (F.col("origin") == "extended")
+    new = out.where(hit).groupBy(F.col("base_name").alias("name")).agg(F.min_by("role", F.struct("vt_id", "slot_index")).alias("role")).join(library.select("name"), "name", "left_anti")
     out = out.withColumns({"origin": F.when(hit, "base").otherwise(F.col("origin")), "name": F.when(hit, F.col("base_name")).otherwise(F.col("name"))})
-    new = members.select(F.col("base_name").alias("name")).distinct().join(library.select("name"), "name", "left_anti")
     return out.select(*slots.columns), library.unionByName(new, allowMissingColumns=True)
 
 
@@ -134,8 +174,82 @@ def decided(results: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFram
 
 def slot_errors(new: DataFrame, library: DataFrame) -> DataFrame:
     """(vt_id, slot_index, error) of slots that can't replace a topic's: no name, a repeated name, an unknown origin, a base name the library lacks."""
-    from pyspark.sql import Window
-
     rows = new.withColumn("times", F.count("*").over(Window.partitionBy("vt_id", "name"))).join(library.select("name", F.lit(True).alias("known")), "name", "left")
     error = F.when(F.coalesce("name", F.lit("")) == "", "no name").when(F.col("times") > 1, "repeated").when(~F.col("origin").isin("base", "extended"), "origin").when((F.col("origin") == "base") & F.col("known").isNull(), "unknown base")
     return rows.withColumn("error", error).where("error is not null").select("vt_id", "slot_index", "error")
+
+
+def checked(ops: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
+    """ops with `error`: the first rule that an edit breaks; null for an edit that may be applied."""
+    error = F.lit(None).cast("string")
+    for broken, name in reversed(rules):
+        error = F.when(F.coalesce(broken, F.lit(False)), name).otherwise(error)
+    return ops.withColumn("error", error)
+
+
+def with_mark(ops: DataFrame, table: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """ops with a boolean column: whether the table has their keys. Nulls equal nulls."""
+    side = table.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct().withColumn("__there", F.lit(True))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return ops.join(side, same, "left").withColumn(mark, F.col("__there").isNotNull()).drop("__there", *[f"__{k}" for k in keys])
+
+
+def categories_edited(scaffold: DataFrame, categories: DataFrame, ops: DataFrame) -> DataFrame:
+    """ops (action, name, new_name) on first-level categories, each with its error: a rename needs a new name that isn't there, a delete a category that no topic has."""
+    rows = with_mark(with_mark(ops, categories, ["name"], "there"), scaffold.select(F.col("l1").alias("name")), ["name"], "used")
+    taken = categories.select(F.col("name").alias("__new")).distinct().withColumn("taken", F.lit(True))
+    rows = rows.join(taken, F.col("new_name") == F.col("__new"), "left")
+    rename, delete = F.col("action") == "rename", F.col("action") == "delete"
+    return checked(rows, [(~F.col("there"), "missing"), (rename & (F.coalesce("new_name", F.lit("")).isin("") | (F.col("new_name") == F.col("name"))), "no new name"), (rename & F.col("taken"), "name taken"), (delete & F.col("used"), "in use")]).select(*ops.columns, "error")
+
+
+def rules_edited(rules: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, ops with error) for ops (action add or remove, kind, value, table_en). Kinds are exact, glob and pair; a pair needs a table. What is there isn't added again."""
+    keys = ["kind", "value", "table_en"]
+    rows = with_mark(ops, rules, keys, "there")
+    add, remove = F.col("action") == "add", F.col("action") == "remove"
+    rows = checked(rows, [(~F.col("kind").isin("exact", "glob", "pair"), "unknown kind"), (F.coalesce("value", F.lit("")) == "", "no value"), ((F.col("kind") == "pair") & F.col("table_en").isNull(), "no table"), (add & F.col("there"), "there already"), (remove & ~F.col("there"), "missing")]).drop("there")
+    fine = rows.where("error is null")
+    left = with_mark(rules.select(*keys), fine.where(F.col("action") == "remove"), keys, "gone").where(~F.col("gone")).drop("gone")
+    return left.unionByName(fine.where(F.col("action") == "add").select(*keys).distinct()), rows
+
+
+TABLE_TYPES = ("fact", "entity", "dictionary", "relation", "other")
+
+
+def topics_edited(scaffold: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scaffold, audit) for ops (action create, edit or delete, vt_id, topic, table_type, l1, l2): one op a topic.
+
+    A null of an edit leaves the old value. Creating takes a free id, a topic and a path; a type must be one of TABLE_TYPES. The audit has each op's
+    error, or the topic before and after it; an edit that goes through clears the topic's review_hint, if the table has one.
+    """
+    fields = ["topic", "table_type", "l1", "l2"]
+    old = scaffold.select("vt_id", *[F.col(c).alias(f"old_{c}") for c in fields], F.lit(True).alias("there"))
+    rows = ops.join(old, "vt_id", "left")
+    there, create = F.col("there").isNotNull(), F.col("action") == "create"
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rows = checked(rows, [
+        (create & there, "there already"), (~create & ~there, "missing"), ((F.col("action") != "delete") & ~F.coalesce(F.col("table_type").isin(*TABLE_TYPES), ~create), "unknown type"), (create & empty("topic"), "no topic"),
+        ((create & empty("l1")) | ((F.col("action") == "edit") & (F.trim("l1") == "")), "no path"),
+    ])
+    fine = rows.where("error is null")
+    said = lambda cols: F.concat_ws("/", *[F.coalesce(c, F.lit("-")) for c in cols])
+    new = {c: F.when(F.col("action") == "delete", F.lit(None)).otherwise(F.coalesce(c, f"old_{c}")) for c in fields}
+    audit = rows.select("action", "vt_id", "error", F.when(F.col("error").isNull() & there, said([f"old_{c}" for c in fields])).alias("before"), F.when(F.col("error").isNull() & (F.col("action") != "delete"), said(list(new.values()))).alias("after"))
+    kept = removed(scaffold, fine, ["vt_id"])
+    others = scaffold.select("vt_id", *[c for c in scaffold.columns if c not in ("vt_id", "review_hint", *fields)])
+    made = fine.where("action <> 'delete'").select("vt_id", *[x.alias(c) for c, x in new.items()]).join(others, "vt_id", "left")
+    return kept.unionByName(made, allowMissingColumns=True).select(*scaffold.columns), audit
+
+
+def library_edited(library: DataFrame, slots: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(library, ops with error) for ops (action create, alias or delete, name, role, label): names are snake_case and unique, what slots refer to stays."""
+    rows = with_mark(with_mark(ops, library, ["name"], "there"), slots.where(F.col("origin") == "base"), ["name"], "used")
+    create = F.col("action") == "create"
+    none = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rows = checked(rows, [(create & ~F.coalesce(F.col("name").rlike("^[A-Za-z][A-Za-z0-9_]*$"), F.lit(False)), "bad name"), (create & F.col("there"), "there already"), (~create & ~F.col("there"), "missing"), ((create | (F.col("action") == "alias")) & none("label"), "no label"), (create & none("role"), "no role"), ((F.col("action") == "delete") & F.col("used"), "in use")]).drop("there", "used")
+    fine = rows.where("error is null")
+    left = removed(library, fine.where("action = 'delete'"), ["name"]).join(fine.where("action = 'alias'").select("name", F.col("label").alias("__label")), "name", "left").withColumn("label", F.coalesce("__label", "label")).drop("__label")
+    return left.select(*library.columns).unionByName(fine.where("action = 'create'").select("name", "role", "label"), allowMissingColumns=True), rows

@@ -32,6 +32,30 @@ def triggered(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("sim") >= 0.80) | (F.col("overlap") >= 0.60) | (0.6 * F.col("sim") + 0.4 * F.col("overlap") >= 0.65))
 
 
+def near_existing(new: DataFrame, existing: DataFrame, duplicate: float = 0.85, similar: float = 0.65, best: int = 5, listed: int = 3) -> DataFrame:
+    """(item, found, reason, similarity, duplicate) for new and existing items (item, name, label, q or s: unit vectors).
+
+    An equal name makes a duplicate, else an equal label, else a cosine of `duplicate` or more; the first one found, by item. If none does, up to
+    `listed` of the `best` nearest are listed that are at least `similar`.
+    """
+    from tessera.operators.ranking import top
+    from tessera.operators.retrieval import scored_slots
+
+    def equal(rows: DataFrame, column: str) -> DataFrame:
+        side = existing.where(F.col(column) != "").groupBy(column).agg(F.min("item").alias("found"))
+        return rows.join(side, column).select("item", "found", F.lit(f"equal {column}").alias("reason"), F.lit(1.0).alias("similarity"), F.lit(True).alias("duplicate"))
+
+    by_name = equal(new, "name")
+    rest = new.join(by_name.select("item"), "item", "left_anti")
+    by_label = equal(rest, "label")
+    rest = rest.join(by_label.select("item"), "item", "left_anti")
+    scored = scored_slots(rest.select("item", "q"), existing.select(F.col("item").alias("found"), "s")).select("item", "found", F.round("score", 9).alias("similarity"))
+    ranked = top(scored, best, ["item"], [F.col("similarity").desc(), F.col("found")])
+    twin = ranked.where((F.col("rank") == 1) & (F.col("similarity") >= duplicate)).select("item", "found", F.lit("near").alias("reason"), "similarity", F.lit(True).alias("duplicate"))
+    others = ranked.where((F.col("similarity") >= similar) & (F.col("rank") <= listed)).join(twin.select("item"), "item", "left_anti").select("item", "found", F.lit("similar").alias("reason"), "similarity", F.lit(False).alias("duplicate"))
+    return by_name.unionByName(by_label).unionByName(twin).unionByName(others)
+
+
 def survivors(members: DataFrame, component: str, name: str, support: str, source: str, cohesion: str) -> DataFrame:
     """One member of each component: most support, then clusters before others, then with a cohesion, then the smaller name; the rest become its aliases."""
     order = F.struct((-F.col(support)).alias("s"), (F.col(source) != "cluster").alias("c"), F.col(cohesion).isNull().alias("n"), F.col(name).alias("name"))

@@ -11,7 +11,9 @@ from tessera.operators.ranking import placed
 from tessera.plans import vocabularies as v
 from tessera.plans.columns import _X13, _x13
 from tessera.plans.grouping import _RESULTS, results
-from tessera.plans.registry import query, read
+from tessera.plans.matching import matched_columns
+from tessera.plans.registry import ORACLES, query, read
+from tessera.sources.files import settled
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,7 +30,7 @@ def g1_average_link(spark: SparkSession, sf: str) -> DataFrame:
 def g2_density(spark: SparkSession, sf: str) -> DataFrame:
     members = _members(spark, sf)
     found = cluster.clustered(members, "topic", "key", "centroid", method="density")
-    tight = cluster.cohesion(found.where("cluster >= 0").join(members, ["topic", "key"]), ["topic", "cluster"], "key", "centroid")
+    tight = cluster.cohesion(found.where("cluster >= 0").join(members, ["topic", "key"]), ["topic", "cluster"], "key", "centroid").where("cohesion >= 0.55")
     return found.join(tight, ["topic", "cluster"], "left").select("topic", "key", "cluster", F.round("cohesion", 6).alias("cohesion"))
 
 
@@ -49,21 +51,26 @@ def g3_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.connected(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), _edges(spark, sf))
 
 
-_PAIRS = """ps as (select n_regionkey as g, n_nationkey as id, coalesce(s, []) as s, coalesce(c, 0) as c from nation left join (select c_nationkey as k, list_distinct(list(c_mktsegment)) as s, count(*) as c from customer group by 1) on k = n_nationkey),
-pp as (select a.id as a, b.id as b, least(a.c, b.c) / greatest(a.c, b.c, 1) as sim, case when len(a.s) = 0 or len(b.s) = 0 then 0 else len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)) end as overlap from ps a join ps b on a.g = b.g and a.id < b.id)"""
+#: Items: the fifths of each label, with a mean vector, the files that their rows are in, and a group.
+_ITEMS = """e as (select vec_id, label, vec_id % 5 as slot, list_transform(embedding, lambda x: x::double) as x from embeddings), sa as (select label, slot, i, avg(y) as y from (select label, slot, unnest(x) as y, generate_subscripts(x, 1) as i from e) group by all), sc as (select label, slot, list(y order by i) as c from sa group by all),
+it as (select label * 10 + slot as item, label, slot, list_transform(c, lambda y: y / sqrt(list_sum(list_transform(c, lambda z: z * z)))) as s, files from sc join (select label, slot, list_distinct(list((vec_id * 13 + label * 7 + slot) % 9)) as files from e where vec_id % 11 < 2 group by all) using (label, slot))"""
 
 
-@query(f"with recursive {_PAIRS}, e as (select a, b from pp where sim >= 0.95 or (0.6 * sim + 0.4 * (overlap - 1) >= 0.58)), c(node, comp) as (select n_nationkey, n_nationkey from nation union select x.b, c.comp from c join (select a, b from e union all select b, a from e) x on x.a = c.node) select node, min(comp) as component from c group by 1")
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "embeddings").withColumn("slot", F.col("vec_id") % 5)
+    files = rows.where("vec_id % 11 < 2").groupBy("label", "slot").agg(F.collect_set((F.col("vec_id") * 13 + F.col("label") * 7 + F.col("slot")) % 9).alias("files"))
+    means = retrieval.centroids(rows, ["label", "slot"], "embedding").select("label", "slot", retrieval.unit(F.col("centroid")).alias("s"))
+    return means.join(files, ["label", "slot"]).select((F.col("label") * 10 + F.col("slot")).alias("item"), "label", "slot", "s", "files")
+
+
+@query(f"""with recursive {_ITEMS}, pp as (select a.item as a, b.item as b, round(list_sum(list_transform(list_zip(a.s, b.s), lambda z: z[1] * z[2])), 9) as sim, len(list_intersect(a.files, b.files)) / least(len(a.files), len(b.files)) as overlap from it a join it b on a.label % 4 = b.label % 4 and a.item < b.item),
+ed as (select a, b from pp where sim >= 0.80 or overlap >= 0.60 or 0.6 * sim + 0.4 * overlap >= 0.65), c(node, comp) as (select item, item from it union select x.b, c.comp from c join (select a, b from ed union all select b, a from ed) x on x.a = c.node) select node, min(comp) as component from c group by 1""")
 def g4_merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations of a region whose numbers of customers are close; thresholds are moved so that the three rules split the data."""
-    own = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_set("c_mktsegment").alias("s"), F.count("*").alias("c"))
-    rows = read(spark, sf, "nation").select("n_regionkey", "n_nationkey").join(own, "n_nationkey", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    pairs = joins.group_pairs(rows, ["n_regionkey"], "n_nationkey", ["s", "c"])
-    sim = F.least("c_a", "c_b") / F.greatest("c_a", "c_b", F.lit(1))
-    edges = pairs.select("a", "b", sim.alias("sim"), text.overlap(F.col("s_a"), F.col("s_b")).alias("overlap"))
-    moved = edges.withColumn("overlap", F.col("overlap") - 1).withColumn("sim", F.when(F.col("sim") >= 0.95, F.col("sim")).otherwise(F.least(F.col("sim"), F.lit(0.799))))
-    moved = moved.where((F.col("sim") >= 0.95) | (0.6 * F.col("sim") + 0.4 * F.col("overlap") >= 0.58))
-    return graph.connected(rows.select(F.col("n_nationkey").alias("node")), moved.select("a", "b"))
+    """Items of a group that any of the three rules joins."""
+    rows = _items(spark, sf).withColumn("g", F.col("label") % 4)
+    pairs = joins.group_pairs(rows, ["g"], "item", ["s", "files"])
+    edges = graph.triggered(pairs.select("a", "b", F.round(retrieval.dot(F.col("s_a"), F.col("s_b")), 9).alias("sim"), text.overlap(F.col("files_a"), F.col("files_b")).alias("overlap")))
+    return graph.connected(rows.select(F.col("item").alias("node")), edges)
 
 
 @query("select s_nationkey as component, first('s' || s_suppkey order by support desc, src <> 'cluster', coh is null, 's' || s_suppkey) as name, sum(support) as total, count(*) - 1 as n_aliases from (select *, s_suppkey % 4 as support, case when s_suppkey % 3 = 0 then 'cluster' else 'manual' end as src, nullif(s_suppkey % 2, 0) as coh from supplier) group by 1")
@@ -73,19 +80,17 @@ def g5_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return graph.survivors(rows, "component", "name", "support", "src", "coh").select("component", "name", "total", F.size("aliases").cast("long").alias("n_aliases"))
 
 
-_SIMS = "s as (select a.n_nationkey as a, b.n_nationkey as b, 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) as sim from nation a, nation b where a.n_nationkey < 10 and b.n_nationkey >= 10)"
-
-
-@query(f"with {_SIMS}, r as (select *, row_number() over (partition by a order by sim desc, b) as k from s) select a, b, sim >= 0.85 as duplicate, round(sim, 6) as sim from r where k <= 5 and sim >= 0.65 qualify row_number() over (partition by a, sim >= 0.85 order by k) <= 3 or sim >= 0.85")
+@query(f"""with {_ITEMS}, nm as (select item, slot, s, case when slot < 2 then 'n' || (label * 2 + slot) else 'n' || (label * 3 + slot + 9) end as name, case when (label + slot) % 3 = 0 then '' else 'l' || (label + slot * 5) end as label from it), nw as (select * from nm where slot < 2), ex as (select * from nm where slot >= 2),
+bn as (select nw.item, min(ex.item) as found from nw join ex using (name) group by 1), bl as (select nw.item, min(ex.item) as found from nw join ex using (label) where nw.label <> '' and nw.item not in (select item from bn) group by 1),
+sc2 as (select nw.item, ex.item as found, round(list_sum(list_transform(list_zip(nw.s, ex.s), lambda z: z[1] * z[2])), 9) as similarity from nw, ex where nw.item not in (select item from bn) and nw.item not in (select item from bl)), rr as (select *, row_number() over (partition by item order by similarity desc, found) as r from sc2),
+tw as (select * from rr where r = 1 and similarity >= 0.85)
+select item, found, 'equal name' as reason, 1.0 as similarity, true as duplicate from bn union all select item, found, 'equal label', 1.0, true from bl union all select item, found, 'near', similarity, true from tw
+union all select item, found, 'similar', similarity, false from rr where r <= 3 and similarity >= 0.65 and item not in (select item from tw)""")
 def g6_near_existing(spark: SparkSession, sf: str) -> DataFrame:
-    from tessera.operators.ranking import top
-
-    n = read(spark, sf, "nation")
-    new, old = n.where("n_nationkey < 10").select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("x")), n.where("n_nationkey >= 10").select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("y"))
-    pairs = new.join(F.broadcast(old)).withColumn("sim", text.edit_similarity(F.col("x"), F.col("y")))
-    best = top(pairs, 5, ["a"], [F.col("sim").desc(), F.col("b")]).where("sim >= 0.65").withColumn("duplicate", F.col("sim") >= 0.85)
-    listed = top(best, 3, ["a", "duplicate"], [F.col("rank")], "place")
-    return best.where("duplicate").select("a", "b", "duplicate", F.round("sim", 6).alias("sim")).unionByName(listed.where("not duplicate").select("a", "b", "duplicate", F.round("sim", 6).alias("sim")))
+    label, slot = F.col("label"), F.col("slot")
+    name = F.when(slot < 2, F.concat(F.lit("n"), (label * 2 + slot).cast("string"))).otherwise(F.concat(F.lit("n"), (label * 3 + slot + 9).cast("string")))
+    rows = _items(spark, sf).select("item", "slot", "s", F.col("s").alias("q"), name.alias("name"), F.when((label + slot) % 3 == 0, "").otherwise(F.concat(F.lit("l"), (label + slot * 5).cast("string"))).alias("label"))
+    return graph.near_existing(rows.where("slot < 2"), rows.where("slot >= 2"))
 
 
 @query("select p_name, count(distinct p_type) as topics, case when count(distinct p_type) >= 3 then 'base' when count(distinct p_type) = 2 then 'domain' else 'local' end as scope from part group by 1")
@@ -125,12 +130,49 @@ def m1_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return edits.cascaded(results(spark, sf).select("table", "field", "vt_id", "slot"), v.RENAMES.frame(spark, sf), ["slot"]).select("table", "field", "vt_id", "slot")
 
 
+_FIVE = ["selected_slot", "top1_slot", "top2_slot", "top3_slot", "suggested_slot"]
+_MATCHED = f"select \"table\", field, vt_id, case when status = 'auto' then top1_slot end as selected_slot, top1_slot, top2_slot, top3_slot, case when status = 'conflict' then top2_slot end as suggested_slot from ({ORACLES['matched_columns']})"
+_AFTER = "coalesce((select min(after) from renames r where r.vt_id = x.vt_id and r.before = x.{0}), x.{0})"
+_TOUCHED = "exists (select 1 from renames r where r.vt_id = x.vt_id and r.before in ({}))"
+
+
+@query(f"""with x as ({_MATCHED}), {v.SLOTS.cte()}, {v.RENAMES.cte()}, {v.REVIEWS.cte()}, {_RENAMED}, lg as (select r.vt_id, r.before, r.after, coalesce(rn.slot_index, -1) as slot_index from renames r left join rn on rn.vt_id = r.vt_id and rn.name = r.before and rn.new_name = r.after and rn.name <> rn.new_name)
+select 'slots' as part, vt_id, vt_id || '.' || slot_index as item, new_name as value from rn union all select 'reviews', vt_id, "table" || '.' || field, {_AFTER.format('decision_slot')} from reviews x union all select 'log', vt_id, before || '>' || after, slot_index::varchar from lg
+union all select 'results', vt_id, "table" || '.' || field, concat_ws(',', {', '.join(f"coalesce({_AFTER.format(c)}, '-')" for c in _FIVE)}) from x
+union all select 'results before', vt_id, "table" || '.' || field, concat_ws(',', {', '.join(f"coalesce({c}, '-')" for c in _FIVE)}) from x where {_TOUCHED.format(', '.join('x.' + c for c in _FIVE))}
+union all select 'reviews before', vt_id, "table" || '.' || field, decision_slot from reviews x where {_TOUCHED.format('x.decision_slot')}
+union all select 'tallies', null, 'slots', (select count(*) from rn where name <> new_name)::varchar union all select 'tallies', null, 'results', (select count(*) from x where {_TOUCHED.format(', '.join('x.' + c for c in _FIVE))})::varchar union all select 'tallies', null, 'reviews', (select count(*) from reviews x where {_TOUCHED.format('x.decision_slot')})::varchar""")
+def m1_whole_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch of renames through slots, five result columns and reviews, with its log, what was there before, and how much was touched."""
+    found = settled(matched_columns(spark, sf))
+    found = found.select("table", "field", "vt_id", F.when(F.col("status") == "auto", F.col("top1_slot")).alias("selected_slot"), "top1_slot", "top2_slot", "top3_slot", F.when(F.col("status") == "conflict", F.col("top2_slot")).alias("suggested_slot"))
+    done = edits.cascade(_state(spark, sf), found, v.REVIEWS.frame(spark, sf), v.RENAMES.frame(spark, sf), 1, _FIVE)
+    column, five = F.concat_ws(".", "table", "field"), F.concat_ws(",", *[F.coalesce(c, F.lit("-")) for c in _FIVE])
+    parts = {
+        "slots": (F.concat_ws(".", "vt_id", "slot_index"), F.col("name")), "results": (column, five), "reviews": (column, F.col("decision_slot")), "log": (F.concat_ws(">", "before", "after"), F.col("slot_index").cast("string")), "results_before": (column, five),
+        "reviews_before": (column, F.col("decision_slot")), "tallies": (F.col("what"), F.col("n").cast("string")),
+    }
+    out = None
+    for name, (item, value) in parts.items():
+        rows = done[name].select(F.lit(name.replace("_", " ")).alias("part"), F.lit(None).cast("string").alias("vt_id") if name == "tallies" else F.col("vt_id"), item.alias("item"), value.alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(f"with {v.SLOTS.cte()} select vt_id, slot_index, case when vt_id = 'vt_text' and name = 'label' and origin = 'extended' then 'label_text' else name end as name, case when vt_id = 'vt_text' and name = 'label' then 'base' else origin end as origin from slots")
 def m2_promote(spark: SparkSession, sf: str) -> DataFrame:
     members = spark.createDataFrame([("vt_text", "label", "label_text")], "vt_id string, name string, base_name string")
     return edits.promoted(_state(spark, sf), v.LIBRARY.frame(spark), members)[0].select("vt_id", "slot_index", "name", "origin")
 
 
+@query(f"with {v.SLOTS.cte()}, {v.LIBRARY.cte()} select name, role, label from library union all select 'label_text', 'display', null union all select 'day_of_shelf', min(role), null from slots where name = 'shelf_date'")
+def m2_library(spark: SparkSession, sf: str) -> DataFrame:
+    """The library's side of a promotion: base names that it lacks join it, once."""
+    shelf = _state(spark, sf).where("name = 'shelf_date'").select("vt_id", "name", F.lit("day_of_shelf").alias("base_name"))
+    members = spark.createDataFrame([("vt_text", "label", "label_text"), ("vt_sales", "ship_date", "order_date")], "vt_id string, name string, base_name string").unionByName(shelf)
+    return edits.promoted(_state(spark, sf), v.LIBRARY.frame(spark), members)[1].select("name", "role", "label")
+
+
 @query(f"with {v.BRIDGE.cte()} select vt_id, \"table\" from bridge union select 'vt_sales', r_name from region")
 def m3_idempotent_add(spark: SparkSession, sf: str) -> DataFrame:
     new, base = read(spark, sf, "region").select(F.lit("vt_sales").alias("vt_id"), F.col("r_name").alias("table")), v.BRIDGE.frame(spark, sf).select("vt_id", "table")
@@ -209,12 +251,29 @@ def m14_category_rename(spark: SparkSession, sf: str) -> DataFrame:
     return edits.category_renamed(rows, 1, "sales", "commerce").select("vt_id", F.get("l2_path", F.lit(0)).alias("l1"), F.get("l2_path", F.lit(1)).alias("l2"))
 
 
+@query(f"with {v.SCAFFOLD.cte()} select * from (values ('rename', 'sales', 'commerce', null), ('rename', 'sales', 'stock', 'name taken'), ('rename', 'nothing', 'x', 'missing'), ('rename', 'content', 'content', 'no new name'), ('delete', 'stock', null, 'in use'), ('delete', 'spare', null, null)) v(action, name, new_name, error) where exists (select 1 from scaffold)")
+def m14_category_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Renames and deletes of categories, with the reason where one is refused; spare is a category without topics."""
+    topics = v.SCAFFOLD.frame(spark, sf)
+    categories = topics.select(F.col("l1").alias("name")).distinct().unionByName(spark.createDataFrame([("spare",)], "name string"))
+    ops = spark.createDataFrame([("rename", "sales", "commerce"), ("rename", "sales", "stock"), ("rename", "nothing", "x"), ("rename", "content", "content"), ("delete", "stock", None), ("delete", "spare", None)], "action string, name string, new_name string")
+    return edits.categories_edited(topics, categories, ops)
+
+
 @query(f"with {v.NOISE_RULES.cte()} select kind, value from noise_rules union select 'glob', 'tmp_*'")
 def m15_rule_list(spark: SparkSession, sf: str) -> DataFrame:
     new = spark.createDataFrame([("glob", "tmp_*"), ("glob", "etl_*"), ("exact", "row_id")], "kind string, value string")
     return edits.added(v.NOISE_RULES.frame(spark).select("kind", "value"), new, ["kind", "value"])
 
 
+@query(f"""with {v.NOISE_RULES.cte()}, ok as (select kind, value, table_en from noise_rules where value <> 'etl_*' union all select 'glob', 'tmp_*', null union all select 'pair', 'props', 'orders')
+select 'rule' as part, kind, value, table_en, null as error from ok union all select 'refused', * from (values ('glob', '*_bak', null, 'there already'), ('regex', 'x', null, 'unknown kind'), ('exact', '', null, 'no value'), ('pair', 'props', null, 'no table'), ('exact', 'nowhere', null, 'missing')) w(kind, value, table_en, error)""")
+def m15_rule_edits(spark: SparkSession, sf: str) -> DataFrame:
+    ops = [("add", "glob", "tmp_*", None), ("add", "glob", "*_bak", None), ("add", "regex", "x", None), ("add", "exact", "", None), ("add", "pair", "props", None), ("add", "pair", "props", "orders"), ("remove", "glob", "etl_*", None), ("remove", "exact", "nowhere", None)]
+    rules, done = edits.rules_edited(v.NOISE_RULES.frame(spark), spark.createDataFrame(ops, "action string, kind string, value string, table_en string"))
+    return rules.select(F.lit("rule").alias("part"), "kind", "value", "table_en", F.lit(None).cast("string").alias("error")).unionByName(done.where("error is not null").select(F.lit("refused").alias("part"), "kind", "value", "table_en", "error"))
+
+
 @query(f"with {_X13}, {_RESULTS}, b as (select \"table\", field, vt_id, slot from results) select a.\"table\", a.field, a.vt_id, a.slot, string_agg(b.field, ',' order by b.field) as aliases from b a join b on a.vt_id = b.vt_id and a.slot = b.slot and (a.\"table\", a.field) <> (b.\"table\", b.field) group by all")
 def m16_anchors(spark: SparkSession, sf: str) -> DataFrame:
     rows = results(spark, sf).select("table", "field", "vt_id", "slot").withColumn("aliases", F.array().cast("array<string>"))
@@ -239,6 +298,33 @@ def m19_topic_edits(spark: SparkSession, sf: str) -> DataFrame:
     return edits.removed(edits.upsert(base, new, ["vt_id"]), base.where("vt_id = 'vt_click'"), ["vt_id"])
 
 
+@query(f"""with {v.SCAFFOLD.cte()}, a as (select action, vt_id, error, before, after from (values ('create', 'vt_new', null, null, 'parts/fact/stock/-'), ('create', 'vt_sales', 'there already', null, null), ('create', 'vt_b', 'unknown type', null, null), ('create', 'vt_c', 'no topic', null, null), ('create', 'vt_d', 'no path', null, null),
+  ('edit', 'vt_click', null, 'activity/fact/activity/events', 'clicks/fact/activity/events'), ('edit', 'vt_gone', 'missing', null, null), ('delete', 'vt_text', null, 'content/entity/content/texts', null)) v(action, vt_id, error, before, after))
+select 'topic' as part, vt_id, topic || '/' || table_type || '/' || l1 || '/' || coalesce(l2, '-') as now, null as error, null as was from (select vt_id, case vt_id when 'vt_click' then 'clicks' else topic end as topic, table_type, l1, l2 from scaffold where vt_id <> 'vt_text' union all select 'vt_new', 'parts', 'fact', 'stock', null)
+union all select action, vt_id, after, error, before from a union all select 'edit', vt_id, topic || ' (seen)/' || table_type || '/' || l1 || '/' || l2, null, topic || '/' || table_type || '/' || l1 || '/' || l2 from scaffold where l2 = 'aisle 9'""".replace("case vt_id when 'vt_click' then 'clicks' else topic end as topic", "case when vt_id = 'vt_click' then 'clicks' when l2 = 'aisle 9' then topic || ' (seen)' else topic end as topic"))
+def m19_topic_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics created, edited and deleted under checks, with an audit row for each try; all topics of one aisle are edited too."""
+    topics = v.SCAFFOLD.frame(spark, sf)
+    ops = [
+        ("create", "vt_new", "parts", "fact", "stock"), ("create", "vt_sales", "x", "fact", "y"), ("create", "vt_b", "x", "table", "y"), ("create", "vt_c", " ", "fact", "y"), ("create", "vt_d", "x", "fact", None), ("edit", "vt_click", "clicks", None, None),
+        ("edit", "vt_gone", "x", None, None), ("delete", "vt_text", None, None, None),
+    ]
+    more = topics.where("l2 = 'aisle 9'").select(F.lit("edit").alias("action"), "vt_id", F.concat("topic", F.lit(" (seen)")).alias("topic"), F.lit(None).cast("string").alias("table_type"), F.lit(None).cast("string").alias("l1"))
+    asked = spark.createDataFrame(ops, "action string, vt_id string, topic string, table_type string, l1 string").unionByName(more).withColumn("l2", F.lit(None).cast("string"))
+    now, audit = edits.topics_edited(topics, asked)
+    none = F.lit(None).cast("string")
+    state = now.select(F.lit("topic").alias("part"), "vt_id", F.concat_ws("/", "topic", "table_type", "l1", F.coalesce("l2", F.lit("-"))).alias("now"), none.alias("error"), none.alias("was"))
+    return state.unionByName(audit.select(F.col("action").alias("part"), "vt_id", F.col("after").alias("now"), "error", F.col("before").alias("was")))
+
+
+@query(f"""with {v.LIBRARY.cte()}, {v.SLOTS.cte()} select 'library' as part, name, role, case name when 'quantity' then 'pieces' else label end as label, null as error from library union all select 'library', 'unit', 'measure', 'unit', null
+union all select * from (values ('create', 'unit', 'measure', 'unit', null), ('create', '1st', 'key', 'first', 'bad name'), ('create', 'name', 'display', 'n', 'there already'), ('create', 'colour', null, 'colour', 'no role'), ('create', 'shade', 'display', '', 'no label'), ('alias', 'quantity', null, 'pieces', null), ('alias', 'nothing', null, 'x', 'missing'), ('delete', 'order_key', null, null, 'in use')) v(part, name, role, label, error) where exists (select 1 from slots)""")
+def m20_library_edits(spark: SparkSession, sf: str) -> DataFrame:
+    ops = [("create", "unit", "measure", "unit"), ("create", "1st", "key", "first"), ("create", "name", "display", "n"), ("create", "colour", None, "colour"), ("create", "shade", "display", ""), ("alias", "quantity", None, "pieces"), ("alias", "nothing", None, "x"), ("delete", "order_key", None, None)]
+    library, done = edits.library_edited(v.LIBRARY.frame(spark), _state(spark, sf), spark.createDataFrame(ops, "action string, name string, role string, label string"))
+    return library.select(F.lit("library").alias("part"), "name", "role", "label", F.lit(None).cast("string").alias("error")).unionByName(done.select(F.col("action").alias("part"), "name", "role", "label", "error"))
+
+
 @query(f"with {v.LIBRARY.cte()}, {v.SLOTS.cte()} select name, name in (select name from slots where origin = 'base') as in_use from library")
 def m20_library_references(spark: SparkSession, sf: str) -> DataFrame:
     used = _state(spark, sf).where("origin = 'base'").select("name").distinct().withColumn("in_use", F.lit(True))
