@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.durable import settled
+from tessera.llm.textkit import released
+from tessera.operators.joins import small
 
-#: The graph and the classifier are fitted on at most so many vectors, the first in a hash order of ids. Every row is indexed.
+#: A graph and its classifier are fitted on at most so many vectors, the first in a hash order of ids. Every row is indexed.
 FIT_VECTORS = 8192
+#: Rows that a part should have, and parts of one classifier. Where more parts are needed, each part is cut again by a classifier of its own.
+PART_ROWS, PARTS = 4096, 256
 NEIGHBOURS = 10
 #: Rows of a part are dealt into blocks of about so many, and its queries into batches, so that a hot part is many tasks.
 BLOCK, BATCH = 2048, 2048
@@ -123,12 +128,62 @@ def _usable(rows: DataFrame) -> DataFrame:
     return settled(rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False))).distinct())
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 10, fit_vectors: int = FIT_VECTORS, parts: int | None = None, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
+def _two_to(n: float) -> int:
+    """The largest power of two up to n, 1 at least."""
+    return 1 << max(0, int(np.log2(max(1.0, n))))
+
+
+def _routed(shared, probes: int | None, dim: int):  # noqa: ANN001, ANN202
+    """(vec_id, embedding, part) by the classifiers in shared, a dict by part: to so many most probable parts, or as many as the classifier says.
+
+    Vectors without a part use the one under None; those in a part use that part's, if it has one, and get finer numbers.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        routers = shared.value
+        for record in batches:
+            for i in range(0, record.num_rows, 4096):
+                some = record.slice(i, 4096)
+                parts = some.column(2).to_numpy() if some.num_columns > 2 else None
+                for part in [None] if parts is None else np.unique(parts).tolist():
+                    here = some if part is None else some.filter(pa.array(parts == part))
+                    column, base = here.column(1), 0 if part is None else part * PARTS
+                    if (r := routers.get(part)) is None:
+                        yield pa.RecordBatch.from_arrays([here.column(0), column, pa.array(np.full(len(column), base))], ["vec_id", "embedding", "part"])
+                        continue
+                    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                    best = np.argsort(-r.scores(flat), axis=1, kind="stable")[:, : probes or r.probes]
+                    at = pa.array(np.repeat(np.arange(len(best)), best.shape[1]))
+                    yield pa.RecordBatch.from_arrays([here.column(0).take(at), column.take(at), pa.array(base + best.ravel().astype(np.int64))], ["vec_id", "embedding", "part"])
+        released()
+
+    return work
+
+
+def _inner_routers(placed: DataFrame, parts: int, fit_vectors: int, part_rows: int, reach: float) -> dict[int, Router]:
+    """A classifier for each part with more than twice part_rows rows, fitted in a task of its own on at most fit_vectors of its vectors. At most PARTS small ones reach the driver."""
+    sizes = placed.groupBy("part").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * part_rows)
+    chosen = placed.join(F.broadcast(sizes), "part").where(F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.ceil(F.col("rows") / fit_vectors)) == 0)
+
+    def fit(table: pa.Table) -> pa.Table:
+        ids = table["vec_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")[:fit_vectors]
+        x = np.array(table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)[order]
+        wanted = min(_two_to(table["rows"][0].as_py() / part_rows), parts, _two_to(len(x) // 16))
+        return pa.table([table["part"].slice(0, 1), pa.array([pickle.dumps(fit_router(x, wanted, reach))], pa.binary())], names=["part", "router"])
+
+    found = chosen.groupBy("part").applyInArrow(fit, "part long, router binary").collect()
+    return {r.part: pickle.loads(r.router) for r in found}
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 10, fit_vectors: int = FIT_VECTORS, part_rows: int = PART_ROWS, parts: int = PARTS, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where is_query holds, its k nearest found among all other rows, by Euclidean distance.
 
-    A sample of at most fit_vectors gives a neighbour graph, its balanced parts, and a classifier that learns which parts a vector's neighbours
-    are in. Every row goes to its most probable part, and each query to the most probable few; there it is compared with all rows, in double
-    precision on the original vectors. Ties go to the smaller vec_id.
+    A sample of at most fit_vectors gives a neighbour graph, its balanced parts of about part_rows rows, and a classifier that learns which parts a
+    vector's neighbours are in. Every row goes to its most probable part, and each query to the most probable few; there it is compared with
+    all rows, in double precision on the original vectors. Where more than `parts` parts are needed, each part is cut once more in the same
+    way by a sample of its own, so that the rows of a part, and the work for a query, don't grow with the table up to parts * parts * part_rows
+    rows. Ties go to the smaller vec_id.
 
     Rows without id, null, empty or zero vectors, vectors with null or non-finite components, and those whose dimension isn't the sample's
     commonest take no part. Rows that repeat an id and vector count once, and an id is never its own neighbour. Columns other than vec_id and
@@ -145,33 +200,23 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, fit_vectors: int = FI
     sizes = np.array([len(x) for x in vectors])
     dim = int(np.bincount(sizes).argmax())
     x = np.stack([v for v in vectors if len(v) == dim])
-    if parts is None:
-        parts = 1 << int(np.clip(np.log2(max(1, rows.count() / 4096)), 4, 8))
-    parts = max(1, min(parts, 1 << int(np.log2(max(1, len(x) // 16)))))
-    router = fit_router(x, parts)
-    shared = spark.sparkContext.broadcast(router)
+    needed = _two_to(rows.count() / part_rows)
+    twice = needed > parts
+    reach = 0.985 if twice else 0.97
+    router = fit_router(x, min(needed, parts, _two_to(len(x) // 16)), reach)
     element = rows.schema["embedding"].dataType.simpleString()
 
-    def routed(probes: int):  # noqa: ANN202
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = shared.value
-            for record in batches:
-                for i in range(0, record.num_rows, 4096):
-                    some = record.slice(i, 4096)
-                    column = some.column(1)
-                    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, r.dim)
-                    best = np.argsort(-r.scores(flat), axis=1, kind="stable")[:, :probes]
-                    at = pa.array(np.repeat(np.arange(len(best)), best.shape[1]))
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), column.take(at), pa.array(best.ravel().astype(np.int32))], ["vec_id", "embedding", "part"])
-
-        return work
-
     right_size = F.size("embedding") == dim
-    shape = f"vec_id long, embedding {element}, part int"
-    placed = rows.where(right_size).mapInArrow(routed(1), shape)
-    asked = queries.where(right_size).mapInArrow(routed(router.probes), shape)
+    shape = f"vec_id long, embedding {element}, part long"
+    shared = spark.sparkContext.broadcast({None: router})
+    placed = rows.where(right_size).mapInArrow(_routed(shared, 1, dim), shape)
+    asked = queries.where(right_size).mapInArrow(_routed(shared, None, dim), shape)
+    if twice:
+        placed = settled(placed)
+        inner = spark.sparkContext.broadcast(_inner_routers(placed, parts, fit_vectors, part_rows, reach))
+        placed, asked = placed.mapInArrow(_routed(inner, 1, dim), shape), asked.mapInArrow(_routed(inner, None, dim), shape)
     counts = placed.groupBy("part").agg(F.count("*").alias("rows")).join(asked.groupBy("part").agg(F.count("*").alias("asked")), "part", "left").select("part", (F.floor(F.col("rows") / block) + 1).alias("blocks"), (F.floor(F.coalesce("asked", F.lit(0)) / batch) + 1).alias("batches"))
-    counts = F.broadcast(spark.createDataFrame(counts.collect(), "part int, blocks long, batches long"))  # a row a part: at most 256
+    counts = small(settled(counts))  # a row a part
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.col(n))
     left = placed.join(counts, "part").select("part", mine("blocks").alias("block"), each("batches").alias("batch"), "vec_id", "embedding")

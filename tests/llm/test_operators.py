@@ -517,7 +517,9 @@ def test_loser_tree():
         assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize(("part_rows", "parts"), [(4096, 256), (300, 4), (40, 4)])
+def test_nearest(spark, part_rows, parts):
+    """One part, four, and four that are cut into parts again."""
     rng = np.random.default_rng(6)
     centres = rng.normal(0, 1, (8, 16))
     x = (centres[np.arange(1200) % 8] + rng.normal(0, 0.3, (1200, 16))).astype(np.float32)
@@ -525,7 +527,7 @@ def test_nearest(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in range(1200)] + [(2000, None), (2100, [0.0] * 16), (2200, [float("nan")] * 16), (2300, [1.0]), (None, [1.0] * 16), (5, [float(v) for v in x[5]])]
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "vec_id long, embedding array<float>, label int, part string")
     got = defaultdict(list)
-    for r in ann.search(df, F.col("vec_id") % 100 == 0, parts=4, block=100, batch=3).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, part_rows=part_rows, parts=parts, block=100, batch=3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     hits, wide = 0, x.astype(float)
     assert set(got) == set(range(0, 1200, 100))
