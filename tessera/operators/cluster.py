@@ -1,4 +1,4 @@
-"""Clustering of the vectors of a group in one task each; groups are vocabularies (slots of a topic), so they are small by nature."""
+"""Clustering of the vectors of a group: average link by rounds of joins; by density in one task a group, for groups that are counted and small."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.retrieval import dot, unit
+from tessera.sources.files import settled
+
 
 def _unit(vectors: list[list[float]]) -> np.ndarray:
     x = np.array(vectors, float).reshape(len(vectors), -1)
@@ -14,25 +17,27 @@ def _unit(vectors: list[list[float]]) -> np.ndarray:
     return x / np.where(norms > 0, norms, 1)
 
 
-def average_link(distance: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster numbers: the closest two clusters by mean distance merge until none are as near as threshold. Ties go to the first pair."""
-    n = len(distance)
-    members, d = {i: [i] for i in range(n)}, distance.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    while len(members) > 1:
-        a, b = divmod(int(d.argmin()), n)
-        if not d[a, b] <= threshold:
-            break
-        a, b = min(a, b), max(a, b)
-        x, y = len(members[a]), len(members[b])
-        d[a] = d[:, a] = (x * d[a] + y * d[b]) / (x + y)
-        d[a, a] = np.inf
-        d[b] = d[:, b] = np.inf
-        members[a] += members.pop(b)
-    out = np.zeros(n, int)
-    for i, a in enumerate(sorted(members)):
-        out[members[a]] = i
-    return out
+def average_links(df: DataFrame, group: str, key: str, vector: str, threshold: float = 0.18) -> DataFrame:
+    """(group, key, cluster): average-link clusters by cosine distance inside each group, named by their smallest key.
+
+    Every round all clusters that are each other's nearest, and as near as threshold, merge at once; mean distances make this the same tree as one
+    merge at a time. A cluster is kept as the sum of its unit vectors and their number, which give its mean distance to another one. Ties go
+    to the smaller key. Each round is settled.
+    """
+    state = settled(df.select(F.col(group).alias("g"), F.col(key).alias("c"), F.lit(1).cast("long").alias("n"), unit(F.col(vector)).alias("s")))
+    names = settled(df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(key).alias("c")))
+    while True:
+        a, b = state.select("g", F.col("c").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), state.select("g", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
+        near = a.join(b, "g").where("a < b").select("g", "a", "b", F.round(1 - dot(F.col("sa"), F.col("sb")) / (F.col("na") * F.col("nb")), 12).alias("d")).where(F.col("d") <= threshold)
+        both = near.select("g", F.col("a").alias("x"), F.col("b").alias("y"), "d").union(near.select("g", "b", "a", "d"))
+        best = both.groupBy("g", "x").agg(F.min(F.struct("d", "y")).getField("y").alias("y"))
+        mutual = settled(best.join(best.select("g", F.col("x").alias("y"), F.col("y").alias("back")), ["g", "y"]).where("back = x and x < y").select("g", F.col("y").alias("c"), F.col("x").alias("into")))
+        if mutual.isEmpty():
+            return names.select(F.col("g").alias(group), F.col("k").alias(key), F.col("c").alias("cluster"))
+        moved = lambda rows: rows.join(mutual, ["g", "c"], "left").withColumn("c", F.coalesce("into", "c")).drop("into")
+        sums = moved(state).select("g", "c", "n", F.posexplode("s").alias("i", "x")).groupBy("g", "c", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        state = settled(sums.groupBy("g", "c").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("s")))
+        names = settled(moved(names).select("g", "k", "c"))
 
 
 def density(distance: np.ndarray, least: int = 3) -> np.ndarray:
@@ -108,15 +113,16 @@ def density(distance: np.ndarray, least: int = 3) -> np.ndarray:
     return out
 
 
-def clustered(df: DataFrame, group: str, key: str, vector: str, method: str = "average", threshold: float = 0.18, least: int = 3) -> DataFrame:
-    """(group, key, cluster) by average-link ("average") or density ("density", noise -1) on cosine distances inside each group."""
+def dense(df: DataFrame, group: str, key: str, vector: str, least: int = 3, most: int = 4000) -> DataFrame:
+    """(group, key, cluster), noise -1, by density on cosine distances inside each group. A task holds all distances of its group, so groups beyond `most` rows are refused."""
+    largest = df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} rows; density clustering takes {most} at most")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         x = _unit(pdf[vector].tolist())
-        d = np.clip(1 - x @ x.T, 0, 2)
-        labels = average_link(d, threshold) if method == "average" else density(d, least)
-        return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), "cluster": labels.astype("int32")})
+        return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), "cluster": density(np.clip(1 - x @ x.T, 0, 2), least).astype("int32")})
 
     kinds = dict(df.dtypes)
     return df.select(group, key, vector).groupBy(group).applyInPandas(work, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int")
@@ -124,8 +130,6 @@ def clustered(df: DataFrame, group: str, key: str, vector: str, method: str = "a
 
 def cohesion(members: DataFrame, by: list[str], key: str, vector: str) -> DataFrame:
     """Mean cosine of all pairs of each cluster, from the sum of its unit vectors: (|sum|^2 - n) / (n (n - 1)). Null for single members."""
-    from tessera.operators.retrieval import unit
-
     parts = members.select(*by, F.posexplode(unit(F.col(vector))).alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
     rows = parts.groupBy(*by).agg(F.sum(F.col("x") * F.col("x")).alias("square"), F.max("n").alias("n"))
     return rows.select(*by, "n", F.when(F.col("n") > 1, (F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("cohesion"))

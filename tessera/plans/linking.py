@@ -23,13 +23,13 @@ def _members(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def g1_average_link(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.clustered(_members(spark, sf), "topic", "key", "centroid", threshold=0.3)
+    return cluster.average_links(_members(spark, sf), "topic", "key", "centroid", threshold=0.3)
 
 
 @query()
 def g2_density(spark: SparkSession, sf: str) -> DataFrame:
     members = _members(spark, sf)
-    found = cluster.clustered(members, "topic", "key", "centroid", method="density")
+    found = cluster.dense(members, "topic", "key", "centroid")
     tight = cluster.cohesion(found.where("cluster >= 0").join(members, ["topic", "key"]), ["topic", "cluster"], "key", "centroid").where("cohesion >= 0.55")
     return found.join(tight, ["topic", "cluster"], "left").select("topic", "key", "cluster", F.round("cohesion", 6).alias("cohesion"))
 

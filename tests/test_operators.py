@@ -1,6 +1,7 @@
 """Hand-computed cases, invariants and round trips."""
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -36,9 +37,33 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(31)) and all(got[100 + i] == 100 for i in range(40)) and got[150] == 150
 
 
-def test_average_link_and_density():
-    d = np.array([[0, 0.1, 0.9], [0.1, 0, 0.9], [0.9, 0.9, 0]])
-    assert cluster.average_link(d, 0.18).tolist() == [0, 0, 1]
+def average_link(distance, threshold):
+    """One merge of the closest two clusters after the other."""
+    clusters = [[i] for i in range(len(distance))]
+    mean = lambda a, b: np.mean([distance[i][j] for i in a for j in b])
+    while len(clusters) > 1:
+        d, i, j = min((mean(clusters[i], clusters[j]), i, j) for i in range(len(clusters)) for j in range(i + 1, len(clusters)))
+        if d > threshold:
+            break
+        clusters[i] += clusters.pop(j)
+    return {i: min(c) for c in clusters for i in c}
+
+
+def test_average_links(spark):
+    rng = np.random.default_rng(13)
+    rows, want = [], {}
+    for g in range(3):
+        x = rng.normal(0, 1, (14, 5)) + 3 * np.eye(5)[rng.integers(0, 5, 14)]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want |= {(g, i): c for i, c in average_link(1 - unit @ unit.T, 0.3).items()}
+        rows += [(g, i, x[i].tolist()) for i in range(14)]
+    got = {(r.g, r.k): r.cluster for r in cluster.average_links(spark.createDataFrame(rows, "g int, k long, v array<double>"), "g", "k", "v", 0.3).collect()}
+    assert got == want and 3 < len(set((g, c) for (g, _), c in got.items())) < 42
+    with pytest.raises(ValueError, match="14 rows"):
+        cluster.dense(spark.createDataFrame(rows, "g int, k long, v array<double>"), "g", "k", "v", most=13)
+
+
+def test_density():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.05, (12, 2)), rng.normal(3, 0.05, (12, 2)), [[10.0, -9.0]]])
     labels = cluster.density(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 3)
