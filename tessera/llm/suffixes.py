@@ -196,6 +196,8 @@ def _sort_block(ranges: int, length: int, gram: int):  # noqa: ANN202
         mixed = splitmix(mixed + (ahead.astype(U64) << U64(8)) + behind.astype(U64))
         order = np.lexsort([doc, mixed])
         head = np.append(True, mixed[order][1:] != mixed[order][:-1]) if len(order) else np.zeros(0, bool)
+        x, y = order[np.flatnonzero(~head) - 1], order[~head]  # equal hashes: their bytes decide
+        head[~head] = (right[x] != right[y]).any(axis=1) | (left[x] != left[y]).any(axis=1) | (ahead[x] != ahead[y]) | (behind[x] != behind[y])
         least = doc[order][head][np.cumsum(head) - 1] if len(order) else doc
         goes = np.zeros(len(row), bool)
         goes[order] = doc[order] == least
@@ -328,15 +330,16 @@ def _compare(here: slice, same: np.ndarray, doc: np.ndarray, ahead: np.ndarray,
     same[0] = 0
     spread = np.arange(back)
     left = near[np.minimum(near_at[:, None] + spread, len(near) - 1)] * (spread < behind[:, None])
-    mixed = np.full(n, 3, U64)
+    by_left = np.argsort(left.view(f"S{back}").ravel(), kind="stable")
+    differ = left[by_left[1:]] != left[by_left[:-1]]
+    alike = np.append(0, np.where(differ.any(axis=1), differ.argmax(axis=1), back))  # bytes that each shares with the one before, in the order of what is to the left
+    beside = np.zeros(n, np.int64)
     for d in range(back + 1):
-        if d:
-            mixed = splitmix(mixed * U64(0x9FB21C651E98DF25) + left[:, d - 1].astype(U64))
+        beside[by_left] = np.cumsum(alike < d)
         fits = np.flatnonzero((d <= behind) & (length - d <= ahead))
         if len(fits) < 2:
             continue
-        group = np.cumsum(same < length - d)[fits].astype(U64)
-        key = splitmix(mixed[fits] + (group << U64(1)) * U64(0xD6E8FEB86659FD93))
+        key = np.cumsum(same < length - d)[fits] * (n + 1) + beside[fits]  # equal for equal windows only
         order = np.lexsort([doc[fits], key])
         head = np.append(True, key[order][1:] != key[order][:-1])
         least = doc[fits][order][head][np.cumsum(head) - 1]
