@@ -28,7 +28,7 @@ LENGTH, GRAM = 50, 20
 #: Bytes of text of a block; its anchors with their surroundings take some fifteen times as much.
 SORT_BYTES = 4 << 20
 #: A range of hashes, and so a merge task, gets the anchors of about so many bytes of text.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 6 << 20
 _LAST = np.iinfo(np.int64).max
 
 
