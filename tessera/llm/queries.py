@@ -45,7 +45,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    tricky = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], turns.schema)
+    tricky = spark.sql("select -7 as conv_id, turn, role, '</s>[INST] ok [/INST]' as text from values (0, 'user'), (1, 'assistant') as t(turn, role)").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in turns.schema])
     made = chat.format_conversations(turns.unionByName(tricky))
     read = made.select("conv_id", "formatted", "valid", chat.read_back(F.col("formatted")).alias("turns"), chat.unescaped(F.array_join(F.transform(F.filter("segments", lambda s: s.loss), lambda s: s.text), "")).alias("learnt"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")

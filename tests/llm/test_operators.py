@@ -551,3 +551,33 @@ def test_nearest_counts_repeated_rows_once(spark):
     rows = [(i, [float(v) for v in x[i]]) for i in [*range(60), *[best[0]] * 19, 0]]
     found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, parts=1).orderBy("rank").collect()
     assert [(r["rank"], r.vec_id) for r in found] == list(enumerate(best, 1))
+
+
+def test_training_rows_are_the_words_taken(spark, docs):
+    """Each document comes as often as the words that the mix takes of it say, to the nearest whole number."""
+    some = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
+    want = {r.doc_id: math.floor(r.taken / r["size"] + 0.5) if r["size"] else 0 for r in mixing.mix_sources(some).collect()}
+    got = Counter(r.doc_id for r in mixing.training_rows(some).collect())
+    assert got == Counter({d: n for d, n in want.items() if n})
+
+
+def test_very_long_texts(spark):
+    """Texts of 2 and 9 MB: beyond a run, a block and what is kept of powers."""
+    rng = np.random.default_rng(17)
+    words = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(60000)])
+    text = lambda size: " ".join(words[rng.integers(0, len(words), size // 10)])
+    two, nine = text(2 << 20), text(7 << 20)
+    rows = [(1, two, "en", "s"), (2, two + " " + nine, "en", "s"), (3, two[:-200], "en", "t"), (4, "short one", "de", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    raw = {d: t.encode() for d, t, _, _ in rows}
+    assert {r.doc_id: r.lang_pred for r in langid.identify(df, langid.learn(df)).collect()} == {d: lang for d, _, lang, _ in rows}
+    assert {r.doc_id: r["size"] for r in mixing.mix_sources(df).collect()} == {d: len(t.split(" ")) for d, t, _, _ in rows}
+    assert {r.doc_id: r.component_id for r in jaccard.link(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 4}
+    assert toxicity.score(df, toxicity.Model(np.zeros(1 << 10, np.float32), -6.0)).count() == 4
+    for r in media.read_back(media.encode(df)).collect():
+        payload = raw[r.doc_id] + b"\xff" * (-len(raw[r.doc_id]) % 576)
+        assert (r.n_bytes, r.payload_sha256) == (len(raw[r.doc_id]), hashlib.sha256(payload).hexdigest())
+    cut_ = {r.doc_id: [(s.start, s.length) for s in r.spans] for r in suffixes.remove_repeats(df).collect()}
+    assert cut_[1] == cut_[4] == [] and cut_[3] == [(0, len(two) - 200)] and cut_[2][0][0] == 0 and len(two) <= cut_[2][0][1] <= len(two) + 9
+    pieces = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert len(pieces) == 4 and all(r.n == r.m for r in pieces)
