@@ -41,6 +41,9 @@ def total_score(parts: dict[str, Column]) -> Column:
     return out
 
 
+# The thresholds of status, role_conflict, near_duplicate and mapping_type.
+
+
 def status(top: Column, second: Column) -> Column:
     """conflict, auto, review or low, from the best two scores; a missing second counts as 0."""
     gap = top - F.coalesce(second, F.lit(0.0))

@@ -98,12 +98,12 @@ def g7_scope(spark: SparkSession, sf: str) -> DataFrame:
     return graph.scope(read(spark, sf, "part"), "p_name", "p_type")
 
 
-@query("select l_orderkey, l_partkey, max(l_discount) as sim from lineitem group by all")
+@query("select l_orderkey, l_partkey, l_discount as sim, l_linenumber as line from lineitem qualify row_number() over (partition by l_orderkey, l_partkey order by l_discount desc nulls last, l_linenumber) = 1")
 def g8_best_duplicate(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.operators.ranking import top
 
     best = top(read(spark, sf, "lineitem"), 1, ["l_orderkey", "l_partkey"], [F.col("l_discount").desc_nulls_last(), F.col("l_linenumber")])
-    return best.select("l_orderkey", "l_partkey", F.col("l_discount").alias("sim"))
+    return best.select("l_orderkey", "l_partkey", F.col("l_discount").alias("sim"), F.col("l_linenumber").alias("line"))
 
 
 @query("with w as (select p_size, min(p_name) as canonical from part group by 1 having count(*) >= 2 and count(distinct p_type) >= 2) select p_partkey, canonical, p_name <> canonical as changed from part join w using (p_size)")
