@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame, schedules: tuple = SCHEDULES, cap: float = 3.0,
         rows = rows.withColumn("times", F.lit(1).cast("long"))
     else:
         rows = settled(rows.groupBy("doc_id", "source", "name", "digest", "slice", "size").agg(F.count("*").alias("times")))
-    parts = rows.groupBy("name", "slice").agg(F.sum(F.col("size") * F.col("times")).alias("slice_size"), F.first("source").alias("source"))
+    parts = settled(rows.groupBy("name", "slice").agg(F.sum(F.col("size") * F.col("times")).alias("slice_size"), F.first("source").alias("source")))
     whole = Window.partitionBy("name")
     parts = parts.withColumn("source_size", F.sum("slice_size").over(whole)).withColumn("ahead", F.sum("slice_size").over(whole.orderBy("slice")) - F.col("slice_size"))
     sizes = parts.groupBy("name").agg(F.max("source_size").alias("source_size"), F.first("source").alias("source"))
