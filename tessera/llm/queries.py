@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, jaccard, langid, media, mixing, packing, perplexity, suffixes, toxicity
+from tessera.llm import ann, chat, huffman, jaccard, langid, media, middle, mixing, packing, perplexity, suffixes, toxicity
 from tessera.llm.langid import held_out
+from tessera.sources.files import workspace
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,7 +78,22 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_perplexity, op5_toxicity, op6_chat_format, op7_packing, op8_media, op9_repeated_passages, op10_nearest)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(_read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "ids")
+    huffman.write_ids(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_ALL = (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_perplexity, op5_toxicity, op6_chat_format, op7_packing, op8_media, op9_repeated_passages, op10_nearest, op12_fill_in_middle, op13_token_files)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op3_ngram_jaccard": r"""
@@ -106,5 +122,16 @@ select conv_id, count(*) as n_turns,
   cast(sum(chars) as bigint) as formatted_chars,
   coalesce(regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' order by k), 's?(ua)+'), false) as valid
 from marked group by conv_id
+""",
+    "op12_fill_in_middle": r"""
+with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as units, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (select *, len(units) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from t),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+c as (select doc_id, n, form, text, array_to_string(units[1:a], '') as p, array_to_string(units[a + 1:b], '') as m, array_to_string(units[b + 1:n], '') as s from f)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(case form when 'plain' then text else p || m || s end) as restored_sha256
+from c
 """,
 }
