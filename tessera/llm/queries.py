@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, chat, huffman, jaccard, langid, media, middle, mixing, packing, perplexity, suffixes, toxicity
+from tessera.llm import ann, chat, huffman, jaccard, langid, media, middle, mixing, negatives, packing, perplexity, suffixes, toxicity
 from tessera.llm.langid import held_out
 from tessera.sources.files import workspace
 
@@ -78,6 +78,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = middle.transform(_read(spark, sf_dir, "documents"))
     return made.select(
@@ -92,7 +97,7 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_ALL = (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_perplexity, op5_toxicity, op6_chat_format, op7_packing, op8_media, op9_repeated_passages, op10_nearest, op12_fill_in_middle, op13_token_files)
+_ALL = (op1_language_id, op2_source_mix, op3_ngram_jaccard, op4_perplexity, op5_toxicity, op6_chat_format, op7_packing, op8_media, op9_repeated_passages, op10_nearest, op11_hard_negatives, op12_fill_in_middle, op13_token_files)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
@@ -122,6 +127,15 @@ select conv_id, count(*) as n_turns,
   cast(sum(chars) as bigint) as formatted_chars,
   coalesce(regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' order by k), 's?(ua)+'), false) as valid
 from marked group by conv_id
+""",
+    "op11_hard_negatives": r"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as alike, cast(list_inner_product(a.q, b.q) as bigint) as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, score from s where alike qualify row_number() over (partition by a order by score desc, b) <= 5),
+n as (select p.a, p.b as positive, p.score as ps, s.b as negative, s.score as ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as k
+  from p join s on s.a = p.a and not s.alike and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select a as anchor_id, positive as positive_id, cast(k as integer) as rank, negative as negative_id, ps as positive_score, ns as negative_score from n where k <= 3
 """,
     "op12_fill_in_middle": r"""
 with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as units, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),

@@ -30,7 +30,7 @@ def test_chat_format_equals_sql(spark):
 
 
 def test_names_of_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard", "repeated_passages", "source_mix", "packing"]
 
 
