@@ -143,14 +143,11 @@ def _encoder(path: str):  # noqa: ANN202
     model, special = slow.model.tokenize, [t.content for t in slow.get_added_tokens_decoder().values()]
     ids_of = (lambda ids: array(code, ids).tobytes()) if sys.byteorder == "little" else (lambda ids: np.array(ids, kind).tobytes())
 
-    def plain(word: str) -> bytes:
-        out = b""
-        for part in _PARTS.findall(word.lower()):
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = ids_of([t.id for t in model(part if part.isascii() else part.encode().decode("latin-1").translate(letters))])
-            out += ids
-        return out
+    def part(word: str) -> bytes:
+        ids = known.get(word)
+        if ids is None:
+            ids = known[word] = ids_of([t.id for t in model(word if word.isascii() else word.encode().decode("latin-1").translate(letters))])
+        return ids
 
     def encode(text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
@@ -159,17 +156,19 @@ def _encoder(path: str):  # noqa: ANN202
             return b"".join(got)
         if len(known) > WORDS:
             known.clear()
-        made, rest, odd = {}, [], any(s in text for s in special)
-        for w in {w for w, g in zip(words, got) if g is None}:
-            if len(w) <= WORD_CHARS and _PLAIN.fullmatch(w) and not (odd and any(s in w for s in special)):
-                made[w] = known[w] = plain(w)
+        rest, odd, long = [], any(s in text for s in special), {}
+        for w in set(words) if not known else {w for w, g in zip(words, got) if g is None}:
+            if w.isalpha() and w.isascii() and len(w) <= WORD_CHARS:
+                known[w] = part(w.lower())
+            elif len(w) <= WORD_CHARS and _PLAIN.fullmatch(w) and not (odd and any(s in w for s in special)):
+                known[w] = b"".join(map(part, _PARTS.findall(w.lower())))
             else:
                 rest.append(w)
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
-            made |= {w: ids_of(e.ids) for w, e in zip(some, slow.encode_batch_fast(some, add_special_tokens=False))}
-        known.update((w, made[w]) for w in rest[:WORDS] if len(w) <= WORD_CHARS)
-        return b"".join([made[w] if g is None else g for w, g in zip(words, got)])
+            for w, e in zip(some, slow.encode_batch_fast(some, add_special_tokens=False)):
+                (known if len(w) <= WORD_CHARS else long)[w] = ids_of(e.ids)
+        return b"".join([known[w] if len(w) <= WORD_CHARS else long[w] for w in words] if long else map(known.__getitem__, words))
 
     return encode, kind
 
