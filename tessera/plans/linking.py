@@ -30,7 +30,7 @@ def g1_average_link(spark: SparkSession, sf: str) -> DataFrame:
 def g2_density(spark: SparkSession, sf: str) -> DataFrame:
     members = _members(spark, sf)
     found = cluster.dense(members, "topic", "key", "centroid")
-    tight = cluster.cohesion(found.where("cluster >= 0").join(members, ["topic", "key"]), ["topic", "cluster"], "key", "centroid").where("cohesion >= 0.55")
+    tight = cluster.cohesion(found.where("cluster is not null").join(members, ["topic", "key"]), ["topic", "cluster"], "key", "centroid").where("cohesion >= 0.55")
     return found.join(tight, ["topic", "cluster"], "left").select("topic", "key", "cluster", F.round("cohesion", 6).alias("cohesion"))
 
 

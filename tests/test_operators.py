@@ -59,16 +59,133 @@ def test_average_links(spark):
         rows += [(g, i, x[i].tolist()) for i in range(14)]
     got = {(r.g, r.k): r.cluster for r in cluster.average_links(spark.createDataFrame(rows, "g int, k long, v array<double>"), "g", "k", "v", 0.3).collect()}
     assert got == want and 3 < len(set((g, c) for (g, _), c in got.items())) < 42
-    with pytest.raises(ValueError, match="14 rows"):
-        cluster.dense(spark.createDataFrame(rows, "g int, k long, v array<double>"), "g", "k", "v", most=13)
 
 
-def test_density():
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(0, 0.05, (12, 2)), rng.normal(3, 0.05, (12, 2)), [[10.0, -9.0]]])
-    labels = cluster.density(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 3)
-    assert len(set(labels[:12])) == 1 and len(set(labels[12:24])) == 1 and labels[0] != labels[12]
-    assert cluster.density(np.zeros((2, 2)), 3).tolist() == [-1, -1]
+def density(distance: np.ndarray, least: int = 3) -> np.ndarray:
+    """Cluster numbers by density, -1 for noise: the tree of mutual reachability distances is cut where clusters of `least` rows live longest.
+
+    Core distance: to the (least - 1)-th other row. Single links over max(core, core, distance) give the hierarchy; a split counts where both sides
+    have `least` rows; of a cluster and its children those with the larger sum of (1 / d) lifetimes stay. The root isn't a cluster.
+    """
+    n = len(distance)
+    if n < least:
+        return np.full(n, -1)
+    core = np.sort(distance, axis=1)[:, min(least - 1, n - 1)]
+    reach = np.maximum(np.maximum(core[:, None], core[None]), distance)
+    edges = sorted((float(reach[i, j]), i, j) for i in range(n) for j in range(i + 1, n))
+    parent, kids, height = list(range(n)), {}, {}
+    top = list(range(n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    k = 0
+    for w, a, b in edges:
+        ra, rb = find(a), find(b)
+        if ra == rb:
+            continue
+        kids[n + k], height[n + k] = (top[ra], top[rb]), max(w, 1e-12)
+        parent[rb] = ra
+        top[ra] = n + k
+        k += 1
+
+    def leaves(node: int) -> list[int]:
+        out, todo = [], [node]
+        while todo:
+            x = todo.pop()
+            if x < n:
+                out.append(x)
+            else:
+                todo += kids[x]
+        return out
+
+    found: list[list[int]] = []
+
+    def best_of(node: int, born: float, root: bool) -> tuple[float, list[list[int]]]:
+        rows, lived = leaves(node), 0.0
+        while True:
+            if node < n:
+                return lived, [rows]
+            at = 1 / height[node]
+            lived += len(leaves(node)) * (at - born)
+            born = at
+            big = [c for c in kids[node] if len(leaves(c)) >= least]
+            if len(big) == 2:
+                parts = [best_of(c, at, False) for c in big]
+                below = sum(p[0] for p in parts)
+                if root or below > lived:
+                    return below, [x for p in parts for x in p[1]]
+                return lived, [rows]
+            if not big:
+                return lived, [] if root else [rows]
+            node = big[0]
+
+    found = best_of(2 * n - 2, 0.0, True)[1] if n > 1 else []
+    out = np.full(n, -1)
+    for i, rows in enumerate(sorted(found, key=min)):
+        out[rows] = i
+    return out
+
+
+def clustered(spark, rows, least):
+    df = spark.createDataFrame(rows, "g int, k long, v array<double>").repartition(3)
+    return {(r.g, r.k): r.cluster for r in cluster.dense(df, "g", "k", "v", least).collect()}
+
+
+def reach(x):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    return np.round(np.clip(1 - x @ x.T, 0, 2), 12)
+
+
+@pytest.mark.parametrize("least, near, edges", [(3, 4, 40), (5, 3, 1 << 16)])
+def test_density(spark, monkeypatch, least, near, edges):
+    """Several groups, in blocks of a few rows and stretches of a few edges, with equal vectors, a group that is too small, and rows that can't take part."""
+    for name, value in (("BLOCK", 30), ("NEAR", near), ("EDGES", edges)):
+        monkeypatch.setattr(cluster, name, value)
+    rng = np.random.default_rng(3)
+    centres, rows, want = rng.normal(0, 1, (9, 4)), [], {}
+    for g, n in enumerate((130, 90, 2)):
+        x = centres[rng.integers(0, 9, n)] + rng.normal(0, 0.12, (n, 4))
+        x[rng.random(n) < 0.15] += 1
+        if g == 1:
+            x[:10] = x[0]
+        labels = density(reach(x), least)
+        want |= {(g, i): None if labels[i] < 0 else int(np.flatnonzero(labels == labels[i])[0]) for i in range(n)}
+        rows += [(g, i, x[i].tolist()) for i in range(n)]
+    rows += [(0, 900, None), (0, 901, [1.0, None, 0.0, 0.0])]
+    got = clustered(spark, rows, least)
+    assert got == want | {(0, 900): None, (0, 901): None} and len(set(want.values())) > 8
+
+
+def test_density_of_one_large_group(spark, monkeypatch):
+    """20,000 rows of one group: the tree weighs what a direct one does, and no cluster mixes what was made apart. Edges come in five stretches."""
+    monkeypatch.setattr(cluster, "EDGES", 4096)
+    rng = np.random.default_rng(4)
+    home = rng.integers(0, 40, 20_000)
+    x = (3 * rng.normal(0, 1, (40, 8))[home] + rng.normal(0, 0.05, (20_000, 8))).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    made, trees = cluster.spanning_tree, []
+    monkeypatch.setattr(cluster, "spanning_tree", lambda *a: trees.append(made(*a)) or trees[-1])
+    got = clustered(spark, [(1, i, x[i].tolist()) for i in range(len(x))], 25)
+    core = np.concatenate([np.partition(1 - x[i : i + 500] @ x.T, 24, axis=1)[:, 24] for i in range(0, len(x), 500)])
+    inside, best, total = np.zeros(len(x), bool), np.full(len(x), np.inf), 0.0
+    at = 0
+    for _ in range(len(x) - 1):
+        inside[at] = True
+        best = np.minimum(best, np.maximum(np.maximum(core, core[at]), 1 - x @ x[at]))
+        at = int(np.where(inside, np.inf, best).argmin())
+        total += best[at]
+    tree = trees[0].agg(F.count("*"), F.sum("w")).first()
+    assert tree[0] == len(x) - 1 and abs(tree[1] - total) < 1e-6 * total
+    homes = {}
+    for (_, i), c in got.items():
+        if c is not None:
+            homes.setdefault(c, set()).add(int(home[i]))
+    assert all(len(h) == 1 for h in homes.values()) and set().union(*homes.values()) == set(range(40))
+    assert sum(c is not None for c in got.values()) > 10_000
 
 
 names = st.sampled_from(["a", "b", "c", "d"])
