@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.durable import dropped, settled
-from tessera.llm.textkit import released
+from tessera.llm.textkit import buffers, released
 
 #: No code is longer than so many bits, so a table of 2**LIMIT entries decodes any of them.
 LIMIT = 18
@@ -151,13 +151,12 @@ def _encoder(path: str):  # noqa: ANN202
 
     def encode(text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        got = list(map(known.get, words))
-        if None not in got:
-            return b"".join(got)
         if len(known) > WORDS:
             known.clear()
-        rest, odd, long = [], any(s in text for s in special), {}
-        for w in set(words) if not known else {w for w, g in zip(words, got) if g is None}:
+        rest, odd, long = [], None, {}
+        for w in set(words).difference(known):
+            if odd is None:
+                odd = any(s in text for s in special)
             if w.isalpha() and w.isascii() and len(w) <= WORD_CHARS:
                 known[w] = part(w.lower())
             elif len(w) <= WORD_CHARS and _PLAIN.fullmatch(w) and not (odd and any(s in w for s in special)):
@@ -197,11 +196,10 @@ def id_counts(rows: DataFrame, kind: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(n) > len(total):
-                    total, n = n.astype(np.int64), total
-                total[: len(n)] += n
+            n = np.bincount(buffers(batch.column(0))[0].view(kind))
+            if len(n) > len(total):
+                total, n = n, total
+            total[: len(n)] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
@@ -227,26 +225,30 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, limit
     doc = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, part, first, names, held, used = canonical(bits), TaskContext.get().partitionId(), 0, [], [], 0
+        codes, part, first, held, used = canonical(bits), TaskContext.get().partitionId(), 0, [], 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), kind)
+            ids = np.concatenate([h[2] for h in held])
             data, start = encode_bits(ids, bits, codes)
-            sizes = pa.array([np.array([len(x) // np.dtype(kind).itemsize for x in held], np.int64)], pa.list_(pa.int64()))
-            of = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.concat_arrays(names))
+            names, sizes = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            of = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([first]), pa.array([len(ids)]), of, sizes, pa.array([start[::stride]], pa.list_(pa.int64())), pa.array([stride]), pa.array([data], pa.binary())],
+                [pa.array([part]), pa.array([first]), pa.array([len(ids)]), of, pa.array([sizes], pa.list_(pa.int64())), pa.array([start[::stride]], pa.list_(pa.int64())), pa.array([stride]), pa.array([data], pa.binary())],
                 ["part", "first", "n_ids", "doc_ids", "sizes", "checkpoints", "stride", "bits"],
             )
 
         for batch in batches:
-            for i, (ids, size) in enumerate(zip(batch.column(1), batch.column(2).to_pylist())):
-                names.append(batch.column(0).slice(i, 1))
-                held.append(ids.as_py())
-                used += size
+            ids, end = buffers(batch.column(1))[0].view(kind), np.cumsum(batch.column(2).to_numpy())
+            row = 0
+            while row < batch.num_rows:
+                before = int(end[row - 1]) if row else 0
+                # Up to the document that fills the block.
+                upto = min(batch.num_rows, int(np.searchsorted(end, before + block_ids - used)) + 1)
+                held.append((batch.column(0).slice(row, upto - row), np.diff(end[row:upto], prepend=before), ids[before : end[upto - 1]]))
+                used, row = used + int(end[upto - 1]) - before, upto
                 if used >= block_ids:
                     yield closed()
-                    first, names, held, used = first + used, [], [], 0
+                    first, held, used = first + used, [], 0
         if held:
             yield closed()
         released()
