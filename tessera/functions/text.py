@@ -111,13 +111,20 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def glob_regex(glob: Column) -> Column:
-    """A glob of *, ?, [seq] and [!seq] as an anchored regular expression, lower-cased. A bracket that isn't closed stands for itself."""
-    plain = F.regexp_replace(F.lower(glob), r"([.^$+(){}|\\])", r"\\$1")
-    plain = F.regexp_replace(plain, r"\[(?!!?[^\[]+\])", r"\\[")
-    plain = F.regexp_replace(plain, r"\[!", "[^")
-    outside = r"(?![^\[]*\])"  # wildcards within brackets are themselves
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\*" + outside, ".*"), r"\?" + outside, ".")
-    return F.concat(F.lit("^"), plain, F.lit("$"))
+    """A glob of *, ?, [seq] and [!seq] as an anchored regular expression, lower-cased. A bracket that isn't closed stands for itself, as does a ] first within one; a range whose ends are swapped holds nothing."""
+    quoted = lambda x: F.regexp_replace(x, r"([!-/:-@\[-`{-~])", r"\\$1")
+
+    def one(piece: Column) -> Column:
+        negated = F.substring(piece, 2, 1) == "!"
+        inner = F.when(negated, F.substring(piece, F.lit(3), F.length(piece) - 3)).otherwise(F.substring(piece, F.lit(2), F.length(piece) - 2))
+        items = F.regexp_extract_all(inner, F.lit("(?s).-.|."), F.lit(0))
+        kept = F.filter(items, lambda i: (F.length(i) < 3) | (F.substring(i, 1, 1) <= F.substring(i, 3, 1)))
+        listed = F.array_join(F.transform(kept, lambda i: F.when(F.length(i) < 3, quoted(i)).otherwise(F.concat(quoted(F.substring(i, 1, 1)), F.lit("-"), quoted(F.substring(i, 3, 1))))), "")
+        class_ = F.when(listed == "", F.when(negated, ".").otherwise("(?!)")).otherwise(F.concat(F.when(negated, "[^").otherwise("["), listed, F.lit("]")))
+        return F.when(F.length(piece) > 1, class_).when(piece == "*", ".*").when(piece == "?", ".").otherwise(quoted(piece))
+
+    pieces = F.regexp_extract_all(F.lower(glob), F.lit(r"(?s)\[!?+\]?+[^\]]*+\]|."), F.lit(0))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(pieces, one), ""), F.lit(r"\z"))
 
 
 def badly_named(name: Column, syllables: list[str], share: float = 0.6) -> Column:

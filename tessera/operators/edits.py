@@ -172,6 +172,29 @@ def decided(results: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFram
     return rows.withColumn("slot", F.when(d.isin("noise", "skip"), F.lit(None)).otherwise(F.coalesce("decision_slot", "slot"))).withColumn("status", status).drop("decision", "decision_slot")
 
 
+def extra_candidates(columns: DataFrame, bridge: DataFrame, slots: DataFrame, library: DataFrame, reviews: DataFrame, taken: list[str], matched: DataFrame | None = None) -> DataFrame:
+    """(vt_id, table, field) of the columns that a topic may need further slots for.
+
+    columns (table, field, comment) are those that are used, not empty and no noise; they belong to the topics of their table. What a review has
+    taken (decision in `taken`) goes, and what `matched` (vt_id, table, field) lists, where it is given. So does a column that is covered: its name or comment
+    holds, in any case and with two characters at least, a name, alias or library label of the topic's slots, or the name or comment of a taken column.
+    """
+    from tessera.operators.containment import containing
+
+    key = ["vt_id", "table", "field"]
+    confirmed = reviews.where(F.col("decision").isin(*taken)).select(*key).distinct()
+    rows = columns.select("table", "field", F.lower("field").alias("_name"), F.lower(F.trim("comment")).alias("_comment")).join(bridge.select("vt_id", "table").distinct(), "table")
+    known = slots.select("vt_id", "origin", "name", "aliases").join(library.select("name", F.col("label").alias("_label")), "name", "left")
+    label = F.when(F.col("origin") == "base", F.col("_label"))
+    parts = known.select("vt_id", F.explode(F.concat(F.array(F.col("name"), label), "aliases")).alias("part"))
+    seeds = confirmed.join(columns.select("table", "field", "comment"), ["table", "field"], "left").select("vt_id", F.explode(F.array("field", "comment")).alias("part"))
+    parts = parts.unionByName(seeds).select("vt_id", F.lower("part").alias("part")).where(F.length("part") >= 2).distinct()
+    texts = rows.select(*key, F.explode(F.array("_name", "_comment")).alias("text")).where("text is not null")
+    covered = texts.join(containing(texts, parts), "text").join(parts, ["vt_id", "part"], "left_semi").select(*key).distinct()
+    left = rows.select(*key).distinct().join(covered, key, "left_anti").join(confirmed, key, "left_anti")
+    return left if matched is None else left.join(matched.select(*key).distinct(), key, "left_anti")
+
+
 def slot_errors(new: DataFrame, library: DataFrame) -> DataFrame:
     """(vt_id, slot_index, error) of slots that can't replace a topic's: no name, a repeated name, an unknown origin, a base name the library lacks."""
     rows = new.withColumn("times", F.count("*").over(Window.partitionBy("vt_id", "name"))).join(library.select("name", F.lit(True).alias("known")), "name", "left")
@@ -216,7 +239,7 @@ def rules_edited(rules: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame
     return left.unionByName(fine.where(F.col("action") == "add").select(*keys).distinct()), rows
 
 
-TABLE_TYPES = ("fact", "entity", "dictionary", "relation", "other")
+TABLE_TYPES = ("entity", "fact", "aggregate", "dictionary")
 
 
 def topics_edited(scaffold: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.containment import containing
 from tessera.operators.joins import all_pairs
 
 
@@ -90,7 +91,14 @@ def rare_fields(fields: DataFrame, query: str, group: str, hit: float = 0.5, lea
     return rows.groupBy(query, group).agg(F.sum(F.col("idf") / (constant + F.col("rank"))).alias("score"))
 
 
-def literal_share(fields: Column, names: Column) -> Column:
-    """The share of fields that equal a name, or hold or are within one of at least two characters."""
-    hit = lambda w: F.exists(names, lambda n: (n == w) | ((F.length(n) >= 2) & (F.contains(n, w) | F.contains(w, n))))
-    return F.size(F.filter(fields, hit)) / F.size(fields)
+def literal_shares(fields: DataFrame, names: DataFrame, query: str, group: str) -> DataFrame:
+    """(query, group, score): the share of a question's distinct fields (query, field) that equal a name of the group (group, name), or hold or are within one of at
+    least two characters. Pairs without any are left out: their score is 0."""
+    fields, names = fields.select(query, "field").distinct(), names.select(group, "name").distinct()
+    words, known = fields.select(F.col("field").alias("text")), names.select(F.col("name").alias("text"))
+    inside = containing(words, known.withColumnRenamed("text", "part")).select(F.col("text").alias("field"), F.col("part").alias("name"))
+    around = containing(known.where(F.length("text") >= 2), words.withColumnRenamed("text", "part"), least=1).select(F.col("part").alias("field"), F.col("text").alias("name"))
+    same = fields.select("field").distinct().join(names.select(F.col("name").alias("field")).distinct(), "field").select("field", F.col("field").alias("name"))
+    hits = inside.union(around).union(same).distinct()
+    found = fields.join(hits, "field").join(names, "name").groupBy(query, group).agg(F.count_distinct("field").alias("_hits"))
+    return found.join(fields.groupBy(query).agg(F.count("*").alias("_all")), query).select(query, group, (F.col("_hits") / F.col("_all")).alias("score"))

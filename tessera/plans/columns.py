@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
-from tessera.operators import joins, summaries
+from tessera.operators import containment, joins, ranking, summaries
 from tessera.plans import vocabularies as v
 from tessera.plans.registry import query, read
 from tessera.sources import files
+from tessera.sources.files import settled
 
 SUFFIXES = {"key": "key", "id": "key", "date": "time", "ts": "time", "price": "measure", "bal": "measure", "name": "display", "flag": "code", "status": "code"}
 KEYWORDS = {"key": ["key"], "time": ["date", "time"], "money": ["price", "balance"], "place": ["region", "nation"], "code": ["code", "flag", "status"]}
@@ -212,31 +213,36 @@ def f9_score_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(_rules()[0], 6).alias("score")).where("score >= 0.3")
 
 
-@query(f"""with {v.CATALOG.cte()}, {v.SLOTS.cte(base=True)}, a as (select name as slot, row_number() over (order by vt_id, slot_index) - 1 as ord, unnest(aliases) as alias from slots),
+@query(f"""with {v.CATALOG.cte()}, {v.SLOTS.cte()}, a as (select name as slot, row_number() over (order by vt_id, slot_index) - 1 as ord, unnest(aliases) as alias from slots),
 m as (select c."table", c.field, a.slot, a.ord, case when lower(c.field) = alias then 1 when c.comment = alias then 2 when list_contains({_DUCK_TOKENS.format('c.field')}, alias) then 3
   when length(alias) >= 2 and (contains(lower(c.field), alias) or contains(c.comment, alias)) then 4 end as match from catalog c, a),
 r as (select *, row_number() over (partition by "table", field order by match, ord, slot) as k from m where match is not null)
 select "table", field, match, slot from r where k = 1""")
 def f10_best_name_match(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    slots = v.SLOTS.frame(spark).withColumn("ord", F.row_number().over(Window.orderBy("vt_id", "slot_index")) - 1)
-    aliases = slots.select(F.col("name").alias("slot"), "ord", F.explode("aliases").alias("alias"))
-    return joins.best_match(v.CATALOG.frame(spark, sf), aliases, F.lower("field"), F.col("comment"), text.tokens(F.col("field")), ["table", "field"])
+    slots = ranking.numbered(v.SLOTS.frame(spark, sf).select("vt_id", "slot_index", "name", "aliases"), [F.col("vt_id"), F.col("slot_index")], "ord")
+    aliases = slots.select(F.col("name").alias("slot"), F.col("ord") - 1, F.explode("aliases").alias("alias")).toDF("slot", "ord", "alias")
+    return containment.best_match(v.CATALOG.frame(spark, sf), aliases, F.lower("field"), F.col("comment"), text.tokens(F.col("field")), ["table", "field"])
 
 
-@query(f"""with {v.CATALOG.cte()}, {v.SLOTS.cte(base=True)} select c."table", c.field, s.vt_id, s.slot_index from catalog c, slots s
+@query(f"""with {v.CATALOG.cte()}, {v.SLOTS.cte()} select c."table", c.field, s.vt_id, s.slot_index from catalog c, slots s
 where len(list_filter(s.aliases, lambda a: length(a) >= 2 and (contains(lower(c.field), a) or contains(coalesce(c.comment, ''), a)))) > 0""")
 def f11_covered(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.CATALOG.frame(spark, sf).join(F.broadcast(v.SLOTS.frame(spark)))
-    return rows.where(F.exists("aliases", lambda a: (F.length(a) >= 2) & (F.contains(F.lower("field"), a) | F.contains(F.coalesce("comment", F.lit("")), a)))).select("table", "field", "vt_id", "slot_index")
+    """Which slots cover a column: an alias of two characters or more is within its name or comment."""
+    names = v.CATALOG.frame(spark, sf).select("table", "field", F.explode(F.array(F.lower("field"), F.col("comment"))).alias("text"))
+    aliases = v.SLOTS.frame(spark, sf).select("vt_id", "slot_index", F.explode("aliases").alias("part"))
+    pairs = settled(containment.containing(names, aliases))
+    return names.join(pairs, "text").select("table", "field", "part").distinct().join(aliases, "part").select("table", "field", "vt_id", "slot_index").distinct()
 
 
-@query(f"""with {v.QUESTIONS.cte()}, {v.SLOTS.cte(base=True)} select q.question_id, s.vt_id, s.slot_index from questions q, slots s where q.query_text <> ''
+@query(f"""with {v.QUESTIONS.cte()}, {v.SLOTS.cte()} select q.question_id, s.vt_id, s.slot_index from questions q, slots s where q.query_text <> ''
 and len(list_filter(list_append(s.aliases, s.name), lambda h: contains(h, q.query_text) or (length(h) >= 2 and contains(q.query_text, h)))) > 0""")
 def f12_either_contains(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.QUESTIONS.frame(spark, sf).where("query_text <> ''").join(F.broadcast(v.SLOTS.frame(spark)))
-    return rows.where(F.exists(F.array_append("aliases", F.col("name")), lambda h: F.contains(h, F.col("query_text")) | ((F.length(h) >= 2) & F.contains(F.col("query_text"), h)))).select("question_id", "vt_id", "slot_index")
+    """Slots of which a name is within a question, or holds all of it."""
+    asked = v.QUESTIONS.frame(spark, sf).where("query_text <> ''").select("question_id", F.col("query_text").alias("question"))
+    names = v.SLOTS.frame(spark, sf).select("vt_id", "slot_index", F.explode(F.array_append("aliases", F.col("name"))).alias("name"))
+    inside = containment.containing(asked.select(F.col("question").alias("text")), names.select(F.col("name").alias("part"))).toDF("question", "name")
+    around = containment.containing(names.select(F.col("name").alias("text")), asked.select(F.col("question").alias("part")), least=1).toDF("name", "question")
+    return asked.join(inside.unionByName(around).distinct(), "question").join(names, "name").select("question_id", "vt_id", "slot_index").distinct()
 
 
 @query(f"""with {v.CATALOG.cte()}, t as (select "table", field, {_DUCK_TOKENS.format('field')} as w from catalog)

@@ -9,7 +9,7 @@ from tessera.functions import text
 from tessera.operators import cluster, edits, graph, joins, retrieval
 from tessera.operators.ranking import placed
 from tessera.plans import vocabularies as v
-from tessera.plans.columns import _X13, _x13
+from tessera.plans.columns import _NOISE, _X13, _x13, noise
 from tessera.plans.grouping import _RESULTS, results
 from tessera.plans.matching import matched_columns
 from tessera.plans.registry import ORACLES, query, read
@@ -342,12 +342,18 @@ def m21_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return edits.upsert(state, decisions.join(pending.select("p_partkey"), "p_partkey", "left_semi"), ["p_partkey"])
 
 
-@query(f"with {v.CATALOG.cte()}, {v.USAGE.cte()}, {v.REVIEWS.cte()}, {v.SLOTS.cte()}, {v.BRIDGE.cte()} select distinct c.\"table\", c.field from catalog c semi join usage_stats u using (\"table\", field) anti join reviews r using (\"table\", field) where not exists (select 1 from bridge b join slots s using (vt_id) where b.\"table\" = c.\"table\" and len(list_filter(s.aliases, lambda a: contains(c.comment, a))) > 0)")
+@query(f"""with {v.CATALOG.cte()}, {v.USAGE.cte()}, {v.REVIEWS.cte()}, {v.SLOTS.cte()}, {v.BRIDGE.cte()}, {v.LIBRARY.cte()}, nz as ({_NOISE}), mc as ({ORACLES['matched_columns']}), tk as (select distinct vt_id, "table", field from reviews where decision like 'take_%' or decision = 'new_slot'),
+c as (select * from catalog join nz using ("table", field) where (reason is null or reason = 'whitelisted') and len(list_filter(regexp_split_to_array(lower(coalesce(sample_data, '')), '[|\\s]+'), lambda x: x not in ('', 'null', 'nan', 'none', '-'))) > 0 and ("table", field) in (select "table", field from usage_stats where usage_count > 0)),
+al as (select vt_id, unnest(list_append(list_append(aliases, name), case when origin = 'base' then label end)) as alias from slots left join (select name, label from library) l using (name) union all select vt_id, unnest([t.field, k.comment]) from tk t join c k using ("table", field)),
+r as (select distinct b.vt_id, c."table", c.field, lower(c.field) as n, lower(trim(coalesce(c.comment, ''))) as m from c join bridge b using ("table"))
+select vt_id, "table", field from r where (vt_id, "table", field) not in (select vt_id, "table", field from tk) and (vt_id, "table", field) not in (select vt_id, "table", field from mc where status = 'auto')
+and not exists (select 1 from al where al.vt_id = r.vt_id and length(alias) >= 2 and (contains(n, lower(alias)) or contains(m, lower(alias))))""")
 def m22_extra_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    key = ["table", "field"]
-    rows = v.CATALOG.frame(spark, sf).join(v.USAGE.frame(spark, sf), key, "left_semi").join(v.REVIEWS.frame(spark, sf), key, "left_anti")
-    covered = joins.bridged(rows, v.BRIDGE.frame(spark, sf), v.SLOTS.frame(spark, sf)).where(F.exists("aliases", lambda a: F.contains("comment", a)))
-    return rows.join(covered.select(*key), key, "left_anti").select(*key).distinct()
+    key, taken = ["table", "field"], ["take_top1", "take_top2", "take_top3", "new_slot"]
+    named = noise(spark, sf).where("reason is null or reason = 'whitelisted'").select(*key)
+    columns = v.CATALOG.frame(spark, sf).where(~text.empty_sample(F.coalesce("sample_data", F.lit("")))).join(named, key, "left_semi").join(v.USAGE.frame(spark, sf).where("usage_count > 0"), key, "left_semi")
+    auto = matched_columns(spark, sf).where("status = 'auto'")
+    return edits.extra_candidates(columns, v.BRIDGE.frame(spark, sf), v.SLOTS.frame(spark, sf), v.LIBRARY.frame(spark), v.REVIEWS.frame(spark, sf), taken, auto)
 
 
 @query(f"with {_x13(base=True)}, {_RESULTS} select \"table\", field, vt_id, case when vt_id = 'vt_sales' then round(score, 6) else 0.0 end as score from results")

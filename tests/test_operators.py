@@ -1,5 +1,8 @@
 """Hand-computed cases, invariants and round trips."""
 
+import fnmatch
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -7,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import cluster, edits, graph, joins, ranking, summaries
+from tessera.operators import cluster, containment, edits, graph, joins, ranking, summaries
 from tessera.streaming.usage import windowed_usage
 
 
@@ -30,6 +33,31 @@ def test_scalars(spark):
     assert one(spark, text.character_class(F.array(F.lit("a"), F.lit("1")))) == "mixed"
 
 
+def test_globs_equal_fnmatch(spark):
+    """Random globs of brackets, wildcards and what regular expressions treat as their own."""
+    rng = np.random.default_rng(7)
+    signs = list("ab]][[!-*?^&&\\|.(a-c") + ["\n", "é", "$", "&&"]
+    globs = ["a*]b", "a?]", "[a&&b]x", "[]a]", "[!]a]", "[b-a]", "[!b-a]", "[^a]", "[a-]", "[--a]", "[!]", "[", "", "*", "a[", "[a-c-e]"] + ["".join(rng.choice(signs, rng.integers(1, 8))) for _ in range(900)]
+    rows = [(i, g, "".join(rng.choice(signs, rng.integers(0, 5))) if k else re.sub(r"[*?\[!]", "", g)) for i, g in enumerate(globs) for k in range(6)]
+    df = spark.createDataFrame(rows, "i int, glob string, name string")
+    got = df.select("glob", "name", F.expr("lower(name)").alias("low"), text.glob_regex(F.col("glob")).alias("regex")).selectExpr("glob", "name", "low rlike regex as hit").collect()
+    assert [r for r in got if r.hit != fnmatch.fnmatchcase(r.name.lower(), r.glob.lower())] == []
+    assert sum(r.hit for r in got) > 300
+
+
+@pytest.mark.parametrize("hot", [3, 65536])
+def test_containment(spark, hot):
+    """All texts with all parts, with pairs of characters that many texts share, single characters, empty and null ones, repeats and signs of two code units."""
+    rng = np.random.default_rng(3)
+    make = lambda n, most: ["".join(rng.choice(list("abé😀 "), rng.integers(0, most))) for _ in range(n)]
+    texts, parts = make(150, 9) + ["key of key", "key", None], make(60, 4) + ["key", "zz", "a", None, ""]
+    df = lambda x, name: spark.createDataFrame([(v, 1) for v in x + x[:9]], f"{name} string, gram int")
+    for least in (1, 2):
+        got = sorted(map(tuple, containment.containing(df(texts, "text"), df(parts, "part"), least, hot).collect()))
+        assert got == sorted({(t, p) for t in texts for p in parts if t is not None and p is not None and len(p) >= least and p in t})
+    assert containment.containing(df(texts, "text").where("false"), df(parts, "part")).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)]
     nodes = spark.range(200).select(F.col("id").alias("node"))
