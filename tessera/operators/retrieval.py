@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.containment import containing
-from tessera.operators.joins import all_pairs
+from tessera.operators.joins import all_pairs, small
+from tessera.sources.files import settled
 
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
@@ -38,6 +39,60 @@ def sparse_cosine(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFram
     return x.join(y, "gram").groupBy(a, b).agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
+#: Texts that hold an n-gram are one key up to so many, and dealt over several beyond.
+HOT = 65_536
+
+
+def _exact(pairs: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b, score), the scores to nine digits."""
+    return pairs.join(x, "a").join(y, ["b", "gram"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("score"))
+
+
+def candidate_pairs(x: DataFrame, y: DataFrame, k: int, lead: int = 6, hot: int = HOT) -> DataFrame:
+    """(a, b): the pairs of x (a, gram, wa) and y (b, gram, wb), rows of length 1, that can be among the k best of a. All others can't.
+
+    A text's n-grams go by impact, their weight times the largest weight on the other side. What the n-grams from a place on can add to a score
+    is bounded by the sum of their impacts and by the length of their weights. The first `lead` of them meet the heaviest entries of their lists,
+    which are scored and give a floor for a's k-th best score. Lists are read only for n-grams whose bound reaches the floor, and a pair stays if what it
+    has there and the bound of the rest reach it. Long lists are dealt over several keys.
+    """
+    from tessera.operators.ranking import top
+
+    lists = settled(y.groupBy("gram").agg(F.max("wb").alias("most"), F.count("*").alias("n")))
+    impact = Window.partitionBy("a").orderBy((F.col("wa") * F.col("most")).desc(), "gram")
+    onwards = impact.rowsBetween(0, Window.unboundedFollowing)
+    total, length = F.sum(F.col("wa") * F.col("most")).over(onwards), F.sqrt(F.sum(F.col("wa") * F.col("wa")).over(onwards))
+    walk = x.join(lists, "gram").select("a", "gram", "wa", "n", total.alias("total"), length.alias("length"), F.row_number().over(impact).alias("place"))
+    walk = settled(walk.withColumn("bound", F.least("total", "length")))
+    leading = walk.where(F.col("place") <= lead)
+    heads = top(y.join(leading.select("gram").distinct(), "gram", "left_semi"), 2 * k, ["gram"], [F.col("wb").desc(), F.col("b")])
+    seeds = settled(_exact(leading.select("a", "gram").join(heads.select("gram", "b"), "gram").select("a", "b").distinct(), x, y))
+    floor = top(seeds, k, ["a"], [F.col("score").desc(), F.col("b")]).where(F.col("rank") == k).select("a", (F.col("score") - 1e-8).alias("floor"))
+    steps = walk.join(floor, "a", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    after = F.when(F.col("bound") < F.col("floor"), F.struct("bound", "total", "length"))
+    rest = steps.groupBy("a", "floor").agg(F.max(after).alias("rest"))
+    keys = F.ceil(F.col("n") / hot).cast("long")
+    often = small(settled(lists.where(F.col("n") > hot).select("gram", keys.alias("keys"))))
+    dealt = y.join(often, "gram", "left").select("gram", "b", "wb", F.pmod(F.xxhash64("b"), F.coalesce("keys", F.lit(1))).alias("key"))
+    read = steps.where("bound >= floor").select("a", "gram", "wa", F.explode(F.sequence(F.lit(0).cast("long"), keys - 1)).alias("key"))
+    partial = read.join(dealt, ["gram", "key"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("partial"), F.sum(F.col("wb") * F.col("wb")).alias("used"))
+    # What is left of b has no more length than its whole less what was met.
+    most = F.least("rest.total", F.col("rest.length") * F.sqrt(F.greatest(1 - F.col("used"), F.lit(0.0)) + 1e-9))
+    return partial.join(rest, "a").where(F.col("partial") + F.coalesce(most, F.lit(0.0)) >= F.col("floor")).select("a", "b")
+
+
+def top_cosines(left: DataFrame, right: DataFrame, a: str, b: str, k: int, lead: int = 6, hot: int = HOT) -> DataFrame:
+    """(a, b, score, rank): the k best of right for each of left, as all of `sparse_cosine` would give, scores to nine digits and ties by b.
+
+    Both sides are (key, gram, weight) of unit rows with one row a key and gram. Texts that share no n-gram with any have no rows; who shares with fewer than k has those.
+    """
+    from tessera.operators.ranking import top
+
+    x, y = (settled(side.select(F.col(key).alias(n), "gram", F.col("weight").alias(f"w{n}"))) for side, key, n in ((left, a, "a"), (right, b, "b")))
+    scored = _exact(candidate_pairs(x, y, k, lead, hot), x, y)
+    return top(scored, k, ["a"], [F.col("score").desc(), F.col("b")]).select(F.col("a").alias(a), F.col("b").alias(b), "score", "rank")
+
+
 def unit(vector: Column) -> Column:
     """The vector at length 1, in double precision; a zero vector stays."""
     wide = F.transform(vector, lambda x: x.cast("double"))

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import cluster, containment, edits, graph, joins, ranking, summaries
+from tessera.operators import cluster, containment, edits, graph, joins, ranking, retrieval, summaries
 from tessera.streaming.usage import windowed_usage
 
 
@@ -58,6 +58,26 @@ def test_containment(spark, hot):
     assert containment.containing(df(texts, "text").where("false"), df(parts, "part")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [5, 65536])
+def test_top_cosines_equal_the_whole_matrix(spark, hot):
+    """Texts of common and rare words: the same best five and scores as from all pairs, and less than half of the pairs."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(150)]
+    topics = [rng.choice(words, 6) for _ in range(20)]
+    text_ = lambda i: " ".join(["the", *rng.choice(topics[i % 20], rng.integers(2, 6)), *rng.choice(words, rng.integers(0, 2))])
+    rows = [(f"a{i}", text_(i)) for i in range(60)] + [(f"b{i}", text_(i)) for i in range(200)] + [("a90", "zzzz"), ("b900", "the"), ("b901", "the"), ("a91", "")]
+    w = retrieval.tfidf(spark.createDataFrame(rows, "key string, text string"), "key", "text").cache()
+    left, right = w.where("key like 'a%'").withColumnRenamed("key", "a"), w.where("key like 'b%'").withColumnRenamed("key", "b")
+    whole = retrieval.sparse_cosine(left, right, "a", "b").withColumn("score", F.round("score", 9))
+    want = ranking.top(whole, 5, ["a"], [F.col("score").desc(), F.col("b")]).select("a", "b", "rank", "score").collect()
+    got = retrieval.top_cosines(left, right, "a", "b", 5, hot=hot).select("a", "b", "rank", "score").collect()
+    key = lambda rows_: sorted((r.a, r["rank"], r.b, round(r.score, 8)) for r in rows_)
+    assert key(got) == key(want)
+    x, y = left.select("a", "gram", F.col("weight").alias("wa")), right.select("b", "gram", F.col("weight").alias("wb"))
+    pairs, every = retrieval.candidate_pairs(x, y, 5, hot=hot).count(), whole.count()
+    assert pairs < every / 2
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)]
     nodes = spark.range(200).select(F.col("id").alias("node"))
