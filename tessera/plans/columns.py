@@ -391,7 +391,11 @@ def lexical(spark: SparkSession, sf: str | None) -> DataFrame:
     These are the Jaccard of their tokens, the edit similarity of the names, an alias that is a word of the spelt-out name (1), and an alias
     within the comment (0.8) or the name (0.7).
     """
-    rows = joins.bridged(v.CATALOG.frame(spark, sf), v.BRIDGE.frame(spark, sf).select("vt_id", "table"), v.SLOTS.frame(spark, sf).withColumnRenamed("name", "slot"))
+    return lexical_of(joins.bridged(v.CATALOG.frame(spark, sf), v.BRIDGE.frame(spark, sf).select("vt_id", "table"), v.SLOTS.frame(spark, sf).withColumnRenamed("name", "slot")))
+
+
+def lexical_of(rows: DataFrame) -> DataFrame:
+    """`lexical` of columns that stand beside slots already: (table, field, comment, vt_id, slot_index, slot, aliases)."""
     known = F.create_map(*[x for token, words in v.ABBREVIATIONS.rows for x in (F.lit(token), F.array(*map(F.lit, words)))])
     name, clean, words, none = F.lower("field"), text.clean_comment(F.col("comment")), text.tokens(F.col("field")), F.array().cast("array<string>")
     rows = rows.withColumns({"clean": clean, "expanded": F.flatten(F.transform(words, lambda t: F.coalesce(F.try_element_at(known, t), F.array(t))))})

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text
-from tessera.operators import cluster, edits, graph, joins, retrieval
-from tessera.operators.ranking import placed
+from tessera.functions import scores, text
+from tessera.operators import cluster, edits, graph, joins, retrieval, steps
+from tessera.operators.ranking import placed, widened
 from tessera.plans import vocabularies as v
-from tessera.plans.columns import _NOISE, _X13, _x13, noise
+from tessera.plans.columns import _NOISE, _X13, lexical_of, noise
 from tessera.plans.grouping import _RESULTS, results
 from tessera.plans.matching import matched_columns
 from tessera.plans.registry import ORACLES, query, read
-from tessera.sources.files import settled
+from tessera.sources.files import settled, workspace
+from tessera.sources.versions import Change, Store
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,12 +359,82 @@ def m22_extra_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return edits.extra_candidates(columns, v.BRIDGE.frame(spark, sf), v.SLOTS.frame(spark, sf), v.LIBRARY.frame(spark), v.REVIEWS.frame(spark, sf), taken, auto)
 
 
-@query(f"with {_x13(base=True)}, {_RESULTS} select \"table\", field, vt_id, case when vt_id = 'vt_sales' then round(score, 6) else 0.0 end as score from results")
+@query(f"""with {_X13}, k as (select "table", field, vt_id, round(lexical, 9) as s, row_number() over (partition by "table", field, vt_id order by round(lexical, 9) desc, slot_index) as r from l),
+w as (select "table", field, vt_id, max(s) filter (r = 1) as a, coalesce(max(s) filter (r = 2), 0) as b from k group by all)
+select "table", field, vt_id, case when vt_id = 'shelf_3' then round(a, 6) else 0.0 end as score, case when vt_id <> 'shelf_3' then 'old' when a - b < 0.05 and a >= 0.45 then 'conflict' when a >= 0.65 and a - b >= 0.10 then 'auto' when a >= 0.45 then 'review' else 'low' end as status, 2 as version from w""")
 def m23_recompute_one(spark: SparkSession, sf: str) -> DataFrame:
-    """One topic is computed anew and its rows replaced; all others keep what they had (0 here)."""
-    from tessera.sources.files import overwrite_keys, workspace
+    """One topic is scored and decided anew from its own partitions, and both tables change in one commit; all others keep what they had (0 and old here)."""
+    store, key = Store(spark, workspace(spark, "topics")), ["table", "field", "vt_id"]
+    columns = v.CATALOG.frame(spark, sf).select("table", "field", "comment").join(v.BRIDGE.frame(spark, sf).select("vt_id", "table"), "table")
+    slots = v.SLOTS.frame(spark, sf).select("vt_id", "slot_index", F.col("name").alias("slot"), "aliases")
+    all_of = settled(columns.join(slots.select("vt_id").distinct(), "vt_id", "left_semi").select(*key).distinct())
+    tables = {"columns": columns, "slots": slots, "scores": all_of.withColumn("score", F.lit(0.0)), "decisions": all_of.withColumn("status", F.lit("old"))}
+    store.commit(0, {name: Change(rows, "vt_id") for name, rows in tables.items()})
+
+    def recompute(read: Callable[[str], DataFrame]) -> dict[str, Change]:
+        mine = read("columns").where("vt_id = 'shelf_3'").join(read("slots").where("vt_id = 'shelf_3'"), "vt_id")
+        two = settled(widened(lexical_of(mine).withColumn("score", F.round("lexical", 9)), 2, key, [F.col("score").desc(), F.col("slot_index")], ["score"]))
+        return {"scores": Change(two.select(*key, F.round("top1_score", 6).alias("score")), "vt_id"), "decisions": Change(two.select(*key, scores.status(F.col("top1_score"), F.col("top2_score")).alias("status")), "vt_id")}
+
+    version = store.edit(recompute)
+    return store.read("scores").join(store.read("decisions"), key).select(*key, "score", "status", F.lit(version).alias("version"))
+
+
+def _two_writers(spark: SparkSession, sf: str) -> Store:
+    """A store whose second version was committed while another edit of the first one was under way, which then had to start again."""
+    store, tries = Store(spark, workspace(spark, "writers")), []
+    store.commit(0, {"supplier": Change(read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_nationkey")})
+
+    def other(get: Callable[[str], DataFrame]) -> dict[str, Change]:
+        return {"supplier": Change(get("supplier").where("s_nationkey = 3").withColumn("s_acctbal", F.col("s_acctbal") + 1), "s_nationkey")}
+
+    def mine(get: Callable[[str], DataFrame]) -> dict[str, Change]:
+        rows = get("supplier").where("s_nationkey in (3, 4)").withColumn("s_acctbal", F.col("s_acctbal") * 2)
+        tries.append(rows)
+        if len(tries) == 1:
+            store.edit(other)
+        return {"supplier": Change(rows, "s_nationkey")}
+
+    if store.edit(mine) != 3 or len(tries) != 2:
+        raise RuntimeError("the second edit did not start again")
+    return store
+
+
+@query("select s_suppkey, s_nationkey, round(case s_nationkey when 3 then (s_acctbal + 1) * 2 when 4 then s_acctbal * 2 else s_acctbal end, 2) as s_acctbal from supplier")
+def m7_two_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """Two edits of one version: the later one is done again on the outcome of the first, so neither is lost."""
+    return _two_writers(spark, sf).read("supplier").select("s_suppkey", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal"))
+
+
+@query("""select version, s_nationkey, count(*) as n, round(sum(case when s_nationkey = 3 and version = 2 then s_acctbal + 1 when s_nationkey = 3 and version = 3 then (s_acctbal + 1) * 2 when s_nationkey = 4 and version = 3 then s_acctbal * 2 else s_acctbal end), 2) as total
+from supplier, (values (1), (2), (3)) v(version) group by all""")
+def m7_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every version of a table can still be read."""
+    store, out = _two_writers(spark, sf), None
+    for version in (1, 2, 3):
+        rows = store.read("supplier", version).groupBy("s_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("total")).withColumn("version", F.lit(version))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    path, all_rows = workspace(spark, "scores"), results(spark, None).select("table", "field", "score", "vt_id")
-    overwrite_keys(all_rows.withColumn("score", F.lit(0.0)), path, "vt_id")
-    overwrite_keys(all_rows.where("vt_id = 'vt_sales'").withColumn("score", F.round("score", 6)), path, "vt_id")
-    return spark.read.schema("`table` string, field string, score double, vt_id string").parquet(path)
+
+@query("""with r as (select * from (values (1, 'nations', true), (1, 'suppliers', true), (1, 'regions', true), (2, 'nations', false), (2, 'suppliers', false), (2, 'regions', false), (3, 'nations', false), (3, 'suppliers', true), (3, 'regions', true)) v(run, step, ran))
+select run, step, ran, case step when 'nations' then (select count(*) from nation) when 'suppliers' then (select count(distinct s_nationkey) from supplier) + (run // 3) else (select count(distinct n_regionkey) from nation where n_nationkey in (select s_nationkey from supplier)) end as n from r""")
+def s14_dirty_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Three steps, run at first, then again with nothing changed, then after one of their inputs has got a further file: only that one's step and what follows it run."""
+    base, inputs = workspace(spark, "steps"), workspace(spark, "inputs")
+    read(spark, sf, "nation").write.parquet(f"{inputs}/nation")
+    read(spark, sf, "supplier").select("s_suppkey", "s_nationkey").write.parquet(f"{inputs}/supplier")
+    plan = [
+        steps.Step("nations", [f"{inputs}/nation"], lambda n: n.select("n_nationkey", "n_regionkey")),
+        steps.Step("suppliers", [f"{inputs}/supplier"], lambda s: s.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))),
+        steps.Step("regions", ["nations", "suppliers"], lambda n, s: n.join(s, "n_nationkey").groupBy("n_regionkey").agg(F.sum("n").alias("n"))),
+    ]
+    out = None
+    for run in (1, 2, 3):
+        if run == 3:
+            read(spark, sf, "supplier").select("s_suppkey", F.lit(-1).alias("s_nationkey")).write.mode("append").parquet(f"{inputs}/supplier")
+        store = Store(spark, base)
+        for name, ran in steps.run_dirty(spark, base, plan):
+            row = store.read(name).agg(F.count("*").alias("n")).select(F.lit(run).alias("run"), F.lit(name).alias("step"), F.lit(ran).alias("ran"), "n")
+            out = row if out is None else out.unionByName(row)
+    return out
