@@ -371,8 +371,8 @@ def m23_recompute_one(spark: SparkSession, sf: str) -> DataFrame:
     tables = {"columns": columns, "slots": slots, "scores": all_of.withColumn("score", F.lit(0.0)), "decisions": all_of.withColumn("status", F.lit("old"))}
     store.commit(0, {name: Change(rows, "vt_id") for name, rows in tables.items()})
 
-    def recompute(read: Callable[[str], DataFrame]) -> dict[str, Change]:
-        mine = read("columns").where("vt_id = 'shelf_3'").join(read("slots").where("vt_id = 'shelf_3'"), "vt_id")
+    def recompute(read: Callable[..., DataFrame]) -> dict[str, Change]:
+        mine = read("columns", only=["shelf_3"]).join(read("slots", only=["shelf_3"]), "vt_id")
         two = settled(widened(lexical_of(mine).withColumn("score", F.round("lexical", 9)), 2, key, [F.col("score").desc(), F.col("slot_index")], ["score"]))
         return {"scores": Change(two.select(*key, F.round("top1_score", 6).alias("score")), "vt_id"), "decisions": Change(two.select(*key, scores.status(F.col("top1_score"), F.col("top2_score")).alias("status")), "vt_id")}
 
@@ -385,11 +385,11 @@ def _two_writers(spark: SparkSession, sf: str) -> Store:
     store, tries = Store(spark, workspace(spark, "writers")), []
     store.commit(0, {"supplier": Change(read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_nationkey")})
 
-    def other(get: Callable[[str], DataFrame]) -> dict[str, Change]:
-        return {"supplier": Change(get("supplier").where("s_nationkey = 3").withColumn("s_acctbal", F.col("s_acctbal") + 1), "s_nationkey")}
+    def other(get: Callable[..., DataFrame]) -> dict[str, Change]:
+        return {"supplier": Change(get("supplier", only=[3]).withColumn("s_acctbal", F.col("s_acctbal") + 1), "s_nationkey")}
 
-    def mine(get: Callable[[str], DataFrame]) -> dict[str, Change]:
-        rows = get("supplier").where("s_nationkey in (3, 4)").withColumn("s_acctbal", F.col("s_acctbal") * 2)
+    def mine(get: Callable[..., DataFrame]) -> dict[str, Change]:
+        rows = get("supplier", only=[3, 4]).withColumn("s_acctbal", F.col("s_acctbal") * 2)
         tries.append(rows)
         if len(tries) == 1:
             store.edit(other)

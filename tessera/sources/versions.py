@@ -12,10 +12,20 @@ import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+
+#: Folders that the rows of a keyed table are dealt into by a hash of the key, unless a change says otherwise.
+PARTS = 32
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
 class Conflict(Exception):
@@ -24,11 +34,15 @@ class Conflict(Exception):
 
 @dataclass(frozen=True)
 class Change:
-    """What a commit does to a table: without a key, rows are the whole table from now on; with one, they replace all rows of the keys that `keys` (or rows) have."""
+    """What a commit does to a table: without a key, rows are the whole table from now on; with one, they replace all rows of the keys that `keys` (or rows) have.
+
+    A new keyed table takes its number of folders from `parts`.
+    """
 
     rows: DataFrame
     key: str | None = None
     keys: DataFrame | None = None
+    parts: int = PARTS
 
 
 class Store:
@@ -52,16 +66,21 @@ class Store:
         rows = self.spark.read.text(f"{self.path}/versions/{version:08d}.json", wholetext=True).collect()  # one small file
         return json.loads(rows[0].value)
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """The table as of a version, the last one by default. Rows of a key are those of the last commit that replaced it; a filter on the key reads only its folders."""
+    def read(self, table: str, version: int | None = None, only: list | None = None) -> DataFrame:
+        """The table as of a version, the last one by default. Rows of a key are those of the last commit that replaced it. With `only`, just these keys, from their folders alone."""
         manifest = self.manifest(self.version() if version is None else version)
         if table not in manifest:
             raise ValueError(f"no table {table} in version {version}")
         about = manifest[table]
         schema, key = StructType.fromJson(about["schema"]), about["key"]
+        names = schema.names
         out, later = None, None
         for commit in reversed(about["commits"]):
-            rows = self.spark.read.schema(schema).parquet(f"{self.path}/commits/{commit}/{table}").select(*schema.names)
+            rows = self.spark.read.schema(StructType([*schema.fields, StructField("__part", IntegerType())]) if key else schema).parquet(f"{self.path}/commits/{commit}/{table}")
+            if only is not None:
+                same = [(F.col(key).eqNullSafe(F.lit(k)) & (F.col("__part") == part_of(F.lit(k).cast(schema[key].dataType), about["parts"]))) for k in only]
+                rows = rows.where(reduce(or_, same, F.lit(False)))
+            rows = rows.select(*names)
             if later is not None:
                 rows = rows.join(later, rows[key].eqNullSafe(later["_key"]), "left_anti")
             out = rows if out is None else out.unionByName(rows)
@@ -78,19 +97,20 @@ class Store:
             old = manifest.get(table)
             if change.key is not None and old is not None and old["key"] == change.key:
                 schema = StructType.fromJson(old["schema"])
-                commits = [*old["commits"], name]
+                commits, parts = [*old["commits"], name], old["parts"]
             else:
-                schema, commits = change.rows.schema, [name]
+                schema, commits, parts = change.rows.schema, [name], change.parts
             rows = change.rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
             where = f"{self.path}/commits/{name}/{table}"
             if change.key is None:
                 rows.write.parquet(where)
             else:
-                # One file a key, but for keys that have very many rows.
-                rows.hint("rebalance", change.key).write.partitionBy(change.key).parquet(where)
+                # A file a folder, more where it has very many rows.
+                key = F.col(change.key).cast(schema[change.key].dataType)
+                rows.withColumn("__part", part_of(key, parts)).hint("rebalance", "__part").write.partitionBy("__part").parquet(where)
                 keys = rows if change.keys is None else change.keys
-                keys.select(F.col(change.key).cast(schema[change.key].dataType).alias("_key")).distinct().write.parquet(f"{where}.keys")
-            manifest[table] = {"key": change.key, "schema": schema.jsonValue(), "commits": commits}
+                keys.select(key.alias("_key")).distinct().write.parquet(f"{where}.keys")
+            manifest[table] = {"key": change.key, "parts": parts, "schema": schema.jsonValue(), "commits": commits}
         try:
             self._publish(base + 1, json.dumps(manifest), name)
         except Conflict:
@@ -98,12 +118,12 @@ class Store:
             raise
         return base + 1
 
-    def edit(self, work: Callable[[Callable[[str], DataFrame]], dict[str, Change]], tries: int = 10) -> int:
+    def edit(self, work: Callable[[Callable[..., DataFrame]], dict[str, Change]], tries: int = 10) -> int:
         """Commits what work makes of the tables as they are; if another edit comes first, work is done again on its outcome. Gives the version."""
         for _ in range(tries):
             base = self.version()
             try:
-                return self.commit(base, work(lambda table: self.read(table, base)))  # noqa: B023
+                return self.commit(base, work(lambda table, only=None: self.read(table, base, only)))  # noqa: B023
             except Conflict:
                 continue
         raise Conflict(f"{tries} other edits came first")
