@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranking import placed
+from tessera.sources.files import settled
 
 
 def counts(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
@@ -89,6 +90,27 @@ def rolled_up(df: DataFrame, levels: list[str]) -> DataFrame:
     return df.rollup(*levels).agg(F.count("*").alias("n"), (F.lit(len(levels)) - F.length(F.replace(F.conv(F.grouping_id().cast("string"), 10, 2), F.lit("0"), F.lit("")))).alias("level"))
 
 
+def nested(df: DataFrame, levels: list[str], leaf: Column, order: str, most: int = 1000) -> DataFrame:
+    """One row for each value of the first level: (level, children, n, nodes), nodes an array of structs like it down to the leaves, built from below.
+
+    `children` counts the nodes right below and `n` the rows; both are whole. A node lists its first `most` nodes by name, and of leaves the first by
+    `order`, so that no node grows with the table. Nulls in levels should be named before.
+    """
+    from tessera.operators.ranking import top
+
+    df = settled(df.withColumn("_leaf", leaf))
+    counts_ = df.groupBy(*levels).agg(F.count("*").alias("n"), F.count("*").alias("children"))
+    rows = top(df, most, levels, [F.col(order)], "_place").groupBy(*levels).agg(F.array_sort(F.collect_list(F.struct("_place", "_leaf"))).alias("_l"))
+    rows = rows.select(*levels, F.transform("_l", lambda e: e["_leaf"]).alias("nodes")).join(counts_, levels)
+    for depth in range(len(levels) - 1, 0, -1):
+        above, name, rows = levels[:depth], levels[depth], settled(rows)
+        node = F.struct(F.col(name).alias("name"), "children", "n", "nodes")
+        sums = rows.groupBy(*above).agg(F.count("*").alias("children"), F.sum("n").alias("n"))
+        listed = top(rows.withColumn("_node", node), most, above, [F.col(name)], "_place").groupBy(*above).agg(F.array_sort(F.collect_list(F.struct("_place", "_node"))).alias("_l"))
+        rows = listed.select(*above, F.transform("_l", lambda e: e["_node"]).alias("nodes")).join(sums, above)
+    return rows.select(levels[0], "children", "n", "nodes")
+
+
 def covering(df: DataFrame, name: str, path: str, least: int, existing: DataFrame) -> DataFrame:
     """Names on at least `least` different paths that existing doesn't have."""
     wide = df.groupBy(name).agg(F.count_distinct(path).alias("paths")).where(F.col("paths") >= least)

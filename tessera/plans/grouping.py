@@ -9,7 +9,7 @@ from tessera.functions import text
 from tessera.operators import joins, ranking, summaries
 from tessera.operators.edits import merged as merge_rows
 from tessera.plans import vocabularies as v
-from tessera.plans.columns import _X13, lexical
+from tessera.plans.columns import _NOISE, _X13, lexical, noise
 from tessera.plans.registry import query, read
 
 
@@ -189,6 +189,19 @@ def a16_rollup_tree(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.rolled_up(rows, ["r_name", "n_name"]).withColumn("level", F.col("level").cast("long"))
 
 
+@query(f"""with {v.SCAFFOLD.cte()}, {v.BRIDGE.cte()}, nz as ({_NOISE}), pl as (select "table", first(l1 order by b.ord, vt_id) as l1, first(l2 order by b.ord, vt_id) as l2 from bridge b join scaffold using (vt_id) group by 1),
+f as (select coalesce(l1, 'unknown') as l1, coalesce(l2, 'unknown') as l2, "table", count(*) as n, list({{'field': field, 'reason': reason}} order by field) as nodes from nz left join pl using ("table") where reason is not null and reason <> 'whitelisted' group by all),
+g as (select l1, l2, count(*) as children, cast(sum(n) as bigint) as n, list({{'name': "table", 'children': n, 'n': n, 'nodes': nodes}} order by "table") as nodes from f group by all)
+select l1, count(*) as children, cast(sum(n) as bigint) as n, cast(to_json(list({{'name': l2, 'children': children, 'n': n, 'nodes': nodes}} order by l2)) as varchar) as tree from g group by all""")
+def a16_nested_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise columns by category, subcategory and table, as one nested document a category with the counts of each level."""
+    first = F.min(F.struct("ord", "vt_id", "l1", "l2")).alias("m")
+    places = v.BRIDGE.frame(spark, sf).join(v.SCAFFOLD.frame(spark, sf), "vt_id").groupBy("table").agg(first).select("table", "m.l1", "m.l2")
+    rows = noise(spark, sf).where("reason is not null and reason <> 'whitelisted'").join(places, "table", "left").fillna("unknown", ["l1", "l2"])
+    tree = summaries.nested(rows, ["l1", "l2", "table"], F.struct("field", "reason"), "field")
+    return tree.select("l1", "children", "n", F.to_json("nodes").alias("tree"))
+
+
 @query("select p_brand, count(*) as support, array_to_string(list_sort(list_distinct(list(p_name)))[1:6], '|') as names, count(distinct p_type) as types from part group by 1")
 def a17_capped_candidates(spark: SparkSession, sf: str) -> DataFrame:
     part = read(spark, sf, "part")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
-from tessera.operators import cluster, edits, graph, joins, retrieval, steps
+from tessera.operators import answers, cluster, edits, graph, joins, retrieval, steps
 from tessera.operators.ranking import placed, widened
 from tessera.plans import vocabularies as v
-from tessera.plans.columns import _NOISE, _X13, lexical_of, noise
+from tessera.plans.columns import _NOISE, _X13, SYLLABLES, lexical_of, noise
 from tessera.plans.grouping import _RESULTS, results
 from tessera.plans.matching import matched_columns
 from tessera.plans.registry import ORACLES, query, read
@@ -438,3 +438,23 @@ def s14_dirty_steps(spark: SparkSession, sf: str) -> DataFrame:
             row = store.read(name).agg(F.count("*").alias("n")).select(F.lit(run).alias("run"), F.lit(name).alias("step"), F.lit(ran).alias("ran"), "n")
             out = row if out is None else out.unionByName(row)
     return out
+
+
+#: What is recorded for each shelf: by its number modulo 8 the one extended slot of the first answer, and that of the second, where there is one.
+_FIRST = "case s % 8 when 1 then 'Order_ID' when 2 then 'o_id' when 3 then 'o_id' when 6 then 'c_ts' else 'stock_price' end"
+_SECOND = "case s % 8 when 1 then 'order_code' when 2 then 'l_id' when 6 then 'event_time' end"
+
+
+@query(f"""with a as (select distinct p_partkey // 20 as s from part), b as (select s, {_FIRST} as one, {_SECOND} as two from a)
+select 'shelf_' || s as vt_id, case when s % 8 = 5 then 'unanswered' when one = 'stock_price' then 'accepted' when two is null or two = 'l_id' then 'warned' else 'corrected' end as outcome,
+case when s % 8 = 5 then '' else 'n_id,' || coalesce(two, one) end as names, case when s % 8 = 5 or one = 'stock_price' or two in ('order_code', 'event_time') then '' else coalesce(two, one) end as warnings from b""")
+def s15_asked_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers about each shelf are read, linted, and asked for once more under a key that has the bad names; some are unreadable, some have no second one."""
+    shelves = read(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).alias("s")).distinct()
+    said = shelves.select("s", F.concat(F.lit("slots of shelf "), "s").alias("prompt"), F.expr(_FIRST).alias("one"), F.expr(_SECOND).alias("two"))
+    fence = lambda name: F.concat(F.lit('```json\n{"slots": [{"name": "n_id", "from": "base"}, {"name": "'), name, F.lit('", "from": "extended"}]}\n```'))
+    first = said.select(answers.prompt_key(F.col("prompt")).alias("key"), F.when(F.col("s") % 8 == 5, "no JSON").otherwise(fence(F.col("one"))).alias("answer"))
+    second = said.where("two is not null").select(answers.prompt_key(F.col("prompt"), F.array("one")).alias("key"), fence(F.col("two")).alias("answer"))
+    asked = said.select(F.concat(F.lit("shelf_"), "s").alias("vt_id"), "prompt")
+    got = answers.with_feedback(asked, first.unionByName(second), "vt_id", SYLLABLES)
+    return got.select("vt_id", "outcome", F.array_join("names", ",").alias("names"), F.array_join("warnings", ",").alias("warnings"))

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import cluster, containment, edits, graph, joins, ranking, retrieval, summaries
+from tessera.operators import answers, cluster, containment, edits, graph, joins, ranking, retrieval, summaries
 from tessera.streaming.usage import windowed_usage
 
 
@@ -311,3 +311,29 @@ def test_globs(spark):
     df = spark.createDataFrame(cases, "n string, g string")
     for r in df.select("n", "g", F.rlike(F.col("n"), text.glob_regex(F.col("g"))).alias("x")).collect():
         assert r.x == fnmatch(r.n, r.g.lower()), r
+
+
+def test_nested_lists_are_cut_and_counts_whole(spark):
+    rows = [(f"a{i % 2}", f"b{i % 6}", i) for i in range(60)]
+    got = {r.x: r for r in summaries.nested(spark.createDataFrame(rows, "x string, y string, leaf int"), ["x", "y"], F.struct("leaf"), "leaf", most=2).collect()}
+    assert {k: (r.children, r.n) for k, r in got.items()} == {"a0": (3, 30), "a1": (3, 30)}
+    assert [(n.name, n.n, [leaf.leaf for leaf in n.nodes]) for n in got["a0"].nodes] == [("b0", 10, [0, 6]), ("b2", 10, [2, 8])]
+    assert summaries.nested(spark.createDataFrame([], "x string, y string, leaf int"), ["x", "y"], F.struct("leaf"), "leaf").count() == 0
+
+
+def test_asked_twice_at_most(spark):
+    """All outcomes, with a second answer that is missing, unreadable or recorded under other names, and bad names of base slots."""
+    said = lambda *names: '{"slots": [' + ", ".join(f'{{"name": "{n}", "from": "{f}"}}' for n, f in names) + "]}"
+    bad, good = ("Bad-Name", "extended"), ("good_name", "extended")
+    first = {"p1": said(good), "p2": said(bad), "p3": said(bad), "p4": said(bad), "p5": "oops", "p7": said(("X", "base")), "p8": said(bad, ("c_id", "extended"), bad), "p9": said(bad)}
+    second = [("p2", ["Bad-Name"], said(good)), ("p3", ["Bad-Name"], said(("o_id", "extended"))), ("p8", ["Bad-Name", "c_id"], said(good)), ("p9", ["other"], said(good)), ("p4", ["Bad-Name"], "oops")]
+    rows = spark.createDataFrame([(p, i, None) for p, i, _ in second], "prompt string, issues array<string>, answer string")
+    keys = {r.prompt: r.key for r in rows.select("prompt", answers.prompt_key(F.col("prompt"), F.col("issues")).alias("key")).collect()}
+    ones = {r.prompt: r.key for r in spark.createDataFrame([(p,) for p in first], "prompt string").select("prompt", answers.prompt_key(F.col("prompt")).alias("key")).collect()}
+    recorded = spark.createDataFrame([(ones[p], a) for p, a in first.items()] + [(keys[p], a) for p, _, a in second], "key string, answer string")
+    asked = spark.createDataFrame([(f"i{i}", f"p{i}") for i in range(1, 10)], "item string, prompt string")
+    got = {r.item: (r.outcome, r.names, r.warnings) for r in answers.with_feedback(asked, recorded, "item", ["c", "o", "id"]).collect()}
+    assert got == {
+        "i1": ("accepted", ["good_name"], []), "i2": ("corrected", ["good_name"], []), "i3": ("warned", ["o_id"], ["o_id"]), "i4": ("warned", ["Bad-Name"], ["Bad-Name"]), "i5": ("unanswered", [], []), "i6": ("unanswered", [], []),
+        "i7": ("accepted", ["X"], []), "i8": ("corrected", ["good_name"], []), "i9": ("warned", ["Bad-Name"], ["Bad-Name"]),
+    }
