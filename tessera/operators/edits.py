@@ -144,7 +144,7 @@ def absorbed(bridge: DataFrame, merges: DataFrame) -> DataFrame:
     """(vt_id, table, ord) after merges (primary, absorbed): the primary's tables first, then those of the absorbed that it lacks."""
     moved = bridge.join(merges.select(F.col("absorbed").alias("vt_id"), "primary"), "vt_id", "left")
     rows = moved.select(F.coalesce("primary", "vt_id").alias("vt_id"), "table", F.struct(F.col("primary").isNotNull().alias("late"), F.col("vt_id").alias("was"), "ord").alias("place"))
-    return rows.groupBy("vt_id", "table").agg(F.min("place").alias("place")).select("vt_id", "table", F.col("place.late").alias("late"))
+    return rows.groupBy("vt_id", "table").agg(F.min("place").alias("place")).select("vt_id", "table", "place.late", "place.was", "place.ord")
 
 
 def category_renamed(scaffold: DataFrame, level: int, before: str, after: str) -> DataFrame:
@@ -276,3 +276,77 @@ def library_edited(library: DataFrame, slots: DataFrame, ops: DataFrame) -> tupl
     fine = rows.where("error is null")
     left = removed(library, fine.where("action = 'delete'"), ["name"]).join(fine.where("action = 'alias'").select("name", F.col("label").alias("__label")), "name", "left").withColumn("label", F.coalesce("__label", "label")).drop("__label")
     return left.select(*library.columns).unionByName(fine.where("action = 'create'").select("name", "role", "label"), allowMissingColumns=True), rows
+
+
+def slots_replaced(slots: DataFrame, scaffold: DataFrame, library: DataFrame, reviews: DataFrame, new: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(slots, reviews, refused (vt_id, error)) after whole slot lists of topics, new (vt_id, slot_index, name, origin, role), have replaced the old ones.
+
+    A topic is replaced whole or not at all: it is refused for the least of the errors of its slots, or as unknown where the scaffold lacks it. One that only the
+    scaffold knows gets its first slots. Names are trimmed. Reviews of replaced topics that decided on a slot that is gone go; those without a slot stay. seeds (table, field, vt_id,
+    decision_slot) of replaced topics become reviews (use_slot) in place of those of the same column, if their slot is in the new list.
+    """
+    new = new.withColumn("name", F.trim("name"))
+    unknown = new.select("vt_id").distinct().join(scaffold.select("vt_id"), "vt_id", "left_anti").withColumn("error", F.lit("unknown topic"))
+    refused = slot_errors(new, library).select("vt_id", "error").unionByName(unknown).groupBy("vt_id").agg(F.min("error").alias("error"))
+    fine = new.join(refused, "vt_id", "left_anti")
+    scope, valid = fine.select("vt_id").distinct(), fine.select("vt_id", F.col("name").alias("decision_slot"))
+    kept = removed(slots, scope, ["vt_id"])
+    inside = reviews.join(scope, "vt_id", "left_semi")
+    lost = inside.where(F.coalesce(F.trim("decision_slot"), F.lit("")) != "").join(valid, ["vt_id", "decision_slot"], "left_anti")
+    key = ["table", "field", "vt_id"]
+    sown = seeds.join(valid, ["vt_id", "decision_slot"], "left_semi").groupBy(*key).agg(F.min("decision_slot").alias("decision_slot")).withColumn("decision", F.lit("use_slot"))
+    left = removed(reviews, lost.select(*key, "decision_slot"), [*key, "decision_slot"])
+    return kept.unionByName(fine.select(*[c for c in slots.columns if c in fine.columns]), allowMissingColumns=True).select(*slots.columns), upsert(left, sown, key).select(*reviews.columns), refused
+
+
+def proposals_applied(proposals: DataFrame, base: DataFrame, domain: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(proposals, base, domain, log) after decisions (proposal_id, decision, renamed_to, target) on pending proposals (proposal_id, name, label, role, scope, status, renamed_to).
+
+    accept and rename put the proposal into the library of its target, or scope if none is given: base, domain, or vt_local, which changes no library. reject
+    only ends it. The log has each decision with where it was applied, or its error: an unknown decision, a missing proposal, one that isn't pending, a rename without a
+    name, an unknown target, a name that the library has, or a second decision on a proposal or name of the batch (the first by id and decision counts).
+    """
+    known = proposals.select("proposal_id", "name", "label", "role", "scope", F.col("status").alias("was"), F.lit(True).alias("there"))
+    rows = decisions.join(known, "proposal_id", "left").withColumns({"target": F.coalesce("target", "scope"), "final": F.when(F.col("decision") == "rename", F.trim("renamed_to")).otherwise(F.col("name"))})
+    takes = F.col("decision").isin("accept", "rename")
+    held = base.select(F.col("name").alias("final"), F.lit("base").alias("target")).unionByName(domain.select(F.col("name").alias("final"), F.lit("domain").alias("target"))).distinct().withColumn("taken", F.lit(True))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("proposal_id", "decision", F.col("renamed_to"), F.col("target")))
+    rows = rows.join(held, ["target", "final"], "left")
+    rows = checked(rows, [
+        (~F.col("decision").isin("accept", "reject", "rename"), "unknown decision"), (F.col("there").isNull(), "missing"), (F.col("was") != "pending", "not pending"), ((F.col("decision") == "rename") & (F.coalesce("final", F.lit("")) == ""), "no new name"),
+        (takes & ~F.coalesce(F.col("target").isin("base", "domain", "vt_local"), F.lit(False)), "unknown target"), (takes & F.col("taken"), "name taken"),
+    ])
+    rows = rows.withColumn("_turn", first("proposal_id", F.col("error").isNull())).withColumn("error", F.when(F.col("error").isNull() & (F.col("_turn") > 1), "decided already").otherwise(F.col("error")))
+    library = takes & F.col("target").isin("base", "domain")
+    rows = rows.withColumn("_turn", first("target", "final", F.col("error").isNull() & library)).withColumn("error", F.when(F.col("error").isNull() & library & (F.col("_turn") > 1), "name taken").otherwise(F.col("error")))
+    fine = rows.where("error is null")
+    status = F.when(F.col("decision") == "accept", "accepted").when(F.col("decision") == "rename", "renamed").otherwise("rejected")
+    said = fine.select("proposal_id", status.alias("_status"), F.when(F.col("decision") == "rename", F.col("final")).alias("_name"))
+    after = proposals.join(said, "proposal_id", "left").withColumns({"status": F.coalesce("_status", "status"), "renamed_to": F.coalesce("_name", "renamed_to")}).select(*proposals.columns)
+    made = lambda target: fine.where(takes & (F.col("target") == target)).select(F.col("final").alias("name"), "label", "role")
+    log = rows.select("proposal_id", "decision", F.when(F.col("error").isNull(), F.when(takes, F.col("target")).otherwise("none")).alias("applied_to"), "error")
+    return after, base.unionByName(made("base"), allowMissingColumns=True), domain.unionByName(made("domain"), allowMissingColumns=True), log
+
+
+def categories_applied(scaffold: DataFrame, categories: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scaffold, categories, ops with error): accepted renames in the categories (name) and in l1 of all their topics, accepted deletes from the categories. Renames of a batch don't chain; of two of one name the lesser new name counts."""
+    rows = categories_edited(scaffold, categories, ops)
+    renames = rows.where("error is null and action = 'rename'").groupBy("name").agg(F.min("new_name").alias("_new"))
+    gone = rows.where("error is null and action = 'delete'")
+    left = removed(categories, gone, ["name"]).join(renames, "name", "left").withColumn("name", F.coalesce("_new", "name")).select(*categories.columns).distinct()
+    moved = scaffold.join(renames.withColumnRenamed("name", "l1"), "l1", "left").withColumn("l1", F.coalesce("_new", "l1")).select(*scaffold.columns)
+    return moved, left, rows
+
+
+def topics_merged(scaffold: DataFrame, bridge: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scaffold, bridge, merges) after the pending merges (primary, absorbed, status) between topics that are there: absorbed topics go, their tables that the
+    primary lacks follow its own, and the merge is merged. A merge whose topics aren't both there, or whose primary is absorbed itself, stays pending."""
+    there = scaffold.select("vt_id")
+    pending = merges.where("status = 'pending' and primary <> absorbed").join(there.withColumnRenamed("vt_id", "primary"), "primary", "left_semi").join(there.withColumnRenamed("vt_id", "absorbed"), "absorbed", "left_semi")
+    pending = pending.groupBy("absorbed").agg(F.min("primary").alias("primary"))
+    done = pending.join(pending.select(F.col("absorbed").alias("primary")), "primary", "left_anti")
+    tables = absorbed(bridge, done.select("primary", "absorbed"))
+    order = Window.partitionBy("vt_id").orderBy("late", "was", "ord", "table")
+    tables = tables.withColumn("ord", F.row_number().over(order) - 1).select(*bridge.columns)
+    log = merges.join(done.withColumn("_done", F.lit(True)), ["primary", "absorbed"], "left").withColumn("status", F.when(F.col("_done") & (F.col("status") == "pending"), "merged").otherwise(F.col("status"))).select(*merges.columns)
+    return removed(scaffold, done.select(F.col("absorbed").alias("vt_id")), ["vt_id"]), tables, log

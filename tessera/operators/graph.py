@@ -69,8 +69,11 @@ def scope(groups: DataFrame, name: str, topic: str) -> DataFrame:
     return groups.groupBy(name).agg(n.alias("topics"), F.when(n >= 3, "base").when(n == 2, "domain").otherwise("local").alias("scope"))
 
 
-def rename_plan(clusters: DataFrame, cluster: str, name: str, topic: str, canonical: DataFrame, topics: int = 2) -> DataFrame:
-    """Renames of the members of clusters that have at least two members over `topics` topics; changed says whether the name differs."""
+def rename_plan(clusters: DataFrame, cluster: str, name: str, topic: str, canonical: DataFrame, topics: int = 2, outliers: DataFrame | None = None) -> DataFrame:
+    """Renames of the members of clusters that have at least two members over `topics` topics; changed says whether the name differs, excluded_as_outlier
+    whether outliers (cluster, name) lists it. Only members that change and aren't excluded are to be renamed."""
     wide = clusters.groupBy(cluster).agg(F.count("*").alias("size"), F.count_distinct(topic).alias("topics")).where((F.col("size") >= 2) & (F.col("topics") >= topics))
-    rows = clusters.join(wide.select(cluster), cluster).join(canonical, cluster)
-    return rows.withColumn("changed", F.col(name) != F.col("canonical"))
+    rows = clusters.join(wide.select(cluster), cluster).join(canonical, cluster).withColumn("changed", F.col(name) != F.col("canonical"))
+    if outliers is None:
+        return rows.withColumn("excluded_as_outlier", F.lit(False))
+    return rows.join(outliers.select(cluster, name, F.lit(True).alias("_out")).distinct(), [cluster, name], "left").withColumn("excluded_as_outlier", F.coalesce("_out", F.lit(False))).drop("_out")

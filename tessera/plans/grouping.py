@@ -378,4 +378,4 @@ def u6_jaccard_and_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def u7_merged_sources(spark: SparkSession, sf: str) -> DataFrame:
     from tessera.operators.edits import absorbed
 
-    return absorbed(v.BRIDGE.frame(spark, sf), v.MERGES.frame(spark))
+    return absorbed(v.BRIDGE.frame(spark, sf), v.MERGES.frame(spark)).select("vt_id", "table", "late")

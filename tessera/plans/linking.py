@@ -110,11 +110,12 @@ def g8_best_duplicate(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("l_orderkey", "l_partkey", F.col("l_discount").alias("sim"), F.col("l_linenumber").alias("line"))
 
 
-@query("with w as (select p_size, min(p_name) as canonical from part group by 1 having count(*) >= 2 and count(distinct p_type) >= 2) select p_partkey, canonical, p_name <> canonical as changed from part join w using (p_size)")
+@query("with w as (select p_size, min(p_name) as canonical, max(p_name) as far from part group by 1 having count(*) >= 2 and count(distinct p_type) >= 2) select p_partkey, canonical, p_name <> canonical as changed, p_name = far and p_size % 3 = 0 as excluded_as_outlier from part join w using (p_size)")
 def g9_rename_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of clusters with their common name; in every third cluster the last name is an outlier."""
     part = read(spark, sf, "part")
-    canonical = part.groupBy("p_size").agg(F.min("p_name").alias("canonical"))
-    return graph.rename_plan(part, "p_size", "p_name", "p_type", canonical).select("p_partkey", "canonical", "changed")
+    names = part.groupBy("p_size").agg(F.min("p_name").alias("canonical"), F.max("p_name").alias("p_name"))
+    return graph.rename_plan(part, "p_size", "p_name", "p_type", names.select("p_size", "canonical"), outliers=names.where("p_size % 3 = 0")).select("p_partkey", "canonical", "changed", "excluded_as_outlier")
 
 
 _RENAMED = "rn as (select s.*, coalesce(r.after, s.name) as new_name from slots s left join renames r on s.vt_id = r.vt_id and s.name = r.before and s.origin = 'extended' and s.slot_index = (select min(x.slot_index) from slots x where x.vt_id = s.vt_id and x.name = s.name and x.origin = 'extended'))"
@@ -244,9 +245,19 @@ def m12_backfill(spark: SparkSession, sf: str) -> DataFrame:
     return edits.backfill(mapped, c.where(F.col("table").isin("orders", "region")), ["table", "field"])
 
 
-@query(f"with {v.SCAFFOLD.cte()}, {v.MERGES.cte()} select vt_id, topic from scaffold where vt_id not in (select absorbed from merges)")
+@query(f"""with {v.SCAFFOLD.cte()}, {v.BRIDGE.cte()}, {v.MERGES.cte()}, mg as (select *, 'pending' as status from merges union all select 'shelf_' || (shelf - 1), 'shelf_' || shelf, case when shelf % 4 = 1 then 'pending' else 'rejected' end from (select distinct p_partkey // 20 as shelf from part) where shelf % 2 = 1 union all select 'vt_sales', 'vt_gone', 'pending'),
+dn as (select * from mg where status = 'pending' and absorbed <> 'vt_gone'), mv as (select coalesce("primary", vt_id) as vt_id, "table", "primary" is not null as late, vt_id as was, ord from bridge left join (select "primary", absorbed from dn) d on absorbed = vt_id),
+bt as (select vt_id, "table", row_number() over (partition by vt_id order by late, was, ord, "table") - 1 as ord from (select distinct on (vt_id, "table") * from mv order by vt_id, "table", late, was, ord))
+select 'topic' as part, vt_id, topic as value from scaffold where vt_id not in (select absorbed from dn) union all select 'table', vt_id, ord || ' ' || "table" from bt union all select 'merge', "primary" || '<' || absorbed, case when status = 'pending' and absorbed <> 'vt_gone' then 'merged' else status end from mg""")
 def m13_merged_topics(spark: SparkSession, sf: str) -> DataFrame:
-    return edits.removed(v.SCAFFOLD.frame(spark, sf), v.MERGES.frame(spark).select(F.col("absorbed").alias("vt_id")), ["vt_id"]).select("vt_id", "topic")
+    """Pending merges take the absorbed topics away, put their tables behind the primary's and are merged; rejected ones and one of a topic that isn't there stay."""
+    shelves = read(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).alias("shelf")).distinct().where("shelf % 2 = 1")
+    name = lambda x: F.concat(F.lit("shelf_"), x.cast("string"))
+    merges = v.MERGES.frame(spark).withColumn("status", F.lit("pending")).unionByName(spark.createDataFrame([("vt_sales", "vt_gone", "pending")], "primary string, absorbed string, status string"))
+    merges = merges.unionByName(shelves.select(name(F.col("shelf") - 1).alias("primary"), name(F.col("shelf")).alias("absorbed"), F.when(F.col("shelf") % 4 == 1, "pending").otherwise("rejected").alias("status")))
+    topics, tables, log = edits.topics_merged(v.SCAFFOLD.frame(spark, sf), v.BRIDGE.frame(spark, sf), merges)
+    out = topics.select(F.lit("topic").alias("part"), "vt_id", F.col("topic").alias("value")).unionByName(tables.select(F.lit("table").alias("part"), "vt_id", F.concat_ws(" ", "ord", "table").alias("value")))
+    return out.unionByName(log.select(F.lit("merge").alias("part"), F.concat_ws("<", "primary", "absorbed").alias("vt_id"), F.col("status").alias("value")))
 
 
 @query(f"with {v.SCAFFOLD.cte()} select vt_id, case l1 when 'sales' then 'commerce' else l1 end as l1, l2 from scaffold")
@@ -264,6 +275,18 @@ def m14_category_edits(spark: SparkSession, sf: str) -> DataFrame:
     return edits.categories_edited(topics, categories, ops)
 
 
+@query(f"""with {v.SCAFFOLD.cte()} select 'topic' as part, vt_id as item, case l1 when 'sales' then 'commerce' else l1 end as value from scaffold union all select distinct 'category', case l1 when 'sales' then 'commerce' else l1 end, null from scaffold
+union all select 'refused', action || ' ' || name, error from (values ('rename', 'content', 'name taken'), ('rename', 'nothing', 'missing'), ('delete', 'stock', 'in use')) v(action, name, error)""")
+def m14_categories_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """The accepted edits of categories take effect in the categories and in their topics; spare has no topics and goes."""
+    topics = v.SCAFFOLD.frame(spark, sf)
+    categories = topics.select(F.col("l1").alias("name")).distinct().unionByName(spark.createDataFrame([("spare",)], "name string"))
+    ops = spark.createDataFrame([("rename", "sales", "commerce"), ("rename", "content", "stock"), ("rename", "nothing", "x"), ("delete", "stock", None), ("delete", "spare", None)], "action string, name string, new_name string")
+    topics, categories, done = edits.categories_applied(topics, categories, ops)
+    out = topics.select(F.lit("topic").alias("part"), F.col("vt_id").alias("item"), F.col("l1").alias("value")).unionByName(categories.select(F.lit("category").alias("part"), F.col("name").alias("item"), F.lit(None).cast("string").alias("value")))
+    return out.unionByName(done.where("error is not null").select(F.lit("refused").alias("part"), F.concat_ws(" ", "action", "name").alias("item"), F.col("error").alias("value")))
+
+
 @query(f"with {v.NOISE_RULES.cte()} select kind, value from noise_rules union select 'glob', 'tmp_*'")
 def m15_rule_list(spark: SparkSession, sf: str) -> DataFrame:
     new = spark.createDataFrame([("glob", "tmp_*"), ("glob", "etl_*"), ("exact", "row_id")], "kind string, value string")
@@ -295,6 +318,28 @@ def m18_replace_check(spark: SparkSession, sf: str) -> DataFrame:
     return edits.slot_errors(_state(spark, sf), v.LIBRARY.frame(spark).where("name <> 'text'"))
 
 
+@query(f"""with {v.SLOTS.cte()}, {v.REVIEWS.cte()}, st as (select * from slots where vt_id not in (select 'shelf_' || shelf from (select distinct p_partkey // 20 as shelf from part) where shelf % 8 = 0)), sh as (select distinct p_partkey // 20 as shelf from part),
+bad as (select 'shelf_' || shelf as vt_id, case shelf % 4 when 1 then 'repeated' when 2 then 'unknown base' end as error from sh where shelf % 4 in (1, 2) union all select 'vt_nowhere', 'unknown topic'), ok as (select 'shelf_' || shelf as vt_id from sh where shelf % 4 = 0)
+select 'slot' as part, vt_id, slot_index || ' ' || name as item, origin as value from st where vt_id not in (select vt_id from ok) union all select 'slot', vt_id, '0 order_key', 'base' from ok union all select 'slot', vt_id, '1 stock_day', 'extended' from ok union all select 'refused', vt_id, null, error from bad
+union all select 'review', vt_id, "table" || '.' || field, coalesce(decision_slot, '-') from reviews r where not (vt_id in (select vt_id from ok) and (coalesce(decision_slot, 'order_key') <> 'order_key' or field like '%date')) union all select 'review', 'shelf_' || (p_partkey // 20), "table" || '.' || field, 'stock_day'
+from (select 't' || (p_partkey // 20) as "table", split_part(p_name, ' ', 1) || '_' || (p_partkey % 20) || '_date' as field, p_partkey from part where p_size % 5 = 1 and p_partkey // 20 % 4 = 0)""")
+def m18_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """New slot lists of shelves: some are refused whole, some belong to topics without slots so far; reviews of slots that are gone go, and date columns are sown."""
+    shelves = read(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).alias("shelf")).distinct()
+    name = F.concat(F.lit("shelf_"), F.col("shelf").cast("string"))
+    slots = edits.removed(_state(spark, sf), shelves.where("shelf % 8 = 0").select(name.alias("vt_id")), ["vt_id"])
+    row = lambda at, name_, origin: F.struct(F.lit(at).alias("slot_index"), name_.alias("name"), F.lit(origin).alias("origin"), F.lit("key").alias("role"))
+    second = F.when(F.col("shelf") % 4 == 1, " order_key").otherwise("stock_day ")
+    first = F.when(F.col("shelf") % 4 == 2, "order_number").otherwise("order_key")
+    new = shelves.where("shelf % 4 < 3").select(name.alias("vt_id"), F.explode(F.array(row(0, first, "base"), row(1, second, "extended"))).alias("s")).select("vt_id", "s.*")
+    new = new.unionByName(spark.createDataFrame([("vt_nowhere", 0, "x", "extended", "key")], "vt_id string, slot_index int, name string, origin string, role string"))
+    dates = v.CATALOG.frame(spark, sf).where("field like '%date' and `table` like 't%'").select("table", "field", F.concat(F.lit("shelf_"), F.substring("table", 2, 20)).alias("vt_id"), F.lit("stock_day").alias("decision_slot"))
+    library = v.LIBRARY.frame(spark)
+    slots, reviews, refused = edits.slots_replaced(slots, v.SCAFFOLD.frame(spark, sf), library, v.REVIEWS.frame(spark, sf), new, dates)
+    out = slots.select(F.lit("slot").alias("part"), "vt_id", F.concat_ws(" ", "slot_index", "name").alias("item"), F.col("origin").alias("value")).unionByName(refused.select(F.lit("refused").alias("part"), "vt_id", F.lit(None).cast("string").alias("item"), F.col("error").alias("value")))
+    return out.unionByName(reviews.select(F.lit("review").alias("part"), "vt_id", F.concat_ws(".", "table", "field").alias("item"), F.coalesce("decision_slot", F.lit("-")).alias("value")))
+
+
 @query(f"with {v.SCAFFOLD.cte()} select vt_id, topic from scaffold where vt_id <> 'vt_click' union all select 'vt_new', 'parts'")
 def m19_topic_edits(spark: SparkSession, sf: str) -> DataFrame:
     base = v.SCAFFOLD.frame(spark, sf).select("vt_id", "topic")
@@ -345,6 +390,29 @@ def m21_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return edits.upsert(state, decisions.join(pending.select("p_partkey"), "p_partkey", "left_semi"), ["p_partkey"])
 
 
+@query(f"""with {v.LIBRARY.cte()}, p as (select p_partkey as k, p_size as z, case p_size % 3 when 0 then 'base' when 1 then 'domain' else 'vt_local' end as scope, case when p_size % 10 = 0 then 'accepted' else 'pending' end as status from part),
+d as (select *, case z % 4 when 0 then 'accept' when 1 then 'reject' when 2 then 'rename' else 'postpone' end as decision, case when k % 5 = 0 then 'base' when k % 5 = 1 then 'elsewhere' else scope end as target, case when z % 4 = 2 then 'new_' || k else 'slot_' || k end as final from p where z < 25),
+e as (select *, case when decision = 'postpone' then 'unknown decision' when status <> 'pending' then 'not pending' when decision <> 'reject' and target = 'elsewhere' then 'unknown target' end as error from d), f as (select * from e where error is null)
+select 'proposal' as part, 'sp_' || k as item, coalesce(case f.decision when 'accept' then 'accepted' when 'reject' then 'rejected' when 'rename' then 'renamed ' || final end, p.status) as value from p left join f using (k) union all select 'base', name, role from library union all select target, final, 'key' from f where decision <> 'reject' and target <> 'vt_local'
+union all select 'log', 'sp_' || k || ' ' || decision, coalesce(error, case when decision = 'reject' then 'none' else target end) from e union all select 'log', 'sp_x accept', 'missing'""")
+def m21_proposals_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions on slot proposals, with renames, all three targets and refusals."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    part, none = read(spark, sf, "part"), F.lit(None).cast("string")
+    proposals = part.select(
+        F.concat(F.lit("sp_"), k).alias("proposal_id"), F.concat(F.lit("slot_"), k).alias("name"), F.col("p_name").alias("label"), F.lit("key").alias("role"), F.when(z % 3 == 0, "base").when(z % 3 == 1, "domain").otherwise("vt_local").alias("scope"),
+        F.when(z % 10 == 0, "accepted").otherwise("pending").alias("status"), none.alias("renamed_to"),
+    )
+    decision = F.when(z % 4 == 0, "accept").when(z % 4 == 1, "reject").when(z % 4 == 2, "rename").otherwise("postpone")
+    decisions = part.where("p_size < 25").select(F.concat(F.lit("sp_"), k).alias("proposal_id"), decision.alias("decision"), F.when(z % 4 == 2, F.concat(F.lit("new_"), k)).alias("renamed_to"), F.when(k % 5 == 0, "base").when(k % 5 == 1, "elsewhere").alias("target"))
+    decisions = decisions.unionByName(spark.createDataFrame([("sp_x", "accept", None, "base")], "proposal_id string, decision string, renamed_to string, target string"))
+    base = v.LIBRARY.frame(spark)
+    after, base, domain, log = edits.proposals_applied(proposals, base, base.where("false"), decisions)
+    row = lambda df, part_, item, value: df.select(F.lit(part_).alias("part"), item.alias("item"), value.alias("value"))
+    out = row(after, "proposal", F.col("proposal_id"), F.concat_ws(" ", "status", "renamed_to")).unionByName(row(base, "base", F.col("name"), F.col("role"))).unionByName(row(domain, "domain", F.col("name"), F.col("role")))
+    return out.unionByName(row(log, "log", F.concat_ws(" ", "proposal_id", "decision"), F.coalesce("error", "applied_to")))
+
+
 @query(f"""with {v.CATALOG.cte()}, {v.USAGE.cte()}, {v.REVIEWS.cte()}, {v.SLOTS.cte()}, {v.BRIDGE.cte()}, {v.LIBRARY.cte()}, nz as ({_NOISE}), mc as ({ORACLES['matched_columns']}), tk as (select distinct vt_id, "table", field from reviews where decision like 'take_%' or decision = 'new_slot'),
 c as (select * from catalog join nz using ("table", field) where (reason is null or reason = 'whitelisted') and len(list_filter(regexp_split_to_array(lower(coalesce(sample_data, '')), '[|\\s]+'), lambda x: x not in ('', 'null', 'nan', 'none', '-'))) > 0 and ("table", field) in (select "table", field from usage_stats where usage_count > 0)),
 al as (select vt_id, unnest(list_append(list_append(aliases, name), case when origin = 'base' then label end)) as alias from slots left join (select name, label from library) l using (name) union all select vt_id, unnest([t.field, k.comment]) from tk t join c k using ("table", field)),
