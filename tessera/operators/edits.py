@@ -140,6 +140,20 @@ def backfill(mapped: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFra
     return old.join(new, keys, "full").select(*keys, F.when(kind == "added", F.col("new")).when(kind == "filled", F.col("new")).otherwise(F.col("old")).alias("comment"), kind.alias("outcome"))
 
 
+def backfilled(mapped: DataFrame, reviewed: DataFrame, slots: DataFrame) -> DataFrame:
+    """(vt_id, slot, table, field, comment, outcome) of mapped and reviewed columns (vt_id, slot, table, field, comment) against slots (vt_id, name).
+
+    A reviewed column whose topic or slot isn't there changes nothing: missing topic, missing slot. The others are added, fill an empty comment, or are the same; what
+    wasn't reviewed is kept. Counting the outcomes gives the counters of the edit. Repeats of a key count once, by their least comment.
+    """
+    keys = ["vt_id", "slot", "table", "field"]
+    once = lambda df: df.groupBy(*keys).agg(F.min("comment").alias("comment"))
+    topics, names = slots.select("vt_id").distinct().withColumn("_topic", F.lit(True)), slots.select("vt_id", F.col("name").alias("slot")).distinct().withColumn("_slot", F.lit(True))
+    asked = once(reviewed).join(topics, "vt_id", "left").join(names, ["vt_id", "slot"], "left")
+    lost = asked.where("_slot is null").select(*keys, "comment", F.when(F.col("_topic").isNull(), "missing topic").otherwise("missing slot").alias("outcome"))
+    return backfill(once(mapped), asked.where("_slot").select(*keys, "comment"), keys).unionByName(lost)
+
+
 def absorbed(bridge: DataFrame, merges: DataFrame) -> DataFrame:
     """(vt_id, table, ord) after merges (primary, absorbed): the primary's tables first, then those of the absorbed that it lacks."""
     moved = bridge.join(merges.select(F.col("absorbed").alias("vt_id"), "primary"), "vt_id", "left")
@@ -155,13 +169,14 @@ def category_renamed(scaffold: DataFrame, level: int, before: str, after: str) -
 
 
 def anchored(rows: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFrame:
-    """Names of reviewed columns as further aliases of their slot, for all columns but the reviewed one itself."""
-    other = reviewed.select("vt_id", "slot", *[F.col(k).alias(f"__{k}") for k in keys], F.col(keys[-1]).alias("__alias"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    found = rows.join(other, ["vt_id", "slot"]).where(~same).groupBy(*keys, "vt_id", "slot").agg(F.array_sort(F.collect_set("__alias")).alias("anchors"))
-    return rows.join(found, [*keys, "vt_id", "slot"], "left").withColumn("aliases", F.array_distinct(F.concat("aliases", F.coalesce("anchors", F.array().cast("array<string>"))))).drop("anchors")
+    """Names (the last of keys) of reviewed columns as further aliases of their slot, for all columns but the reviewed one itself. The names of a slot are gathered once."""
+    alias = keys[-1]
+    names = reviewed.groupBy("vt_id", "slot", F.col(alias).alias("_alias")).agg(F.count("*").alias("_n")).groupBy("vt_id", "slot").agg(F.array_sort(F.collect_list(F.struct("_alias", "_n"))).alias("_names"))
+    own = reviewed.groupBy(*keys, "vt_id", "slot").agg(F.count("*").alias("_own"))
+    found = rows.join(names, ["vt_id", "slot"], "left").join(own, [*keys, "vt_id", "slot"], "left")
+    others = F.filter("_names", lambda x: (x["_alias"] != F.col(alias)) | (x["_n"] > F.coalesce("_own", F.lit(0))))
+    more = F.coalesce(F.transform(others, lambda x: x["_alias"]), F.array().cast("array<string>"))
+    return found.withColumn("aliases", F.array_distinct(F.concat("aliases", more))).select(*rows.columns)
 
 
 def decided(results: DataFrame, reviews: DataFrame, keys: list[str]) -> DataFrame:

@@ -57,12 +57,12 @@ def g3_components(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Items: the fifths of each label, with a mean vector, the files that their rows are in, and a group.
 _ITEMS = """e as (select vec_id, label, vec_id % 5 as slot, list_transform(embedding, lambda x: x::double) as x from embeddings), sa as (select label, slot, i, avg(y) as y from (select label, slot, unnest(x) as y, generate_subscripts(x, 1) as i from e) group by all), sc as (select label, slot, list(y order by i) as c from sa group by all),
-it as (select label * 10 + slot as item, label, slot, list_transform(c, lambda y: y / sqrt(list_sum(list_transform(c, lambda z: z * z)))) as s, files from sc join (select label, slot, list_distinct(list((vec_id * 13 + label * 7 + slot) % 9)) as files from e where vec_id % 11 < 2 group by all) using (label, slot))"""
+it as (select label * 10 + slot as item, label, slot, list_transform(c, lambda y: y / sqrt(list_sum(list_transform(c, lambda z: z * z)))) as s, files from sc join (select label, slot, list_distinct(list((label * 2 + slot + vec_id // 5 % (2 + label % 3)) % 19)) as files from e group by all) using (label, slot))"""
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "embeddings").withColumn("slot", F.col("vec_id") % 5)
-    files = rows.where("vec_id % 11 < 2").groupBy("label", "slot").agg(F.collect_set((F.col("vec_id") * 13 + F.col("label") * 7 + F.col("slot")) % 9).alias("files"))
+    files = rows.groupBy("label", "slot").agg(F.collect_set((F.col("label") * 2 + F.col("slot") + F.floor(F.col("vec_id") / 5) % (2 + F.col("label") % 3)) % 19).alias("files"))
     means = retrieval.centroids(rows, ["label", "slot"], "embedding").select("label", "slot", retrieval.unit(F.col("centroid")).alias("s"))
     return means.join(files, ["label", "slot"]).select((F.col("label") * 10 + F.col("slot")).alias("item"), "label", "slot", "s", "files")
 
@@ -130,6 +130,17 @@ def m1_batch_rename(spark: SparkSession, sf: str) -> DataFrame:
     return edits.renamed(_state(spark, sf), v.RENAMES.frame(spark, sf)).select("vt_id", "slot_index", "name")
 
 
+@query(f"with {v.SLOTS.cte()} select vt_id, slot_index, case when vt_id like 'shelf_%' and slot_index = 2 then 'second' when vt_id like 'shelf_%' and slot_index = 1 then 'by_name' when vt_id = 'vt_text' and slot_index = 2 then 'tongue' else name end as name from slots")
+def m1_exact_rename(spark: SparkSession, sf: str) -> DataFrame:
+    """Renames that say which slot they take: of two slots of one name the named one, whatever its name, before those that go by name; slots of the library stay."""
+    state = _state(spark, sf)
+    shelves = state.where("vt_id like 'shelf_%'").select("vt_id").distinct()
+    one = lambda before, after, at: F.struct(F.lit(before).alias("before"), F.lit(after).alias("after"), F.lit(at).cast("int").alias("slot_index"))
+    asked = shelves.select("vt_id", F.explode(F.array(one("shelf_price", "second", 2), one("shelf_date", "by_name", None), one("order_key", "never", 0), one("nothing", "never", 9))).alias("r")).select("vt_id", "r.*")
+    asked = asked.unionByName(spark.createDataFrame([("vt_text", "label", "tongue", 2)], "vt_id string, before string, after string, slot_index int"))
+    return edits.renamed(state, asked).select("vt_id", "slot_index", "name")
+
+
 @query(f"with {_X13}, {_RESULTS}, {v.RENAMES.cte()} select \"table\", field, vt_id, coalesce(after, slot) as slot from results left join renames using (vt_id) where before = slot or before is null union all select \"table\", field, vt_id, slot from results where vt_id in (select vt_id from renames) and slot not in (select before from renames n where n.vt_id = results.vt_id)")
 def m1_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return edits.cascaded(results(spark, sf).select("table", "field", "vt_id", "slot"), v.RENAMES.frame(spark, sf), ["slot"]).select("table", "field", "vt_id", "slot")
@@ -232,17 +243,27 @@ def m10_seed_sync(spark: SparkSession, sf: str) -> DataFrame:
     return edits.synced(state, seeds, spark.range(10).select(F.col("id").cast("int").alias("vt_id")), ["vt_id", "k"])
 
 
-@query(f"with {v.SLOTS.cte()}, {v.LIBRARY.cte()} select 'vt_new' as vt_id, name from library union all select vt_id, name from slots where vt_id = 'vt_sales' and name not in (select name from library)")
+@query(f"with {v.SLOTS.cte()}, {v.LIBRARY.cte()}, t as (select distinct vt_id from slots) select vt_id, name from t, library union select vt_id, name from slots where origin = 'extended'")
 def m11_manual_kept(spark: SparkSession, sf: str) -> DataFrame:
-    made, manual = v.LIBRARY.frame(spark).select(F.lit("vt_new").alias("vt_id"), "name"), _state(spark, sf).where("vt_id = 'vt_sales'").select("vt_id", "name")
-    return edits.added(made, manual, ["name"])
-
-
-@query(f"with {v.CATALOG.cte()}, m as (select \"table\", field, case when length(field) % 2 = 0 then comment end as comment from catalog where \"table\" in ('orders', 'customer')), r as (select \"table\", field, comment from catalog where \"table\" in ('orders', 'region')) select \"table\", field, case when m.field is null then r.comment when trim(coalesce(m.comment, '')) = '' and r.comment is not null then r.comment else m.comment end as comment, case when m.field is null then 'added' when r.field is null then 'kept' when trim(coalesce(m.comment, '')) = '' and r.comment is not null then 'filled' else 'same' end as outcome from m full join r using (\"table\", field)")
+    """Every topic gets the library's slots anew; its extended ones that these lack are put behind them."""
+    state = _state(spark, sf)
+    made = state.select("vt_id").distinct().join(F.broadcast(v.LIBRARY.frame(spark).select("name")))  # seven written rows
+    return edits.added(made, state.where("origin = 'extended'").select("vt_id", "name"), ["vt_id", "name"])
+
+
+@query(f"""with {_X13}, {_RESULTS}, {v.REVIEWS.cte()}, m as (select r.vt_id, r.slot, r."table", r.field, min(case when length(r.field) % 2 = 0 then c.comment end) as comment from results r join catalog c using ("table", field) where length(r.field) % 3 > 0 group by all),
+w as (select r.vt_id, r.decision_slot as slot, r."table", r.field, min(c.comment) as comment from reviews r left join catalog c using ("table", field) where decision_slot is not null group by all),
+n as (select w.*, vt_id in (select vt_id from slots) as topic, (vt_id, slot) in (select vt_id, name from slots) as there from w), g as (select * from n where there)
+select vt_id, slot, "table", field, case when m.there is null then g.comment when trim(coalesce(m.comment, '')) = '' and g.comment is not null then g.comment else m.comment end as comment,
+case when m.there is null then 'added' when g.there is null then 'kept' when trim(coalesce(m.comment, '')) = '' and g.comment is not null then 'filled' else 'same' end as outcome from (select *, true as there from m) m full join g using (vt_id, slot, "table", field)
+union all select vt_id, slot, "table", field, comment, case when topic then 'missing slot' else 'missing topic' end from n where not there""")
 def m12_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    c = v.CATALOG.frame(spark, sf).select("table", "field", "comment")
-    mapped = c.where(F.col("table").isin("orders", "customer")).withColumn("comment", F.when(F.length("field") % 2 == 0, F.col("comment")))
-    return edits.backfill(mapped, c.where(F.col("table").isin("orders", "region")), ["table", "field"])
+    """Reviewed columns put into the mapped columns of their slots, with what became of each."""
+    catalog = v.CATALOG.frame(spark, sf).select("table", "field", F.col("comment").alias("said"))
+    best = results(spark, sf).where(F.length("field") % 3 > 0).join(catalog, ["table", "field"])
+    mapped = best.select("vt_id", "slot", "table", "field", F.when(F.length("field") % 2 == 0, F.col("said")).alias("comment"))
+    reviewed = v.REVIEWS.frame(spark, sf).where("decision_slot is not null").join(catalog, ["table", "field"], "left").select("vt_id", F.col("decision_slot").alias("slot"), "table", "field", F.col("said").alias("comment"))
+    return edits.backfilled(mapped, reviewed, v.SLOTS.frame(spark, sf).select("vt_id", "name"))
 
 
 @query(f"""with {v.SCAFFOLD.cte()}, {v.BRIDGE.cte()}, {v.MERGES.cte()}, mg as (select *, 'pending' as status from merges union all select 'shelf_' || (shelf - 1), 'shelf_' || shelf, case when shelf % 4 = 1 then 'pending' else 'rejected' end from (select distinct p_partkey // 20 as shelf from part) where shelf % 2 = 1 union all select 'vt_sales', 'vt_gone', 'pending'),
