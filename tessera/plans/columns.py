@@ -231,7 +231,7 @@ def f11_covered(spark: SparkSession, sf: str) -> DataFrame:
     names = v.CATALOG.frame(spark, sf).select("table", "field", F.explode(F.array(F.lower("field"), F.col("comment"))).alias("text"))
     aliases = v.SLOTS.frame(spark, sf).select("vt_id", "slot_index", F.explode("aliases").alias("part"))
     pairs = settled(containment.containing(names, aliases))
-    return names.join(pairs, "text").select("table", "field", "part").distinct().join(aliases, "part").select("table", "field", "vt_id", "slot_index").distinct()
+    return containment.sharing(names.join(pairs, "text").select("table", "field", "part"), ["table", "field"], aliases, ["vt_id", "slot_index"])
 
 
 @query(f"""with {v.QUESTIONS.cte()}, {v.SLOTS.cte()} select q.question_id, s.vt_id, s.slot_index from questions q, slots s where q.query_text <> ''
@@ -242,7 +242,8 @@ def f12_either_contains(spark: SparkSession, sf: str) -> DataFrame:
     names = v.SLOTS.frame(spark, sf).select("vt_id", "slot_index", F.explode(F.array_append("aliases", F.col("name"))).alias("name"))
     inside = containment.containing(asked.select(F.col("question").alias("text")), names.select(F.col("name").alias("part"))).toDF("question", "name")
     around = containment.containing(names.select(F.col("name").alias("text")), asked.select(F.col("question").alias("part")), least=1).toDF("name", "question")
-    return asked.join(inside.unionByName(around).distinct(), "question").join(names, "name").select("question_id", "vt_id", "slot_index").distinct()
+    found = asked.join(inside.unionByName(around), "question").select("question_id", F.col("name").alias("part"))
+    return containment.sharing(found, ["question_id"], names.withColumnRenamed("name", "part"), ["vt_id", "slot_index"])
 
 
 @query(f"""with {v.CATALOG.cte()}, t as (select "table", field, {_DUCK_TOKENS.format('field')} as w from catalog)

@@ -58,6 +58,13 @@ def test_containment(spark, hot):
     assert containment.containing(df(texts, "text").where("false"), df(parts, "part")).count() == 0
 
 
+def test_what_shares_a_part_comes_once(spark):
+    rng = np.random.default_rng(4)
+    one, two = ([(int(rng.integers(0, 9)), f"p{rng.integers(0, 7)}") for _ in range(n)] for n in (40, 25))
+    got = containment.sharing(spark.createDataFrame(one, "k int, part string"), ["k"], spark.createDataFrame(two, "o int, part string"), ["o"]).collect()
+    assert sorted(map(tuple, got)) == sorted({(k, o) for k, p in one for o, q in two if p == q})
+
+
 @pytest.mark.parametrize("hot", [5, 65536])
 def test_top_cosines_equal_the_whole_matrix(spark, hot):
     """Texts of common and rare words: the same best five and scores as from all pairs, and less than half of the pairs."""
