@@ -308,17 +308,35 @@ def m14_categories_applied(spark: SparkSession, sf: str) -> DataFrame:
     return out.unionByName(done.where("error is not null").select(F.lit("refused").alias("part"), F.concat_ws(" ", "action", "name").alias("item"), F.col("error").alias("value")))
 
 
-@query(f"with {v.NOISE_RULES.cte()} select kind, value from noise_rules union select 'glob', 'tmp_*'")
+#: Every other shelf has a rule of its own.
+_SHELVES = "sh as (select distinct p_partkey // 20 as s from part), rl as (select kind, value, table_en from noise_rules union all select 'glob', 'shelf_' || s || '_*', null from sh where s % 2 = 0)"
+
+
+def _rules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(shelves (s, value), rules)."""
+    shelves = read(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).alias("s")).distinct().select("s", F.concat(F.lit("shelf_"), F.col("s").cast("string"), F.lit("_*")).alias("value"))
+    own = shelves.where("s % 2 = 0").select(F.lit("glob").alias("kind"), "value", F.lit(None).cast("string").alias("table_en"))
+    return shelves, v.NOISE_RULES.frame(spark).select("kind", "value", "table_en").unionByName(own)
+
+
+@query(f"with {v.NOISE_RULES.cte()}, {_SHELVES} select kind, value from rl union select 'glob', 'tmp_*' union select 'glob', 'shelf_' || s || '_*' from sh")
 def m15_rule_list(spark: SparkSession, sf: str) -> DataFrame:
-    new = spark.createDataFrame([("glob", "tmp_*"), ("glob", "etl_*"), ("exact", "row_id")], "kind string, value string")
-    return edits.added(v.NOISE_RULES.frame(spark).select("kind", "value"), new, ["kind", "value"])
+    """Rules of all shelves are added to the list; what is there already isn't added again."""
+    shelves, rules = _rules(spark, sf)
+    new = spark.createDataFrame([("glob", "tmp_*"), ("glob", "etl_*"), ("exact", "row_id")], "kind string, value string").unionByName(shelves.select(F.lit("glob").alias("kind"), "value"))
+    return edits.added(rules.select("kind", "value"), new, ["kind", "value"])
 
 
-@query(f"""with {v.NOISE_RULES.cte()}, ok as (select kind, value, table_en from noise_rules where value <> 'etl_*' union all select 'glob', 'tmp_*', null union all select 'pair', 'props', 'orders')
-select 'rule' as part, kind, value, table_en, null as error from ok union all select 'refused', * from (values ('glob', '*_bak', null, 'there already'), ('regex', 'x', null, 'unknown kind'), ('exact', '', null, 'no value'), ('pair', 'props', null, 'no table'), ('exact', 'nowhere', null, 'missing')) w(kind, value, table_en, error)""")
+@query(f"""with {v.NOISE_RULES.cte()}, {_SHELVES}, ok as (select kind, value, table_en from noise_rules where value <> 'etl_*' union all select 'glob', 'tmp_*', null union all select 'pair', 'props', 'orders' union all select 'glob', 'shelf_' || s || '_*', null from sh where s % 4 <> 0)
+select 'rule' as part, kind, value, table_en, null as error from ok union all select 'refused', * from (values ('glob', '*_bak', null, 'there already'), ('regex', 'x', null, 'unknown kind'), ('exact', '', null, 'no value'), ('pair', 'props', null, 'no table'), ('exact', 'nowhere', null, 'missing')) w(kind, value, table_en, error)
+union all select 'refused', 'glob', 'shelf_' || s || '_*', null, 'there already' from sh where s % 2 = 0""")
 def m15_rule_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules added and removed under checks, for all shelves too: half of those are there already, a quarter goes."""
+    shelves, rules = _rules(spark, sf)
     ops = [("add", "glob", "tmp_*", None), ("add", "glob", "*_bak", None), ("add", "regex", "x", None), ("add", "exact", "", None), ("add", "pair", "props", None), ("add", "pair", "props", "orders"), ("remove", "glob", "etl_*", None), ("remove", "exact", "nowhere", None)]
-    rules, done = edits.rules_edited(v.NOISE_RULES.frame(spark), spark.createDataFrame(ops, "action string, kind string, value string, table_en string"))
+    of_shelves = lambda action, rows: rows.select(F.lit(action).alias("action"), F.lit("glob").alias("kind"), "value", F.lit(None).cast("string").alias("table_en"))
+    ops = spark.createDataFrame(ops, "action string, kind string, value string, table_en string").unionByName(of_shelves("add", shelves)).unionByName(of_shelves("remove", shelves.where("s % 4 = 0")))
+    rules, done = edits.rules_edited(rules, ops)
     return rules.select(F.lit("rule").alias("part"), "kind", "value", "table_en", F.lit(None).cast("string").alias("error")).unionByName(done.where("error is not null").select(F.lit("refused").alias("part"), "kind", "value", "table_en", "error"))
 
 
