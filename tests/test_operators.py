@@ -344,3 +344,25 @@ def test_asked_twice_at_most(spark):
         "i1": ("accepted", ["good_name"], []), "i2": ("corrected", ["good_name"], []), "i3": ("warned", ["o_id"], ["o_id"]), "i4": ("warned", ["Bad-Name"], ["Bad-Name"]), "i5": ("unanswered", [], []), "i6": ("unanswered", [], []),
         "i7": ("accepted", ["X"], []), "i8": ("corrected", ["good_name"], []), "i9": ("warned", ["Bad-Name"], ["Bad-Name"]),
     }
+
+
+def _largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_members_of_classes_meet_block_by_block(spark):
+    """One class with nearly all rows: every pair once, and no task with most of them."""
+    left = spark.range(200).select((F.col("id") >= 195).cast("long").alias("_left"), F.col("id").alias("a"))
+    right = spark.range(150).select((F.col("id") >= 149).cast("long").alias("_right"), F.col("id").alias("b"))
+    pairs = spark.createDataFrame([(0, 0, 0.5), (1, 1, 1.0), (1, 7, 0.0)], "_left long, _right long, score double")
+    out = joins.expanded(pairs, left, right, block=16)
+    got = sorted((r.a, r.b, r.score) for r in out.collect())
+    assert got == sorted([(a, b, 0.5) for a in range(195) for b in range(149)] + [(a, 149, 1.0) for a in range(195, 200)])
+    assert _largest_share(out) < 0.6
+
+
+def test_texts_with_a_common_pair_of_characters_are_not_broadcast(spark):
+    texts, parts = spark.range(50).select(F.concat(F.lit("price "), F.col("id")).alias("text")), spark.createDataFrame([("price",)], "part string")
+    got = containment.containing(texts, parts)
+    assert got.count() == 50 and "SortMergeJoin [gram" in got._jdf.queryExecution().executedPlan().toString()
