@@ -366,3 +366,12 @@ def test_texts_with_a_common_pair_of_characters_are_not_broadcast(spark):
     texts, parts = spark.range(50).select(F.concat(F.lit("price "), F.col("id")).alias("text")), spark.createDataFrame([("price",)], "part string")
     got = containment.containing(texts, parts)
     assert got.count() == 50 and "SortMergeJoin [gram" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_covering_compares_classes_not_rows(spark):
+    """The rows come straight from the join of members: no arrays are compared for each of them."""
+    found = spark.range(40).select(F.col("id").alias("k"), F.explode(F.array(F.lit("x"), F.when(F.col("id") % 2 == 0, "y").otherwise("z"))).alias("part"))
+    owners = spark.range(30).select(F.col("id").alias("o"), F.explode(F.array(F.lit("x"), F.lit("y"), F.lit("w"))).alias("part"))
+    got = containment.sharing(found, ["k"], owners, ["o"])
+    assert sorted(map(tuple, got.collect())) == [(k, o) for k in range(40) for o in range(30)]
+    assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
