@@ -375,3 +375,22 @@ def test_covering_compares_classes_not_rows(spark):
     got = containment.sharing(found, ["k"], owners, ["o"])
     assert sorted(map(tuple, got.collect())) == [(k, o) for k in range(40) for o in range(30)]
     assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shares_are_those_of_classes(spark):
+    """Random fields and names against brute force; the hot class is dealt out."""
+    rng = np.random.default_rng(9)
+    words = ["price", "date", "unit price", "da", "x", "key", "order key", "zz"]
+    fields = [(q, str(rng.choice(words))) for q in range(60) for _ in range(rng.integers(1, 5))] + [(9, "none"), (61, "none")]
+    names = [(g, str(rng.choice(words))) for g in range(40) for _ in range(rng.integers(1, 4))]
+    out = retrieval.literal_shares(spark.createDataFrame(fields, "q int, field string"), spark.createDataFrame(names, "g int, name string"), "q", "g")
+    want = {}
+    for q in {q for q, _ in fields}:
+        mine = {f for x, f in fields if x == q}
+        for g in range(40):
+            theirs = {n for x, n in names if x == g}
+            n = sum(any(f == t or (len(t) >= 2 and (f in t or t in f)) for t in theirs) for f in mine)
+            if n:
+                want[q, g] = n / len(mine)
+    assert {(r.q, r.g): r.score for r in out.collect()} == pytest.approx(want)
+    assert "count(DISTINCT" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
