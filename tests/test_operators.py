@@ -400,3 +400,13 @@ def test_nested_lists_are_whole(spark):
     rows = spark.range(4800).select(F.lit("a").alias("x"), (F.col("id") % 1200).alias("y"), F.col("id").alias("leaf"))
     (r,) = summaries.nested(rows, ["x", "y"], F.struct("leaf"), "leaf").collect()
     assert [n.name for n in r.nodes] == list(range(1200)) and [leaf.leaf for leaf in r.nodes[7].nodes] == [7, 1207, 2407, 3607]
+
+
+def test_word_cosines_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    words = lambda: sorted({str(w) for w in rng.choice(list("abcdefgh"), rng.integers(1, 5))})
+    q, d = [(i, words()) for i in range(30)] + [(30, ["zz"])], [(i, words()) for i in range(50)] + [(50, ["yy"])]
+    got = retrieval.word_cosines(spark.createDataFrame(q, "q int, words array<string>"), spark.createDataFrame(d, "d int, words array<string>"), "q", "d", 4).collect()
+    score = lambda a, b: round(len(set(a) & set(b)) / len(a) ** 0.5 / len(b) ** 0.5, 9)
+    want = [(i, j, n) for i, a in q for n, (_, j) in enumerate(sorted((-score(a, b), j) for j, b in d)[:4], 1)]
+    assert sorted((r.q, r.d, r["rank"]) for r in got) == sorted(want)
