@@ -410,3 +410,20 @@ def test_word_cosines_equal_all_pairs(spark):
     score = lambda a, b: round(len(set(a) & set(b)) / len(a) ** 0.5 / len(b) ** 0.5, 9)
     want = [(i, j, n) for i, a in q for n, (_, j) in enumerate(sorted((-score(a, b), j) for j, b in d)[:4], 1)]
     assert sorted((r.q, r.d, r["rank"]) for r in got) == sorted(want)
+
+
+def test_hashed_vectors_stay_where_their_keys_are(spark):
+    """One exchange, of the texts: neither n-grams nor counts are exchanged again, and texts of one key are one vector."""
+    from tessera.plans.retrieving import hashed_vectors
+
+    out = hashed_vectors(spark.createDataFrame([(1, "abc"), (1, "abc"), (2, "abc")], "k int, t string"), ["k"], "t")
+    one, two = ({r.place: r.value for r in out.where(f"k = {k}").collect()} for k in (1, 2))
+    assert one == pytest.approx(two) and sum(x * x for x in one.values()) == pytest.approx(1)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_allowed_references_are_one_join(spark):
+    from tessera.plans import columns
+
+    plan = columns.f17_allowed_references(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
