@@ -427,3 +427,29 @@ def test_allowed_references_are_one_join(spark):
 
     plan = columns.f17_allowed_references(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_all_pairs_deals_out_a_left_side_of_one_partition(spark):
+    left, right = spark.range(100).toDF("a").coalesce(1), spark.range(60).toDF("b")
+    for most in (10, 100):
+        out = joins.all_pairs(left, right, most)
+        assert out.distinct().count() == 6000
+    assert _largest_share(out) < 0.9
+
+
+def test_sharing_pairs_are_not_made_distinct(spark):
+    rows = [(i, f"g{i % 2}") for i in range(60)] + [(1, "g0"), (3, None), (99, None)]
+    out = joins.sharing_pairs(spark.createDataFrame(rows, "k int, g string"), "k", "g")
+    sets = {i: {g for k, g in rows if k == i and g} for i in range(100)}
+    assert sorted(map(tuple, out.collect())) == [(a, b) for a in range(100) for b in range(a + 1, 100) if sets[a] & sets[b]]
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+
+
+def test_labels_of_components_are_not_broadcast(spark):
+    seen, edges = [], spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    keep, graph.settled = graph.settled, lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+    try:
+        assert {r.component for r in graph.connected(spark.range(1, 4).toDF("node"), edges).collect()} == {1}
+    finally:
+        graph.settled = keep
+    assert not any("BroadcastHashJoin" in p for p in seen) and any("SortMergeJoin" in p for p in seen)
