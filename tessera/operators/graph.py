@@ -12,16 +12,16 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node that edges (a, b) lead to; nodes without edges are their own.
 
     Labels go along the edges and then jump to the label of their label, so a chain takes rounds by the logarithm of its length. Every round
-    is written to the shared folder, which cuts the lineage.
+    is written to the shared folder, which cuts the lineage. Labels are as many as nodes, so they are never broadcast, which would send them to the driver each round.
     """
     both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = settled(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", "least").alias("component"))
+        near = both.join(labels.hint("merge"), both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
+        step = labels.join(near.hint("merge"), labels.node == near.a, "left").select("node", F.least("component", "least").alias("component"))
         jump = step.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        new = settled(step.join(jump, step.component == jump.up, "left").select("node", F.least("component", "top").alias("component")))
-        still = new.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").isEmpty()
+        new = settled(step.join(jump.hint("merge"), step.component == jump.up, "left").select("node", F.least("component", "top").alias("component")))
+        still = new.join(labels.withColumnRenamed("component", "before").hint("merge"), "node").where("component <> before").isEmpty()
         labels = new
         if still:
             return labels

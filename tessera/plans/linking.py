@@ -47,7 +47,7 @@ def _edges(spark: SparkSession, sf: str, ahead: int = 8) -> DataFrame:
     rows = settled(placed(read(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), ["s_nationkey"], order))
     back = F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("o")
     after = rows.select("s_nationkey", F.col("place").alias("at"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("next"), back).select("s_nationkey", (F.col("at") - F.col("o")).alias("place"), "b", "next")
-    return rows.join(after, ["s_nationkey", "place"]).where(F.col("next") - F.col("s_acctbal") < 1500).select(F.col("s_suppkey").alias("a"), "b")
+    return rows.join(after.hint("merge"), ["s_nationkey", "place"]).where(F.col("next") - F.col("s_acctbal") < 1500).select(F.col("s_suppkey").alias("a"), "b")
 
 
 @query(f"with recursive {_EDGES}, {_PARTS} select node, min(comp) as component from c group by 1")
