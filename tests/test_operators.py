@@ -453,3 +453,39 @@ def test_labels_of_components_are_not_broadcast(spark):
     finally:
         graph.settled = keep
     assert not any("BroadcastHashJoin" in p for p in seen) and any("SortMergeJoin" in p for p in seen)
+
+
+def test_named_questions_are_looked_up(spark, monkeypatch):
+    """Questions meet topics and slots once; what they name is not scored again."""
+    from tessera.plans import retrieving
+
+    calls, plain = [], retrieval.scored_slots
+    monkeypatch.setattr(retrieval, "scored_slots", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    retrieving.channels(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
+def test_asked_scores(spark):
+    rng = np.random.default_rng(5)
+    rows = [(q, topic, j, not topic and q % 3 == 0, g, round(float(rng.random()), 1)) for q in range(12) for topic in (True, False) for j in range(1 + q % 2) for g in range(6)]
+    asked = spark.createDataFrame(rows, "question long, topic boolean, j int, own boolean, label int, m double")
+    topics, fields = asked.where("topic"), asked.where("not topic")
+    got = {(r.question, r.label): r for r in retrieval.asked_scores(asked, "question", "label").collect()}
+    assert len(got) == 72
+    for name, found in [("intent", retrieval.intent(topics, fields.where("not own"), "question", "label")), ("multi_topic", retrieval.rank_sums(topics, "question", "label")), ("multi_field", retrieval.rare_fields(fields, "question", "label"))]:
+        want = {(r.question, r.label): r.score for r in found.collect()}
+        assert all(got[k][name] == pytest.approx(want.get(k, 0.0)) for k in got) and set(want) <= set(got)
+
+
+def test_topic_metrics_exchange_ranks_once(spark):
+    """Each query's wanted items come to its ranks as one row, so no item fans the ranks out before they meet what is wanted."""
+    ranked = spark.createDataFrame([(c, q, t, t + 1) for c in "ab" for q in range(3) for t in range(4) if (c, q) != ("b", 2)], "channel string, question int, label int, rank int")
+    queries = spark.createDataFrame([(0,), (1,), (2,)], "question int")
+    tables, owned = spark.createDataFrame([(0, "x"), (0, "y"), (1, "y"), (2, "x")], "question int, item string"), spark.createDataFrame([(0, "x"), (3, "y")], "label int, item string")
+    fields, named = spark.createDataFrame([(0, "f"), (2, "g")], "question int, item string"), spark.createDataFrame([(1, "f"), (1, "g")], "label int, item string")
+    found = ranking.topic_metrics(ranked, queries, tables, owned, fields, named, "question", "label", (1, 4))
+    assert sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in found.select("channel", "k", "hit", "recall", "field_hit", "support").collect()) == [
+        ("a", 1, 0.666667, 0.5, 0.0, 0.0), ("a", 4, 1.0, 1.0, 0.666667, 1.0), ("b", 1, 0.333333, 0.166667, 0.0, 0.0), ("b", 4, 0.666667, 0.666667, 0.333333, 0.666667),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin\b", plan)) == 1
