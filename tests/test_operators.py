@@ -489,3 +489,19 @@ def test_topic_metrics_exchange_ranks_once(spark):
     ]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bJoin\b", plan)) == 1
+
+
+@pytest.mark.parametrize("most", [1, 100])
+def test_edit_distances(spark, most):
+    """All pairs as levenshtein gives them, with nulls, empty texts, texts beyond a machine word and characters beyond 16 bits, without a call of levenshtein for the others."""
+    from tessera.operators.distances import edit_distances
+
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abc é😀"), rng.integers(0, n)))
+    left = spark.createDataFrame([(i, word(80)) for i in range(40)] + [(40, ""), (41, None), (42, "a" * 64), (42, "a" * 64)], "k int, t string")
+    right = spark.createDataFrame([(f"p{i}", word(64)) for i in range(30)] + [("e", ""), ("n", None), ("w", "b" * 64), ("l", "b" * 65)], "k string, t string")
+    got = edit_distances(left, right, most, 8, 8)
+    want = left.toDF("a", "x").join(right.toDF("b", "y")).select("a", "b", F.levenshtein("x", "y").cast("long").alias("distance"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    short = edit_distances(left.where("t is not null"), right.where("length(t) <= 64"), most)
+    assert "levenshtein" not in short._jdf.queryExecution().optimizedPlan().toString().lower()
