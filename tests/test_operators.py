@@ -505,3 +505,11 @@ def test_edit_distances(spark, most):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     short = edit_distances(left.where("t is not null"), right.where("length(t) <= 64"), most)
     assert "levenshtein" not in short._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_literal_shares_are_rounded_by_class(spark):
+    """No row of the result is computed on: scores are those of pairs of classes."""
+    from tessera.plans import retrieving
+
+    found = retrieving.v5_literal_fields(spark, "/root/testdata/sf0.001")
+    assert found.columns == ["question_id", "vt_id", "score"] and "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
