@@ -362,6 +362,15 @@ def test_members_of_classes_meet_block_by_block(spark):
     assert _largest_share(out) < 0.6
 
 
+def test_few_cells_of_very_many_pairs_are_dealt_over_more_tasks(spark, monkeypatch):
+    """12 cells of up to 4,096 pairs, whose classes are literals: more tasks than there are shuffle partitions (4) put them out."""
+    monkeypatch.setattr(joins, "PAIRS", 1_000)
+    left, right, pairs = (spark.range(n).select(F.lit(0).cast("long").alias(c), F.col("id").alias(k)) for n, c, k in ((200, "_left", "a"), (150, "_right", "b"), (1, "_left", "_right")))
+    out = joins.expanded(pairs, left, right, block=64)
+    assert out.distinct().count() == out.count() == 30_000
+    assert out.select(F.spark_partition_id()).distinct().count() > 4
+
+
 def test_texts_with_a_common_pair_of_characters_are_not_broadcast(spark):
     texts, parts = spark.range(50).select(F.concat(F.lit("price "), F.col("id")).alias("text")), spark.createDataFrame([("price",)], "part string")
     got = containment.containing(texts, parts)
