@@ -10,7 +10,8 @@ from tessera.operators import distances, joins, ranking, summaries
 from tessera.operators.edits import merged as merge_rows
 from tessera.plans import vocabularies as v
 from tessera.plans.columns import _NOISE, _X13, lexical, noise
-from tessera.plans.registry import query, read
+from tessera.plans.registry import query, read, read_in_order
+from tessera.sources.files import settled
 
 
 @query(f"with {v.CATALOG.cte()}, {v.USAGE.cte()} select c.\"table\", c.field, sum(u.usage_count) as usage_count, sum(u.role_join) as role_join from catalog c left join usage_stats u using (\"table\", field) group by all")
@@ -152,11 +153,17 @@ def a10_mean_of_maxima(spark: SparkSession, sf: str) -> DataFrame:
 _RANKED = "select channel, item, row_number() over (partition by channel order by s desc, item) as rank from (select event_type as channel, user_id as item, sum(value) as s from events group by all)"
 
 
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """(channel, item, score, query): each user's sum of an event type, added in the order of the table as the SQL's is, so that nearly equal sums rank alike."""
+    rows = read_in_order(spark, sf, "events").withColumnsRenamed({"event_type": "channel", "user_id": "item"})
+    sums = summaries.sums_in_order(rows, ["channel", "item"], "value", ["_file", "_row"], "score")
+    return settled(sums).withColumn("query", F.lit(0))  # dealing rows out by ranges reads them twice
+
+
 @query(f"select item, round(sum(case channel when 'click' then 1.0 when 'view' then 0.5 else 0.25 end / (60 + rank)), 9) as score from ({_RANKED}) group by item")
 def a11_reciprocal_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    scored = read(spark, sf, "events").groupBy(F.col("event_type").alias("channel"), F.col("user_id").alias("item")).agg(F.sum("value").alias("score")).withColumn("query", F.lit(0))
     weights = spark.createDataFrame([("all", c, w) for c, w in (("click", 1.0), ("view", 0.5), ("error", 0.25), ("signup", 0.25), ("purchase", 0.25))], "fusion string, channel string, weight double")
-    ranked = ranking.placed(scored, ["channel"], [F.col("score").desc_nulls_last(), F.col("item")], name="rank")
+    ranked = ranking.placed(_scored(spark, sf), ["channel"], [F.col("score").desc_nulls_last(), F.col("item")], name="rank")
     return ranking.fused(ranked, "query", "item", weights).select("item", F.round("score", 9).alias("score"))
 
 
@@ -261,8 +268,7 @@ def w3_priorities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select channel, item, rank from ({_RANKED})")
 def w4_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    scored = read(spark, sf, "events").groupBy(F.col("event_type").alias("channel"), F.col("user_id").alias("item")).agg(F.sum("value").alias("score")).withColumn("query", F.lit(0))
-    return ranking.placed(scored, ["channel"], [F.col("score").desc_nulls_last(), F.col("item")], name="rank").select("channel", "item", "rank")
+    return ranking.placed(_scored(spark, sf), ["channel"], [F.col("score").desc_nulls_last(), F.col("item")], name="rank").select("channel", "item", "rank")
 
 
 @query("""with a as (select o_custkey as q, o_orderkey as i, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as r from orders union all select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by epoch(o_orderdate) desc, o_orderkey) from orders)

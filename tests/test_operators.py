@@ -522,3 +522,26 @@ def test_literal_shares_are_rounded_by_class(spark):
 
     found = retrieving.v5_literal_fields(spark, "/root/testdata/sf0.001")
     assert found.columns == ["question_id", "vt_id", "score"] and "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_add_values_in_the_order_of_the_table(spark, tmp_path):
+    """Sums of doubles depend on the order of addition; the order is that of the files and their rows, as in the SQL, not that of tasks."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.plans import grouping, registry
+
+    # In this order user 1 has 1.0, user 2 has 0.0; by files first both would have 0.0.
+    files = [[(1, 1e16), (1, 1.0), (2, 1.0), (2, 1e16), (3, None)], [(1, -1e16), (1, 1.0), (2, -1e16), (3, 0.5)]]
+    (tmp_path / "events.parquet").mkdir()
+    for i, part in enumerate(files):
+        users, values = zip(*part)
+        pq.write_table(pa.table({"event_type": ["view"] * len(part), "user_id": pa.array(users, "int64"), "value": pa.array(values, "float64")}), tmp_path / "events.parquet" / f"{i}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name, f in (("w4_ranks", grouping.w4_ranks), ("a11_reciprocal_ranks", grouping.a11_reciprocal_ranks)):
+        got = f(spark, str(tmp_path))
+        want = con.sql(f"select {', '.join(got.columns)} from ({registry.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert [r.item for r in grouping.w4_ranks(spark, str(tmp_path)).orderBy("rank").collect()] == [1, 3, 2]
