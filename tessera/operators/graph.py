@@ -2,20 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.files import settled
 
-
-def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component) with the smallest node that edges (a, b) lead to; nodes without edges are their own.
-
-    Labels go along the edges and then jump to the label of their label, so a chain takes rounds by the logarithm of its length. Every round
+#: Edges that a task puts together at once; if no more are left in all, one task ends the work.
+TOGETHER = 1_000_000
+
+
+def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of each node that edges lead to a smaller one, b the smallest; for each TOGETHER edges by themselves."""
+
+    def put(wait: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [pa.concat_arrays([w.column(i) for w in wait]) for i in (0, 1)]
+        names = pc.unique(pa.concat_arrays(ends))
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(e, names).to_numpy(zero_copy_only=False) for e in ends)
+        label = np.arange(len(names))
+        while len(a):
+            # Every label is a root here: roots hang onto smaller neighbours, then trees are made flat.
+            a, b = label[a], label[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != (up := label[label])).any():
+                label = up
+        led = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(led)), names.take(pa.array(label[led]))], ["a", "b"])
+
+    wait: list[pa.RecordBatch] = []
+    for batch in batches:
+        wait.append(batch)
+        if sum(w.num_rows for w in wait) >= TOGETHER:
+            yield put(wait)
+            wait = []
+    if wait:
+        yield put(wait)
+
+
+def connected(nodes: DataFrame, edges: DataFrame, closed: bool = False) -> DataFrame:
+    """(node, component) with the smallest node that edges (a, b) lead to; nodes without edges are their own. Edges of what isn't a node connect nothing; closed says that there are none.
+
+    Each task first leads the edges it has to the smallest node of each piece, so it helps if edges that hang together lie together. What is left is ended by one task if it is few edges. Else
+    labels go along the edges and then jump to the label of their label, so a chain takes rounds by the logarithm of its length. Every round
     is written to the shared folder, which cuts the lineage. Labels are as many as nodes, so they are never broadcast, which would send them to the driver each round.
     """
-    both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = settled(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
+    kind = nodes.schema["node"].dataType.simpleString()
+    edges = edges.select(F.col("a").cast(kind), F.col("b").cast(kind)).where("a is not null and b is not null")
+    for end in [] if closed else ["a", "b"]:
+        edges = edges.join(nodes.select(F.col("node").alias(end)).hint("merge"), end, "left_semi").select("a", "b")
+    led = settled(edges.mapInArrow(_leading, f"a {kind}, b {kind}"))
+    labels = nodes.select(F.col("node"), F.col("node").alias("component")).distinct()
+    if led.count() <= TOGETHER:
+        ends = led.repartition(1).mapInArrow(_leading, f"a {kind}, b {kind}")
+        return settled(labels.join(ends.hint("merge"), labels.node == ends.a, "left").select("node", F.coalesce("b", "component").alias("component")))
+    both = settled(led.select("a", "b").union(led.select("b", "a")).distinct())
+    labels = settled(labels)
     while True:
         near = both.join(labels.hint("merge"), both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
         step = labels.join(near.hint("merge"), labels.node == near.a, "left").select("node", F.least("component", "least").alias("component"))

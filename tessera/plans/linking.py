@@ -41,18 +41,18 @@ _EDGES = "e as (select a.s_suppkey as a, b.s_suppkey as b from supplier a join s
 _PARTS = "c(node, comp) as (select s_suppkey, s_suppkey from supplier union select x.b, c.comp from c join (select a, b from e union all select b, a from e) x on x.a = c.node)"
 
 
-def _edges(spark: SparkSession, sf: str, ahead: int = 8) -> DataFrame:
-    """Pairs less than 1500 apart of neighbours and near neighbours in the order of a nation's balances: they connect what all such pairs connect."""
+def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs less than 1500 apart of neighbours in the order of a nation's balances: they connect what all such pairs connect. Neighbours lie in the same task, but for the ends of tasks."""
     order = [F.col("s_acctbal"), F.col("s_suppkey")]
     rows = settled(placed(read(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), ["s_nationkey"], order))
-    back = F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("o")
-    after = rows.select("s_nationkey", F.col("place").alias("at"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("next"), back).select("s_nationkey", (F.col("at") - F.col("o")).alias("place"), "b", "next")
-    return rows.join(after.hint("merge"), ["s_nationkey", "place"]).where(F.col("next") - F.col("s_acctbal") < 1500).select(F.col("s_suppkey").alias("a"), "b")
+    after = rows.select("s_nationkey", (F.col("place") - 1).alias("place"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("next"))
+    pairs = rows.join(after.hint("merge"), ["s_nationkey", "place"]).where(F.col("next") - F.col("s_acctbal") < 1500)
+    return settled(pairs).repartitionByRange("s_nationkey", "place").select(F.col("s_suppkey").alias("a"), "b")
 
 
 @query(f"with recursive {_EDGES}, {_PARTS} select node, min(comp) as component from c group by 1")
 def g3_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.connected(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), _edges(spark, sf))
+    return graph.connected(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), _edges(spark, sf), closed=True)
 
 
 #: Items: the fifths of each label, with a mean vector, the files that their rows are in, and a group.

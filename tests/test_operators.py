@@ -545,3 +545,48 @@ def test_ranks_add_values_in_the_order_of_the_table(spark, tmp_path):
         want = con.sql(f"select {', '.join(got.columns)} from ({registry.ORACLES[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert [r.item for r in grouping.w4_ranks(spark, str(tmp_path)).orderBy("rank").collect()] == [1, 3, 2]
+
+
+def _least_reached(nodes, edges):
+    found = {n: n for n in nodes}
+    edges = [(a, b) for a, b in edges if a in found and b in found]
+    while True:
+        before = dict(found)
+        for a, b in edges:
+            found[a] = found[b] = min(found[a], found[b])
+        if before == found:
+            return found
+
+
+@pytest.mark.parametrize("together", [1_000_000, 3])
+def test_components_lead_pieces_together_before_rounds(spark, monkeypatch, together):
+    """A long chain, random edges, loops, repeats, nulls and edges of what isn't a node; ended by one task, with no round, or by rounds."""
+    rng = np.random.default_rng(3)
+    chain = list(rng.permutation(400))
+    edges = [(f"n{a}", f"n{b}") for a, b in zip(chain, chain[1:])] + [(f"m{a}", f"m{b}") for a, b in rng.integers(0, 90, (60, 2))]
+    edges += [edges[0], ("n1", "n1"), ("m1", "gone"), ("gone", "n1"), ("alone", None), (None, "n2")]
+    nodes = [f"n{i}" for i in range(400)] + [f"m{i}" for i in range(90)] + ["alone"]
+    monkeypatch.setattr(graph, "TOGETHER", together)
+    calls, keep = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: calls.append(1) or keep(df))
+    left = spark.createDataFrame([(n,) for n in nodes], "node string")
+    got = graph.connected(left, spark.createDataFrame(edges, "a string, b string"))
+    assert {r.node: r.component for r in got.collect()} == _least_reached(nodes, [e for e in edges if None not in e]) and got.count() == len(nodes)
+    assert len(calls) == 2 if together > 3 else len(calls) > 3
+
+
+@pytest.mark.parametrize("together", [1_000_000, 7])
+def test_pieces_of_edges(monkeypatch, together):
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "TOGETHER", together)
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 3), (30, 20), (200, 150), (50, 400)):
+        pairs = rng.integers(-n, n, (m, 2)) * 10**12
+        batches = [pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 3, 0]), pa.array(pairs[i : i + 3, 1])], ["a", "b"]) for i in range(0, m, 3)]
+        out = [(r["a"], r["b"]) for batch in graph._leading(iter(batches)) for r in batch.to_pylist()]
+        names = {int(x) for x in pairs.ravel()}
+        want = _least_reached(names, pairs.tolist())
+        assert _least_reached(names, out) == want
+        if together > m:
+            assert dict(out) == {a: b for a, b in want.items() if a != b} and len(out) == len(dict(out))
