@@ -590,3 +590,15 @@ def test_pieces_of_edges(monkeypatch, together):
         assert _least_reached(names, out) == want
         if together > m:
             assert dict(out) == {a: b for a, b in want.items() if a != b} and len(out) == len(dict(out))
+
+
+def test_edit_distances_leave_tasks_as_lists(spark):
+    """Python gives lists of a few texts' distances and keys, so keys aren't repeated for every pair; null and repeated keys stay."""
+    from tessera.operators.distances import edit_distances
+
+    left = spark.createDataFrame([(i % 7 if i % 5 else None, "abcd"[: i % 4] + str(i)) for i in range(23)], "k int, t string")
+    right = spark.createDataFrame([(f"p{i % 9}" if i % 4 else None, "abce"[: i % 5]) for i in range(19)], "k string, t string")
+    got = edit_distances(left, right, 100, 12, 8)
+    want = left.toDF("a", "x").join(right.toDF("b", "y")).select("a", "b", F.levenshtein("x", "y").cast("long").alias("distance"))
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "posexplode" in got._jdf.queryExecution().optimizedPlan().toString()
